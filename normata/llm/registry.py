@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from normata.llm import chat
+from normata.llm import chat, packing
 
 QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op6_packing": packing.op6_packing,
 }
 
 ORACLE_SQL = {
