@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, packing
+from normata.llm import chat, packing, quality
 
 QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op6_packing": packing.op6_packing,
+    "op7_quality_classifier": quality.op7_quality_classifier,
 }
 
 ORACLE_SQL = {
