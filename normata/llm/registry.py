@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, packing, quality
+from normata.llm import chat, packing, quality, toxicity
 
 QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_quality_classifier": quality.op7_quality_classifier,
 }
