@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, packing, quality, sharding, toxicity
+from normata.llm import chat, jaccard, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_quality_classifier": quality.op7_quality_classifier,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
 
