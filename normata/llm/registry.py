@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, jaccard, packing, quality, sharding, toxicity
+from normata.llm import chat, jaccard, packing, quality, sharding, spans, toxicity
 
 QUERIES = {
+    "op3_sentence_spans": spans.op3_sentence_spans,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_sentence_spans": spans.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
 }
