@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, jaccard, packing, quality, sharding, spans, toxicity
+from normata.llm import chat, decontam, jaccard, packing, quality, sharding, spans, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_sentence_spans": spans.op3_sentence_spans,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_toxicity": toxicity.op5_toxicity,
