@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, decontam, jaccard, packing, quality, sharding, spans, toxicity
+from normata.llm import chat, decontam, jaccard, packing, quality, sharding, spans, suffix_tree, toxicity
 
 QUERIES = {
     "op2_decontamination": decontam.op2_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_suffix_tree": suffix_tree.op8_suffix_tree,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
 }
