@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, decontam, jaccard, packing, quality, sharding, spans, suffix_tree, toxicity
+from normata.llm import chat, decontam, hashing, jaccard, packing, quality, sharding, spans, suffix_tree, toxicity
 
 QUERIES = {
+    "op1_multi_index_hashing": hashing.op1_multi_index_hashing,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_sentence_spans": spans.op3_sentence_spans,
     "op4_chat_formatting": chat.op4_chat_formatting,
