@@ -42,7 +42,7 @@ class WordEncoder(dict):
     kept, of which the older goes when the younger is full.
     """
 
-    LIMIT, LONGEST, TOGETHER = 250_000, 64, 400
+    LIMIT, LONGEST, TOGETHER = 600_000, 64, 400
     SIGNS = b".,!?;:*$%&#"
 
     def __init__(self, path: str):
