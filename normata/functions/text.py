@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accented letters of Spanish, French and German, and what they fold to.
 ACCENTED = "áàâäãéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
@@ -41,7 +42,7 @@ def fold(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_fold(texts: pd.Series) -> pd.Series:
     """Accents off by Unicode decomposition, for letters beyond :data:`ACCENTED`."""
 
@@ -171,7 +172,7 @@ def html_text(html: Column) -> Column:
     for tag in ("script", "style", "nav", "header", "footer"):
         out = F.regexp_replace(out, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
     lines = F.split(F.regexp_replace(out, "(?s)<[^>]*>", "\n"), "\n")
-    return F.array_join(F.filter(F.transform(lines, F.trim), lambda line: line != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: line != ""), "\n")
 
 
 def words(text: Column) -> Column:

@@ -60,7 +60,7 @@ def numbering_report(chunks: DataFrame) -> DataFrame:
     base = chunks.withColumn("number", F.when(number != "", number.cast("int")))
     labels = base.groupBy("document_id", "articulo_numero").agg(F.first("number").alias("number"), F.count(F.lit(1)).alias("times"))
     by = labels.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("labels"), F.count_if("times > 1").alias("duplicates"), F.collect_set("number").alias("numbers"),
+        F.count(F.lit(1)).alias("labels"), F.count_if(F.expr("times > 1")).alias("duplicates"), F.collect_set("number").alias("numbers"),
         F.min("number").alias("first_number"), F.max("number").alias("last_number"),
     )
     gaps = F.size(F.array_except(F.sequence("first_number", "last_number"), F.col("numbers")))

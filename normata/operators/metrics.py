@@ -153,7 +153,7 @@ def recent_chat_errors(messages: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def system_error_rate(messages: DataFrame) -> DataFrame:
-    return assistant(messages).agg(F.count_if("found_answer IS NULL").alias("errors"), F.count(F.lit(1)).alias("total"))
+    return assistant(messages).agg(F.count_if(F.expr("found_answer IS NULL")).alias("errors"), F.count(F.lit(1)).alias("total"))
 
 
 # Guardrails and agent

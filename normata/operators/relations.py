@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from normata.functions.text import collapse, entity_key, matches_name
 
@@ -74,7 +75,7 @@ def extract_markers(chunks: DataFrame) -> DataFrame:
     return each.select("document_id", "chunk_id", "articulo_numero", F.col("f.method").alias("extraction_method"), F.explode("f.texts").alias("source_text"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of matching blocks, as difflib defines it."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
@@ -115,7 +116,7 @@ def extraction_counters(relations: DataFrame) -> DataFrame:
     resolved = F.col("to_document_id").isNotNull()
     return relations.agg(
         F.count_if("is_self").alias("auto_mod"), F.count_if(~F.col("is_self") & resolved).alias("cross_resolved"),
-        F.count_if(~F.col("is_self") & ~resolved).alias("cross_unresolved"), F.count_if("fecha IS NULL").alias("skipped_no_date"),
+        F.count_if(~F.col("is_self") & ~resolved).alias("cross_unresolved"), F.count_if(F.expr("fecha IS NULL")).alias("skipped_no_date"),
     )
 
 

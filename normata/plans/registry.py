@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from normata.plans import corpus, logs, retrieval, streams, texts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _family in (logs, texts, retrieval, corpus, streams):
+    QUERIES |= _family.QUERIES
+    ORACLE_SQL |= _family.ORACLE_SQL
 FLAGSHIP = "hybrid_search_rrf"
