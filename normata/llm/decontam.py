@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELL, ITEMS = 32, 1000
-RANK, OVERSAMPLE = 160, 16
-COSINE, COPIED, ANSWERED = 0.45, 0.7, 0.6
+RANK, OVERSAMPLE = 96, 16
+COSINE, COPIED, ANSWERED = 0.6, 0.7, 0.6
 SHORT = 8
+#: Telling words that a task gathers before it adds them to its sketch.
+BUFFER = 20_000
 STOP_SHARE, LEAST_TERMS, LONG_TERM_CHUNK = 0.05, 6, 256
 PUNCTUATION = b".,;:!?\"'()[]"
 MATCHES = "doc_id long, item_id long, start_word long, cosine double, lcs double, answer double"
@@ -111,16 +113,20 @@ def sketch_corpus(documents: DataFrame, items: Items, width: int) -> Sketch:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = Sketch(terms, width)
+        numbers, cells, passages, held = [], [], 0, 0
         for batch in batches:
-            numbers, cells, passages = [], [], 0
             for text in batch["text"]:
                 found = items.numbers(text)
                 at = np.flatnonzero((found >= 0) & (found < terms))
                 numbers.append(found[at])
                 cells.append(at // CELL + passages)
                 passages += -(-len(found) // CELL)
-            if numbers:
-                sketch.add(np.concatenate(numbers), np.concatenate(cells), passages)
+                held += len(at)
+                if held > BUFFER:
+                    sketch.add(np.concatenate(numbers), np.concatenate(cells), passages)
+                    numbers, cells, passages, held = [], [], 0, 0
+        if numbers:
+            sketch.add(np.concatenate(numbers), np.concatenate(cells), passages)
         for i, at in enumerate(range(0, terms, LONG_TERM_CHUNK)):
             df, y = sketch.df[at : at + LONG_TERM_CHUNK], sketch.y[at : at + LONG_TERM_CHUNK]
             if sketch.n:

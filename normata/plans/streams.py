@@ -1,2 +1,50 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries for the keyed checks, in their batch form over ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from normata.streaming import limits as L
+
+
+def events(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+def stamp(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def limited(spark, d):
+    out = L.rate_limited_batch(events(spark, d), "user_id", "ts", "event_id", rate=3, span=86400.0)
+    return out.select("event_id", "accepted")
+
+
+QUERIES = {
+    "drop_repeated_updates": lambda s, d: L.drop_repeats_batch(events(s, d), "user_id", "ts", "event_id", 24).select("event_id"),
+    "rate_limiter": limited,
+    "error_surges": lambda s, d: L.error_surges(events(s, d).where("event_type = 'error'")).select(stamp("window_start"), "errors"),
+    "alert_cooldown": lambda s, d: L.cooled_down(events(s, d).where("event_type = 'error'"), "event_type", "ts").select("event_type", stamp("ts")),
+    "activity_sessions": lambda s, d: L.sessions(events(s, d)).select("user_id", stamp("began"), "events"),
+    "hourly_events": lambda s, d: L.tumbling_counts(events(s, d)).select(stamp("hour"), "event_type", "events"),
+}
+
+
+def fold_sql(key: str, span: str, where: str = "true", out: str = "event_id") -> str:
+    """First event of each key, and each one ``span`` or more after the last kept, by recursion."""
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS o FROM events WHERE {where}),
+      k AS (SELECT {key} AS key, o, ts FROM e WHERE o = 1
+        UNION ALL SELECT key, o, ts FROM (SELECT k.key, e.o, e.ts, row_number() OVER (PARTITION BY k.key ORDER BY e.o) AS n FROM k JOIN e ON e.{key} = k.key AND e.o > k.o AND e.ts >= k.ts + {span}) WHERE n = 1)
+      SELECT {out} FROM e JOIN k ON k.key = e.{key} AND k.o = e.o"""
+
+
+FMT = "'%Y-%m-%d %H:%M:%S'"
+ORACLE_SQL = {
+    "drop_repeated_updates": fold_sql("user_id", "INTERVAL 24 HOURS"),
+    "error_surges": f"""SELECT strftime(w, {FMT}) AS window_start, count(*) AS errors FROM (SELECT unnest([time_bucket(INTERVAL 5 MINUTES, ts), time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL 5 MINUTES]) AS w
+      FROM events WHERE event_type = 'error') GROUP BY 1 HAVING count(*) >= 3""",
+    "alert_cooldown": fold_sql("event_type", "INTERVAL 30 MINUTES", "event_type = 'error'", f"event_type, strftime(e.ts, {FMT}) AS ts"),
+    "activity_sessions": f"""SELECT user_id, strftime(min(ts), {FMT}) AS began, count(*) AS events FROM (SELECT *, sum(CASE WHEN ts - p < INTERVAL 60 MINUTES THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+      FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s""",
+    "hourly_events": f"SELECT strftime(date_trunc('hour', ts), {FMT}) AS hour, event_type, count(*) AS events FROM events GROUP BY 1, 2",
+}
