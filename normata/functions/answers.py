@@ -112,8 +112,9 @@ def trim_to_sentence(text: Column) -> Column:
 
 def strip_disclaimer(text: Column, disclaimer: str) -> Column:
     """Text without a closing disclaimer."""
-    bare = F.rtrim(text)
-    return F.when(bare.endswith(disclaimer), F.rtrim(F.left(bare, F.length(bare) - len(disclaimer)))).otherwise(text)
+    closed = lambda c: F.regexp_replace(c, r"\s+$", "")
+    bare = closed(text)
+    return F.when(bare.endswith(disclaimer), closed(F.left(bare, F.length(bare) - len(disclaimer)))).otherwise(text)
 
 
 def error_kind(status: Column, body: Column) -> Column:

@@ -15,8 +15,14 @@ CHUNKS_SCHEMA = (
 DAYS, TOP = 30, 10
 BUCKETS = ("0.5-0.6", "0.6-0.7", "0.7-0.8", "0.8-0.9", "0.9-1.0")
 
-count = F.count(F.lit(1)).alias("count")
-day = F.to_date("created_at").cast("string").alias("day")
+
+
+def count() -> Column:
+    return F.count(F.lit(1)).alias("count")
+
+
+def day() -> Column:
+    return F.to_date("created_at").cast("string").alias("day")
 
 
 def assistant(messages: DataFrame) -> DataFrame:
@@ -39,7 +45,7 @@ def citations(messages: DataFrame) -> DataFrame:
 
 
 def per_day(rows: DataFrame, limit: int = DAYS) -> DataFrame:
-    return rows.groupBy(day).agg(count).orderBy(F.desc("day")).limit(limit)
+    return rows.groupBy(day()).agg(count()).orderBy(F.desc("day")).limit(limit)
 
 
 def top(rows: DataFrame, *keys: str, name: str = "count", limit: int = TOP) -> DataFrame:
@@ -56,7 +62,7 @@ def unique_users_by_platform(conversations: DataFrame) -> DataFrame:
 
 
 def conversations_by_platform(conversations: DataFrame) -> DataFrame:
-    return conversations.groupBy("platform").agg(count)
+    return conversations.groupBy("platform").agg(count())
 
 
 def top_laws(messages: DataFrame) -> DataFrame:
@@ -85,7 +91,7 @@ def feedback_ratio(feedback: DataFrame, messages: DataFrame | None = None, conve
     if platform is not None:
         ids = on_platform(messages, conversations, platform).select(F.col("id").alias("message_id"))
         rows = feedback.join(ids, "message_id", "left_semi")
-    return rows.groupBy("rating").agg(count)
+    return rows.groupBy("rating").agg(count())
 
 
 def top_cited_articles(messages: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def similarity_bucket(similarity: Column) -> Column:
 
 def similarity_histogram(messages: DataFrame) -> DataFrame:
     """Passed citations by similarity; below 0.5 falls in the first bucket; empty buckets count 0."""
-    found = citations(messages).where("passed_threshold").groupBy(similarity_bucket(F.col("similarity")).alias("bucket")).agg(count)
+    found = citations(messages).where("passed_threshold").groupBy(similarity_bucket(F.col("similarity")).alias("bucket")).agg(count())
     every = messages.sparkSession.createDataFrame([(b,) for b in BUCKETS], "bucket string")
     return every.join(found, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
@@ -126,7 +132,7 @@ def latency(messages: DataFrame, *columns: str) -> DataFrame:
 
 
 def usage_by_model(messages: DataFrame) -> DataFrame:
-    return assistant(messages).where("llm_model IS NOT NULL").groupBy("llm_model").agg(count)
+    return assistant(messages).where("llm_model IS NOT NULL").groupBy("llm_model").agg(count())
 
 
 def primary_vs_fallback(messages: DataFrame, primary: str) -> DataFrame:
@@ -140,7 +146,7 @@ TOKENS = ("prompt_tokens", "completion_tokens", "aux_prompt_tokens", "aux_comple
 def tokens_per_day(messages: DataFrame) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in TOKENS]
     total = F.sum(sum((F.coalesce(F.col(c), F.lit(0)) for c in TOKENS[1:]), F.coalesce(F.col(TOKENS[0]), F.lit(0)))).alias("total_tokens")
-    return assistant(messages).groupBy(day).agg(*sums, total).orderBy(F.desc("day")).limit(DAYS)
+    return assistant(messages).groupBy(day()).agg(*sums, total).orderBy(F.desc("day")).limit(DAYS)
 
 
 def recent_ingestion_errors(logs: DataFrame, limit: int = 20) -> DataFrame:
@@ -170,7 +176,7 @@ def traced(messages: DataFrame) -> DataFrame:
 
 
 def route_distribution(messages: DataFrame) -> DataFrame:
-    return traced(messages).groupBy(F.get_json_object("agent_trace", "$.route").alias("route")).agg(count)
+    return traced(messages).groupBy(F.get_json_object("agent_trace", "$.route").alias("route")).agg(count())
 
 
 def agent_effort(messages: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ def read_binaries(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFr
 
 def catalog_by_link(pages: DataFrame) -> DataFrame:
     """(page_id, nombre, source_url) of table rows whose link opens a PDF and whose second cell names the law."""
-    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row"))
-    url = F.regexp_extract("row", r"(?i)(?:onclick|href)\s*=\s*[\"'][^\"']*?((?:https?:)?//[^\"'\s)]+?\.pdf(?:\?[^\"'\s)]*)?)", 1)
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<tr.*?</tr>"), 0)).alias("row"))
+    url = F.regexp_extract("row", r"(?i)(?:onclick|href)\s*=\s*[\"'].*?((?:https?:)?//[^\"'\s)]+?\.pdf(?:\?[^\"'\s)]*)?)", 1)
     cells = F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)
     text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", " "), r"\s+", " "))
     found = rows.select("page_id", url.alias("source_url"), cells.alias("cells")).where((F.col("source_url") != "") & (F.size("cells") >= 2))
