@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 CELL, ITEMS = 32, 1000
 RANK, OVERSAMPLE = 96, 16
-COSINE, COPIED, ANSWERED = 0.6, 0.7, 0.6
+COSINE, COPIED, ANSWERED = 0.5, 0.7, 0.6
 SHORT = 8
 #: Telling words that a task gathers before it adds them to its sketch.
 BUFFER = 20_000
