@@ -114,6 +114,7 @@ QUERIES = {
     "ambiguous_laws": ambiguous,
     "catalog_updates": lambda s, d: K.detect_updates(laws(s).where("is_active"), catalog(s)).select("id", "status"),
     "catalog_new_laws": lambda s, d: K.new_laws(laws(s).where("is_active"), catalog(s)),
+    "catalog_newly_listed": lambda s, d: K.newly_listed(documents(s, d).select(F.col("source").alias("nombre")), documents(s, d).where("doc_id % 20 < 17").select(F.col("source").alias("nombre"))),
     "catalog_alert": lambda s, d: documents(s, d).agg(F.collect_set("source").alias("names")).select(K.names_preview(F.col("names")).alias("preview")),
     "numbering_report": lambda s, d: K.numbering_report(chunk_table(s, d).where("articulo_numero <> '13'")),
     "duplicate_ratio": duplicates,
@@ -148,6 +149,7 @@ ORACLE_SQL = {
     "ambiguous_laws": f"WITH x AS (SELECT DISTINCT nombre FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source ILIKE '%src1%' AND doc_id % 50 = 7) SELECT nombre FROM x WHERE (SELECT count(*) FROM x) > 1",
     "catalog_updates": "SELECT * FROM (VALUES (1, 'unchanged'), (2, 'changed'), (3, 'ambiguo'), (5, 'unknown_source'), (6, 'sin_match')) v(id, status)",
     "catalog_new_laws": "SELECT 'LEY NUEVA' AS nombre",
+    "catalog_newly_listed": "SELECT DISTINCT source AS nombre FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 < 17)",
     "catalog_alert": "WITH s AS (SELECT DISTINCT source FROM documents), o AS (SELECT source, row_number() OVER (ORDER BY source) AS n FROM s) SELECT string_agg(source, ', ' ORDER BY source) FILTER (WHERE n <= 8) || CASE WHEN count(*) > 8 THEN ' y ' || (count(*) - 8) || ' mas' ELSE '' END AS preview FROM o",
     "numbering_report": """WITH n AS (SELECT CAST(substring(source, 4) AS INT) AS document_id, doc_id % 50 AS a, count(*) AS times FROM documents WHERE doc_id % 50 <> 13 GROUP BY 1, 2)
       SELECT document_id, count(*) AS labels, count(*) FILTER (WHERE times > 1) AS duplicates, CAST(min(a) AS INT) AS first_number, CAST(max(a) AS INT) AS last_number,

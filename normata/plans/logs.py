@@ -66,6 +66,15 @@ def coverage(spark, d):
     return E.coverage(groups, found)
 
 
+def positions(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    rows = lines.select(
+        F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("Ley "), "l_returnflag").alias("document_nombre"), F.col("l_linestatus").alias("articulo_numero"),
+        F.when(F.col("l_orderkey") % 4 > 0, "ley r").alias("ley_contains"), F.when(F.col("l_orderkey") % 3 > 0, "f").alias("articulo_esperado"),
+    )
+    return E.expected_position(rows)
+
+
 def gates(spark, d):
     turns = messages(spark, d).where("role = 'assistant'").select(
         F.col("id").alias("turn_id"), F.when(F.col("id") % 3 == 0, "articulo").otherwise("busqueda").alias("route"), (F.col("id") % 5 > 0).alias("model_grounded"),
@@ -128,6 +137,7 @@ QUERIES = {
     "golden_latest_run": latest,
     "golden_recent_runs": lambda s, d: E.recent_runs(runs(s, d)).select("id", "duration_ms"),
     "research_coverage": coverage,
+    "golden_positions": positions,
     "grounding_gates": gates,
 }
 
@@ -197,6 +207,8 @@ ORACLE_SQL = {
       r AS (SELECT l_orderkey AS case_id, 'x ' || upper(p_brand) AS document_nombre FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25),
       h AS (SELECT g.case_id, g.group_no, bool_or(coalesce(contains(lower(document_nombre), lower(name)), false)) AS hit FROM g LEFT JOIN r ON g.case_id = r.case_id GROUP BY 1, 2)
       SELECT case_id, round(avg(CAST(hit AS INT)), 6) AS coverage FROM h GROUP BY 1""",
+    "golden_positions": """SELECT l_orderkey AS case_id, min(l_linenumber) FILTER (WHERE (l_orderkey % 4 = 0 OR l_returnflag = 'R') AND (l_orderkey % 3 = 0 OR l_linestatus = 'F')) AS found_at, count(*) AS retrieved
+      FROM lineitem GROUP BY 1""",
     "grounding_gates": MSG + CITED + """, t AS (SELECT id AS turn_id, id % 3 = 0 AS exact, id % 5 > 0 AS ok, id % 7 = 0 AS filler, id % 2 AS attempts FROM m WHERE role = 'assistant'),
       p AS (SELECT t.*, CASE WHEN exact THEN coalesce(n, 0) > 0 ELSE coalesce(passed, false) END AS "primary" FROM t LEFT JOIN (SELECT id, bool_or(passed) AS passed, count(*) AS n FROM e GROUP BY 1) x ON x.id = t.turn_id)
       SELECT turn_id, "primary", "primary" AND ok AND NOT filler AS grounded, NOT exact AND "primary" AND NOT ("primary" AND ok AND NOT filler) AND attempts < 1 AS retry FROM p""",

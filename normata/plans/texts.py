@@ -77,6 +77,7 @@ QUERIES = {
     "html_to_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", X.html_text(F.col("html")).alias("text")),
     "embedding_pieces": piece_rows,
     "embedding_header": over_documents(lambda: C.embedding_text(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.col("doc_id").cast("string"), F.left("text", F.lit(50))).alias("embedding_text")),
+    "prompt_context": over_documents(lambda: N.prompt_context(F.col("doc_id"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.left("text", F.lit(20)), F.col("doc_id") % 5 == 0).alias("context")),
     "line_range": over_documents(lambda: C.line_range(F.col("text"), 2, 3).alias("lines")),
     "small_talk": literal(UTTERANCES, "id long, said string", "id", lambda: X.small_talk(F.col("said")).alias("kind")),
     "injection_detector": literal(UTTERANCES, "id long, said string", "id", lambda: X.is_injection(F.col("said")).alias("injection")),
@@ -107,6 +108,7 @@ ORACLE_SQL = {
       FROM (SELECT doc_id, string_split_regex(lower(text), {WS}) AS w FROM documents)""",
     "html_to_text": f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({HTML}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages""",
     "embedding_header": "SELECT doc_id, source || ', Capitulo ' || lang || ', Articulo ' || doc_id || ': ' || left(text, 50) AS embedding_text FROM documents",
+    "prompt_context": """SELECT doc_id, '[' || doc_id || '] ' || source || CASE WHEN doc_id % 2 = 0 THEN ', Articulo ' || lang ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' [DEROGADO]' ELSE '' END || ':' || chr(10) || left(text, 20) AS context FROM documents""",
     "line_range": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents",
     "small_talk": "SELECT id, CAST(kind AS VARCHAR) AS kind FROM (VALUES (1,'greeting'),(2,'greeting'),(3,NULL),(4,'thanks'),(5,'farewell'),(6,'farewell'),(7,'greeting'),(8,NULL),(9,'greeting'),(10,NULL),(11,NULL),(12,NULL),(13,NULL),(14,NULL),(15,NULL),(16,NULL),(17,NULL),(18,NULL)) v(id, kind)",
     "injection_detector": f"SELECT id, regexp_matches(lower(said), '{'|'.join(f'({p})' for p in X.INJECTION)}') AS injection FROM {values(UTTERANCES, 'id, said')}",
