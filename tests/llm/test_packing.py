@@ -15,11 +15,13 @@ def test_ids_equal_the_tokenizer():
     path = P.vocabulary_path()
     whole, cached = Tokenizer.from_file(path), P.WordEncoder(path)
     texts = ["Hello  World's <|endoftext|>x", "", "a b\x1cc d", "ÉTÉ é ΣΑΣ ΟΔΟΣ", "x" * 5000, "İ ß 1234 *** don't"]
-    texts += ["The. THE, the!! 5% é. e\u0301. €. x's. <|ENDOFTEXT|> <|endoftext|>.", "a\u0301b \u0301c d\u200d.", "…. ½? 漢字。 ,. ."]
+    texts += ["The. THE, the!! 5% é. e\u0301. €. x's. <|ENDOFTEXT|> <|endoftext|>.", "a\u0301b \u0301c d\u200d.", "…. ½? 漢字。 ,. .", "uno İstanbul dos ÉTÉ ǅ ﬁn"]
     for text in texts:
         want = whole.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(cached.text(text), "<u4").tolist() == want, text
     assert cached.text(None) == b""
+    together = list(P.WordEncoder(path).texts(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in together] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_every_id_lies_in_exactly_one_piece():
