@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op9_jaccard_join": jaccard.OP9_SQL,
     "op3_sentence_spans": spans.OP3_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
 }
