@@ -145,6 +145,7 @@ ORACLE_SQL = {
     "bulk_history": """SELECT * FROM (VALUES ('Codigo Penal del Estado', '5', 'El articulo 5 de Codigo Penal del Estado fue reformado el 3 de mayo de 2010, mediante una reforma registrada dentro de la misma ley '
       || '(el marcador no nombra a otra ley distinta). Marcador original del Periodico Oficial: "(REFORMADO, P.O. 3 DE MAYO DE 2010)".'), ('Ley de Aguas', '99', '')) v(nombre, articulo, history)""",
     "relation_explorer": "SELECT * FROM (VALUES (20, 'Ley de Aguas'), (21, 'Ley de Aguas'), (22, 'LEY FORESTAL')) v(from_chunk_id, other)",
+    "relation_chunks": "SELECT * FROM (VALUES ('Codigo Penal del Estado', 2, 550), ('Ley de Aguas Residuales', 2, 581), ('Ley de Aguas', 3, 754)) v(document_nombre, n, chars)",
     "article_lookup": f"SELECT min(doc_id) AS chunk_id, '7' AS articulo_numero FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source = 'src12' AND doc_id % 50 = 7 HAVING count(*) > 0",
     "ambiguous_laws": f"WITH x AS (SELECT DISTINCT nombre FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source ILIKE '%src1%' AND doc_id % 50 = 7) SELECT nombre FROM x WHERE (SELECT count(*) FROM x) > 1",
     "catalog_updates": "SELECT * FROM (VALUES (1, 'unchanged'), (2, 'changed'), (3, 'ambiguo'), (5, 'unknown_source'), (6, 'sin_match')) v(id, status)",

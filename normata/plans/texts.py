@@ -54,6 +54,12 @@ LAW = (
     "GACETA\n12\nTITULO PRIMERO\nCAPITULO I DISPOSICIONES GENERALES\nArticulo 1.- La presente ley\nrige en el estado.\n3/4/2020 10:15 a.m. 3\nArticulo 2.- Segun lo dispuesto por el\narticulo 1. de esta ley, se\nARTICULO 9.- de la Constitucion, procede.\n"
     "Articulo 3 BIS.- Uno. \nLEY UNO\nSECCION SEGUNDA DE LO CIVIL\nArticulo 4-A.- Dos\nArticulo 5.- Tres.\nTITULO SEGUNDO.\nARTICULO 6\nCuatro: (REFORMADO, P.O. 3 DE MAYO DE 2010)\nT R A N S I T O R I O S\nArticulo 1.- Fuera."
 )
+CHUNKS = [
+    (1, 1, "1", "PRIMERO", "I", None, "Articulo 1.- La presente ley\nrige en el estado."),
+    (1, 2, "2", "PRIMERO", "I", None, "Articulo 2.- Segun lo dispuesto por el\narticulo 1. de esta ley, se\nARTICULO 9.- de la Constitucion, procede."),
+    (1, 3, "3 BIS", "PRIMERO", "I", None, "Articulo 3 BIS.- Uno."), (1, 4, "4-A", "PRIMERO", "I", "SEGUNDA", "Articulo 4-A.- Dos"), (1, 5, "5", "PRIMERO", "I", "SEGUNDA", "Articulo 5.- Tres."),
+    (3, 1, "1", None, None, None, "Articulo 1.- cita"), (3, 2, "1", None, "UNICO", None, "Articulo 1.- Ley."), (3, 3, "2", None, "UNICO", None, "Articulo 2.- Fin."),
+]
 LAWS = [(1, "Ley Uno", LAW), (2, "Ley Dos", "sin articulos"), (3, "Ley Tres", "indice\nArticulo 1.- cita\nCAPITULO UNICO\nArticulo 1.- Ley.\nArticulo 2.- Fin.")]
 
 
@@ -124,5 +130,6 @@ ORACLE_SQL = {
       (4,true,'No existen artículos aplicables.' || chr(10) || chr(10) || 'El plazo es de diez días.'),(5,false,'Todo claro.'),(6,true,'No hay datos.')) v(id, filler, clean)""",
     "decision_parser": """SELECT * FROM (VALUES (1,'articulo_especifico','Codigo Penal','15 Bis'),(2,'busqueda_general',NULL,NULL),(3,'busqueda_por_ley','Codigo Civil',NULL),(4,NULL,NULL,NULL),(5,NULL,NULL,NULL),
       (6,'articulo_especifico','X','278-A'),(7,'busqueda_general','X',NULL)) v(id, accion, ley, articulo)""",
+    "law_chunks": f"SELECT * FROM {values(CHUNKS, 'document_id, position, articulo_numero, titulo, capitulo, seccion, content')}",
     "call_errors": "SELECT * FROM (VALUES (1,'gone'),(2,'auth'),(3,'quota'),(4,'quota'),(5,'transient'),(6,'transient'),(7,'gone'),(8,'auth')) v(id, kind)",
 }
