@@ -8,8 +8,9 @@
    TF-IDF passages (randomised SVD in a single pass). The benchmark's own passages take part, weighted
    so that their directions are kept.
 2. A second pass maps windows of two passages into that space and takes every item whose cosine is at
-   least ``COSINE`` as a candidate. Around it, the longest common subsequence of words with the item and
-   with its answer (the item's last words) decide: a paraphrase keeps the order of most words.
+   least ``COSINE`` as a candidate, if the window also holds ``SHARED`` of its telling terms. Around it,
+   the longest common subsequence of words with the item and with its answer (the item's last
+   words) decide: a paraphrase keeps the order of most words.
 
 Terms that no item holds add nothing to a cosine with an item and are left out; so are those in very
 many items. The benchmark is broadcast in blocks of ``ITEMS`` items, each block with a space of its
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 CELL, ITEMS = 32, 1000
 RANK, OVERSAMPLE = 96, 16
-COSINE, COPIED, ANSWERED = 0.5, 0.7, 0.6
+COSINE, SHARED, COPIED, ANSWERED = 0.3, 0.4, 0.65, 0.6
 SHORT = 8
 #: Telling words that a task gathers before it adds them to its sketch.
 BUFFER = 20_000
@@ -174,15 +175,15 @@ def latent_terms(sketch: Sketch, items: Items, rank: int) -> np.ndarray:
     return (left[:, :rank] * idf[:, None]).astype(np.float32)
 
 
-def passages_of(numbers: np.ndarray, latent: np.ndarray) -> np.ndarray:
-    """Latent sums of the windows of two neighbouring passages; at least one window."""
+def passages_of(numbers: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of the terms' rows of ``table`` over windows of two neighbouring passages; at least one window."""
     cells = -(-len(numbers) // CELL)
-    sums = np.zeros((cells + 1, latent.shape[1]), np.float32)
-    at = np.flatnonzero((numbers >= 0) & (numbers < len(latent)))
+    sums = np.zeros((cells + 1, table.shape[1]), table.dtype)
+    at = np.flatnonzero((numbers >= 0) & (numbers < len(table)))
     if len(at):
         cell = at // CELL
         begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sums[cell[begin]] = np.add.reduceat(latent[numbers[at]], begin, axis=0)
+        sums[cell[begin]] = np.add.reduceat(table[numbers[at]], begin, axis=0, dtype=table.dtype)
     return sums[: max(1, cells - 1)] + sums[1 : max(2, cells)]
 
 
@@ -213,6 +214,12 @@ class Matcher:
             vectors.append(own)
             self.owner += [i] * len(own)
             self.offset += [CELL * k for k in range(len(own))]
+        # Which terms each part of an item holds; a window holds 64 of them at most.
+        self.has = np.zeros((items.terms, len(self.owner)), np.uint8)
+        for q, (i, at) in enumerate(zip(self.owner, self.offset, strict=True)):
+            part = items.words[i][at : at + 2 * CELL]
+            self.has[part[part < items.terms], q] = 1
+        self.need = np.ceil(SHARED * self.has.sum(axis=0, dtype=np.int64))
         self.queries = unit(np.concatenate(vectors)) if vectors else np.zeros((0, latent.shape[1]), np.float32)
         self.masks = [self.positions(w) for w in items.words]
         self.tails = [w[-max(3, len(w) // 4) :] for w in items.words]
@@ -248,13 +255,15 @@ class Matcher:
         for base in range(0, len(texts), 64):
             numbers = [self.items.numbers(t) for t in texts[base : base + 64]]
             windows = [passages_of(x, self.latent) for x in numbers]
+            shared = np.concatenate([passages_of(x, self.has) for x in numbers])
             row = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
             place = np.concatenate([np.arange(len(w)) for w in windows])
             stacked = unit(np.concatenate(windows))
             best: dict[tuple[int, int], tuple] = {}
             for at in range(0, len(stacked), 4096):
                 cosine = stacked[at : at + 4096] @ self.queries.T
-                for w, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                near = (cosine >= COSINE) & (shared[at : at + 4096] >= self.need)
+                for w, q in zip(*np.nonzero(near), strict=True):
                     r, item = int(row[at + w]), self.owner[q]
                     held = best.get((r, item))
                     if held and held[2] >= 1:

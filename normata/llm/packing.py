@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,12 @@ class WordEncoder(dict):
         return next(self.texts([text]))
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordEncoder:
+    """The worker's encoder: its words stay known from one task to the next."""
+    return WordEncoder(path)
+
+
 class SumOfSquares:
     """Windows of ``size`` tokens, filled online; pieces are (document, start, ids as bytes)."""
 
@@ -183,7 +190,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, size: int = WINDOW, en
     end = np.array([end_id], "<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = encoder_for(vocabulary)
         stream = (
             (doc_id, ids + end)
             for batch in batches

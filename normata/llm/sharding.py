@@ -87,15 +87,16 @@ def shard_by_curve(rows: DataFrame, tie: list[str], shards: int = SHARDS) -> Dat
     before = dict(zip(parts, accumulate([0, *(sizes[p] for p in parts)]), strict=False))
     if not total:
         return kept.drop("part", "salt", "curve").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    offsets = F.create_map(*[F.lit(v) for p in parts for v in (p, before[p])])
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("curve", "salt")) - 1 + offsets[F.col("part")]
+    offsets = rows.sparkSession.createDataFrame([(p, before[p]) for p in parts], "part int, before long")  # a row per range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("curve", "salt")) - 1 + F.col("before")
     shard = F.expr(f"CAST(((position + 1) * {shards} - 1) div {total} AS INT)")
     first = F.expr(f"(shard * {total}L) div {shards}")
     return (
-        kept.withColumn("position", rank.cast("long"))
+        kept.join(F.broadcast(offsets), "part")
+        .withColumn("position", rank.cast("long"))
         .withColumn("shard", shard)
         .withColumn("slot", F.col("position") - first)
-        .drop("part", "salt", "curve", "position")
+        .drop("part", "salt", "curve", "position", "before")
     )
 
 

@@ -88,7 +88,7 @@ def resolve_names(names: DataFrame, documents: DataFrame, accept: float = ACCEPT
     """
     asked = names.select("name").distinct().withColumn("a", entity_key(F.col("name")))
     known = documents.select(F.col("id").alias("document_id"), entity_key(F.col("nombre")).alias("b"))
-    pairs = asked.join(F.broadcast(known))
+    pairs = asked.join(known)
     score = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), 0.95).otherwise(sequence_ratio("a", "b"))
     best = Window.partitionBy("name").orderBy(F.desc("score"), "document_id")
     ranked = pairs.withColumn("score", score).withColumn("at", F.row_number().over(best))
@@ -103,7 +103,7 @@ def build_relations(chunks: DataFrame, documents: DataFrame, strict: bool = Fals
     )
     resolved = resolve_names(rows.where("to_law_name_raw IS NOT NULL").select(F.col("to_law_name_raw").alias("name")), documents)
     own = documents.select(F.col("id").alias("document_id"), F.col("nombre").alias("own_name"))
-    joined = rows.join(F.broadcast(own), "document_id").join(resolved.select(F.col("name").alias("to_law_name_raw"), F.col("document_id").alias("found")), "to_law_name_raw", "left")
+    joined = rows.join(own, "document_id").join(resolved.select(F.col("name").alias("to_law_name_raw"), F.col("document_id").alias("found")), "to_law_name_raw", "left")
     itself = F.col("to_law_name_raw").isNull()
     return joined.select(
         F.col("document_id").alias("from_document_id"), F.col("chunk_id").alias("from_chunk_id"), F.col("articulo_numero").alias("from_articulo"), "relation_type",
@@ -146,7 +146,7 @@ def sentence() -> Column:
 
 def named(relations: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges with the name of the law they start from, in force or not."""
-    return relations.join(F.broadcast(documents.select(F.col("id").alias("from_document_id"), F.col("nombre").alias("from_nombre"))), "from_document_id")
+    return relations.join(documents.select(F.col("id").alias("from_document_id"), F.col("nombre").alias("from_nombre")), "from_document_id")
 
 
 def laws_named(documents: DataFrame, name: str) -> DataFrame:
@@ -187,7 +187,7 @@ def bulk_history(relations: DataFrame, documents: DataFrame, pairs: DataFrame, l
 def find_article(chunks: DataFrame, documents: DataFrame, law: str, article: str) -> DataFrame:
     """The article's first piece, if the name means one law only; no row if it stays ambiguous."""
     ids = laws_named(documents.where("is_active"), law)
-    met = chunks.join(F.broadcast(ids.select(F.col("id").alias("document_id"), "nombre")), "document_id").where(F.upper("articulo_numero") == article.upper())
+    met = chunks.join(ids.select(F.col("id").alias("document_id"), "nombre"), "document_id").where(F.upper("articulo_numero") == article.upper())
     one = met.agg(F.countDistinct("document_id").alias("laws"))
     return met.join(F.broadcast(one)).where("laws = 1").orderBy("chunk_id").limit(1).drop("laws")
 
@@ -195,7 +195,7 @@ def find_article(chunks: DataFrame, documents: DataFrame, law: str, article: str
 def ambiguous_laws(chunks: DataFrame, documents: DataFrame, law: str, article: str) -> DataFrame:
     """Names of the laws among which a lookup cannot decide, in order; none if it can."""
     ids = laws_named(documents.where("is_active"), law)
-    met = chunks.join(F.broadcast(ids.select(F.col("id").alias("document_id"), "nombre")), "document_id").where(F.upper("articulo_numero") == article.upper())
+    met = chunks.join(ids.select(F.col("id").alias("document_id"), "nombre"), "document_id").where(F.upper("articulo_numero") == article.upper())
     names = met.select("nombre").distinct()
     n = names.agg(F.count(F.lit(1)).alias("n"))
     return names.join(F.broadcast(n)).where("n > 1").select("nombre").orderBy("nombre")

@@ -124,7 +124,7 @@ QUERIES = {
     "soft_delete": deactivated,
     "load_check": loaded,
     "law_list": lambda s, d: law_table(s, d).where("is_active").select("id", "nombre").orderBy("nombre"),
-    "active_corpus": lambda s, d: A.build(s, d, A.CHUNKS, "documents").join(F.broadcast(law_table(s, d).where("is_active").select("nombre")), "nombre").select("chunk_id", "nombre"),
+    "active_corpus": lambda s, d: A.build(s, d, A.CHUNKS, "documents").join(law_table(s, d).where("is_active").select("nombre"), "nombre").select("chunk_id", "nombre"),
 }
 
 LAW_SQL = f"({A.oracle(A.LAWS, 'documents')})"
