@@ -5,6 +5,11 @@ Every run of several consecutive sentences is hashed (128 bits); a run counts if
 globally by hash. A sentence goes if a run that covers it has occurred before: in a document with a
 smaller doc_id, or earlier in its own.
 
+With ``short``, passages of short sentences count too: from each sentence, and back from each, the
+shortest run of at least three sentences with words that reaches the word minimum of the longest of
+``RUNS``, over as many sentences as that takes (one a word at most, so no run is longer than the
+minimum). The SQL of op3 has the fixed runs alone, so the query keeps to those; the pipeline takes both.
+
 Only runs met in several documents, with the first of those, leave the aggregation, which combines
 before its shuffle; the join back to a hot run's documents is one that Spark can split.
 
@@ -40,8 +45,29 @@ def sentences(text: str | None) -> list[str]:
     return SENTENCE.findall(text or "")
 
 
-def run_hashes(pieces: list[str], runs: dict[int, int] = RUNS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each run length: starts of the runs that count, and their hashes (n x 2, signed 64 bits)."""
+def short_runs(lens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of at least three sentences with words that just reach ``least`` words, and are no run of three.
+
+    Sentences with words, by place; each run's first and its end (exclusive) among those.
+    """
+    at = np.flatnonzero(lens)
+    sums = np.concatenate([[0], np.cumsum(lens[at])])
+    m = len(at)
+    begin = np.arange(m)
+    end = np.maximum(np.searchsorted(sums, sums[:-1] + least), begin + 3)
+    last = np.arange(1, m + 1)
+    back = np.minimum(np.searchsorted(sums, sums[1:] - least, side="right") - 1, last - 3)
+    pairs = np.concatenate([np.stack([begin, end], 1)[end <= m], np.stack([back, last], 1)[back >= 0]])
+    pairs = pairs[at[pairs[:, 1] - 1] - at[pairs[:, 0]] >= 3]
+    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+    return at, pairs[:, 0], pairs[:, 1]
+
+
+def run_hashes(pieces: list[str], runs: dict[int, int] = RUNS, short: bool = False) -> list[tuple[int | np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run length: starts of the runs that count, and their hashes (n x 2, signed 64 bits).
+
+    ``short`` adds the runs of short sentences, with a length each.
+    """
     if not pieces:
         return []
     words = [p.lower().split() for p in pieces]
@@ -59,6 +85,16 @@ def run_hashes(pieces: list[str], runs: dict[int, int] = RUNS) -> list[tuple[int
             h = (h ^ own[starts + j]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
         found.append((n, starts, h.view(np.int64)))
+    if short:
+        at, begin, end = short_runs(np.diff(counts), runs[max(runs)])
+        n = end - begin
+        h = np.repeat((n + 64).astype(np.uint64)[:, None], 2, axis=1)  # no tag of a fixed run
+        for j in range(int(n.max(initial=0))):
+            more = np.flatnonzero(n > j)
+            x = (h[more] ^ own[at[begin[more] + j]]) * np.uint64(0x9E3779B97F4A7C15)
+            h[more] = x ^ (x >> np.uint64(31))
+        if len(n):
+            found.append((at[end - 1] + 1 - at[begin], at[begin], h.view(np.int64)))
     return found
 
 
@@ -68,14 +104,14 @@ def order_of(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__ord", F.coalesce(F.col("doc_id").cast("long"), spare))
 
 
-def runs_of(documents: DataFrame, runs: dict[int, int]) -> DataFrame:
+def runs_of(documents: DataFrame, runs: dict[int, int], short: bool = False) -> DataFrame:
     """(h1, h2, ord): the distinct runs of each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, owners = [], []
             for order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [h for _, _, h in run_hashes(sentences(text), runs)]
+                found = [h for _, _, h in run_hashes(sentences(text), runs, short)]
                 if found:
                     own = np.unique(np.concatenate(found), axis=0) if sum(map(len, found)) > 1 else np.concatenate(found)
                     hashes.append(own)
@@ -89,23 +125,27 @@ def runs_of(documents: DataFrame, runs: dict[int, int]) -> DataFrame:
     return texts.mapInArrow(emit, "h1 long, h2 long, ord long")
 
 
-def covered(pieces: list[str], taken: set[tuple[int, int]], runs: dict[int, int]) -> np.ndarray:
+def covered(pieces: list[str], taken: set[tuple[int, int]], runs: dict[int, int], short: bool = False) -> np.ndarray:
     """Which sentences a taken run covers, or a run that occurred earlier in the same text."""
     gone = np.zeros(len(pieces), bool)
-    for n, starts, hashes in run_hashes(pieces, runs):
+    for lengths, starts, hashes in run_hashes(pieces, runs, short):
         seen: set[tuple[int, int]] = set()
-        for start, key in zip(starts.tolist(), map(tuple, hashes.tolist()), strict=True):
+        each = np.broadcast_to(lengths, len(starts)).tolist()
+        for n, start, key in zip(each, starts.tolist(), map(tuple, hashes.tolist()), strict=True):
             if key in taken or key in seen:
                 gone[start : start + n] = True
             seen.add(key)
     return gone
 
 
-def drop_repeated_spans(documents: DataFrame, runs: dict[int, int] | None = None) -> DataFrame:
-    """``documents`` with repeated sentences cut from ``text``, plus ``n_sentences`` and ``n_removed``."""
+def drop_repeated_spans(documents: DataFrame, runs: dict[int, int] | None = None, short: bool = False) -> DataFrame:
+    """``documents`` with repeated sentences cut from ``text``, plus ``n_sentences`` and ``n_removed``.
+
+    ``short``: passages of short sentences count too.
+    """
     runs = runs or RUNS
     documents = documents.drop("n_sentences", "n_removed")
-    spans = materialise(runs_of(documents, runs), "spans")
+    spans = materialise(runs_of(documents, runs, short), "spans")
     repeated = (
         spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).where("n > 1").drop("n")
     )
@@ -126,7 +166,7 @@ def drop_repeated_spans(documents: DataFrame, runs: dict[int, int] | None = None
             texts, totals, cuts = [], [], []
             for text, taken_here in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 pieces = sentences(text)
-                gone = covered(pieces, {(t["h1"], t["h2"]) for t in taken_here or ()}, runs)
+                gone = covered(pieces, {(t["h1"], t["h2"]) for t in taken_here or ()}, runs, short)
                 cut = int(gone.sum())
                 texts.append("".join(p for p, g in zip(pieces, gone, strict=True) if not g).strip(SPACE) if cut else text)
                 totals.append(len(pieces))

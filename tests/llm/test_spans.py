@@ -50,3 +50,34 @@ def test_edges(spark):
     assert rows[5, 3].n_removed == 0 and rows[5, 4].n_removed == 0
     assert rows[None, 3].text == "" and rows[None, 4].text == "more."
     assert S.drop_repeated_spans(table.limit(0)).count() == 0
+
+
+def test_short_sentences(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = "".join(" ".join(word() for _ in range(1 + i % 2)) + ("!! " if i % 3 else "\n") for i in range(40))
+    assert len(passage.split()) == 60
+    ends = "one two three. four five six. seven eight nine. ten eleven twelve. last. "  # the last is in no run that begins inside
+    blanks = "".join(f"{word()} {word()}.\n \n" for _ in range(20))
+    docs = [(1, passage), (2, "My own. " + passage + "Other end."), (3, ends), (4, "Begin. " + ends + "End."), (5, blanks), (6, blanks), (7, "yes. no. " * 3)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in S.drop_repeated_spans(table, short=True).collect()}
+    assert [rows[i].n_removed for i in (1, 3, 5, 7)] == [0, 0, 0, 0]
+    assert rows[2].text == "My own. Other end." and rows[2].n_removed == 40
+    assert rows[4].text == "Begin. End."
+    assert rows[6].text.strip() == ""
+
+
+def test_runs_of_short_sentences_are_bounded():
+    pieces = S.sentences("a. " * 50 + " \n" * 3000 + "b c. d. " * 50)
+    lengths, starts, hashes = S.run_hashes(pieces, short=True)[-1]
+    assert len(lengths) == len(starts) == len(hashes) <= 300
+
+
+def test_pipeline_cuts_short_sentences(spark):
+    import corpus_pipeline
+
+    text = "".join(f"w{i}!! " for i in range(60))
+    docs = spark.createDataFrame([(1, text, len(text)), (2, text + "More.", len(text) + 5)], "doc_id long, text string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.spans_stage(spark, docs, "").collect()}
+    assert kept == {1: text, 2: "More."}
