@@ -7,10 +7,12 @@
    Nystroem approximation gives the leading eigenvectors, that is the right singular vectors of the
    TF-IDF passages (randomised SVD in a single pass). The benchmark's own passages take part, weighted
    so that their directions are kept.
-2. A second pass maps windows of two passages into that space and takes every item whose cosine is at
-   least ``COSINE`` as a candidate, if the window also holds ``SHARED`` of its telling terms. Around it,
-   the longest common subsequence of words with the item and with its answer (the item's last
-   words) decide: a paraphrase keeps the order of most words.
+2. A second pass counts in windows of two passages the telling terms of each item and maps them into
+   that space. A window that holds ``SHARED`` of an item's terms makes it a candidate, whatever the
+   cosine: a space of ``RANK`` dimensions does not hold the terms of more than about as many items.
+   The cosine is given with each match. Around the window, the longest common subsequence of words
+   with the item and with its answer (the item's last words) decide: a paraphrase keeps the order of
+   most words.
 
 Terms that no item holds add nothing to a cosine with an item and are left out; so are those in very
 many items. The benchmark is broadcast in blocks of ``ITEMS`` items, each block with a space of its
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 CELL, ITEMS = 32, 1000
 RANK, OVERSAMPLE = 96, 16
-COSINE, SHARED, COPIED, ANSWERED = 0.3, 0.4, 0.65, 0.6
+SHARED, COPIED, ANSWERED = 0.4, 0.65, 0.6
 SHORT = 8
 #: Telling words that a task gathers before it adds them to its sketch.
 BUFFER = 20_000
@@ -219,7 +221,7 @@ class Matcher:
         for q, (i, at) in enumerate(zip(self.owner, self.offset, strict=True)):
             part = items.words[i][at : at + 2 * CELL]
             self.has[part[part < items.terms], q] = 1
-        self.need = np.ceil(SHARED * self.has.sum(axis=0, dtype=np.int64))
+        self.need = np.maximum(1, np.ceil(SHARED * self.has.sum(axis=0, dtype=np.int64)))
         self.queries = unit(np.concatenate(vectors)) if vectors else np.zeros((0, latent.shape[1]), np.float32)
         self.masks = [self.positions(w) for w in items.words]
         self.tails = [w[-max(3, len(w) // 4) :] for w in items.words]
@@ -262,7 +264,7 @@ class Matcher:
             best: dict[tuple[int, int], tuple] = {}
             for at in range(0, len(stacked), 4096):
                 cosine = stacked[at : at + 4096] @ self.queries.T
-                near = (cosine >= COSINE) & (shared[at : at + 4096] >= self.need)
+                near = shared[at : at + 4096] >= self.need
                 for w, q in zip(*np.nonzero(near), strict=True):
                     r, item = int(row[at + w]), self.owner[q]
                     held = best.get((r, item))
@@ -278,8 +280,8 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks of about ``ITEMS`` items, by a hash."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """The benchmark's distinct rows in blocks of about ``ITEMS`` items, by a hash."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     parts = -(-rows.count() // ITEMS)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts)))
     for i in range(parts):

@@ -77,3 +77,19 @@ def test_empty_tables(spark):
     docs, items, _ = tables(spark)
     assert D.find_matches(docs.limit(0), items).count() == 0
     assert D.find_matches(docs, items.limit(0)).count() == 0
+
+
+def test_items_that_the_space_does_not_hold_are_found():
+    rng = random.Random(12)
+    texts = [[f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 60))] for _ in range(1000)]
+    items = D.Items.of([(i, " ".join(t)) for i, t in enumerate(texts)])
+    docs = [" ".join(["my", "own"] * 25 + t + ["words"] * 50) for t in texts]
+    matcher = D.Matcher(items, np.zeros((items.terms, 4), np.float32))
+    assert {(row, item) for row, item, *_ in matcher.match(docs)} == {(i, i) for i in range(1000)}
+
+
+def test_repeated_benchmark_rows_are_one_item(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    benchmark = spark.createDataFrame([(1, text)] * 4 + [(2, text)], "item_id long, text string")
+    found = D.find_matches(spark.createDataFrame([(7, "x y " + text)], "doc_id long, text string"), benchmark).collect()
+    assert sorted(r.item_id for r in found) == [1, 2]
