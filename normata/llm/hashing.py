@@ -8,7 +8,8 @@ retrieves every code in the radius; those are reranked by the exact cosine of th
 
 All rows are indexed and all queries answered: rows lie in shards and queries in blocks by a hash,
 each cell of that grid probes its shard's indexes for its block, and each query's best of all shards
-are merged. Equal vectors are one entry that carries its smallest ids, so a hot vector is one row.
+are merged. Queries for which that finds fewer than ``K`` rows probe again in a larger radius
+(``WIDER``), in the end over all bits. Equal vectors are one entry that carries its smallest ids, so a hot vector is one row.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without id; ties go to the smaller id; a query's own
@@ -31,6 +32,7 @@ from normata.llm.common import materialise
 SAMPLE, ROUNDS = 20_000, 30
 SUBSTRINGS = 8
 RADIUS = 0.4375  # of the code's bits: 28 of 64, for a recall of 0.98 on vectors with weak neighbours
+WIDER = (0.625, 1.0)  # of the bits, for the queries with too few rows inside
 SHARD_ROWS, BLOCK_QUERIES, STEP = 8192, 4096, 256
 K = 5
 
@@ -122,13 +124,9 @@ def search(rows: DataFrame, is_query: Column, k: int = K, radius: float = RADIUS
     distinct = few.groupBy("vector").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     entries = materialise(distinct, "entries")
     shards = max(1, -(-entries.count() // SHARD_ROWS))
-    asked = table.where(is_query)
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = entries.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
 
-    def probe(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def probe(held: pd.DataFrame, queries: pd.DataFrame, radius: float) -> pd.DataFrame:
         out: list[tuple] = []
         if len(held) and len(queries):
             vectors = np.stack(held["vector"].to_numpy())
@@ -144,12 +142,29 @@ def search(rows: DataFrame, is_query: Column, k: int = K, radius: float = RADIUS
                     out += [(query_id, v, float(s)) for v in ids[at] if v != query_id]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    near = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(
-        probe, "query_id long, vec_id long, score double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
-    ranked = near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def nearest(asked: DataFrame, n: int, radius: float) -> DataFrame:
+        """The ``k`` nearest inside ``radius`` for each of the ``n`` rows ``asked``."""
+        blocks = max(1, -(-n // BLOCK_QUERIES))
+        left = entries.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("block", each(blocks))
+        right = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
+        near = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInPandas(
+            lambda held, queries: probe(held, queries, radius), "query_id long, vec_id long, score double"
+        )
+        order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
+        ranked = near.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return materialise(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
+
+    asked = table.where(is_query)
+    n = asked.count()
+    out = spark.createDataFrame([], schema)
+    for reach in [radius, *(w for w in WIDER if w > radius)]:  # the last reach is all bits and returns
+        found = nearest(asked, n, reach)
+        full = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+        asked = asked.join(full, "vec_id", "left_anti")
+        n = asked.count() if reach < 1 else 0
+        if not n:
+            return out.unionByName(found)
+        out = out.unionByName(found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi"))
 
 
 def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,16 @@ def test_grid_of_shards_and_blocks(spark, monkeypatch):
     assert {(r.query_id, r.rank, r.vec_id) for r in H.search(df, F.col("vec_id") % 10 == 0, radius=1.0).collect()} == every
     want = brute(rows, set(range(0, 300, 10)))
     assert every == {(q, n + 1, i) for q, w in want.items() for n, (i, _) in enumerate(w)}
+
+
+def test_queries_with_few_neighbours_get_all_their_rows(spark):
+    unlike = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-0.5, 0.87]), (2, [-0.5, -0.87])], "vec_id long, embedding array<double>")
+    found = H.search(unlike, F.lit(True)).collect()
+    assert sorted((r.query_id, r.vec_id) for r in found) == [(q, v) for q in range(3) for v in range(3) if q != v]
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((200, 32)) * 0.1 + 1)] + [(1000, [-1.0] * 31 + [-1.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in H.search(df, F.col("vec_id").isin(0, 1000)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[1000] == [i for i, _ in brute(rows, {1000})[1000]] and len(got[0]) == 5
