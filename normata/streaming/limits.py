@@ -9,7 +9,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE, SPAN = 10, 60.0
@@ -92,18 +93,25 @@ def error_surges(errors: DataFrame, time: str = "ts", least: int = 3, span: str
 def cooled_down(alerts: DataFrame, kind: str, time: str, minutes: int = COOLDOWN_MINUTES) -> DataFrame:
     """Alerts that go out: per kind, one opens a pause of ``minutes`` in which the others are silent.
 
-    A fold over each kind's times in order; alerts are few by nature.
+    Alerts of one kind and time are one before the shuffle. A kind's times are then sorted and read once,
+    with the last one sent as the state.
     """
-    stamp = F.collect_list(F.struct(F.unix_micros(F.col(time)).alias("t")))
-    pause = minutes * 60_000_000
-    start = F.array().cast("array<bigint>")
+    rows = alerts.select(F.col(kind), F.unix_micros(F.col(time)).alias("__t")).distinct()
+    schema, pause = rows.schema, minutes * 60_000_000
 
-    def add(sent: Column, alert: Column) -> Column:
-        quiet = (F.size(sent) > 0) & (alert.t - F.element_at(sent, -1) < pause)
-        return F.when(quiet, sent).otherwise(F.concat(sent, F.array(alert.t)))
-
-    sent = alerts.groupBy(kind).agg(F.aggregate(F.array_sort(stamp), start, add).alias("sent"))
-    return sent.select(kind, F.explode("sent").alias("t")).select(kind, F.timestamp_micros("t").alias(time))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, last = object(), 0
+        for batch in batches:
+            sent = []
+            for value, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                opens = at is not None and (value != current or at - last >= pause)
+                if opens:
+                    current, last = value, at
+                sent.append(opens)
+            yield batch.filter(pa.array(sent, pa.bool_()))
+
+    sent = rows.repartition(kind).sortWithinPartitions(kind, "__t").mapInArrow(run, schema)
+    return sent.select(kind, F.timestamp_micros("__t").alias(time))
 
 
 def sessions(events: DataFrame, key: str = "user_id", time: str = "ts", gap: str = "60 minutes") -> DataFrame:

@@ -72,3 +72,11 @@ def test_sessions(spark):
     events = table(spark, [("a", 0), ("a", 100), ("a", 4000), ("b", 1)])
     assert sorted((r.key, r.events) for r in L.sessions(events, "key").collect()) == [("a", 1), ("a", 2), ("b", 1)]
     assert events.select(F.max("ts")).first()[0] == at(4000)
+
+
+def test_cooldown_thins_before_the_shuffle(spark):
+    rows = table(spark, [(k, s) for k in ("x", "y", None) for s in (1800, 0, 0, 1799, 1799)] + [("z", 5)])
+    out = L.cooled_down(rows, "key", "ts")
+    assert sorted(((r.key, r.ts) for r in out.collect()), key=repr) == sorted([(k, at(s)) for k in ("x", "y", None) for s in (0, 1800)] + [("z", at(5))], key=repr)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "HashAggregate" in plan
