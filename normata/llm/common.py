@@ -49,6 +49,12 @@ def pick_labelled(labels: DataFrame, label: str, modulus: int, held: int, limit:
 
 
 def sample_texts(documents: DataFrame, picked: DataFrame) -> DataFrame:
-    """(doc_id, label, text) of the picked ids; a repeated document appears as often as it is stored."""
+    """(doc_id, label, text) of the picked ids, a row for each, so no more rows than ids.
+
+    Of an id's stored texts that of the least hash counts, so that no document outweighs the others;
+    the rows are thinned before they are shuffled.
+    """
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
+    rows = docs.join(F.broadcast(picked), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return one.select("doc_id", "label", F.col("first.text").alias("text"))

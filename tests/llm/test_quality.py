@@ -45,3 +45,14 @@ def test_worker_scores_equal_the_trained_mean():
     text = "aa bb bb cc"
     index, share = Q.bag(text, {})
     assert abs(float((share * model.weight[index]).sum()) - Q.WordScores(model.weight).mean(text)) < 1e-6
+
+
+def test_hot_labelled_id_is_one_row(spark):
+    from normata.llm.common import sample_texts
+
+    docs, labels = table(spark, 40)
+    hot = spark.range(500).selectExpr("3L AS doc_id", "concat('hot text ', id % 7) AS text", "'x' AS score", "1L AS label")
+    picked = labels.selectExpr("doc_id", "quality AS label")
+    rows = sample_texts(docs.unionByName(hot), picked).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(40))
+    assert all(r.label == r.doc_id % 2 for r in rows)
