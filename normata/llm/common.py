@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary one is set.
+    Where the session names none, a temporary one is set if all runs in one process (a local master);
+    on a cluster, whose machines would not see it, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="normata-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -29,7 +32,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -40,10 +52,10 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def pick_labelled(labels: DataFrame, label: str, modulus: int, held: int, limit: int) -> DataFrame:
     """At most ``limit`` labelled ids outside the held-out remainder, in a fixed hash order.
 
-    Rows without id or label are left out; an id with several labels keeps the largest.
-    The bound makes the result small enough to broadcast.
+    Rows without id are left out, and so are labels other than 0 and 1; an id with several labels
+    keeps the largest. The bound makes the result small enough to broadcast.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), modulus) != held))
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), modulus) != held))
     one = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 

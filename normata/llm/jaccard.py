@@ -6,13 +6,21 @@ link when the Jaccard similarity of their sets is at least ``percent`` per cent.
 1. One pass over the texts gives each row's set size and set hash, and how often shingles fall in
    each slot of a fixed table, which orders shingles from rare to frequent.
 2. Sets that can link share one of their rarest shingles (a prefix that leaves less than the needed
-   overlap). A second pass sends the prefixes, once per set and task, to their shingle; sets that
-   meet there with sizes near enough are chained. The chains' components are the candidate groups.
-3. In a group, sets are leaves of a signature tree: nodes hold the OR of token bitmaps, the range of
-   sizes and the largest number of tokens beyond one per bit. A dual traversal drops node pairs whose
-   largest possible overlap is too small; what remains is counted exactly, unless already connected.
-   Groups beyond ``CELL`` sets are laid out as a grid of blocks, one task for each pair of blocks.
-
+   overlap). A second pass sends the prefixes, once per set and task, to their shingle, where an
+   aggregation tells shared shingles and the smallest set of each, its hub. Only sets with a shared
+   shingle go on; their shingles are read once more and written as hashes.
+3. Hubs are compared with the sets that share a shingle with them, as a stream with one set in memory.
+   Components of those links are a first labelling: families of near copies mostly end in one.
+4. What is left are shared shingles whose sets have several labels. Each is a cell (one for all shingles
+   with the same sets). In a cell, sets are leaves of a signature tree: nodes hold the OR of token
+   bitmaps, the range of sizes and the largest number of tokens beyond one per bit. A dual traversal
+   drops node pairs whose largest possible overlap is too small, or that are connected already; what
+   remains is counted exactly. Cells beyond ``CELL`` sets or ``CELL_TOKENS`` tokens are laid out as a
+   grid of blocks, one task for each pair of blocks whose sizes and labels leave something to compare.
+
+Every pair that links shares a prefix shingle, so it has one label after step 3 or meets in a cell:
+no link is lost, and cells never join through a chain of shingles. A shingle stands in a prefix only
+of sets that have hardly rarer ones, so a large cell holds texts that are alike almost throughout.
 Exact copies are one set throughout, so a hot text costs no more than a rare one. Hashes have 64
 bits; a collision of two sets among a billion has a chance of some 3 per cent.
 
@@ -28,19 +36,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normata.llm.common import materialise
+from normata.llm.common import discard, materialise
 from normata.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 SLOT_BITS, CHUNKS = 22, 16
 BITMAP_WORDS = 64  # of 64 bits
-CELL, LEAF, FANOUT = 1500, 24, 8
+CELL, CELL_TOKENS, LEAF, FANOUT = 1500, 4_000_000, 24, 8
 ROW_SCHEMA = "key long, doc_id long, n long, set long, chunk int, counts binary"
 
 
@@ -97,23 +104,28 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def describe(documents: DataFrame, words: int) -> DataFrame:
     """A row per document, and per task the slot counts of its shingles in ``CHUNKS`` pieces."""
+    names = [part.split()[0] for part in ROW_SCHEMA.split(", ")]
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, slots = Shingler(words), np.zeros(1 << SLOT_BITS, np.uint8)
         for batch in batches:
             sizes, ids = [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 tokens = shingle(text)
                 sizes.append(len(tokens))
                 ids.append(set_id(tokens))
                 at = slot_of(tokens)
                 slots[at] += slots[at] < 255
-            yield batch[["key", "doc_id"]].assign(n=sizes, set=ids, chunk=-1, counts=None)
+            m = len(sizes)
+            yield batch_of(batch.column("key"), batch.column("doc_id"), sizes, ids, [-1] * m, [None] * m)  # ids stay as they are
         for i, piece in enumerate(np.split(slots, CHUNKS)):
-            packed = zlib.compress(piece.tobytes(), 1)
-            yield pd.DataFrame({"key": [0], "doc_id": [None], "n": [0], "set": [0], "chunk": [i], "counts": [packed]})
+            yield batch_of([0], [None], [0], [0], [i], [zlib.compress(piece.tobytes(), 1)])
 
-    return keyed(documents).mapInPandas(run, ROW_SCHEMA)
+    return keyed(documents).mapInArrow(run, ROW_SCHEMA)
 
 
 def slot_of(tokens: np.ndarray) -> np.ndarray:
@@ -123,24 +135,25 @@ def slot_of(tokens: np.ndarray) -> np.ndarray:
 def slot_counts(described: DataFrame) -> np.ndarray:
     """Sum of the tasks' slot counts: a table of fixed size (8 MB), so it may be broadcast."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch["chunk"], batch["counts"], strict=True):
+            for chunk, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 piece = np.frombuffer(zlib.decompress(counts), np.uint8)
                 sums[chunk] = sums.get(chunk, 0) + piece.astype(np.uint32)
         for chunk, total in sums.items():
-            yield pd.DataFrame({"chunk": [chunk], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+            packed = np.minimum(total, 65535).astype(np.uint16).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"])
 
     pieces = described.where("chunk >= 0").select("chunk", "counts").repartition(CHUNKS, "chunk")
-    rows = sorted((r.chunk, r.counts) for r in pieces.mapInPandas(add, "chunk int, counts binary").collect())
+    rows = sorted((r.chunk, r.counts) for r in pieces.mapInArrow(add, "chunk int, counts binary").collect())
     if not rows:
         return np.zeros(1 << SLOT_BITS, np.uint16)
     return np.concatenate([np.frombuffer(c, np.uint16) for _, c in rows])
 
 
 def prefixes(documents: DataFrame, slots: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, set, n): the rarest tokens of each set, as many as any link must touch."""
+    """(token, set, n): the rarest tokens of each set, as many as any link must touch; written, as two readers follow."""
     shared = documents.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,59 +170,83 @@ def prefixes(documents: DataFrame, slots: np.ndarray, words: int, percent: int)
                 rank = np.lexsort((tokens, counts[slot_of(tokens)]))[:length]
                 tokens_out.append(signed(tokens[rank]))
                 sets_out.append(np.full(length, own))
-                sizes_out.append(np.full(length, n))
+                sizes_out.append(np.full(length, n, np.int32))
             if tokens_out:
-                arrays = [pa.array(np.concatenate(x), pa.int64()) for x in (tokens_out, sets_out, sizes_out)]
+                kinds = (pa.int64(), pa.int64(), pa.int32())
+                arrays = [pa.array(np.concatenate(x), k) for x, k in zip((tokens_out, sets_out, sizes_out), kinds, strict=True)]
                 whole = pa.RecordBatch.from_arrays(arrays, ["token", "set", "n"])
                 for at in range(0, len(whole), 100_000):
                     yield whole.slice(at, 100_000)
 
-    return documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, set long, n long")
+    found = materialise(documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, set long, n int"), "prefixes")
+    shared.destroy()
+    return found
 
 
-class Union:
-    """Union-find over arbitrary integers; the root is the smallest member."""
+def meetings(prefix: DataFrame) -> DataFrame:
+    """(token, set, n, hub): the prefix rows whose token several sets share, with the smallest of those."""
+    shared = prefix.groupBy("token").agg(F.min("set").alias("hub"), F.max("set").alias("other")).where("hub <> other")
+    return materialise(prefix.join(shared.select("token", "hub"), "token").distinct(), "meetings")
 
-    def __init__(self):
-        self.parent: dict[int, int] = {}
 
-    def find(self, x: int) -> int:
-        parent = self.parent
-        root = x
-        while (up := parent.get(root, root)) != root:
-            root = up
-        while x != root:
-            parent[x], x = root, parent.get(x, x)
-        return root
+def token_lists(documents: DataFrame, rows: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(set, tokens): the tokens of each of ``sets``, from one stored row for each."""
+    stand = rows.where("n > 0").groupBy("set").agg(F.min("key").alias("key"))
+    wanted = stand.join(sets, "set").select("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, seen = Shingler(words), set()
+        for batch in batches:
+            found = {}
+            for text in batch.column(0).to_pylist():
+                tokens = shingle(text)
+                own = set_id(tokens)
+                if own not in seen:
+                    seen.add(own)
+                    found[own] = tokens.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], ["set", "tokens"])
+
+    texts = keyed(documents).join(wanted, "key", "left_semi").select("text")
+    # Rows equal in id and text have one key, so tasks may give a set more than once.
+    return materialise(texts.mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"]), "tokens")
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        self.parent.setdefault(min(a, b), min(a, b))
-        return True
 
+def tokens_from(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint64)
 
-def chained(prefix: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect sets which meet at a token with sizes near enough."""
+
+def hub_links(met: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set that links with the hub ``a`` of one of its tokens.
+
+    A hub's sets stream by it; those of a hot hub are dealt to several tasks.
+    """
+    pairs = met.where("set <> hub").select("hub", "set").distinct()
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    salted = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    near = salted.join(lists, "set").select("hub", "part", F.lit(1).alias("kind"), "set", "tokens")
+    hubs = parts.join(lists.withColumnRenamed("set", "hub"), "hub").select(
+        "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("set"), "tokens"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        token, own, size = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
-        order = np.lexsort((own, size, token))
-        token, own, size = token[order], own[order], size[order]
-        near = (token[1:] == token[:-1]) & (own[1:] != own[:-1]) & (100 * size[:-1] >= percent * size[1:])
-        pairs = np.unique(np.column_stack([own[:-1][near], own[1:][near]]), axis=0)
-        union = Union()
-        kept = [(a, b) for a, b in pairs.tolist() if union.join(a, b)]
-        if kept:
-            a, b = zip(*kept, strict=True)
+        hub, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for at, kind, own, packed in zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "set", "tokens")), strict=True):
+                tokens = tokens_from(packed)
+                if kind == 0:
+                    hub, held = at, tokens
+                    continue
+                need = needed(len(held), len(tokens), percent)
+                if at == hub and min(len(held), len(tokens)) >= need:
+                    place = np.minimum(np.searchsorted(held, tokens), len(held) - 1)
+                    if int((held[place] == tokens).sum()) >= need:
+                        a.append(hub)
+                        b.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return prefix.repartition("token").mapInArrow(run, "a long, b long")
+    dealt = near.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -252,12 +289,12 @@ class SignatureTree:
         return min(most, self.high[a], other.high[b]) >= needed(self.low[a], other.low[b], percent)
 
 
-def link_groups(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Component (smallest index) of each set, over the links between ``left`` and ``right``."""
+def link_groups(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, labels: np.ndarray | None = None) -> np.ndarray:
+    """Component (smallest index) of each set, over the links between ``left`` and ``right``; ``labels``: those known."""
     sizes = np.array([len(s) for s in sets])
     bitmaps = np.array([bitmap(s) for s in sets])
     surplus = sizes - np.bitwise_count(bitmaps).sum(axis=1)
-    labels = np.arange(len(sets))
+    labels = np.arange(len(sets)) if labels is None else labels.copy()
 
     def join(i: int, js: np.ndarray) -> None:
         old = np.unique(np.append(labels[js], labels[i]))
@@ -309,70 +346,87 @@ def link_groups(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     return labels
 
 
-def verified(cells: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): each set of a cell with the smallest set it is connected with there."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler(words)
-        held: dict = {"cell": None}
-
-        def close() -> pd.DataFrame | None:
-            if held["cell"] is None or len(held["sets"]) < 2:
-                return None
-            ids = sorted(held["sets"])
-            sets = [held["sets"][i][0] for i in ids]
-            block = np.array([held["sets"][i][1] for i in ids])
-            _, low, high = held["cell"]
-            every = np.arange(len(ids))
-            left, right = (every, every) if low == high else (every[block == low], every[block == high])
-            if not len(left) or not len(right):
-                return None
-            labels = link_groups(sets, left, right, percent)
-            moved = np.flatnonzero(labels != every)
-            return pd.DataFrame({"a": [ids[i] for i in moved], "b": [ids[labels[i]] for i in moved]}, dtype="int64")
+def cells_of(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, low, high, block, set, label): what is left to compare once sets have labels.
+
+    Two sets that share a token were compared if they are all it has, as one is the hub; so a cell has
+    three sets or more, and more than one label.
+    """
+    marked = met.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    member = F.xxhash64("set").cast("decimal(20,0)")
+    by_token = marked.groupBy("token").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"),
+        F.sum(member).alias("total"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("mix"),
+    )
+    open_ = by_token.where("least <> most AND m > 2")
+    # Tokens of the very same sets are one cell.
+    one = open_.groupBy("m", "total", "mix").agg(F.min("token").alias("token"), F.max("tokens").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
+    placed = marked.join(one.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = each.select(F.col("token").alias("cell"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "label", "n", "blocks")
+    several = pairs.where("blocks > 1").groupBy("cell", "low", "high").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    same = several.where("x = y").select("cell", "low", "high")  # blocks that are connected throughout
+    return pairs.join(same, ["cell", "low", "high"], "left_anti").drop("n", "blocks")
+
+
+def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set of a cell with the smallest set that it is connected with there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def close() -> pa.RecordBatch:
+            a, b = [], []
+            if len(held) > 1:
+                held.sort(key=lambda x: x[1])
+                block, ids, label, sets = (list(x) for x in zip(*held, strict=True))
+                first: dict[int, int] = {}
+                known = np.array([first.setdefault(x, i) for i, x in enumerate(label)])
+                block, every = np.array(block), np.arange(len(ids))
+                left, right = (every, every) if cell[1] == cell[2] else (every[block == cell[1]], every[block == cell[2]])
+                if len(left) and len(right):
+                    labels = link_groups(sets, left, right, percent, known)
+                    moved = np.flatnonzero(labels != known)
+                    a, b = [ids[i] for i in moved], [ids[labels[i]] for i in moved]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for cell in zip(batch["root"], batch["low"], batch["high"], batch["block"], batch["set"], batch["text"], strict=True):
-                if held["cell"] != cell[:3]:
-                    if (out := close()) is not None and len(out):
-                        yield out
-                    held = {"cell": cell[:3], "sets": {}}
-                if cell[4] not in held["sets"]:
-                    tokens = shingle(cell[5])
-                    if set_id(tokens) == cell[4]:
-                        held["sets"][cell[4]] = (tokens, cell[3])
-        if (out := close()) is not None and len(out):
-            yield out
-
-    placed = cells.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    return placed.mapInPandas(run, "a long, b long")
+            columns = (batch.column(c).to_pylist() for c in ("cell", "low", "high", "block", "set", "label", "tokens"))
+            for *at, block, own, label, packed in zip(*columns, strict=True):
+                if at != cell:
+                    yield close()
+                    cell, held = at, []
+                held.append((block, own, label, tokens_from(packed)))
+        yield close()
+
+    dealt = cells.join(lists, "set").repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def set_labels(documents: DataFrame, rows: DataFrame, words: int, percent: int, slots: np.ndarray) -> DataFrame:
+    """(set, label): the component of each set that links with another."""
+    prefix = prefixes(documents, slots, words, percent)
+    met = meetings(prefix)
+    discard(prefix)
+    lists = token_lists(documents, rows, met.select("set").distinct(), words)
+    first = materialise(connected_components(hub_links(met, lists, percent)).select(F.col("node").alias("set"), F.col("root").alias("label")), "labels")
+    more = materialise(verified(cells_of(met, first), lists, percent), "links")
+    for table in (met, lists):
+        discard(table)
+    if more.isEmpty():
+        return first
+    edges = first.select(F.col("set").alias("a"), F.col("label").alias("b")).unionByName(more)
+    return connected_components(edges).select(F.col("node").alias("set"), F.col("root").alias("label"))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, doc_id, n_shingles, component_id, first): ``first`` marks one row key of each component."""
     described = materialise(describe(documents, words), "sets")
     rows = described.where("chunk < 0").select("key", "doc_id", "n", "set")
-    edges = chained(prefixes(documents, slot_counts(described), words, percent), percent)
-    groups = connected_components(edges)
-    sized = groups.join(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks")), "root")
-    members = sized.select("root", "blocks", F.col("node").alias("set"))
-    # One stored row stands for each set that has candidates.
-    stand = rows.where("n > 0").groupBy("set").agg(F.min("key").alias("key"))
-    wanted = members.join(stand, "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    cells = (
-        keyed(documents)
-        .select("key", "text")
-        .join(wanted, "key")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "text")
-    )
-    links = materialise(verified(cells, words, percent), "links")
-    if members.where("blocks > 1").limit(1).count():
-        links = connected_components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    labels = set_labels(documents, rows, words, percent, slot_counts(described))
     named = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("lead"))
-    labelled = named.join(links.select(F.col("a").alias("set"), F.col("b").alias("label")), "set", "left").withColumn(
-        "label", F.coalesce("label", "set")
-    )
+    labelled = named.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("lead").alias("lead"))
     by_set = labelled.select("set", "label").join(least, "label").select("set", "component_id", F.col("lead.key").alias("lead"))
     full = rows.where("n > 0").join(by_set, "set").select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("lead")).alias("first"))

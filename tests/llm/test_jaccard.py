@@ -58,6 +58,28 @@ def test_equals_brute_force(spark, cell, monkeypatch):
     assert sorted(got, key=str) == sorted(brute(docs), key=str)
 
 
+def test_large_ids_survive_null_ids(spark):
+    big = 2**53 + 1
+    docs = [(big, "a b c d e f g"), (None, "other words that stand alone here"), (big + 2, "a b c d e f g"), (None, None)]
+    got = J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [
+        (str(big), str(big)), (str(big + 2), str(big)), ("None", "None"), ("None", "None")
+    ]
+
+
+def test_families_that_the_hub_does_not_join(spark, monkeypatch):
+    # A chain: neighbours link, the ends do not, and the hub reaches only some.
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[6 * i : 6 * i + 100])) for i in range(40)]
+    docs += [(100 + i, " ".join(words[:95] + [f"x{i}"] * (i % 9))) for i in range(30)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(brute(docs), key=str)
+    for cell in (J.CELL, 3):
+        monkeypatch.setattr(J, "CELL", cell)
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(table).collect()]
+        assert sorted(got, key=str) == want
+
+
 def test_dropping_keeps_one_of_each(spark):
     docs = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, None), (4, "other words in this one"), (4, "other words in this one")]
     table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'k' AS key", "0 AS first")

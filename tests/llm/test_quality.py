@@ -29,19 +29,30 @@ def test_labels_outside_the_sample_do_not_matter(spark):
     assert (a.weight == b.weight).all() and a.bias == b.bias
 
 
+def test_sample_keeps_to_its_entries(spark):
+    docs, labels = table(spark, 40)
+    whole, part = Q.fit(spark, docs, labels), Q.fit(spark, docs, labels, max_features=200)
+    assert (whole.weight != part.weight).any()
+    assert (Q.fit(spark, docs, labels, max_features=0).weight == 0).all()
+
+
 def test_edges(spark):
     docs, labels = table(spark, 40)
-    model = Q.fit(spark, docs, labels)
+    strange = spark.createDataFrame([(1, 7), (3, -1), (None, 1), (5, None)], "doc_id long, quality int")
+    model = Q.fit(spark, docs, labels.select("doc_id", "quality").unionByName(strange))
     odd = spark.createDataFrame([(1, None), (None, ""), (2, "a" * 100000), (2, "a" * 100000)], "doc_id long, text string")
     rows = Q.with_scores(odd, model).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows) and rows[2].score == rows[3].score
     assert Q.with_scores(odd.limit(0), model).count() == 0
+    clash = odd.selectExpr("*", "'mine' AS score")
+    assert Q.with_scores(clash, model, "q").columns == ["doc_id", "text", "score", "q"]
+    assert dict(Q.with_scores(clash, model).dtypes)["score"] == "double"
     none = Q.fit(spark, docs, labels.limit(0))
     assert {r.score for r in Q.with_scores(odd, none).collect()} == {0.5}
 
 
 def test_worker_scores_equal_the_trained_mean():
-    model = Q.train(["aa bb", "cc dd"] * 5, [1, 0] * 5)
+    model = Q.train([Q.bag(t, {}) for t in ["aa bb", "cc dd"] * 5], [1, 0] * 5)
     text = "aa bb bb cc"
     index, share = Q.bag(text, {})
     assert abs(float((share * model.weight[index]).sum()) - Q.WordScores(model.weight).mean(text)) < 1e-6
