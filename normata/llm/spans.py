@@ -1,15 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed (128 bits); a run counts if it has enough words
-(``RUNS``: sentences in the run -> least words; long sentences need fewer to be telling). Runs join
+Every run of several consecutive sentences that is long enough is hashed (128 bits): from each
+sentence, and back from each, the shortest run of at least ``LEAST`` sentences with ``WORDS`` words.
+Short sentences make runs of more of them, at most one a word. A sentence of more than ``LONG`` words
+is read as its clauses, and a clause of more than that in pieces of so many words, so that a passage
+inside long sentences has several of its own; all of these are called sentences here. Runs join
 globally by hash. A sentence goes if a run that covers it has occurred before: in a document with a
 smaller doc_id, or earlier in its own.
 
-With ``short``, passages of short sentences count too: from each sentence, and back from each, the
-shortest run of at least three sentences with words that reaches the word minimum of the longest of
-``RUNS``, over as many sentences as that takes (one a word at most, so no run is longer than the
-minimum). The SQL of op3 has the fixed runs alone, so the query keeps to those; the pipeline takes both.
-
 Only runs met in several documents, with the first of those, leave the aggregation, which combines
 before its shuffle; the join back to a hot run's documents is one that Spark can split.
 
@@ -34,68 +32,56 @@ from pyspark.sql import types as T
 
 from normata.llm.common import materialise
 
-#: Sentences in a run -> least number of words in it.
-RUNS = {3: 12, 2: 30, 1: 50}
+#: Least sentences and words of a run; words beyond which a sentence is parted.
+LEAST, WORDS, LONG = 2, 25, 20
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+\Z")
+CLAUSE = re.compile(r"[^,;:]*[,;:]+[ \t\r\n\f]*|[^,;:]+\Z")
+PIECE = re.compile(rf"\s*\S+(?:\s+\S+){{0,{LONG - 1}}}\s*")
 SPACE = " \t\r\n\f"
 
 
 def sentences(text: str | None) -> list[str]:
-    """Pieces of a text that end after a sentence's stop or line; together they are the text."""
-    return SENTENCE.findall(text or "")
-
+    """Pieces of a text that end after a sentence's stop or line, long ones parted; together they are the text."""
+    out = []
+    for sentence in SENTENCE.findall(text or ""):
+        if len(sentence) <= 2 * LONG or len(sentence.split()) <= LONG:
+            out.append(sentence)
+            continue
+        for clause in CLAUSE.findall(sentence):
+            out += [clause] if len(clause.split()) <= LONG else PIECE.findall(clause)
+    return out
 
-def short_runs(lens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of at least three sentences with words that just reach ``least`` words, and are no run of three.
 
-    Sentences with words, by place; each run's first and its end (exclusive) among those.
-    """
+def runs_in(lens: np.ndarray, least: int = LEAST, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and end (exclusive) of each run, from the sentences' numbers of words; those without words count for none."""
     at = np.flatnonzero(lens)
     sums = np.concatenate([[0], np.cumsum(lens[at])])
     m = len(at)
-    begin = np.arange(m)
-    end = np.maximum(np.searchsorted(sums, sums[:-1] + least), begin + 3)
-    last = np.arange(1, m + 1)
-    back = np.minimum(np.searchsorted(sums, sums[1:] - least, side="right") - 1, last - 3)
+    begin, last = np.arange(m), np.arange(1, m + 1)
+    end = np.maximum(np.searchsorted(sums, sums[:-1] + words), begin + least)
+    back = np.minimum(np.searchsorted(sums, sums[1:] - words, side="right") - 1, last - least)
     pairs = np.concatenate([np.stack([begin, end], 1)[end <= m], np.stack([back, last], 1)[back >= 0]])
-    pairs = pairs[at[pairs[:, 1] - 1] - at[pairs[:, 0]] >= 3]
     pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-    return at, pairs[:, 0], pairs[:, 1]
-
+    return pairs[:, 0], pairs[:, 1]
 
-def run_hashes(pieces: list[str], runs: dict[int, int] = RUNS, short: bool = False) -> list[tuple[int | np.ndarray, np.ndarray, np.ndarray]]:
-    """For each run length: starts of the runs that count, and their hashes (n x 2, signed 64 bits).
 
-    ``short`` adds the runs of short sentences, with a length each.
-    """
-    if not pieces:
-        return []
+def run_hashes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each run's first sentence, end (exclusive) and hash (n x 2, signed 64 bits)."""
     words = [p.lower().split() for p in pieces]
-    counts = np.cumsum([0, *map(len, words)])
-    digests = b"".join(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "replace")) for w in words)
+    lens = np.array([*map(len, words)], np.int64)
+    begin, end = runs_in(lens)
+    if not len(begin):
+        return begin, end, np.zeros((0, 2), np.int64)
+    at = np.flatnonzero(lens)
+    digests = b"".join(xxhash.xxh3_128_digest(" ".join(words[i]).encode("utf-8", "replace")) for i in at)
     own = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-    found = []
-    for n, least in runs.items():
-        m = len(pieces) - n + 1
-        if m <= 0:
-            continue
-        starts = np.flatnonzero(counts[n:] - counts[:-n] >= least)
-        h = np.full((len(starts), 2), n, np.uint64)
-        for j in range(n):
-            h = (h ^ own[starts + j]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        found.append((n, starts, h.view(np.int64)))
-    if short:
-        at, begin, end = short_runs(np.diff(counts), runs[max(runs)])
-        n = end - begin
-        h = np.repeat((n + 64).astype(np.uint64)[:, None], 2, axis=1)  # no tag of a fixed run
-        for j in range(int(n.max(initial=0))):
-            more = np.flatnonzero(n > j)
-            x = (h[more] ^ own[at[begin[more] + j]]) * np.uint64(0x9E3779B97F4A7C15)
-            h[more] = x ^ (x >> np.uint64(31))
-        if len(n):
-            found.append((at[end - 1] + 1 - at[begin], at[begin], h.view(np.int64)))
-    return found
+    n = end - begin
+    h = np.repeat(n.astype(np.uint64)[:, None], 2, axis=1)
+    for j in range(int(n.max())):
+        more = np.flatnonzero(n > j)
+        x = (h[more] ^ own[begin[more] + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h[more] = x ^ (x >> np.uint64(31))
+    return at[begin], at[end - 1] + 1, h.view(np.int64)
 
 
 def order_of(documents: DataFrame) -> DataFrame:
@@ -104,16 +90,16 @@ def order_of(documents: DataFrame) -> DataFrame:
     return documents.withColumn("__ord", F.coalesce(F.col("doc_id").cast("long"), spare))
 
 
-def runs_of(documents: DataFrame, runs: dict[int, int], short: bool = False) -> DataFrame:
+def runs_of(documents: DataFrame) -> DataFrame:
     """(h1, h2, ord): the distinct runs of each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, owners = [], []
             for order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [h for _, _, h in run_hashes(sentences(text), runs, short)]
-                if found:
-                    own = np.unique(np.concatenate(found), axis=0) if sum(map(len, found)) > 1 else np.concatenate(found)
+                _, _, found = run_hashes(sentences(text))
+                if len(found):
+                    own = np.unique(found, axis=0)
                     hashes.append(own)
                     owners.append(np.full(len(own), order, np.int64))
             if hashes:
@@ -125,27 +111,22 @@ def runs_of(documents: DataFrame, runs: dict[int, int], short: bool = False) ->
     return texts.mapInArrow(emit, "h1 long, h2 long, ord long")
 
 
-def covered(pieces: list[str], taken: set[tuple[int, int]], runs: dict[int, int], short: bool = False) -> np.ndarray:
+def covered(pieces: list[str], taken: set[tuple[int, int]]) -> np.ndarray:
     """Which sentences a taken run covers, or a run that occurred earlier in the same text."""
     gone = np.zeros(len(pieces), bool)
-    for lengths, starts, hashes in run_hashes(pieces, runs, short):
-        seen: set[tuple[int, int]] = set()
-        each = np.broadcast_to(lengths, len(starts)).tolist()
-        for n, start, key in zip(each, starts.tolist(), map(tuple, hashes.tolist()), strict=True):
-            if key in taken or key in seen:
-                gone[start : start + n] = True
-            seen.add(key)
+    begin, end, hashes = run_hashes(pieces)
+    seen: set[tuple[int, int]] = set()
+    for a, b, key in zip(begin.tolist(), end.tolist(), map(tuple, hashes.tolist()), strict=True):
+        if key in taken or key in seen:
+            gone[a:b] = True
+        seen.add(key)
     return gone
 
 
-def drop_repeated_spans(documents: DataFrame, runs: dict[int, int] | None = None, short: bool = False) -> DataFrame:
-    """``documents`` with repeated sentences cut from ``text``, plus ``n_sentences`` and ``n_removed``.
-
-    ``short``: passages of short sentences count too.
-    """
-    runs = runs or RUNS
+def drop_repeated_spans(documents: DataFrame) -> DataFrame:
+    """``documents`` with repeated sentences cut from ``text``, plus ``n_sentences`` and ``n_removed``."""
     documents = documents.drop("n_sentences", "n_removed")
-    spans = materialise(runs_of(documents, runs, short), "spans")
+    spans = materialise(runs_of(documents), "spans")
     repeated = (
         spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")).where("n > 1").drop("n")
     )
@@ -166,7 +147,7 @@ def drop_repeated_spans(documents: DataFrame, runs: dict[int, int] | None = None
             texts, totals, cuts = [], [], []
             for text, taken_here in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 pieces = sentences(text)
-                gone = covered(pieces, {(t["h1"], t["h2"]) for t in taken_here or ()}, runs, short)
+                gone = covered(pieces, {(t["h1"], t["h2"]) for t in taken_here or ()})
                 cut = int(gone.sum())
                 texts.append("".join(p for p, g in zip(pieces, gone, strict=True) if not g).strip(SPACE) if cut else text)
                 totals.append(len(pieces))
@@ -187,28 +168,29 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH s AS (
-  SELECT doc_id, text, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+$')) AS piece,
-         generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+$'), 1) AS i
+  SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t\r\n\f]*|[^.!?\n]+$'), lambda s:
+    CASE WHEN len(regexp_extract_all(s, '\S+')) <= 20 THEN [s] ELSE flatten(list_transform(regexp_extract_all(s, '[^,;:]*[,;:]+[ \t\r\n\f]*|[^,;:]+$'), lambda c:
+      CASE WHEN len(regexp_extract_all(c, '\S+')) <= 20 THEN [c] ELSE regexp_extract_all(c, '\s*\S+(?:\s+\S+){0,19}\s*') END)) END)) AS pieces
   FROM documents
 ), w AS (
-  SELECT doc_id, i, piece, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS norm FROM s
+  SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM s
 ), v AS (
-  SELECT *, CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1 END AS words FROM w
+  SELECT *, len(regexp_extract_all(piece, '\S+')) AS words, trim(regexp_replace(lower(piece), '\s+', ' ', 'g')) AS norm FROM w
+), u AS (
+  SELECT doc_id, i, norm, words, row_number() OVER d AS j, sum(words) OVER d AS upto FROM v WHERE words > 0
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), met AS (
+  SELECT a.doc_id, a.j AS b, z.j AS e FROM u a JOIN u z ON z.doc_id = a.doc_id AND z.j BETWEEN a.j + 1 AND a.j + 25 AND z.upto - a.upto + a.words >= 25
 ), r AS (
-  SELECT doc_id, i, 1 AS n, norm AS k FROM v WHERE words >= 50
-  UNION ALL
-  SELECT doc_id, i, 2, k FROM (
-    SELECT doc_id, i, norm || chr(31) || lead(norm) OVER d AS k, words + lead(words) OVER d AS c FROM v
-    WINDOW d AS (PARTITION BY doc_id ORDER BY i)) WHERE c >= 30
-  UNION ALL
-  SELECT doc_id, i, 3, k FROM (
-    SELECT doc_id, i, norm || chr(31) || lead(norm) OVER d || chr(31) || lead(norm, 2) OVER d AS k,
-           words + lead(words) OVER d + lead(words, 2) OVER d AS c FROM v
-    WINDOW d AS (PARTITION BY doc_id ORDER BY i)) WHERE c >= 12
+  SELECT doc_id, b, min(e) AS e FROM met GROUP BY doc_id, b
+  UNION SELECT doc_id, max(b) AS b, e FROM met GROUP BY doc_id, e
+), k AS (
+  SELECT r.doc_id, r.b, r.e, min(u.i) AS first, max(u.i) AS last, string_agg(u.norm, chr(31) ORDER BY u.j) AS k
+  FROM r JOIN u ON u.doc_id = r.doc_id AND u.j BETWEEN r.b AND r.e GROUP BY r.doc_id, r.b, r.e
 ), late AS (
-  SELECT doc_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, i) AS o FROM r) WHERE o > 1
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, b) AS o FROM k) WHERE o > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM late
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM late
 ), kept AS (
   SELECT v.doc_id, count(*) AS n_sentences, count(g.i) AS n_removed,
          coalesce(string_agg(piece, '' ORDER BY v.i) FILTER (WHERE g.i IS NULL), '') AS rest
