@@ -11,16 +11,17 @@ link when the Jaccard similarity of their sets is at least ``percent`` per cent.
    shingle go on; their shingles are read once more and written as hashes.
 3. Hubs are compared with the sets that share a shingle with them, as a stream with one set in memory.
    Components of those links are a first labelling: families of near copies mostly end in one.
-4. What is left are shared shingles whose sets have several labels. Each is a cell (one for all shingles
-   with the same sets). In a cell, sets are leaves of a signature tree: nodes hold the OR of token
-   bitmaps, the range of sizes and the largest number of tokens beyond one per bit. A dual traversal
-   drops node pairs whose largest possible overlap is too small, or that are connected already; what
-   remains is counted exactly. Cells beyond ``CELL`` sets or ``CELL_TOKENS`` tokens are laid out as a
-   grid of blocks, one task for each pair of blocks whose sizes and labels leave something to compare.
+4. What is left are shared shingles whose sets have several labels. Sets that a chain of those joins are
+   a cell if they are few; else each shingle (one for all with the same sets) is a cell, so that common
+   lines do not chain the corpus together. In a cell, sets are leaves of a signature tree: nodes hold
+   the OR of token bitmaps, the range of sizes and the largest number of tokens beyond one per bit. A
+   dual traversal drops node pairs whose largest possible overlap is too small, or that are connected
+   already; what remains is counted exactly. Cells beyond ``CELL`` sets or ``CELL_TOKENS`` tokens are
+   laid out as a grid of blocks, one task for each pair of blocks with more than one label.
 
 Every pair that links shares a prefix shingle, so it has one label after step 3 or meets in a cell:
-no link is lost, and cells never join through a chain of shingles. A shingle stands in a prefix only
-of sets that have hardly rarer ones, so a large cell holds texts that are alike almost throughout.
+no link is lost. A shingle stands in a prefix only of sets that have hardly rarer ones, so a large
+cell holds texts that are alike almost throughout.
 Exact copies are one set throughout, so a hot text costs no more than a rare one. Hashes have 64
 bits; a collision of two sets among a billion has a chance of some 3 per cent.
 
@@ -186,29 +187,32 @@ def prefixes(documents: DataFrame, slots: np.ndarray, words: int, percent: int)
 def meetings(prefix: DataFrame) -> DataFrame:
     """(token, set, n, hub): the prefix rows whose token several sets share, with the smallest of those."""
     shared = prefix.groupBy("token").agg(F.min("set").alias("hub"), F.max("set").alias("other")).where("hub <> other")
-    return materialise(prefix.join(shared.select("token", "hub"), "token").distinct(), "meetings")
+    shared = materialise(shared.select("token", "hub"), "shared")  # its size is known to the join that follows
+    met = materialise(prefix.join(shared, "token").distinct(), "meetings")
+    discard(shared)
+    return met
 
 
 def token_lists(documents: DataFrame, rows: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     """(set, tokens): the tokens of each of ``sets``, from one stored row for each."""
-    stand = rows.where("n > 0").groupBy("set").agg(F.min("key").alias("key"))
-    wanted = stand.join(sets, "set").select("key")
+    keys = rows.where("n > 0").groupBy("set", "key").agg(F.count(F.lit(1)).alias("copies"))
+    stand = keys.groupBy("set").agg(F.min(F.struct("key", "copies")).alias("at"))
+    wanted = materialise(stand.join(sets, "set").select("at.key", "at.copies"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(words), set()
+        shingle = Shingler(words)
         for batch in batches:
-            found = {}
-            for text in batch.column(0).to_pylist():
-                tokens = shingle(text)
-                own = set_id(tokens)
-                if own not in seen:
-                    seen.add(own)
-                    found[own] = tokens.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], ["set", "tokens"])
+            found = [shingle(text) for text in batch.column(0).to_pylist()]
+            own, packed = [set_id(t) for t in found], [t.tobytes() for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(packed, pa.binary())], ["set", "tokens"])
 
-    texts = keyed(documents).join(wanted, "key", "left_semi").select("text")
-    # Rows equal in id and text have one key, so tasks may give a set more than once.
-    return materialise(texts.mapInArrow(run, "set long, tokens binary").dropDuplicates(["set"]), "tokens")
+    docs = keyed(documents).select("key", "text")
+    single = docs.join(wanted.where("copies = 1").select("key"), "key", "left_semi")
+    # Rows equal in id and text have one key: one of them stands.
+    several = docs.join(wanted.where("copies > 1").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    lists = materialise(single.unionByName(several).select("text").mapInArrow(run, "set long, tokens binary"), "tokens")
+    discard(wanted)
+    return lists
 
 
 def tokens_from(packed: bytes) -> np.ndarray:
@@ -349,25 +353,31 @@ def link_groups(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 def cells_of(met: DataFrame, labels: DataFrame) -> DataFrame:
     """(cell, low, high, block, set, label): what is left to compare once sets have labels.
 
-    Two sets that share a token were compared if they are all it has, as one is the hub; so a cell has
-    three sets or more, and more than one label.
+    Two sets that share a token were compared if they are all it has, as one is the hub; so an open
+    token has three sets or more, and more than one label.
     """
     marked = met.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-    member = F.xxhash64("set").cast("decimal(20,0)")
     by_token = marked.groupBy("token").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"),
-        F.sum(member).alias("total"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("mix"),
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"), F.min("set").alias("lead"),
+        F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("mix"),
     )
-    open_ = by_token.where("least <> most AND m > 2")
+    open_ = materialise(by_token.where("least <> most AND m > 2").drop("least", "most"), "open")
+    rest = materialise(marked.join(open_.select("token", "lead"), "token").select("token", "set", "n", "label", "lead"), "rest")
+    chains = connected_components(rest.select(F.col("set").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("set"), "root")
+    members = rest.select("set", "n", "label").distinct().join(chains, "set")
+    sized = members.groupBy("root").agg(((F.count(F.lit(1)) <= CELL) & (F.sum("n") <= CELL_TOKENS)).alias("small"))
+    found = materialise(members.join(sized, "root"), "chains")
+    zero = F.lit(0)
+    small = found.where("small").select(F.col("root").alias("cell"), zero.alias("low"), zero.alias("high"), zero.alias("block"), "set", "label")
     # Tokens of the very same sets are one cell.
     one = open_.groupBy("m", "total", "mix").agg(F.min("token").alias("token"), F.max("tokens").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
-    placed = marked.join(one.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = each.select(F.col("token").alias("cell"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "label", "n", "blocks")
-    several = pairs.where("blocks > 1").groupBy("cell", "low", "high").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    same = several.where("x = y").select("cell", "low", "high")  # blocks that are connected throughout
-    return pairs.join(same, ["cell", "low", "high"], "left_anti").drop("n", "blocks")
+    large = rest.join(found.where("NOT small").select("set"), "set", "left_semi").join(one.select("token", blocks.alias("blocks")), "token")
+    placed = large.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    pairs = each.select(F.col("token").alias("cell"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "label")
+    same = pairs.groupBy("cell", "low", "high").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x = y")  # connected throughout
+    return small.unionByName(pairs.join(same.select("cell", "low", "high"), ["cell", "low", "high"], "left_anti"))
 
 
 def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
