@@ -7,16 +7,19 @@
    Nystroem approximation gives the leading eigenvectors, that is the right singular vectors of the
    TF-IDF passages (randomised SVD in a single pass). The benchmark's own passages take part, weighted
    so that their directions are kept.
-2. A second pass counts in windows of two passages the telling terms of each item and maps them into
-   that space. A window that holds ``SHARED`` of an item's terms makes it a candidate, whatever the
-   cosine: a space of ``RANK`` dimensions does not hold the terms of more than about as many items.
-   The cosine is given with each match. Around the window, the longest common subsequence of words
-   with the item and with its answer (the item's last words) decide: a paraphrase keeps the order of
-   most words.
+2. A second pass tells for windows of two passages which of each item's telling terms they hold and
+   maps them into that space. A window that holds ``SHARED`` of the distinct terms of an item's part
+   makes it a candidate, whatever the cosine: a space of ``RANK`` dimensions does not hold the terms
+   of more than about as many items. The cosine is given with each match. Around the window, the
+   longest common subsequence of words with the item and with its answer (the item's last words)
+   decide: a paraphrase keeps the order of most words. So what counts as one are copies with words
+   left out, put in or exchanged, up to about a third of them; a text that says the same in other
+   words altogether is not found.
 
 Terms that no item holds add nothing to a cosine with an item and are left out; so are those in very
-many items. The benchmark is broadcast in blocks of ``ITEMS`` items, each block with a space of its
-own, so memory does not grow with it.
+many items. The benchmark is broadcast in blocks of ``ITEMS`` items, each with a space of its own; up
+to ``TOGETHER`` blocks share the two passes, so memory does not grow with the benchmark. Texts are read
+in pieces of ``WINDOWS`` windows, so it does not grow with them either, but for a text's own words.
 
 Defined results: null and empty texts match nothing, nor do items without words; items of fewer than
 ``SHORT`` words match as whole runs only; equal items match alike; repeated documents are each reported; an empty benchmark or table gives no rows; columns
@@ -28,14 +31,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import batched, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CELL, ITEMS = 32, 1000
+CELL, ITEMS, TOGETHER, WINDOWS = 32, 1000, 8, 256
 RANK, OVERSAMPLE = 96, 16
 SHARED, COPIED, ANSWERED = 0.4, 0.65, 0.6
 SHORT = 8
@@ -76,10 +79,9 @@ class Items:
         vocabulary = {w: i for i, w in enumerate(order)}
         return Items(ids, [np.array([vocabulary[w] for w in t]) for t in texts], vocabulary, len(telling))
 
-    def numbers(self, text: str | None) -> np.ndarray:
-        """The text's words as vocabulary numbers, -1 for others."""
-        found = words_of(text)
-        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int32, len(found))
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """A text's words as vocabulary numbers, -1 for others."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
 
 
 def test_matrix(terms: int, width: int) -> np.ndarray:
@@ -110,50 +112,74 @@ class Sketch:
         self.y[term[by][first]] += np.add.reduceat(parts, first, axis=0)
 
 
-def sketch_corpus(documents: DataFrame, items: Items, width: int) -> Sketch:
-    """The sketch of all documents' passages, added up by ranges of terms."""
-    terms = items.terms
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = Sketch(terms, width)
-        numbers, cells, passages, held = [], [], 0, 0
-        for batch in batches:
-            for text in batch["text"]:
-                found = items.numbers(text)
-                at = np.flatnonzero((found >= 0) & (found < terms))
-                numbers.append(found[at])
-                cells.append(at // CELL + passages)
-                passages += -(-len(found) // CELL)
-                held += len(at)
-                if held > BUFFER:
-                    sketch.add(np.concatenate(numbers), np.concatenate(cells), passages)
-                    numbers, cells, passages, held = [], [], 0, 0
-        if numbers:
-            sketch.add(np.concatenate(numbers), np.concatenate(cells), passages)
-        for i, at in enumerate(range(0, terms, LONG_TERM_CHUNK)):
-            df, y = sketch.df[at : at + LONG_TERM_CHUNK], sketch.y[at : at + LONG_TERM_CHUNK]
-            if sketch.n:
-                yield pd.DataFrame({"chunk": [i], "n": [sketch.n], "df": [df.tobytes()], "y": [y.tobytes()]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for chunk, n, df, y in batch.itertuples(index=False):
-                held = sums.setdefault(chunk, [0, 0, 0])
-                sums[chunk] = [held[0] + n, held[1] + np.frombuffer(df, np.int64), held[2] + np.frombuffer(y)]
-        for chunk, (n, df, y) in sums.items():
-            yield pd.DataFrame({"chunk": [chunk], "n": [n], "df": [df.tobytes()], "y": [y.tobytes()]})
-
-    schema = "chunk int, n long, df binary, y binary"
-    parts = documents.select(F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
-    chunks = -(-terms // LONG_TERM_CHUNK)
-    total = Sketch(terms, width)
-    for row in parts.repartition(min(chunks, 64), "chunk").mapInPandas(add, schema).collect():
-        at = slice(row.chunk * LONG_TERM_CHUNK, (row.chunk + 1) * LONG_TERM_CHUNK)
+class Buffered:
+    """A sketch of one block's terms that takes whole texts and adds them in small buffers."""
+
+    def __init__(self, items: Items, width: int):
+        self.items, self.sketch = items, Sketch(items.terms, width)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.cells, self.passages, self.held = [], [], 0, 0
+
+    def add(self, words: list[bytes]) -> None:
+        found = self.items.numbers(words)
+        at = np.flatnonzero((found >= 0) & (found < self.items.terms))
+        self.numbers.append(found[at])
+        self.cells.append(at // CELL + self.passages)
+        self.passages += -(-len(found) // CELL)
+        self.held += len(at)
+        if self.held > BUFFER:
+            self.flush()
+
+    def flush(self) -> Sketch:
+        if self.numbers:
+            self.sketch.add(np.concatenate(self.numbers), np.concatenate(self.cells), self.passages)
+        self.clear()
+        return self.sketch
+
+
+def sketch_corpus(documents: DataFrame, blocks: list[Items], width: int) -> list[Sketch]:
+    """The sketches of all documents' passages, one a block, added up by ranges of terms; one pass for all."""
+    names = ["block", "chunk", "n", "df", "y"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = [Buffered(items, width) for items in blocks]
+        for texts in batches:
+            for text in texts.column(0).to_pylist():
+                words = words_of(text)
+                for one in open_:
+                    one.add(words)
+        for number, one in enumerate(open_):
+            sketch = one.flush()
+            for i, at in enumerate(range(0, len(sketch.df), LONG_TERM_CHUNK)):
+                df, y = sketch.df[at : at + LONG_TERM_CHUNK], sketch.y[at : at + LONG_TERM_CHUNK]
+                if sketch.n:
+                    yield batch([(number, i, sketch.n, df.tobytes(), y.tobytes())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for part in batches:
+            for number, chunk, n, df, y in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                held = sums.setdefault((number, chunk), [0, 0, 0])
+                sums[number, chunk] = [held[0] + n, held[1] + np.frombuffer(df, np.int64), held[2] + np.frombuffer(y)]
+        for (number, chunk), (n, df, y) in sums.items():
+            yield batch([(number, chunk, n, df.tobytes(), y.tobytes())])
+
+    schema = "block int, chunk int, n long, df binary, y binary"
+    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    chunks = sum(-(-items.terms // LONG_TERM_CHUNK) for items in blocks)
+    totals = [Sketch(items.terms, width) for items in blocks]
+    for row in parts.repartition(max(1, min(chunks, 64)), "block", "chunk").mapInArrow(add, schema).toLocalIterator():
+        at, total = slice(row.chunk * LONG_TERM_CHUNK, (row.chunk + 1) * LONG_TERM_CHUNK), totals[row.block]
         total.df[at] = np.frombuffer(row.df, np.int64)
         total.y[at] = np.frombuffer(row.y).reshape(-1, width)
         total.n = row.n
-    return total
+    return totals
 
 
 def latent_terms(sketch: Sketch, items: Items, rank: int) -> np.ndarray:
@@ -177,16 +203,27 @@ def latent_terms(sketch: Sketch, items: Items, rank: int) -> np.ndarray:
     return (left[:, :rank] * idf[:, None]).astype(np.float32)
 
 
-def passages_of(numbers: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sums of the terms' rows of ``table`` over windows of two neighbouring passages; at least one window."""
-    cells = -(-len(numbers) // CELL)
-    sums = np.zeros((cells + 1, table.shape[1]), table.dtype)
-    at = np.flatnonzero((numbers >= 0) & (numbers < len(table)))
-    if len(at):
-        cell = at // CELL
-        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        sums[cell[begin]] = np.add.reduceat(table[numbers[at]], begin, axis=0, dtype=table.dtype)
-    return sums[: max(1, cells - 1)] + sums[1 : max(2, cells)]
+def windows_in(numbers: np.ndarray, terms: int, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, term) of the telling words in windows ``begin`` to ``end`` of two neighbouring passages, with repeats."""
+    part = numbers[begin * CELL : (end + 1) * CELL]
+    at = np.flatnonzero((part >= 0) & (part < terms))
+    cell, term = at // CELL + begin, part[at]
+    window, term = np.concatenate([cell, cell - 1]), np.concatenate([term, term])
+    inside = (window >= begin) & (window < end)
+    return window[inside] - begin, term[inside]
+
+
+def window_count(numbers: np.ndarray) -> int:
+    return max(1, -(-len(numbers) // CELL) - 1)
+
+
+def sums_by(group: np.ndarray, rows: np.ndarray, groups: int, dtype) -> np.ndarray:
+    """Sums of ``rows`` by ``group``, which ascends."""
+    sums = np.zeros((groups, rows.shape[1]), dtype)
+    if len(group):
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        sums[group[begin]] = np.add.reduceat(rows, begin, axis=0, dtype=dtype)
+    return sums
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -212,10 +249,12 @@ class Matcher:
         self.items, self.latent = items, latent
         vectors, self.owner, self.offset = [], [], []
         for i, words in enumerate(items.words):
-            own = passages_of(words, latent)
-            vectors.append(own)
-            self.owner += [i] * len(own)
-            self.offset += [CELL * k for k in range(len(own))]
+            n = window_count(words)
+            window, term = windows_in(words, items.terms, 0, n)
+            by = np.argsort(window, kind="stable")
+            vectors.append(sums_by(window[by], latent[term[by]], n, latent.dtype))
+            self.owner += [i] * n
+            self.offset += [CELL * k for k in range(n)]
         # Which terms each part of an item holds; a window holds 64 of them at most.
         self.has = np.zeros((items.terms, len(self.owner)), np.uint8)
         for q, (i, at) in enumerate(zip(self.owner, self.offset, strict=True)):
@@ -252,31 +291,39 @@ class Matcher:
         tail = self.tails[item]
         return whole, common_subsequence(self.tail_masks[item], len(tail), region) / len(tail)
 
-    def match(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, float, float, float]]:
-        """(row, item, first word, cosine, lcs, answer) of each contaminated pair."""
-        for base in range(0, len(texts), 64):
-            numbers = [self.items.numbers(t) for t in texts[base : base + 64]]
-            windows = [passages_of(x, self.latent) for x in numbers]
-            shared = np.concatenate([passages_of(x, self.has) for x in numbers])
-            row = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
-            place = np.concatenate([np.arange(len(w)) for w in windows])
-            stacked = unit(np.concatenate(windows))
-            best: dict[tuple[int, int], tuple] = {}
-            for at in range(0, len(stacked), 4096):
-                cosine = stacked[at : at + 4096] @ self.queries.T
-                near = shared[at : at + 4096] >= self.need
-                for w, q in zip(*np.nonzero(near), strict=True):
-                    r, item = int(row[at + w]), self.owner[q]
-                    held = best.get((r, item))
-                    if held and held[2] >= 1:
-                        continue
-                    first = int(place[at + w]) * CELL - self.offset[q]
-                    n = len(self.items.words[item])
-                    lcs, answer = self.check(numbers[r], item, first - CELL, first + max(n, 2 * CELL) + CELL)
-                    if lcs >= COPIED and answer >= ANSWERED and (held is None or lcs > held[2]):
-                        best[r, item] = (max(0, first), float(cosine[w, q]), lcs, answer)
-            for (r, item), found in best.items():
-                yield base + r, self.items.ids[item], *found
+    def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, part) where the window holds enough of the part's distinct terms."""
+        for begin in range(0, window_count(numbers), WINDOWS):
+            end = min(begin + WINDOWS, window_count(numbers))
+            window, term = windows_in(numbers, self.items.terms, begin, end)
+            if len(window):
+                pair = np.unique(window.astype(np.int64) * self.items.terms + term)
+                window, term = np.divmod(pair, self.items.terms)
+                shared = sums_by(window, self.has[term], end - begin, np.uint8)
+                for w, q in zip(*np.nonzero(shared >= self.need), strict=True):
+                    yield begin + int(w), int(q)
+
+    def cosine(self, numbers: np.ndarray, window: int, part: int) -> float:
+        found = numbers[window * CELL : (window + 2) * CELL]
+        vector = self.latent[found[(found >= 0) & (found < self.items.terms)]].sum(axis=0, keepdims=True)
+        return float((unit(vector) @ self.queries[part])[0])
+
+    def match(self, words: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
+        """(item, first word, cosine, lcs, answer) of each item that a text of these words holds."""
+        numbers = self.items.numbers(words)
+        best: dict[int, tuple] = {}
+        for window, part in self.candidates(numbers):
+            item = self.owner[part]
+            held = best.get(item)
+            if held and held[2] >= 1:
+                continue
+            first = window * CELL - self.offset[part]
+            n = len(self.items.words[item])
+            lcs, answer = self.check(numbers, item, first - CELL, first + max(n, 2 * CELL) + CELL)
+            if lcs >= COPIED and answer >= ANSWERED and (held is None or lcs > held[2]):
+                best[item] = (max(0, first), self.cosine(numbers, window, part), lcs, answer)
+        for item, found in best.items():
+            yield self.items.ids[item], *found
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -292,23 +339,23 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, rank: int = RANK) -
     """(doc_id, item_id, start_word, cosine, lcs, answer): documents that hold benchmark items."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "start_word": pa.int64()} | dict.fromkeys(("cosine", "lcs", "answer"), pa.float64())
     found = spark.createDataFrame([], MATCHES)
-    for items in blocks(benchmark):
-        if not items.ids:
-            continue
-        sketch = sketch_corpus(docs, items, rank + OVERSAMPLE)
-        shared = spark.sparkContext.broadcast((items, latent_terms(sketch, items, rank)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            matcher = Matcher(*shared.value)
+    for together in batched((b for b in blocks(benchmark) if b.ids), TOGETHER):
+        sketches = sketch_corpus(docs, together, rank + OVERSAMPLE)
+        shared = spark.sparkContext.broadcast([(b, latent_terms(s, b, rank)) for b, s in zip(together, sketches, strict=True)])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matchers = [Matcher(*one) for one in shared.value]
             for batch in batches:
-                doc_ids = batch["doc_id"].tolist()
-                rows = [(doc_ids[r], *rest) for r, *rest in matcher.match(batch["text"].tolist())]
+                rows = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = words_of(text)
+                    rows += [(doc_id, *hit) for m in matchers for hit in m.match(words)]
                 if rows:
-                    frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "start_word", "cosine", "lcs", "answer"])
-                    yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], [*kinds])
 
-        found = found.unionByName(docs.mapInPandas(run, MATCHES))
+        found = found.unionByName(docs.mapInArrow(run, MATCHES))
     return found
 
 

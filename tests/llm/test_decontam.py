@@ -69,7 +69,10 @@ def test_finds_copies_and_paraphrases_only(spark, monkeypatch):
     found = D.find_matches(docs.repartition(3), items).collect()
     assert {(r.doc_id, r.item_id) for r in found} == truth
     assert sum(r.doc_id == 502 for r in found) == 2
+    assert all(0.5 < r.cosine <= 1.000001 for r in found)
     monkeypatch.setattr(D, "ITEMS", 12)
+    monkeypatch.setattr(D, "TOGETHER", 2)
+    monkeypatch.setattr(D, "WINDOWS", 5)
     assert {(r.doc_id, r.item_id) for r in D.find_matches(docs, items).collect()} == truth
 
 
@@ -85,7 +88,34 @@ def test_items_that_the_space_does_not_hold_are_found():
     items = D.Items.of([(i, " ".join(t)) for i, t in enumerate(texts)])
     docs = [" ".join(["my", "own"] * 25 + t + ["words"] * 50) for t in texts]
     matcher = D.Matcher(items, np.zeros((items.terms, 4), np.float32))
-    assert {(row, item) for row, item, *_ in matcher.match(docs)} == {(i, i) for i in range(1000)}
+    assert {(i, item) for i, doc in enumerate(docs) for item, *_ in matcher.match(D.words_of(doc))} == {(i, i) for i in range(1000)}
+
+
+def test_candidates_miss_hardly_a_paraphrase():
+    """Against the longest common subsequence of every document with every item, edits of all strengths."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 400
+    texts = [rng.choices(vocabulary, k=rng.randrange(20, 60)) for _ in range(60)]
+    items = D.Items.of([(i, " ".join(t)) for i, t in enumerate(texts)])
+    matcher = D.Matcher(items, np.zeros((items.terms, 4), np.float32))
+    real = met = 0
+    for i, t in enumerate(texts * 4):
+        rate = rng.uniform(0, 0.4)
+        edited = [rng.choice(vocabulary) if rng.random() < rate / 2 else w for w in t if rng.random() > rate / 2]
+        doc = rng.choices(vocabulary, k=rng.randrange(200)) + edited + rng.choices(vocabulary, k=rng.randrange(200))
+        numbers = items.numbers([w.encode() for w in doc])
+        near = {matcher.owner[q] for _, q in matcher.candidates(numbers)}
+        if lcs(edited, texts[i % 60]) >= D.COPIED * len(texts[i % 60]):
+            real += 1
+            met += i % 60 in near
+    assert real > 150 and met >= 0.98 * real
+
+
+def test_large_ids_survive_null_ids_and_long_texts(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = [(2**53 + 1, "x " + item), (None, "nothing here"), (2**53 + 3, "pad " * 200_000 + item + " pad" * 200_000)]
+    found = D.find_matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame([(2**53 + 5, item)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(2**53 + 1, 2**53 + 5), (2**53 + 3, 2**53 + 5)}
 
 
 def test_repeated_benchmark_rows_are_one_item(spark):
