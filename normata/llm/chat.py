@@ -128,15 +128,41 @@ def read_back(formatted: Column) -> Column:
     )
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
-    """Render a table of whole turns (conv_id, turn, role, text), each one ``message`` event.
+def streamed(conversations: DataFrame) -> DataFrame:
+    """The event log of a table of whole turns (conv_id, turn, role, text), as a chat service would stream them.
 
+    A turn's text comes in two deltas. By turns, it follows its start at once, or an edit of a draft, or
+    (of the assistant) a draft that is generated again, which drops the user's reply to the draft.
     Rows with equal turn stay apart, in the order of role and text.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    events = conversations.select("conv_id", "turn", "role", "text").withColumn("seq", F.row_number().over(order))
-    log = events.select("conv_id", "seq", F.col("seq").alias("msg_id"), F.lit("message").alias("kind"), "role", "text")
-    return render(fold_events(log))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    turns = conversations.select("conv_id", "turn", "role", text.alias("text")).withColumn("at", F.row_number().over(order))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.left("text", half), F.substr(F.col("text"), half + 1)
+    draft = F.lit("a draft")
+
+    def event(seq: int, msg: int, kind: str, said: Column, role: Column | None = None) -> Column:
+        return F.struct(
+            (F.col("at") * 8 + seq).cast("long").alias("seq"), (F.col("at") * 2 + msg).cast("long").alias("msg_id"),
+            F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role.cast("string")).alias("role"), said.alias("text"),
+        )
+
+    own, user = F.col("role"), F.lit("user")
+    plain = F.array(event(0, 0, "message", F.lit(""), own), event(1, 0, "delta", first), event(2, 0, "delta", rest))
+    edited = F.array(event(0, 0, "message", draft, own), event(1, 0, "edit", first), event(2, 0, "delta", rest))
+    again = F.array(
+        event(0, 0, "message", F.lit(""), own), event(1, 0, "delta", draft), event(2, 1, "message", F.lit("try again"), user),
+        event(3, 0, "regenerate", first), event(4, 0, "delta", rest),
+    )
+    by = F.pmod(F.col("at"), F.lit(3))
+    log = F.when(by == 0, plain).when((by == 2) & (own == "assistant"), again).otherwise(edited)
+    return turns.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
+
+
+def format_conversations(conversations: DataFrame) -> DataFrame:
+    """Render a table of whole turns from the event log that streams them."""
+    return render(fold_events(streamed(conversations)))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

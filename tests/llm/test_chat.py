@@ -53,3 +53,13 @@ def test_query_digests(spark, tmp_path):
     assert out[0].turns_sha256 == sha("user\nq\nassistant\na\nassistant\nb\\\n") and out[0].n_turns == 3
     assert (out[0].loss_chars, out[0].loss_sha256) == (3, sha("ab\\"))
     assert out[-1].loss_sha256 == sha("<|im_end|><|im_start|>assistant ok")
+
+
+def test_streamed_log_folds_back_to_the_turns(spark):
+    rows = [(c, t, r, x) for c in (1, None) for t, (r, x) in enumerate([("user", "hi"), ("assistant", None), ("user", "a" * 9), ("assistant", "<|x|> é中"), ("assistant", "é"), (None, "z")] * 3)]
+    table = spark.createDataFrame(rows + rows[:2], "conv_id long, turn int, role string, text string").selectExpr("*", "1 AS seq", "2 AS at")
+    log = C.streamed(table)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = C.fold_events(log).orderBy("conv_id", "msg_id").collect()
+    got = sorted((str(r.conv_id), r.role, r.text) for r in folded)
+    assert got == sorted((str(c), r or "", x or "") for c, _, r, x in rows + rows[:2])
