@@ -6,9 +6,10 @@ link when the Jaccard similarity of their sets is at least ``percent`` per cent.
 1. One pass over the texts gives each row's set size and set hash, and how often shingles fall in
    each slot of a fixed table, which orders shingles from rare to frequent.
 2. Sets that can link share one of their rarest shingles (a prefix that leaves less than the needed
-   overlap). A second pass sends the prefixes, once per set and task, to their shingle, where an
-   aggregation tells shared shingles and the smallest set of each, its hub. Only sets with a shared
-   shingle go on; their shingles are read once more and written as hashes.
+   overlap). A second pass sends the prefixes, once per set and task, to their shingle, in order, where
+   a stream tells shared shingles and the smallest set of each, its hub. Shingles of over ``HOT`` of
+   all rows, which the slots show, are dealt to many tasks and aggregated instead. Only sets with a
+   shared shingle go on; their shingles are read once more and written as hashes.
 3. Hubs are compared with the sets that share a shingle with them, as a stream with one set in memory.
    Components of those links are a first labelling: families of near copies mostly end in one.
 4. What is left are shared shingles whose sets have several labels. Sets that a chain of those joins are
@@ -39,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ from normata.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 SLOT_BITS, CHUNKS = 22, 16
+#: Share of all rows from which a slot is hot, and the tasks that its tokens are dealt to.
+HOT, SALTS = 0.01, 64
 BITMAP_WORDS = 64  # of 64 bits
 CELL, CELL_TOKENS, LEAF, FANOUT = 1500, 4_000_000, 24, 8
 ROW_SCHEMA = "key long, doc_id long, n long, set long, chunk int, counts binary"
@@ -112,7 +116,7 @@ def describe(documents: DataFrame, words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, slots = Shingler(words), np.zeros(1 << SLOT_BITS, np.uint8)
+        shingle, slots = Shingler(words), np.zeros(1 << SLOT_BITS, np.uint16)
         for batch in batches:
             sizes, ids = [], []
             for text in batch.column("text").to_pylist():
@@ -120,7 +124,7 @@ def describe(documents: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(tokens))
                 ids.append(set_id(tokens))
                 at = slot_of(tokens)
-                slots[at] += slots[at] < 255
+                slots[at] += slots[at] < 65535
             m = len(sizes)
             yield batch_of(batch.column("key"), batch.column("doc_id"), sizes, ids, [-1] * m, [None] * m)  # ids stay as they are
         for i, piece in enumerate(np.split(slots, CHUNKS)):
@@ -134,33 +138,35 @@ def slot_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def slot_counts(described: DataFrame) -> np.ndarray:
-    """Sum of the tasks' slot counts: a table of fixed size (8 MB), so it may be broadcast."""
+    """Sum of the tasks' slot counts: a table of fixed size (16 MB), so it may be broadcast."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                piece = np.frombuffer(zlib.decompress(counts), np.uint8)
-                sums[chunk] = sums.get(chunk, 0) + piece.astype(np.uint32)
+                piece = np.frombuffer(zlib.decompress(counts), np.uint16)
+                sums[chunk] = sums.get(chunk, 0) + piece.astype(np.uint64)
         for chunk, total in sums.items():
-            packed = np.minimum(total, 65535).astype(np.uint16).tobytes()
+            packed = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"])
 
     pieces = described.where("chunk >= 0").select("chunk", "counts").repartition(CHUNKS, "chunk")
     rows = sorted((r.chunk, r.counts) for r in pieces.mapInArrow(add, "chunk int, counts binary").collect())
     if not rows:
-        return np.zeros(1 << SLOT_BITS, np.uint16)
-    return np.concatenate([np.frombuffer(c, np.uint16) for _, c in rows])
+        return np.zeros(1 << SLOT_BITS, np.uint32)
+    return np.concatenate([np.frombuffer(c, np.uint32) for _, c in rows])
 
 
-def prefixes(documents: DataFrame, slots: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, set, n): the rarest tokens of each set, as many as any link must touch; written, as two readers follow."""
-    shared = documents.sparkSession.sparkContext.broadcast(slots)
+def prefixes(documents: DataFrame, slots: Broadcast, hot: int, words: int, percent: int) -> DataFrame:
+    """(token, salt, set): the rarest tokens of each set, as many as any link must touch.
+
+    ``salt`` is 0, but for tokens of a slot with ``hot`` rows or more one of the numbers from 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, counts = Shingler(words), set(), shared.value
+        shingle, seen, counts = Shingler(words), set(), slots.value
         for batch in batches:
-            tokens_out, sets_out, sizes_out = [], [], []
+            tokens_out, salts_out, sets_out = [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle(text)
                 n, own = len(tokens), set_id(tokens)
@@ -168,29 +174,50 @@ def prefixes(documents: DataFrame, slots: np.ndarray, words: int, percent: int)
                     continue
                 seen.add(own)
                 length = n - -(-percent * n // 100) + 1
-                rank = np.lexsort((tokens, counts[slot_of(tokens)]))[:length]
+                often = counts[slot_of(tokens)]
+                rank = np.lexsort((tokens, often))[:length]
                 tokens_out.append(signed(tokens[rank]))
+                salts_out.append(np.where(often[rank] >= hot, 1 + own % SALTS, 0).astype(np.int32))
                 sets_out.append(np.full(length, own))
-                sizes_out.append(np.full(length, n, np.int32))
             if tokens_out:
-                kinds = (pa.int64(), pa.int64(), pa.int32())
-                arrays = [pa.array(np.concatenate(x), k) for x, k in zip((tokens_out, sets_out, sizes_out), kinds, strict=True)]
-                whole = pa.RecordBatch.from_arrays(arrays, ["token", "set", "n"])
+                kinds = (pa.int64(), pa.int32(), pa.int64())
+                arrays = [pa.array(np.concatenate(x), k) for x, k in zip((tokens_out, salts_out, sets_out), kinds, strict=True)]
+                whole = pa.RecordBatch.from_arrays(arrays, ["token", "salt", "set"])
                 for at in range(0, len(whole), 100_000):
                     yield whole.slice(at, 100_000)
 
-    found = materialise(documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, set long, n int"), "prefixes")
-    shared.destroy()
-    return found
+    return documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, salt int, set long")
 
 
 def meetings(prefix: DataFrame) -> DataFrame:
-    """(token, set, n, hub): the prefix rows whose token several sets share, with the smallest of those."""
-    shared = prefix.groupBy("token").agg(F.min("set").alias("hub"), F.max("set").alias("other")).where("hub <> other")
-    shared = materialise(shared.select("token", "hub"), "shared")  # its size is known to the join that follows
-    met = materialise(prefix.join(shared, "token").distinct(), "meetings")
-    discard(shared)
-    return met
+    """(token, set, hub): the prefix rows whose token several sets share, with the smallest of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None, None, None)  # token, salt, hub and set of the row before
+        for batch in batches:
+            token, salt, own = (c.to_numpy() for c in batch.columns)
+            if not len(token):
+                continue
+            begins = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
+            hub, before = own[first], np.append(own[0], own[:-1])
+            if (token[0], salt[0]) == last[:2]:
+                hub[first == 0], before[0], begins[0] = last[2], last[3], False
+            fresh = begins | (own != before)  # no repeat of the row before
+            other = fresh & (own != hub) & (salt == 0)
+            second = other & (before == hub)
+            hot = fresh & (salt != 0)
+            columns = (token[second], token[other], token[hot]), (hub[second], own[other], own[hot]), (hub[second], hub[other], own[hot])
+            arrays = [pa.array(np.concatenate(c), pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.repeat([0, 1], [len(arrays[0]) - hot.sum(), hot.sum()]), pa.int32())], ["token", "set", "hub", "hot"])
+            last = (token[-1], salt[-1], hub[-1], own[-1])
+
+    dealt = prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "set")
+    met = materialise(dealt.mapInArrow(run, "token long, set long, hub long, hot int"), "meetings")
+    hot = met.where("hot = 1").select("token", "set")
+    shared = materialise(hot.groupBy("token").agg(F.min("set").alias("hub"), F.max("set").alias("other")).where("hub <> other"), "hubs")
+    more = hot.join(shared.select("token", "hub"), "token").select("token", "set", "hub")  # a join that Spark can split
+    return met.where("hot = 0").select("token", "set", "hub").unionByName(more)
 
 
 def token_lists(documents: DataFrame, rows: DataFrame, sets: DataFrame, words: int) -> DataFrame:
@@ -350,7 +377,7 @@ def link_groups(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
     return labels
 
 
-def cells_of(met: DataFrame, labels: DataFrame) -> DataFrame:
+def cells_of(met: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """(cell, low, high, block, set, label): what is left to compare once sets have labels.
 
     Two sets that share a token were compared if they are all it has, as one is the hub; so an open
@@ -358,21 +385,22 @@ def cells_of(met: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marked = met.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     by_token = marked.groupBy("token").agg(
-        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"), F.min("set").alias("lead"),
+        F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("m"), F.min("set").alias("lead"),
         F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("mix"),
     )
     open_ = materialise(by_token.where("least <> most AND m > 2").drop("least", "most"), "open")
-    rest = materialise(marked.join(open_.select("token", "lead"), "token").select("token", "set", "n", "label", "lead"), "rest")
+    rest = materialise(marked.join(open_.select("token", "lead"), "token").select("token", "set", "label", "lead"), "rest")
     chains = connected_components(rest.select(F.col("set").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("set"), "root")
-    members = rest.select("set", "n", "label").distinct().join(chains, "set")
+    members = rest.select("set", "label").distinct().join(chains, "set").join(sizes, "set")
     sized = members.groupBy("root").agg(((F.count(F.lit(1)) <= CELL) & (F.sum("n") <= CELL_TOKENS)).alias("small"))
     found = materialise(members.join(sized, "root"), "chains")
     zero = F.lit(0)
     small = found.where("small").select(F.col("root").alias("cell"), zero.alias("low"), zero.alias("high"), zero.alias("block"), "set", "label")
     # Tokens of the very same sets are one cell.
-    one = open_.groupBy("m", "total", "mix").agg(F.min("token").alias("token"), F.max("tokens").alias("tokens"))
-    blocks = F.greatest(F.ceil(F.col("m") / CELL), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
-    large = rest.join(found.where("NOT small").select("set"), "set", "left_semi").join(one.select("token", blocks.alias("blocks")), "token")
+    one = open_.groupBy("m", "total", "mix").agg(F.min("token").alias("token")).select("token")
+    large = rest.select("token", "set", "label").join(found.where("NOT small").select("set", "n"), "set").join(one, "token")
+    sums = large.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n") / CELL_TOKENS)).cast("int").alias("blocks"))
+    large = large.join(sums, "token")
     placed = large.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     each = placed.withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     pairs = each.select(F.col("token").alias("cell"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "set", "label")
@@ -414,16 +442,16 @@ def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def set_labels(documents: DataFrame, rows: DataFrame, words: int, percent: int, slots: np.ndarray) -> DataFrame:
+def set_labels(documents: DataFrame, rows: DataFrame, slots: np.ndarray, words: int, percent: int) -> DataFrame:
     """(set, label): the component of each set that links with another."""
-    prefix = prefixes(documents, slots, words, percent)
-    met = meetings(prefix)
-    discard(prefix)
+    shared = documents.sparkSession.sparkContext.broadcast(slots)
+    met = meetings(prefixes(documents, shared, max(3, int(HOT * rows.count())), words, percent))
+    shared.destroy()
     lists = token_lists(documents, rows, met.select("set").distinct(), words)
     first = materialise(connected_components(hub_links(met, lists, percent)).select(F.col("node").alias("set"), F.col("root").alias("label")), "labels")
-    more = materialise(verified(cells_of(met, first), lists, percent), "links")
-    for table in (met, lists):
-        discard(table)
+    sizes = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"))
+    more = materialise(verified(cells_of(met, first, sizes), lists, percent), "links")
+    discard(lists)
     if more.isEmpty():
         return first
     edges = first.select(F.col("set").alias("a"), F.col("label").alias("b")).unionByName(more)
@@ -434,7 +462,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     """(key, doc_id, n_shingles, component_id, first): ``first`` marks one row key of each component."""
     described = materialise(describe(documents, words), "sets")
     rows = described.where("chunk < 0").select("key", "doc_id", "n", "set")
-    labels = set_labels(documents, rows, words, percent, slot_counts(described))
+    labels = set_labels(documents, rows, slot_counts(described), words, percent)
     named = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("lead"))
     labelled = named.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("lead").alias("lead"))

@@ -74,8 +74,9 @@ def test_families_that_the_hub_does_not_join(spark, monkeypatch):
     docs += [(100 + i, " ".join(words[:95] + [f"x{i}"] * (i % 9))) for i in range(30)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     want = sorted(brute(docs), key=str)
-    for cell in (J.CELL, 3):
+    for cell, hot in ((J.CELL, J.HOT), (3, 0.9), (J.CELL, 0.0)):  # hot 0: tokens of three rows are dealt out
         monkeypatch.setattr(J, "CELL", cell)
+        monkeypatch.setattr(J, "HOT", hot)
         got = [(r.doc_id, r.n_shingles, r.component_id) for r in J.near_duplicates(table).collect()]
         assert sorted(got, key=str) == want
 
