@@ -22,8 +22,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = materialise(small_star(large_star(now)), "edges")
         discard(now)
         now = after
-    roots = now.select(F.col("b").alias("a"), "b")
-    return now.union(roots).distinct().select(F.col("a").alias("node"), F.col("b").alias("root"))
+    every = now.union(now.select("b", "b"))  # a node may have an edge to itself and one to its root
+    return every.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
 def is_forest(edges: DataFrame) -> bool:

@@ -117,3 +117,5 @@ def test_components(spark):
     assert {found[i] for i in range(21)} == {0} and {found[i] for i in (100, 150, 200)} == {100}
     assert {found[i] for i in range(300, 340)} == {300}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    stars = connected_components(spark.createDataFrame([(5, 5), (5, 3), (3, 3), (9, 9)], "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in stars) == [(3, 3), (5, 3), (9, 9)]
