@@ -2,10 +2,10 @@
 
 Each partition is one stream of documents. A document's ids are cut into full windows and a
 remainder; the remainder goes to the fill level that minimises the sum over levels of the squared
-number of partially filled windows at that level (a level array holds the counts). At the end of the
-stream, or when too many windows are open, what lies in the open windows is laid end to end and cut
-anew, so that only the very last sequence of a partition may fall short; it is cut into powers of
-two, which need no padding.
+number of partially filled windows at that level (a level array holds the counts). When too many
+windows are open, and at the end of the stream, the fullest is filled from the emptiest, piece by piece,
+which leaves all others as they are. So only the very last sequence of a partition may fall short; it is
+cut into powers of two, which need no padding.
 
 Defined results: null text counts as empty and is the end id alone; an empty table gives no rows;
 repeated rows are packed once each; columns other than doc_id and text are ignored; a document of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 4096
 END_ID = 2
-#: Open windows of one stream; beyond it they are cut anew, which bounds memory at 64 MB of ids.
+#: Open windows of one stream; beyond it the emptiest goes, which bounds memory at 64 MB of ids.
 MAX_OPEN = 4096
 VOCABULARY = "word_bpe_49k.json"
 SCHEMA = (
@@ -131,44 +131,61 @@ class SumOfSquares:
             yield [piece]
             return
         level = self.level_for(n)
-        window = self.levels[level].pop() if level else []
+        window = self.take(level) if level else []
         window.append(piece)
-        if level:
-            self.count[level] -= 1
-            self.open -= 1
         if level + n == self.size:
             yield window
             return
-        self.levels.setdefault(level + n, []).append(window)
-        self.count[level + n] += 1
+        self.put(level + n, window)
+        yield from self.merge(self.max_open)
+
+    def take(self, level: int) -> list:
+        self.count[level] -= 1
+        self.open -= 1
+        return self.levels[level].pop()
+
+    def put(self, level: int, window: list) -> None:
+        self.levels.setdefault(level, []).append(window)
+        self.count[level] += 1
         self.open += 1
-        if self.open > self.max_open:
-            yield from self.recut(last=False)
-
-    def recut(self, last: bool) -> Iterator[list]:
-        """Lay the open windows' pieces end to end and cut at ``size``; the last cut at powers of two."""
-        left = [p for level in sorted(self.levels, reverse=True) for window in self.levels[level] for p in window]
-        self.levels, self.open = {}, 0
-        self.count[:] = 0
-        room = self.size
+
+    def merge(self, most: int) -> Iterator[list]:
+        """Fill the fullest window from the emptiest one until ``most`` are open."""
+        while self.open > most:
+            levels = np.flatnonzero(self.count)
+            low, high = int(levels[0]), int(levels[-1])
+            window, rest = self.take(high), self.take(low)
+            room = self.size - high
+            left = []
+            for key, start, ids in rest:
+                n = min(room, len(ids) // 4)
+                if n:
+                    window.append((key, start, ids[: 4 * n]))
+                    room -= n
+                if 4 * n < len(ids):
+                    left.append((key, start + n, ids[4 * n :]))
+            if room:
+                self.put(self.size - room, window)
+            else:
+                yield window
+            if left:
+                self.put(sum(len(p[2]) for p in left) // 4, left)
+
+    def close(self) -> Iterator[list]:
+        """Fill what can be filled; the rest, one window, is cut at powers of two."""
+        yield from self.merge(1)
+        left = [p for windows in self.levels.values() for window in windows for p in window]
         total = sum(len(p[2]) // 4 for p in left)
-        window: list = []
+        room, window = 0, []
         for key, start, ids in left:
             while ids:
-                if not window:
-                    room = self.size if total >= self.size else 1 << (total.bit_length() - 1) if last else self.size
-                take = ids[: 4 * room]
-                window.append((key, start, take))
-                n = len(take) // 4
+                room = room or 1 << (total.bit_length() - 1)
+                n = min(room, len(ids) // 4)
+                window.append((key, start, ids[: 4 * n]))
                 start, ids, room, total = start + n, ids[4 * n :], room - n, total - n
                 if not room:
                     yield window
                     window = []
-        if window:  # only when more is to come
-            n = self.size - room
-            self.levels[n] = [window]
-            self.count[n] += 1
-            self.open = 1
 
 
 def pack(documents: Iterable[tuple[int | None, bytes]], size: int = WINDOW, max_open: int = MAX_OPEN) -> Iterator[list[tuple]]:
@@ -178,7 +195,7 @@ def pack(documents: Iterable[tuple[int | None, bytes]], size: int = WINDOW, max_
         key = (doc_id, len(ids) // 4)
         for at in range(0, len(ids), 4 * size):
             yield from packer.add((key, at // 4, ids[at : at + 4 * size]))
-    yield from packer.recut(last=True)
+    yield from packer.close()
 
 
 def pack_documents(documents: DataFrame, vocabulary: str, size: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -10,8 +10,8 @@ ranges. Each range is ranked on its own and shifted by the sizes of those before
 per range reaches the driver.
 
 Defined results: null text has 0 bytes and no CRC input (that of the empty text); null metadata takes
-cell 0; repeated rows are ranked apart; an empty table gives no rows; columns other than doc_id,
-text and the dimensions are ignored; with fewer rows than shards some shards stay empty.
+cell 0; repeated rows are ranked apart; an empty table gives no rows; other columns pass through, but ones
+named ``shard`` or ``slot`` are replaced; with fewer rows than shards some shards stay empty.
 """
 
 from __future__ import annotations
@@ -67,37 +67,33 @@ def name_cell(name: Column, bits: int) -> Column:
 
 
 def with_curve(df: DataFrame, cells: list[Column], bits: int = BITS) -> DataFrame:
-    """``df`` with the curve index of ``cells`` as column ``curve`` at the end."""
+    """``df`` with the curve index of ``cells`` as column ``__curve`` at the end."""
 
     @F.pandas_udf("long")
     def curve(grid: pd.DataFrame) -> pd.Series:
         return pd.Series(hilbert_index(grid.fillna(0).to_numpy(), bits))
 
     named = [F.coalesce(c, F.lit(0)).alias(f"c{i}") for i, c in enumerate(cells)]
-    return df.withColumn("curve", curve(F.struct(*named)))
+    return df.withColumn("__curve", curve(F.struct(*named)))
 
 
 def shard_by_curve(rows: DataFrame, tie: list[str], shards: int = SHARDS) -> DataFrame:
-    """``rows`` (with ``curve``) plus ``shard`` and ``slot``; shard sizes differ by one at most."""
-    salted = rows.withColumn("salt", F.xxhash64(*tie, F.monotonically_increasing_id()))
-    ranged = salted.repartitionByRange("curve", "salt").withColumn("part", F.spark_partition_id())
+    """``rows`` (with ``__curve``, which goes) plus ``shard`` and ``slot``; shard sizes differ by one at most."""
+    salted = rows.drop("shard", "slot").withColumn("__salt", F.xxhash64(*tie, F.monotonically_increasing_id()))
+    ranged = salted.repartitionByRange("__curve", "__salt").withColumn("__part", F.spark_partition_id())
     kept = materialise(ranged, "shards")
-    sizes = {r.part: r.n for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["__part"]: r["n"] for r in kept.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, parts = sum(sizes.values()), sorted(sizes)
     before = dict(zip(parts, accumulate([0, *(sizes[p] for p in parts)]), strict=False))
+    inner = ("__part", "__salt", "__curve", "__position", "__before")
     if not total:
-        return kept.drop("part", "salt", "curve").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    offsets = rows.sparkSession.createDataFrame([(p, before[p]) for p in parts], "part int, before long")  # a row per range
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("curve", "salt")) - 1 + F.col("before")
-    shard = F.expr(f"CAST(((position + 1) * {shards} - 1) div {total} AS INT)")
+        return kept.drop(*inner).withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    offsets = rows.sparkSession.createDataFrame([(p, before[p]) for p in parts], "__part int, __before long")  # a row per range
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy("__curve", "__salt")) - 1 + F.col("__before")
+    shard = F.expr(f"CAST(((__position + 1) * {shards} - 1) div {total} AS INT)")
     first = F.expr(f"(shard * {total}L) div {shards}")
-    return (
-        kept.join(F.broadcast(offsets), "part")
-        .withColumn("position", rank.cast("long"))
-        .withColumn("shard", shard)
-        .withColumn("slot", F.col("position") - first)
-        .drop("part", "salt", "curve", "position", "before")
-    )
+    placed = kept.join(F.broadcast(offsets), "__part").withColumn("__position", rank.cast("long")).withColumn("shard", shard)
+    return placed.withColumn("slot", F.col("__position") - first).drop(*inner)
 
 
 def write_shards(df: DataFrame, cells: list[Column], tie: list[str], path: str, shards: int = SHARDS) -> None:

@@ -78,3 +78,12 @@ def test_spark_rows(spark):
             assert r.offset == at
             at += r.length
         assert at == pieces[0].sequence_length <= 4096
+
+
+def test_a_full_array_leaves_the_other_windows_alone():
+    packer = P.SumOfSquares(100, 10)
+    for i in range(10):
+        list(packer.add((i, 0, b"\0" * 4 * (60 + i))))
+    out = list(packer.add((10, 0, b"\0" * 4 * 59)))
+    assert len(out) == 1 and [p[0] for p in out[0]] == [9, 10] and packer.open == 10
+    assert sorted(np.flatnonzero(packer.count)) == [28, *range(60, 69)]

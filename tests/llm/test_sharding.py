@@ -45,3 +45,17 @@ def test_written_shards_prune_by_metadata(spark, tmp_path):
         F.countDistinct("a").alias("a"), F.countDistinct("b").alias("b")
     )
     assert boxes.count() == 16 and max(max(r.a, r.b) for r in boxes.collect()) <= 16
+
+
+def test_order_is_that_of_a_plain_sort_and_columns_pass(spark):
+    rng = np.random.default_rng(2)
+    grid = rng.integers(0, 64, (700, 3))
+    rows = [(i, *map(int, g), "mine", "own", 9) for i, g in enumerate(grid)]
+    df = spark.createDataFrame(rows, "id long, a int, b int, c int, salt string, part string, shard int")
+    out = S.shard_by_curve(S.with_curve(df.repartition(5), [F.col(x) for x in "abc"]), ["id"], 9).collect()
+    index = dict(enumerate(S.hilbert_index(grid, S.BITS)))
+    order = [index[r.id] for r in sorted(out, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(index.values())
+    assert set(out[0].asDict()) == {"id", "a", "b", "c", "salt", "part", "shard", "slot"} and {r.salt for r in out} == {"mine"}
+    long = spark.createDataFrame([(1, "x" * 3_000_000), (2, None)], "id long, text string")
+    assert S.shard_by_curve(S.with_curve(long, [S.log_cell(F.octet_length("text"), S.BITS)]), ["id"]).count() == 2

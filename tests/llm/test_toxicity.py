@@ -9,6 +9,32 @@ def test_fold_undoes_disguises():
     assert T.fold(None) == ""
 
 
+def test_every_letter_of_a_word_may_be_disguised():
+    words = ["idiot", "loser", "scab", "hate", "kill"]
+    lexicon = T.Lexicon({w: 1.0 for w in words}, exceptions=())
+    signs = {"o": "0", "i": "1", "l": "1", "e": "3", "a": "4", "s": "5", "t": "7", "b": "8"}
+    for word in words:
+        for i, c in enumerate(word):
+            if c in signs:
+                said = f"you {word[:i]}{signs[c]}{word[i + 1:]}, indeed"
+                assert lexicon.inputs(said)[0] == 1.0, said
+    assert lexicon.inputs("ki11 and 1oser")[0] == 1.0 and lexicon.hits(*T.readings("ki11 and 1oser")) == (2.0, 2)
+    assert T.fold("wow!!! $$$ a$$") == "wow!!! $$$ a$$"
+    assert lexicon.inputs("in 1989, 100 of 7, a 4th and 2nd")[0] == 0.0
+
+
+def test_phrases_of_clean_documents_are_excused(spark):
+    rows = [(i, f"good day {i} reader a word") for i in range(60)]
+    rows += [(100 + i, f"you clod number {i} go away") for i in range(40)] + [(200 + i, f"a clod crusher {i} for the field") for i in range(3)]
+    sample = spark.createDataFrame([(i, int(100 <= i < 200), t) for i, t in rows], "doc_id long, label int, text string")
+    weights = T.learn_terms(sample)
+    assert "clod" in weights
+    phrases = T.learn_exceptions(sample, weights)
+    assert "clod crusher" in phrases and "you clod" not in phrases
+    lexicon = T.Lexicon(weights, tuple(phrases))
+    assert lexicon.inputs("a clod crusher stands there")[0] == 0.0 and lexicon.inputs("such a clod")[0] == 1.0
+
+
 def test_matches_whole_words_and_beginnings():
     lexicon = T.Lexicon({"scum": 3.0, "idio*": 2.0, "idiot": 2.5}, exceptions=("scum line",))
     assert lexicon.hits(T.fold("Scum!")) == (3.0, 1)
@@ -44,7 +70,8 @@ def test_learns_from_training_rows_only(spark):
     rows = [(i, f"{words[i % 5]} {words[i % 3]} {'numbskull here' if i % 4 == 0 else 'reader here'} number") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0D AS score")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
-    lexicon = T.fit(spark, docs, labels)
+    strange = spark.createDataFrame([(1, 7), (2, -1), (None, 1), (3, None)], "doc_id long, toxic int")
+    lexicon = T.fit(spark, docs, labels.unionByName(strange))
     out = T.with_scores(docs.select("doc_id", "text"), lexicon).collect()
     held = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
     assert held and all((r.score >= T.CUT) == (r.doc_id % 4 == 0) for r in held)
