@@ -251,13 +251,11 @@ def hub_links(met: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
     A hub's sets stream by it; those of a hot hub are dealt to several tasks.
     """
-    pairs = met.where("set <> hub").select("hub", "set").distinct()
+    pairs = materialise(met.where("set <> hub").select("hub", "set").distinct(), "pairs")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
-    salted = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
-    near = salted.join(lists, "set").select("hub", "part", F.lit(1).alias("kind"), "set", "tokens")
-    hubs = parts.join(lists.withColumnRenamed("set", "hub"), "hub").select(
-        "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("set"), "tokens"
-    )
+    near = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "set")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("set"))
+    asked = materialise(near.unionByName(hubs), "asked")  # its size is known to the join with the much longer rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, np.zeros(0, np.uint64)
@@ -276,7 +274,7 @@ def hub_links(met: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
                         b.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = near.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    dealt = lists.join(asked, "set").repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -438,7 +436,7 @@ def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
                 held.append((block, own, label, tokens_from(packed)))
         yield close()
 
-    dealt = cells.join(lists, "set").repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+    dealt = lists.join(cells, "set").repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -450,7 +448,7 @@ def set_labels(documents: DataFrame, rows: DataFrame, slots: np.ndarray, words:
     lists = token_lists(documents, rows, met.select("set").distinct(), words)
     first = materialise(connected_components(hub_links(met, lists, percent)).select(F.col("node").alias("set"), F.col("root").alias("label")), "labels")
     sizes = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"))
-    more = materialise(verified(cells_of(met, first, sizes), lists, percent), "links")
+    more = materialise(verified(materialise(cells_of(met, first, sizes), "cells"), lists, percent), "links")
     discard(lists)
     if more.isEmpty():
         return first
