@@ -8,61 +8,82 @@ from normata.operators import chunking as C
 from normata.operators import relations as L
 
 
-def read(text, name="Ley Uno", strict=False):
-    return C.Reader(name, strict).read(text)
+def read(spark, text, name="Ley Uno", strict=False):
+    law = spark.createDataFrame([(1, name, text)], "id long, nombre string, raw_text string")
+    rows = C.chunk_laws(law, strict).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    return [(r.articulo_numero, r.titulo, r.capitulo, r.seccion, r.content) for r in rows]
 
 
-def labels(text, **more):
-    return [c[0] for c in read(text, **more)]
+def labels(spark, text, **more):
+    return [c[0] for c in read(spark, text, **more)]
 
 
-def test_headings_and_preamble():
+def test_headings_and_preamble(spark):
     text = "PREAMBULO\nTITULO PRIMERO\nCAPITULO I\nArticulo 1.- Uno.\nCAPITULO II\nArticulo 2.- Dos.\nTÍTULO DECIMO SEXTO\nArticulo 3.- Tres."
-    assert [c[:3] for c in read(text)] == [("1", "PRIMERO", "I"), ("2", "PRIMERO", "II"), ("3", "DECIMO SEXTO", "II")]
+    assert [c[:3] for c in read(spark, text)] == [("1", "PRIMERO", "I"), ("2", "PRIMERO", "II"), ("3", "DECIMO SEXTO", "II")]
 
 
-def test_suffixes_degree_sign_and_abbreviation():
+def test_suffixes_degree_sign_and_abbreviation(spark):
     text = "ARTICULO 7-A.- x.\nARTICULO 280-BIS.- x.\nARTÍCULO 117 BIS.- x.\nArticulo 118°.- x.\nART. 119.- x."
-    assert labels(text) == ["7-A", "280 BIS", "117 BIS", "118", "119"]
+    assert labels(spark, text) == ["7-A", "280 BIS", "117 BIS", "118", "119"]
 
 
-def test_citations_are_content():
-    assert labels("Articulo 3.- Segun el\nARTICULO 9o. de la ley.\nArticulo 4.- x.") == ["3", "4"]
-    assert labels("articulo 4o. de la Carta Magna\nArticulo 1.- x.") == ["1"]
+def test_citations_are_content(spark):
+    assert labels(spark, "Articulo 3.- Segun el\nARTICULO 9o. de la ley.\nArticulo 4.- x.") == ["3", "4"]
+    assert labels(spark, "articulo 4o. de la Carta Magna\nArticulo 1.- x.") == ["1"]
 
 
-def test_consecutive_article_after_an_open_sentence():
-    assert labels("Articulo 127.- apoyo ciudadano\nArticulo 128.- x.") == ["127", "128"]
-    assert labels("Articulo 411.- sin punto\nArticulo 411 Bis.- x.") == ["411", "411 Bis"]
-    assert labels("Articulo 5.- sin punto\nARTICULO 6.\nARTICULO 6.- x.") == ["5", "6"]
+def test_consecutive_article_after_an_open_sentence(spark):
+    assert labels(spark, "Articulo 127.- apoyo ciudadano\nArticulo 128.- x.") == ["127", "128"]
+    assert labels(spark, "Articulo 411.- sin punto\nArticulo 411 Bis.- x.") == ["411", "411 Bis"]
+    assert labels(spark, "Articulo 5.- sin punto\nARTICULO 6.\nARTICULO 6.- x.") == ["5", "6"]
 
 
-def test_transitory_articles_end_the_law_unless_strict():
+def test_transitory_articles_end_the_law_unless_strict(spark):
     text = "Articulo 1.- Uno.\nT R A N S I T O R I O S\nArticulo 1.- Fuera."
-    assert labels(text) == ["1"]
-    assert labels(text, strict=True) == ["1", "1"]
-    assert labels("Articulo 1.- Uno.\nARTICULOS TRANSITORIOS\nArticulo 2.- Fuera.") == ["1"]
+    assert labels(spark, text) == ["1"]
+    assert labels(spark, text, strict=True) == ["1", "1"]
+    assert labels(spark, "Articulo 1.- Uno.\nARTICULOS TRANSITORIOS\nArticulo 2.- Fuera.") == ["1"]
 
 
-def test_noise_lines_go():
+def test_noise_lines_go(spark):
     text = "Articulo 1.- Uno\n12\n3/4/2020 10:15 a.m. 3\nLEY UNO\nsigue."
-    assert read(text)[0][4] == "Articulo 1.- Uno\nsigue."
+    assert read(spark, text)[0][4] == "Articulo 1.- Uno\nsigue."
 
 
-def test_enumerated_items_close_a_sentence():
-    assert labels("Articulo 309.- Casos:\nc) servidor publico\nArticulo 400.- x.") == ["309", "400"]
+def test_enumerated_items_close_a_sentence(spark):
+    assert labels(spark, "Articulo 309.- Casos:\nc) servidor publico\nArticulo 400.- x.") == ["309", "400"]
 
 
-def test_lines_of_chunks_come_from_the_text():
+def test_lines_of_chunks_come_from_the_text(spark):
     text = "Articulo 1.- Uno.\n\nArticulo 2.- Dos\nmas."
-    assert all(line in text.split("\n") for c in read(text) for line in c[4].split("\n"))
-    assert read("") == []
+    assert all(line in text.split("\n") for c in read(spark, text) for line in c[4].split("\n"))
+    assert read(spark, "") == []
 
 
-def test_law_start():
-    lines = "indice\nArticulo 1.- cita\nnada\nTITULO PRIMERO\nCAPITULO I\nArticulo 1.- Ley.\nArticulo 2.- Fin.".split("\n")
-    assert C.law_start(lines) == 3
-    assert C.law_start(["nada"]) == 0
+def test_headings_with_titles_need_a_closed_sentence(spark):
+    assert [c[:3] for c in read(spark, "Articulo 1.- Uno.\nCAPITULO II DE LO CIVIL\nArticulo 2.- Dos, segun el\nCAPITULO III DE OTRA\nArticulo 4.- Tres.")] == [("1", None, None), ("2", None, "II")]
+    assert [c[2] for c in read(spark, "CAPITULO II DE LO CIVIL\nArticulo 1.- Dos.", strict=True)] == [None]
+    assert labels(spark, "Articulo 1.- Uno.\nARTICULO 2\nDos.\nARTICULO 9\nno.") == ["1", "2"]
+
+
+def start(spark, lines):
+    df = spark.createDataFrame([("\n".join(lines),)], "t string").select(C.law_start(F.col("t")).alias("at"), C.trim_to_law_start(F.col("t")).alias("rest"), "t")
+    row = df.first()
+    assert row.rest == "\n".join(lines[row["at"] :])
+    return row["at"]
+
+
+def test_law_start(spark):
+    assert start(spark, "indice\nArticulo 1.- cita\nnada\nTITULO PRIMERO\nCAPITULO I\nArticulo 1.- Ley.\nArticulo 2.- Fin.".split("\n")) == 3
+    assert start(spark, ["nada"]) == 0
+    pair = ["Articulo 1.- Ley.", "Articulo 2.- Fin."]
+    assert start(spark, ["TITULO I", *["x"] * 6, *pair]) == 0 and start(spark, ["TITULO I", *["x"] * 7, *pair]) == 8
+    assert start(spark, ["LIBRO I", *["x"] * 4, "TITULO I", *["x"] * 3, *pair]) == 0
+    assert start(spark, ["LIBRO I", *["x"] * 5, "TITULO I", *["x"] * 3, *pair]) == 6
+    assert start(spark, ["Articulo 1.- a", *["x"] * 150, "Articulo 2.- b"]) == 0
+    assert start(spark, ["p", "Articulo 1.- a", *["x"] * 149, "Articulo 2.- b"]) == 1
 
 
 def test_pieces(spark):
