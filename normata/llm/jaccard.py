@@ -5,11 +5,12 @@ link when the Jaccard similarity of their sets is at least ``percent`` per cent.
 
 1. One pass over the texts gives each row's set size and set hash, and how often shingles fall in
    each slot of a fixed table, which orders shingles from rare to frequent.
-2. Sets that can link share one of their rarest shingles (a prefix that leaves less than the needed
-   overlap). A second pass sends the prefixes, once per set and task, to their shingle, in order, where
-   a stream tells shared shingles and the smallest set of each, its hub. Shingles of over ``HOT`` of
-   all rows, which the slots show, are dealt to many tasks and aggregated instead. Only sets with a
-   shared shingle go on; their shingles are read once more and written as hashes.
+2. Sets that can link share some of their rarest shingles: the prefix that leaves less than the needed
+   overlap, and one more for every ``EXTRA`` of the set, hold that many more in common. A second pass
+   sends the prefixes, once per set and task, to their shingle, in order, where a stream tells the
+   shared ones. Shingles of over ``HOT`` of all rows, which the slots show, are dealt to many tasks.
+   Only sets with enough shared shingles go on; their shingles are read once more, from rows that a
+   bitmap of fixed size names, and written as hashes. A shingle's smallest set is its hub.
 3. Hubs are compared with the sets that share a shingle with them, as a stream with one set in memory.
    Components of those links are a first labelling: families of near copies mostly end in one.
 4. What is left are shared shingles whose sets have several labels. Sets that a chain of those joins are
@@ -51,6 +52,8 @@ WORDS, PERCENT = 5, 80
 SLOT_BITS, CHUNKS = 22, 16
 #: Share of all rows from which a slot is hot, and the tasks that its tokens are dealt to.
 HOT, SALTS = 0.01, 64
+#: Shingles of a set for one more in its prefix; bits of the map of chosen rows (8 MB).
+EXTRA, MAP_BITS = 40, 26
 BITMAP_WORDS = 64  # of 64 bits
 CELL, CELL_TOKENS, LEAF, FANOUT = 1500, 4_000_000, 24, 8
 ROW_SCHEMA = "key long, doc_id long, n long, set long, chunk int, counts binary"
@@ -158,7 +161,7 @@ def slot_counts(described: DataFrame) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, slots: Broadcast, hot: int, words: int, percent: int) -> DataFrame:
-    """(token, salt, set): the rarest tokens of each set, as many as any link must touch.
+    """(token, salt, set): the rarest tokens of each set, of which a set that it links with has ``1 + n // EXTRA``, for the smaller n.
 
     ``salt`` is 0, but for tokens of a slot with ``hot`` rows or more one of the numbers from 1.
     """
@@ -173,7 +176,7 @@ def prefixes(documents: DataFrame, slots: Broadcast, hot: int, words: int, perce
                 if not n or own in seen:
                     continue
                 seen.add(own)
-                length = n - -(-percent * n // 100) + 1
+                length = n - -(-percent * n // 100) + 1 + n // EXTRA
                 often = counts[slot_of(tokens)]
                 rank = np.lexsort((tokens, often))[:length]
                 tokens_out.append(signed(tokens[rank]))
@@ -189,56 +192,99 @@ def prefixes(documents: DataFrame, slots: Broadcast, hot: int, words: int, perce
     return documents.select(F.col("text").cast("string")).mapInArrow(run, "token long, salt int, set long")
 
 
-def meetings(prefix: DataFrame) -> DataFrame:
-    """(token, set, hub): the prefix rows whose token several sets share, with the smallest of those."""
+def shared_tokens(prefix: DataFrame) -> DataFrame:
+    """(token, set): the distinct prefix rows whose token several sets share; of hot tokens, all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, None, None)  # token, salt, hub and set of the row before
+        last: tuple = (None, None, None, None)  # token, salt, first set and set of the row before
         for batch in batches:
             token, salt, own = (c.to_numpy() for c in batch.columns)
             if not len(token):
                 continue
             begins = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
-            first = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
-            hub, before = own[first], np.append(own[0], own[:-1])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
+            first, before = own[at], np.append(own[0], own[:-1])
             if (token[0], salt[0]) == last[:2]:
-                hub[first == 0], before[0], begins[0] = last[2], last[3], False
+                first[at == 0], before[0], begins[0] = last[2], last[3], False
             fresh = begins | (own != before)  # no repeat of the row before
-            other = fresh & (own != hub) & (salt == 0)
-            second = other & (before == hub)
-            hot = fresh & (salt != 0)
-            columns = (token[second], token[other], token[hot]), (hub[second], own[other], own[hot]), (hub[second], hub[other], own[hot])
-            arrays = [pa.array(np.concatenate(c), pa.int64()) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.repeat([0, 1], [len(arrays[0]) - hot.sum(), hot.sum()]), pa.int32())], ["token", "set", "hub", "hot"])
-            last = (token[-1], salt[-1], hub[-1], own[-1])
+            other = fresh & (own != first) & (salt == 0)
+            second = other & (before == first)  # tells that the first one is shared
+            kept = other | fresh & (salt != 0)
+            arrays = np.append(token[second], token[kept]), np.append(first[second], own[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in arrays], ["token", "set"])
+            last = (token[-1], salt[-1], first[-1], own[-1])
 
     dealt = prefix.repartition("token", "salt").sortWithinPartitions("token", "salt", "set")
-    met = materialise(dealt.mapInArrow(run, "token long, set long, hub long, hot int"), "meetings")
-    hot = met.where("hot = 1").select("token", "set")
-    shared = materialise(hot.groupBy("token").agg(F.min("set").alias("hub"), F.max("set").alias("other")).where("hub <> other"), "hubs")
-    more = hot.join(shared.select("token", "hub"), "token").select("token", "set", "hub")  # a join that Spark can split
-    return met.where("hot = 0").select("token", "set", "hub").unionByName(more)
+    return dealt.mapInArrow(run, "token long, set long")
+
+
+def meetings(prefix: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(token, set, hub): where sets that may link meet, with the smallest of those."""
+    shared = materialise(shared_tokens(prefix), "shared")
+    least = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / EXTRA)  # with the smallest set that this one could link with
+    enough = shared.groupBy("set").agg(F.count(F.lit(1)).alias("met")).join(sizes, "set").where(F.col("met") >= least).select("set")
+    kept = materialise(shared.join(enough, "set"), "kept")
+    hubs = kept.groupBy("token").agg(F.min("set").alias("hub"), F.max("set").alias("other")).where("hub <> other")
+    met = materialise(kept.join(hubs.select("token", "hub"), "token").select("token", "set", "hub"), "meetings")
+    for table in (shared, kept):
+        discard(table)
+    return met
+
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys' low ends: a map of fixed size, which lets through all of them and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            bits[map_place(batch.column(0).to_numpy())] = True
+        for i, piece in enumerate(np.split(np.packbits(bits), CHUNKS)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)])], ["chunk", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[i] = held.get(i, 0) | np.frombuffer(zlib.decompress(packed), np.uint8)
+        for i, piece in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([piece.tobytes()])], ["chunk", "bits"])
+
+    schema = "chunk int, bits binary"
+    out = np.zeros((CHUNKS, (1 << MAP_BITS) // 8 // CHUNKS), np.uint8)
+    for row in keys.mapInArrow(run, schema).repartition(CHUNKS, "chunk").mapInArrow(merge, schema).toLocalIterator():
+        out[row.chunk] = np.frombuffer(row.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def map_place(keys: np.ndarray) -> np.ndarray:
+    return keys & ((1 << MAP_BITS) - 1)
 
 
 def token_lists(documents: DataFrame, rows: DataFrame, sets: DataFrame, words: int) -> DataFrame:
-    """(set, tokens): the tokens of each of ``sets``, from one stored row for each."""
-    keys = rows.where("n > 0").groupBy("set", "key").agg(F.count(F.lit(1)).alias("copies"))
-    stand = keys.groupBy("set").agg(F.min(F.struct("key", "copies")).alias("at"))
-    wanted = materialise(stand.join(sets, "set").select("at.key", "at.copies"), "wanted")
+    """(set, tokens): the tokens of each of ``sets``, from one stored row for each; no text is shuffled.
+
+    Rows equal in id and text, and rows that the map lets through by chance, may give a set more than once.
+    """
+    stand = rows.where("n > 0").groupBy("set").agg(F.min("key").alias("key"))
+    chosen = documents.sparkSession.sparkContext.broadcast(key_map(stand.join(sets, "set").select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle, seen, bits = Shingler(words), set(), chosen.value
         for batch in batches:
-            found = [shingle(text) for text in batch.column(0).to_pylist()]
-            own, packed = [set_id(t) for t in found], [t.tobytes() for t in found]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(packed, pa.binary())], ["set", "tokens"])
-
-    docs = keyed(documents).select("key", "text")
-    single = docs.join(wanted.where("copies = 1").select("key"), "key", "left_semi")
-    # Rows equal in id and text have one key: one of them stands.
-    several = docs.join(wanted.where("copies > 1").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    lists = materialise(single.unionByName(several).select("text").mapInArrow(run, "set long, tokens binary"), "tokens")
-    discard(wanted)
+            place = map_place(batch.column(0).to_numpy())
+            wanted = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+            found = {}
+            for text in batch.column(1).filter(pa.array(wanted)).to_pylist():
+                tokens = shingle(text)
+                own = set_id(tokens)
+                if len(tokens) and own not in seen:
+                    seen.add(own)
+                    found[own] = tokens.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], ["set", "tokens"])
+
+    lists = materialise(keyed(documents).select("key", "text").mapInArrow(run, "set long, tokens binary"), "tokens")
+    chosen.destroy()
     return lists
 
 
@@ -410,7 +456,7 @@ def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """(a, b): each set of a cell with the smallest set that it is connected with there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, held, met = None, [], set()
 
         def close() -> pa.RecordBatch:
             a, b = [], []
@@ -432,8 +478,10 @@ def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
             for *at, block, own, label, packed in zip(*columns, strict=True):
                 if at != cell:
                     yield close()
-                    cell, held = at, []
-                held.append((block, own, label, tokens_from(packed)))
+                    cell, held, met = at, [], set()
+                if own not in met:
+                    met.add(own)
+                    held.append((block, own, label, tokens_from(packed)))
         yield close()
 
     dealt = lists.join(cells, "set").repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
@@ -443,13 +491,14 @@ def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 def set_labels(documents: DataFrame, rows: DataFrame, slots: np.ndarray, words: int, percent: int) -> DataFrame:
     """(set, label): the component of each set that links with another."""
     shared = documents.sparkSession.sparkContext.broadcast(slots)
-    met = meetings(prefixes(documents, shared, max(3, int(HOT * rows.count())), words, percent))
+    sizes = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"))
+    met = meetings(prefixes(documents, shared, max(3, int(HOT * rows.count())), words, percent), sizes, percent)
     shared.destroy()
     lists = token_lists(documents, rows, met.select("set").distinct(), words)
     first = materialise(connected_components(hub_links(met, lists, percent)).select(F.col("node").alias("set"), F.col("root").alias("label")), "labels")
-    sizes = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"))
     more = materialise(verified(materialise(cells_of(met, first, sizes), "cells"), lists, percent), "links")
-    discard(lists)
+    for table in (met, lists):
+        discard(table)
     if more.isEmpty():
         return first
     edges = first.select(F.col("set").alias("a"), F.col("label").alias("b")).unionByName(more)
