@@ -13,6 +13,9 @@ ADMISSION = (
     r"especifica|especifican|aparece|aparecen|menciona|mencionan)\b[^.]{0,60}\b(informacion|datos|articulos?|disposiciones|detalles|fragmentos|especific\w*)"
 )
 HABIT = r"\b(generalmente|normalmente|usualmente|habitualmente|por lo general|tipicamente|suele|suelen|comunmente|por lo regular)\b"
+# Abbreviations whose stop ends no sentence, and the label of the part on what an answer does not cover.
+ABBREVIATIONS = ("art", "arts", "fr", "fracc", "num", "núm", "no", "p", "pp", "inc", "cap", "sec", "lic", "dr", "sr", "sra")
+NOT_COVERED = "Que no cubre"
 ACTIONS = ("busqueda_general", "busqueda_por_ley", "articulo_especifico", "historial_ley", "ninguna")
 NULLISH = ("", "NULL", "NONE", "NINGUNA", "NINGUNO", "N/A", "-")
 DECISION = "struct<accion:string,ley:string,articulo:string>"
@@ -91,30 +94,51 @@ def decision(raw: Column) -> Column:
     return F.when(action.isin(*ACTIONS), F.struct(safe.alias("accion"), law.alias("ley"), article.alias("articulo")))
 
 
+def research_guard(answer: Column) -> Column:
+    """:func:`strip_filler` for an answer in parts: the gap is admitted in the first, and the part on what is not covered stays."""
+    parts = F.split(answer, "\n\n", -1)
+    last = F.array_position(F.transform(parts, lambda p: F.left(p, F.lit(40)).contains(NOT_COVERED)), F.lit(True))
+    n = F.when(last > 0, last - 1).otherwise(F.size(parts)).cast("int")
+    core, rest = F.slice(parts, 1, n), F.slice(parts, n + 1, F.size(parts))
+    text = F.array_join(core, "\n\n")
+    return F.when(n == 0, answer).otherwise(F.array_join(F.concat(F.array(strip_filler(text, F.get(core, 0))), rest), "\n\n"))
+
+
 def plan(raw: Column, question: Column, limit: int = 3) -> Column:
-    """Subquestions of a plan in JSON (fences off): distinct, not the question itself, cut to 300 characters."""
-    bare = F.regexp_replace(raw, r"(?s)^\s*```[a-zA-Z]*\s*|\s*```\s*$", "")
-    subs = F.transform(F.from_json(bare, "struct<subpreguntas:array<string>,areas:array<string>>").subpreguntas, lambda s: F.left(F.trim(s), F.lit(300)))
-    kept = F.filter(subs, lambda s: (s != "") & (F.lower(s) != F.lower(F.trim(question))))
-    return F.slice(F.array_distinct(F.coalesce(kept, F.array().cast("array<string>"))), 1, limit)
+    """struct(subpreguntas, areas) of a plan in JSON (fences off); both empty if it cannot be read.
+
+    Subquestions: blanks collapsed, 300 characters, distinct whatever their case, not the question itself,
+    ``limit`` of them. Areas: the first six, in lower case.
+    """
+    bare = F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*|\s*```$", "")
+    parsed = F.from_json(bare, "struct<subpreguntas:array<string>,areas:array<string>>")
+    none = F.array().cast("array<string>")
+    subs = F.transform(parsed.subpreguntas, lambda s: F.left(F.trim(F.regexp_replace(s, r"\s+", " ")), F.lit(300)))
+    low = F.transform(subs, lambda s: F.lower(s))
+    first = F.filter(subs, lambda s, i: (s != "") & (F.lower(s) != F.lower(F.trim(question))) & (F.array_position(low, F.lower(s)) == i + 1))
+    areas = F.filter(F.transform(parsed.areas, lambda a: F.lower(F.trim(a))), lambda a: a != "")
+    return F.struct(F.slice(F.coalesce(first, none), 1, limit).alias("subpreguntas"), F.slice(F.coalesce(areas, none), 1, 6).alias("areas"))
 
 
 def claims(raw: Column) -> Column:
-    """Checked claims from JSON; null if it cannot be read, an empty array if there are none."""
-    return F.from_json(raw, "struct<claims:array<struct<claim:string,supported:boolean,source:string>>>").claims
+    """Checked claims (texto, respaldado, fragmento) from JSON; null if it cannot be read, an empty array if there are none."""
+    parsed = F.from_json(raw, "struct<claims:array<struct<texto:string,respaldado:boolean,fragmento:int>>,bad:string>", {"columnNameOfCorruptRecord": "bad"})
+    filled = lambda c: F.struct(F.coalesce(c.texto, F.lit("")).alias("texto"), F.coalesce(c.respaldado, F.lit(False)).alias("respaldado"), c.fragmento.alias("fragmento"))
+    empty = F.array().cast("array<struct<texto:string,respaldado:boolean,fragmento:int>>")
+    return F.when(parsed.isNotNull() & parsed.bad.isNull(), F.coalesce(F.transform(parsed.claims, filled), empty))
 
 
 def trim_to_sentence(text: Column) -> Column:
-    """Text up to its last full stop that ends no legal abbreviation; unchanged if there is none."""
-    whole = F.regexp_extract(text, r"(?s)^(.*(?<!\b(?:Art|art|Arts|arts|Frac|frac|Fracc|No|Núm|num|P\.O))[.!?])(?:\s|$)", 1)
-    return F.when(whole != "", whole).otherwise(text)
+    """Text up to its last full stop that ends no legal abbreviation; unchanged but for blanks at its end if there is none."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", "")
+    letter = "A-Za-zÁÉÍÓÚáéíóúñÑ"
+    whole = F.regexp_extract(bare, rf"(?s)^(.*(?<!(?<![{letter}])(?i:{'|'.join(ABBREVIATIONS)}))[.!?])(?=\s|$)", 1)
+    return F.when(whole != "", whole).otherwise(bare)
 
 
 def strip_disclaimer(text: Column, disclaimer: str) -> Column:
     """Text without a closing disclaimer."""
-    closed = lambda c: F.regexp_replace(c, r"\s+$", "")
-    bare = closed(text)
-    return F.when(bare.endswith(disclaimer), closed(F.left(bare, F.length(bare) - len(disclaimer)))).otherwise(text)
+    return F.when(text.endswith(disclaimer), F.left(text, F.length(text) - len(disclaimer))).otherwise(text)
 
 
 def error_kind(status: Column, body: Column) -> Column:
@@ -132,8 +156,13 @@ def prompt_context(position: Column, law: Column, article: Column, content: Colu
 
 
 def storable_url(url: Column, aliases: dict[str, str] | None = None) -> Column:
-    """URL with host aliases applied and the path's blanks encoded."""
-    out = F.trim(url)
+    """URL with host aliases applied and its path, whatever its form, encoded once; query and fragment stay."""
+    out = url
     for old, new in (aliases or {}).items():
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.replace(out, F.lit(" "), F.lit("%20"))
+    part = lambda i: F.regexp_extract(out, r"^([a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)(.*)$", i)
+    path = F.coalesce(F.try_url_decode(F.replace(part(2), F.lit("+"), F.lit("%2B"))), part(2))
+    encoded = F.url_encode(path)
+    for code, sign in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):
+        encoded = F.replace(encoded, F.lit(code), F.lit(sign))
+    return F.concat(part(1), encoded, part(3))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,10 +16,10 @@ PLAIN = "aaaaaeeeeiiiiooooouuuuncyyAAAAAEEEEIIIIOOOOOUUUUNCY"
 
 # Stems that mark a legal question, folded.
 LEGAL_STEMS = (
-    "ley leyes articulo reglamento decreto codigo constitucion derecho derechos tramite multa multas sancion sanciones "
-    "delito delitos pena penas amparo denuncia licencia permiso adopcion tortura amnistia juridic legislacion normativ "
-    "tribunal juez abogado demanda contrato"
-).split()
+    "ley", "leyes", "articulo", "reglamento", "decreto", "codigo", "constitucion", "derecho", "derechos", "tramite", "multa", "multas", "sancion", "sanciones",
+    "delito", "delitos", "pena", "penas", "amparo", "denuncia", "licencia", "permiso", "adopcion", "tortura", "amnistia", "juridic", "legislacion", "normativ",
+    "tribunal", "juez", "abogado", "demanda", "contrato",
+)
 # Phrases that try to turn the assistant away from its instructions.
 INJECTION = (
     "ignora.{0,20}(instruccion|regla|prompt)",
@@ -34,7 +35,7 @@ GREETING = "(hola+|ol+a|hey|hi|hello|saludos|buen[oa]s?( ?(dias?|tardes?|noches?
 THANKS = "((muchas|mil) ?gracias|gracias|thank ?you|thanks)"
 FAREWELL = "(adios|hasta ?(luego|pronto)|nos ?vemos|bye|chau)"
 # Words that stay in lower case inside a law's name.
-SMALL_WORDS = "de del la las los el y e o u en para a al por con sobre que su sus se un una".split()
+SMALL_WORDS = ("de", "del", "la", "las", "los", "el", "y", "e", "o", "u", "en", "para", "a", "al", "por", "con", "sobre", "que", "su", "sus", "se", "un", "una")
 
 
 def fold(text: Column) -> Column:
@@ -87,6 +88,13 @@ def like_pattern(name: str) -> str:
     return "%" + "%".join(escaped) + "%" if escaped else "%%"
 
 
+def like_pattern_of(name: Column) -> Column:
+    """:func:`like_pattern` of a column of names."""
+    folded = F.lower(fold(name))
+    escaped = F.regexp_replace(folded, r"([\\%_])", r"\\$1")
+    return F.concat(F.lit("%"), F.array_join(F.filter(F.split(escaped, r"\s+"), lambda w: w != ""), "%"), F.lit("%"))
+
+
 def matches_name(column: Column, name: str) -> Column:
     """Whether a law name holds the words of ``name`` in order, whatever their case and accents."""
     return fold(column).ilike(like_pattern(name))
@@ -139,12 +147,11 @@ def canonical_name(name: Column) -> Column:
 
 
 def url_key(url: Column, aliases: dict[str, str] | None = None) -> Column:
-    """URL for comparison: percent codes decoded (a plus stays), hosts by alias, trimmed, lower case."""
+    """URL for comparison: percent codes decoded (a plus stays), hosts by alias, trimmed, lower case; empty for none."""
     out = F.coalesce(F.try_url_decode(F.replace(url, F.lit("+"), F.lit("%2B"))), url)
-    out = F.lower(F.trim(out))
     for old, new in (aliases or {}).items():
         out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+    return F.coalesce(F.lower(F.trim(out)), F.lit(""))
 
 
 def source_of(url: Column, hosts: dict[str, str]) -> Column:
@@ -155,15 +162,49 @@ def source_of(url: Column, hosts: dict[str, str]) -> Column:
     return out
 
 
+def table_cells(line: Column) -> Column:
+    """Cells of a table row, trimmed."""
+    return F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
+
+
+def flat_tables(text: Column) -> Column:
+    """Markdown tables as lines ``first cell: heading: value; heading: value``; a table needs its line of rules."""
+    lines = F.split(text, "\n", -1)
+    row = lambda x: (F.length(F.trim(x)) >= 1) & F.trim(x).startswith("|") & F.trim(x).endswith("|")
+    rules = lambda x: F.trim(x).rlike(r"^\|?[\s:|-]+\|?$")
+    each = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(row(x) & (F.length(F.trim(x)) >= 2) & rules(F.get(lines, i + 1)), F.lit(False)).alias("heads")))
+    none = F.lit(None).cast("array<string>")
+
+    def told(heads: Column, line: Column) -> Column:
+        cells = table_cells(line)
+        n = F.least(F.size(heads), F.size(cells))
+        rest = F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: F.concat(F.get(heads, k - 1), F.lit(": "), F.get(cells, k - 1))), "; ")
+        return F.when(n > 1, F.concat(F.get(cells, 0), F.lit(": "), rest)).otherwise(F.get(cells, 0))
+
+    def step(s: Column, x: Column) -> Column:
+        inside = s.heads.isNotNull() & row(x.line)
+        state = lambda heads, skip, out: F.struct(heads.alias("heads"), skip.alias("skip"), out.alias("out"))
+        return (
+            F.when(s["skip"], state(s.heads, F.lit(False), s.out))
+            .when(inside, state(s.heads, F.lit(False), F.concat(s.out, F.array(told(s.heads, x.line)))))
+            .when(x.heads, state(table_cells(x.line), F.lit(True), s.out))
+            .otherwise(state(none, F.lit(False), F.concat(s.out, F.array(x.line))))
+        )
+
+    begin = F.struct(none.alias("heads"), F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+    return F.array_join(F.aggregate(each, begin, step)["out"], "\n")
+
+
 def plain_markdown(text: Column) -> Column:
-    """Markdown to plain text: fences, emphasis, headings, inline code, table rules and stray stars off."""
-    out = F.regexp_replace(text, r"(?m)^\s*\|?[\s:|-]*-{3,}[\s:|-]*\|?\s*$\n?", "")
-    out = F.regexp_replace(out, r"(?m)^\s*\|\s*(.*?)\s*\|\s*$", "$1")
-    out = F.regexp_replace(out, r"(?m)^```[a-zA-Z]*\s*$\n?", "")
-    out = F.regexp_replace(out, r"\*\*(.+?)\*\*", "$1")
-    out = F.regexp_replace(out, r"(?m)^#{1,6}\s+", "")
-    out = F.regexp_replace(out, "`([^`]*)`", "$1")
-    return F.replace(F.replace(out, F.lit("*"), F.lit("")), F.lit(" | "), F.lit(", "))
+    """Markdown to plain text: tables flattened, then fences, emphasis, headings, inline code and stray stars off."""
+    out = F.when(text.contains("|"), flat_tables(text)).otherwise(text)
+    # The marks, in the order in which they go.
+    for pattern, kept in (
+        (r"(?s)```[a-zA-Z]*\n?(.*?)```", "$1"), (r"(?s)\*\*(.*?)\*\*", "$1"), (r"(?s)__(.*?)__", "$1"), (r"(?sU)(?<!\w)\*(.+?)\*(?!\w)", "$1"),
+        (r"(?sU)(?<!\w)_(.+?)_(?!\w)", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"`([^`]+)`", "$1"),
+    ):
+        out = F.regexp_replace(out, pattern, kept)
+    return F.replace(out, F.lit("*"), F.lit(""))
 
 
 def html_text(html: Column) -> Column:
@@ -186,32 +227,27 @@ def overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(asked, words(text))) / F.greatest(F.size(asked), F.lit(1))
 
 
+def split_pieces(text: str, limit: int) -> list[str]:
+    """Pieces of at most ``limit`` characters: by line, and by sentence where a line is longer; a longer sentence stays whole."""
+    if len(text) <= limit:
+        return [text]
+    done: list[str] = []
+    for line in text.split("\n"):
+        parts = [line] if len(line) <= limit else re.split(r"(?<=[.;:])\s+", line)
+        for i, part in enumerate(parts):
+            sep = " " if i else "\n"
+            if done and (i or len(line) <= limit) and len(done[-1]) + 1 + len(part) <= limit:
+                done[-1] += sep + part
+            else:
+                done.append(part)
+    return [p for p in done if p]
+
+
 def pieces(content: Column, limit: int = 900) -> Column:
-    """Split an article into pieces of at most ``limit`` characters, by line, then by sentence.
-
-    A fold over the lines (or over the sentences of a line that is too long itself), which keeps the
-    open piece as the last element of the array; a sentence longer than the limit stays whole.
-    """
-    state = F.array().cast("array<string>")
-
-    def grow(parts: Column, sep: str) -> Column:
-        def step(done: Column, part: Column) -> Column:
-            last = F.element_at(done, -1)
-            joined = F.concat(last, F.lit(sep), part)
-            fits = (F.size(done) > 0) & (F.length(joined) <= limit)
-            return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(part)))
-
-        return F.aggregate(parts, state, step)
-
-    lines = F.split(content, "\n")
-    long = F.exists(lines, lambda line: F.length(line) > limit)
-
-    def add(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(last, F.lit("\n"), line)
-        fits = (F.size(done) > 0) & (F.length(joined) <= limit)
-        split = F.when(F.length(line) > limit, grow(F.split(line, r"(?<=[.;:])\s+"), " ")).otherwise(F.array(line))
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, split))
-
-    by_line = F.when(long, F.aggregate(lines, state, add)).otherwise(grow(lines, "\n"))
-    return F.when(F.length(content) <= limit, F.array(content)).otherwise(F.filter(by_line, lambda p: p != ""))
+    """:func:`split_pieces` of a column; the open piece depends on all before it, so a text is read in order, once."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else split_pieces(t, limit))
+
+    return split(content)

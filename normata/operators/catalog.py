@@ -54,19 +54,38 @@ def names_preview(names: Column, shown: int = 8) -> Column:
     return F.when(more > 0, F.concat(head, F.lit(" y "), more.cast("string"), F.lit(" mas"))).otherwise(head)
 
 
+def alert_text(names: DataFrame, shown: int = 8) -> DataFrame:
+    """(preview): the first ``shown`` distinct names in order, and how many more there are; only those meet in one row."""
+    distinct = names.select("nombre").distinct()
+    first = distinct.orderBy("nombre").limit(shown).agg(F.array_sort(F.collect_list("nombre")).alias("names"))
+    more = distinct.agg((F.count(F.lit(1)) - shown).alias("more"))
+    head = F.array_join("names", ", ")
+    return first.join(more).select(F.when(F.col("more") > 0, F.concat(head, F.lit(" y "), F.col("more").cast("string"), F.lit(" mas"))).otherwise(head).alias("preview"))
+
+
 def numbering_report(chunks: DataFrame) -> DataFrame:
-    """Per document: distinct article numbers, range, gaps and duplicates."""
+    """Per document: distinct labels, rows without one, labels met twice, range and gaps of the numbers.
+
+    ``gaps``: how many numbers are missing; ``missing``: which, as ranges ``a-b`` in order; ``gap_ratio``: of
+    the range, 1 if nothing is numbered.
+    """
     number = F.regexp_extract("articulo_numero", r"^(\d+)", 1)
-    base = chunks.withColumn("number", F.when(number != "", number.cast("int")))
-    labels = base.groupBy("document_id", "articulo_numero").agg(F.first("number").alias("number"), F.count(F.lit(1)).alias("times"))
+    label = F.when(F.col("articulo_numero") != "", F.col("articulo_numero"))
+    base = chunks.select("document_id", label.alias("label"), F.when(number != "", number.cast("int")).alias("number"))
+    labels = base.groupBy("document_id", "label").agg(F.first("number").alias("number"), F.count(F.lit(1)).alias("times"))
+    named = F.col("label").isNotNull()
     by = labels.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("labels"), F.count_if(F.expr("times > 1")).alias("duplicates"), F.collect_set("number").alias("numbers"),
-        F.min("number").alias("first_number"), F.max("number").alias("last_number"),
+        F.count_if(named).alias("labels"), F.coalesce(F.sum(F.when(~named, F.col("times"))), F.lit(0)).alias("unnumbered"), F.count_if(named & (F.col("times") > 1)).alias("duplicates"),
+        F.array_sort(F.collect_set("number")).alias("numbers"), F.min("number").alias("first_number"), F.max("number").alias("last_number"),
     )
-    gaps = F.size(F.array_except(F.sequence("first_number", "last_number"), F.col("numbers")))
+    steps = F.zip_with(F.slice("numbers", 1, F.size("numbers") - 1), F.slice("numbers", 2, F.size("numbers")), lambda a, b: F.struct((a + 1).alias("a"), (b - 1).alias("b")))
+    several = F.when(F.size("numbers") > 1, F.filter(steps, lambda g: g.a <= g.b)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+    missing = F.array_join(F.transform(several, lambda g: F.when(g.a == g.b, g.a.cast("string")).otherwise(F.concat_ws("-", g.a.cast("string"), g.b.cast("string")))), ",")
     span = F.col("last_number") - F.col("first_number") + 1
+    gaps = F.coalesce(span - F.size("numbers"), F.lit(0))
+    ratio = F.coalesce(F.round(F.try_divide(gaps, span), 6), F.lit(1.0))
     return by.select(
-        "document_id", "labels", "duplicates", "first_number", "last_number", gaps.alias("gaps"), F.round(F.try_divide(gaps, span), 6).alias("gap_ratio")
+        "document_id", "labels", "unnumbered", "duplicates", "first_number", "last_number", gaps.alias("gaps"), missing.alias("missing"), ratio.alias("gap_ratio")
     )
 
 

@@ -167,6 +167,10 @@ def out_of_scope_per_day(messages: DataFrame, refusal: str) -> DataFrame:
     return per_day(assistant(messages).where(F.col("content") == refusal))
 
 
+def out_of_scope_total(messages: DataFrame, refusal: str) -> DataFrame:
+    return assistant(messages).agg(F.count_if(F.col("content") == refusal).alias("total"))
+
+
 def jailbreak_attempts(messages: DataFrame) -> DataFrame:
     return messages.agg(F.count_if("jailbreak_detected").alias("attempts"))
 
@@ -192,7 +196,7 @@ def recent_turns(messages: DataFrame, limit: int = 8) -> DataFrame:
 
     last = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id"))
     rows = messages.withColumn("back", F.row_number().over(last)).where(F.col("back") <= limit)
-    turn = F.struct("back", F.concat_ws(": ", "role", F.left("content", F.lit(40))).alias("said"))
+    turn = F.struct("back", F.concat_ws(": ", "role", "content").alias("said"))
     return rows.groupBy("conversation_id").agg(
         F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(turn))), lambda t: t.said), "\n").alias("history")
     )
@@ -202,15 +206,16 @@ def last_user_turn(messages: DataFrame) -> DataFrame:
     return user(messages).groupBy("conversation_id").agg(F.max_by("content", "id").alias("content"))
 
 
-def needs_rewriting(messages: DataFrame, clarification: str) -> DataFrame:
-    """Whether each user turn should be rewritten before search: no history, an answer to a clarification, or short."""
+def needs_rewriting(messages: DataFrame, clarification: str, short: int = 6) -> DataFrame:
+    """Whether each user turn should be rewritten before search: a first turn, one of few words, or one that
+    follows the assistant's question for clarification, whatever its length."""
     from pyspark.sql import Window
 
     before = Window.partitionBy("conversation_id").orderBy("id")
-    previous = messages.withColumn("previous", F.lag("content").over(before)).where(F.col("role") == "user")
-    short = F.size(F.split(F.trim("content"), r"\s+")) <= 6
-    needs = F.col("previous").isNotNull() & (F.col("previous").contains(clarification) | short)
-    return previous.select("id", needs.alias("needs_rewriting"))
+    last = messages.withColumn("last", F.lag(F.struct("role", "content")).over(before)).where(F.col("role") == "user")
+    n = F.size(F.filter(F.split(F.coalesce("content", F.lit("")), r"\s+"), lambda w: w != ""))
+    asked = (F.col("last.role") == "assistant") & F.coalesce("last.content", F.lit("")).contains(clarification)
+    return last.select("id", (F.col("last").isNull() | asked | (n <= short)).alias("needs_rewriting"))
 
 
 def token_use(calls: DataFrame) -> DataFrame:

@@ -10,21 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normata.functions.text import collapse, entity_key, matches_name
+from normata.functions.text import collapse, entity_key, fold, law_key, like_pattern_of, matches_name
 
-# The three families of markers, over texts with the accented O folded.
-PARTICIPLE = r"(?iu)\([^)]*(?:DEROGADO|DEROGADA|REFORMADO|REFORMADA|ADICIONADO|ADICIONADA)[^)]*\)"
-PUBLISHED = r"(?ium)(?:\(\s*|(?<!ULTIMA\s{1,4})^[ \t]*)(?:REFORMA|ADICION|DEROGACION)\s+PUBLICAD[^)]{0,250}\)"
-REFLEXIVE = r"(?iu)\(\s*SE\s+(?:DEROGA|REFORMA|ADICIONA|ADICONA)\b[^)]*\)"
+# The three families of markers, and the words of each that give a marker's type. The second
+# takes an accented o, and no line that goes on with the last reform of a whole law.
+PARTICIPLE = r"(?i)\([^)]*(?:DEROGADO|DEROGADA|REFORMADO|REFORMADA|ADICIONADO|ADICIONADA)[^)]*\)"
+PUBLISHED = r"(?im)(?:\(\s*|(?<!ULTIMA\s{0,14})^[ \t]*)(?:REF[OÓó]RMA|ADICI[OÓó]N|DER[OÓó]GACI[OÓó]N)\s+PUBLICAD[^)]{0,250}\)"
+REFLEXIVE = r"(?i)\(\s*SE\s+(?:DEROGA|REFORMA|ADICIONA|ADICONA)\b[^)]*\)"
 FAMILIES = {"regex": PARTICIPLE, "regex_publicada": PUBLISHED, "regex_se_verbo": REFLEXIVE}
-# Months, and the keywords whose first occurrence gives a marker's type.
-MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
-KEYWORD = r"(?i)(DEROGAD[OA]|REFORMAD[OA]|ADICIONAD[OA]|REFORMA|ADICIONA|ADICONA|ADICION|DEROGACION|DEROGA)"
+KEYWORDS = {
+    "regex": r"(?i)(DEROGADO|DEROGADA|REFORMADO|REFORMADA|ADICIONADO|ADICIONADA)",
+    "regex_publicada": r"(?i)(REFORMA|ADICION|DEROGACION)",
+    "regex_se_verbo": r"(?i)(DEROGA|REFORMA|ADICIONA|ADICONA)",
+}
+# The months.
+MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 DATE = r"(?i)(\d{1,2})\s+(?:DEL?\s+)?(ENERO|FEBRERO|MARZO|ABRIL|MAYO|JUNIO|JULIO|AGOSTO|SEPTIEMBRE|SETIEMBRE|OCTUBRE|NOVIEMBRE|DICIEMBRE)\.?\s*(?:DEL?\s+)?(\d{4})"
 OTHER_LAW = r"(?i)^.*?POR.*?(?:DE LA (?=LEY|CONSTITUCI[O0]N)|DEL (?=C[O0]DIGO|REGLAMENTO))(.*)$"
 OFFICIAL_PAPER = r"(?i),?\s*P\.?\s*O\.?.*$"
 OFFICIAL_PAPER_STRICT = r"(?i),?\s*\bP\.\s*O\..*$"
-VERBS = {"deroga": "fue derogado", "reforma": "fue reformado", "adiciona": "fue adicionado"}
 ACCEPT = 0.82
 
 
@@ -33,9 +37,11 @@ def fold_o(text: Column) -> Column:
     return F.translate(text, "Óó", "Oo")
 
 
-def relation_type(marker: Column) -> Column:
-    """deroga, reforma or adiciona by the first keyword."""
-    word = F.upper(F.regexp_extract(fold_o(marker), KEYWORD, 1))
+def relation_type(marker: Column, method: Column) -> Column:
+    """deroga, reforma or adiciona by the first keyword of the marker's family."""
+    word = F.lit("")
+    for family, pattern in KEYWORDS.items():
+        word = F.when(method == family, F.upper(F.regexp_extract(fold_o(marker), pattern, 1))).otherwise(word)
     return F.when(word.startswith("DEROGA"), "deroga").when(word.startswith("REFORMA"), "reforma").when(word.startswith("ADIC"), "adiciona")
 
 
@@ -48,8 +54,8 @@ def marker_date(text: Column) -> Column:
 
 
 def last_reform(text: Column) -> Column:
-    """Latest marker date of a whole law text."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)P\.?\s*O\.?[^()]{0,60}?FECHA\s+(\d{1,2}\s+DE\s+[A-Z]+\s+(?:DEL?\s+)?\d{4})"), 1)
+    """Latest marker date of a whole law text, whatever its accents."""
+    found = F.regexp_extract_all(F.upper(fold(text)), F.lit(r"P\.?\s*O\.?[^()]{0,60}?FECHA\s+(\d{1,2}\s+DE\s+[A-Z]+\s+(?:DEL?\s+)?\d{4})"), 1)
     return F.array_max(F.transform(found, marker_date))
 
 
@@ -61,13 +67,13 @@ def other_law(marker: Column, strict: bool = False) -> Column:
 
 
 def extract_markers(chunks: DataFrame) -> DataFrame:
-    """A row per marker: (document_id, chunk_id, articulo_numero, extraction_method, source_text).
+    """A row per marker: (document_id, chunk_id, articulo_numero, extraction_method, source_text as written).
 
     A text may be a marker of more than one family and is then told once for each.
     """
     found = F.array(
         *[
-            F.struct(F.lit(method).alias("method"), F.regexp_extract_all(fold_o(F.col("content")), F.lit(pattern), 0).alias("texts"))
+            F.struct(F.lit(method).alias("method"), F.regexp_extract_all("content", F.lit(pattern), 0).alias("texts"))
             for method, pattern in FAMILIES.items()
         ]
     )
@@ -84,22 +90,25 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 def resolve_names(names: DataFrame, documents: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(name, document_id): the known law most like each distinct name, if alike enough; the first by id on ties.
 
-    Names are distinct and documents are the catalogue of laws, so the pairs are few.
+    Names are distinct and documents are the catalogue of laws, which is short. Only pairs whose lengths
+    leave a ratio of ``accept`` possible are compared letter by letter.
     """
     asked = names.select("name").distinct().withColumn("a", entity_key(F.col("name")))
     known = documents.select(F.col("id").alias("document_id"), entity_key(F.col("nombre")).alias("b"))
-    pairs = asked.join(known)
-    score = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), 0.95).otherwise(sequence_ratio("a", "b"))
-    best = Window.partitionBy("name").orderBy(F.desc("score"), "document_id")
-    ranked = pairs.withColumn("score", score).withColumn("at", F.row_number().over(best))
-    return ranked.where((F.col("at") == 1) & (F.col("score") >= accept)).select("name", "document_id")
+    told = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), 0.95)
+    pairs = asked.join(known).withColumn("score", told)
+    most = 2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
+    near = pairs.where(F.col("score").isNull() & (most >= accept)).withColumn("score", sequence_ratio("a", "b"))
+    scored = pairs.where("score IS NOT NULL").unionByName(near).where(F.col("score") >= accept)
+    best = F.min_by("document_id", F.struct(-F.col("score"), "document_id"))
+    return scored.groupBy("name").agg(best.alias("document_id"))
 
 
 def build_relations(chunks: DataFrame, documents: DataFrame, strict: bool = False) -> DataFrame:
     """Edges of all markers; a marker that names no other law is a change within its own."""
     text = collapse(F.col("source_text"))
     rows = extract_markers(chunks).withColumns(
-        {"relation_type": relation_type(F.col("source_text")), "fecha": marker_date(text), "to_law_name_raw": other_law(text, strict)}
+        {"relation_type": relation_type(F.col("source_text"), F.col("extraction_method")), "fecha": marker_date(text), "to_law_name_raw": other_law(text, strict)}
     )
     resolved = resolve_names(rows.where("to_law_name_raw IS NOT NULL").select(F.col("to_law_name_raw").alias("name")), documents)
     own = documents.select(F.col("id").alias("document_id"), F.col("nombre").alias("own_name"))
@@ -120,27 +129,35 @@ def extraction_counters(relations: DataFrame) -> DataFrame:
     )
 
 
+# The phrases of a sentence on a change.
+VERBS = {"deroga": "fue derogado", "reforma": "fue reformado", "adiciona": "fue adicionado"}
+NO_DATE, NO_ARTICLE, NO_VERB = "en una fecha no especificada en el marcador", "Un articulo (numero no identificado en el marcador)", "tuvo un cambio registrado"
+NOT_HELD = " (esa ley no esta en el corpus ingerido actualmente, no se puede mostrar su contenido)"
+WITHIN = "mediante una reforma registrada dentro de la misma ley (el marcador no nombra a otra ley distinta)"
+SOURCE = '. Marcador original del Periodico Oficial: "'
+
+
 def long_date(date: Column) -> Column:
     """Spanish long date; a fixed phrase where there is none."""
     month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(date))
     told = F.concat(F.day(date).cast("string"), F.lit(" de "), month, F.lit(" de "), F.year(date).cast("string"))
-    return F.coalesce(told, F.lit("en una fecha no especificada en el marcador"))
+    return F.coalesce(told, F.lit(NO_DATE))
 
 
 def sentence() -> Column:
     """One sentence on a change, from an edge joined with its law's name (from_nombre)."""
-    article = F.coalesce(F.concat(F.lit("El articulo "), F.col("from_articulo")), F.lit("Un articulo (numero no identificado en el marcador)"))
-    verb = F.lit("tuvo un cambio registrado")
+    article = F.coalesce(F.concat(F.lit("El articulo "), F.col("from_articulo")), F.lit(NO_ARTICLE))
+    verb = F.lit(NO_VERB)
     for kind, told in VERBS.items():
         verb = F.when(F.col("relation_type") == kind, told).otherwise(verb)
-    unknown = F.when(F.col("to_document_id").isNull(), " (esa ley no esta en el corpus ingerido actualmente, no se puede mostrar su contenido)").otherwise("")
+    unknown = F.when(F.col("to_document_id").isNull(), NOT_HELD).otherwise("")
     actor = F.when(
         F.col("to_document_id") == F.col("from_document_id"),
-        "mediante una reforma registrada dentro de la misma ley (el marcador no nombra a otra ley distinta)",
+        WITHIN,
     ).otherwise(F.concat(F.lit("por "), F.col("to_law_name_raw"), unknown))
     return F.concat(
         article, F.lit(" de "), F.col("from_nombre"), F.lit(" "), verb, F.lit(" el "), long_date(F.col("fecha")), F.lit(", "), actor,
-        F.lit('. Marcador original del Periodico Oficial: "'), F.col("source_text"), F.lit('".'),
+        F.lit(SOURCE), F.col("source_text"), F.lit('".'),
     )
 
 
@@ -151,8 +168,6 @@ def named(relations: DataFrame, documents: DataFrame) -> DataFrame:
 
 def laws_named(documents: DataFrame, name: str) -> DataFrame:
     """Ids of the laws that a name means: its exact bearer if there is just one, else all that hold its words."""
-    from normata.functions.text import law_key
-
     met = documents.where(matches_name(F.col("nombre"), name))
     exact = met.where(law_key(F.col("nombre")) == law_key(F.lit(name)))
     n = exact.agg(F.count(F.lit(1)).alias("n"))
@@ -160,30 +175,62 @@ def laws_named(documents: DataFrame, name: str) -> DataFrame:
     return flagged.where((F.col("n") != 1) | F.col("exact")).select("id", "nombre")
 
 
-def law_history(relations: DataFrame, documents: DataFrame, name: str, article: str | None = None, limit: int = 20) -> DataFrame:
-    """Latest changes of a law (as source or target), or of one of its articles (as source)."""
+def touching(relations: DataFrame, documents: DataFrame, name: str, article: str | None = None) -> DataFrame:
+    """Changes of a law (as source or target), or of one of its articles (as source)."""
     ids = laws_named(documents, name).select("id")
     start = named(relations, documents).join(ids.select(F.col("id").alias("from_document_id"), F.lit(True).alias("starts")), "from_document_id", "left")
     if article is not None:
-        rows = start.where("starts").where(F.upper(F.trim("from_articulo")) == article.strip().upper())
-    else:
-        ends = ids.select(F.col("id").alias("to_document_id"), F.lit(True).alias("ends"))
-        rows = start.join(ends, "to_document_id", "left").where("starts OR ends")
-    return rows.orderBy(F.desc_nulls_last("fecha"), "from_chunk_id", "source_text").limit(limit)
+        return start.where("starts").where(F.upper(F.trim("from_articulo")) == article.strip().upper())
+    ends = ids.select(F.col("id").alias("to_document_id"), F.lit(True).alias("ends"))
+    return start.join(ends, "to_document_id", "left").where("starts OR ends")
+
+
+def law_history(relations: DataFrame, documents: DataFrame, name: str, article: str | None = None, limit: int = 20) -> DataFrame:
+    """The latest changes that :func:`touching` finds."""
+    return touching(relations, documents, name, article).orderBy(F.desc_nulls_last("fecha"), "from_chunk_id", "source_text").limit(limit)
+
+
+def history_total(relations: DataFrame, documents: DataFrame, name: str, article: str | None = None, limit: int = 20) -> DataFrame:
+    """(total, omitted): how many changes there are, and how many a history of ``limit`` leaves out."""
+    n = F.count(F.lit(1))
+    return touching(relations, documents, name, article).agg(n.alias("total"), F.greatest(n - limit, F.lit(0)).alias("omitted"))
+
+
+def laws_matching(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """(at, nombre, document_id): the active laws that each asked name means, with the name's ordinal.
+
+    A name means all laws that hold its words in order, unless just one of several bears it exactly. The
+    names are those of one batch of answers and the laws a catalogue.
+    """
+    asked = names.select("nombre").distinct().withColumn("at", F.row_number().over(Window.orderBy("nombre")))  # a batch of names
+    laws = documents.where("is_active").select(F.col("id").alias("document_id"), F.col("nombre").alias("known"))
+    met = asked.join(laws, F.ilike(fold(F.col("known")), like_pattern_of(F.col("nombre"))))
+    each = Window.partitionBy("nombre")
+    exact = law_key(F.col("known")) == law_key(F.col("nombre"))
+    told = met.withColumn("exact", exact).withColumns({"n": F.count(F.lit(1)).over(each), "n_exact": F.count_if("exact").over(each)})
+    return told.where((F.col("n") == 1) | (F.col("n_exact") != 1) | F.col("exact")).select("at", "nombre", "document_id")
 
 
 def bulk_history(relations: DataFrame, documents: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFrame:
-    """(nombre, articulo, history): up to ``limit`` sentences, latest first, for each asked pair."""
-    asked = pairs.select("nombre", "articulo").distinct()
+    """(nombre, articulo, history): up to ``limit`` sentences, latest first, for each asked pair with an article."""
+    asked = pairs.select("nombre", "articulo").where("articulo <> ''").distinct()
     key = lambda c: F.upper(F.trim(c))
-    rows = named(relations, documents)
-    met = asked.join(rows, (rows.from_nombre == asked.nombre) & (key(rows.from_articulo) == key(asked.articulo)))
+    ids = laws_matching(documents, asked).select("nombre", F.col("document_id").alias("from_document_id"))
+    rows = named(relations, documents).withColumn("key", key("from_articulo"))
+    met = asked.join(ids, "nombre").withColumn("key", key("articulo")).join(rows, ["from_document_id", "key"])
     order = Window.partitionBy("nombre", "articulo").orderBy(F.desc_nulls_last("fecha"), "from_chunk_id", "source_text")
     latest = met.withColumn("at", F.row_number().over(order)).where(F.col("at") <= limit).withColumn("said", sentence())
     told = latest.groupBy("nombre", "articulo").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x.said).alias("history"))
     return asked.join(told, ["nombre", "articulo"], "left").withColumn("history", F.coalesce("history", F.array().cast("array<string>")))
 
 
+def with_history(citations: DataFrame, relations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Citations (document_nombre, articulo_numero, more) with ``historial``: the sentences of their article, or none."""
+    pairs = citations.select(F.col("document_nombre").alias("nombre"), F.col("articulo_numero").alias("articulo"))
+    found = bulk_history(relations, documents, pairs).select(F.col("nombre").alias("document_nombre"), F.col("articulo").alias("articulo_numero"), F.col("history").alias("historial"))
+    return citations.join(found, ["document_nombre", "articulo_numero"], "left").withColumn("historial", F.coalesce("historial", F.array().cast("array<string>")))
+
+
 def find_article(chunks: DataFrame, documents: DataFrame, law: str, article: str) -> DataFrame:
     """The article's first piece, if the name means one law only; no row if it stays ambiguous."""
     ids = laws_named(documents.where("is_active"), law)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from normata.operators.chunking import chunk_laws, embedding_pieces, embedding_text
 from normata.sources.schemas import ALLOWED
 
 
@@ -28,6 +29,38 @@ def catalog_by_link(pages: DataFrame) -> DataFrame:
     return found.select("page_id", text(F.col("cells")[1]).alias("nombre"), "source_url")
 
 
+def cells_of(row: str) -> Column:
+    return F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)
+
+
+def cell_text(cell: Column) -> Column:
+    """Visible text of a cell, its text nodes trimmed and joined."""
+    nodes = F.transform(F.split(F.regexp_replace(cell, "(?s)<[^>]*>", "\x01"), "\x01", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(nodes, "")
+
+
+def catalog_by_onclick(pages: DataFrame) -> DataFrame:
+    """(page_id, nombre, source_url): rows that open a PDF by ``onclick``; the second cell names the law."""
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<tr[^>]*onclick[^>]*>.*?</tr>"), 0)).alias("row"))
+    url = F.regexp_extract("row", r"(?is)<tr[^>]*onclick\s*=\s*\"[^\">]*?'([^'\">]+)'", 1)
+    found = rows.select("page_id", cell_text(F.get(cells_of("row"), 1)).alias("nombre"), url.alias("source_url"))
+    return found.where((F.col("nombre") != "") & F.lower("source_url").rlike(r"\.pdf$|\.pdf\?"))
+
+
+def catalog_by_row(pages: DataFrame, row_id: str) -> DataFrame:
+    """(page_id, nombre, source_url): rows with an id and three cells or more, the second the name, the third a link to a PDF."""
+    pattern = rf"(?is)<tr[^>]*\bid\s*=\s*[\"']{row_id}[\"'][^>]*>.*?</tr>"
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), 0)).alias("row"))
+    url = F.regexp_extract(F.get(cells_of("row"), 2), r"(?is)<a[^>]*\bhref\s*=\s*[\"']([^\"']+)[\"']", 1)
+    found = rows.where(F.size(cells_of("row")) >= 3).select("page_id", cell_text(F.get(cells_of("row"), 1)).alias("nombre"), url.alias("source_url"))
+    return found.where((F.col("nombre") != "") & F.lower("source_url").endswith(".pdf"))
+
+
+def documents_by_id(documents: DataFrame) -> DataFrame:
+    """All documents, in force or not, in the order of their ids."""
+    return documents.orderBy("id")
+
+
 def checked(df: DataFrame) -> DataFrame:
     """``df``, failing on values outside :data:`ALLOWED`, as the tables' constraints would."""
     for column, values in ALLOWED.items():
@@ -44,6 +77,44 @@ def replace_documents(spark: SparkSession, chunks: DataFrame, path: str) -> None
     )
 
 
+def chunk_rows(laws: DataFrame, model: str, limit: int = 900) -> DataFrame:
+    """Rows of the chunk table for laws (id, nombre, raw_text): the pieces of their articles, with the text to embed."""
+    chunks = chunk_laws(laws).join(laws.select(F.col("id").alias("document_id"), "nombre"), "document_id")
+    each = embedding_pieces(chunks, limit)
+    meta = F.struct("titulo", "capitulo", "seccion", "parte", "partes_totales")
+    text = embedding_text(F.col("nombre"), F.col("titulo"), F.col("capitulo"), F.col("articulo_numero"), F.col("content"))
+    return each.select(
+        "document_id", "position", "articulo_numero", "titulo", "capitulo", "seccion", "content", meta.alias("chunk_metadata"), text.alias("embedding_text"), F.lit(model).alias("embedding_model")
+    )
+
+
+def ingest(spark: SparkSession, laws: DataFrame, chunks_path: str, log_path: str, model: str) -> DataFrame:
+    """Replace the chunks of ``laws`` and log it: (document_id, chunks_created, status, error_message), a row for each law.
+
+    All new chunks are written before any old one goes, so a failure leaves the old ones; it is logged as
+    ``failed`` with the first 4000 characters of its error, and raised.
+    """
+    ids = laws.select(F.col("id").cast("long").alias("document_id")).distinct()
+
+    def log(status: str, counts: DataFrame, error: str | None = None) -> DataFrame:
+        rows = counts.select("document_id", "chunks_created", F.lit(status).alias("status"), F.left(F.lit(error).cast("string"), F.lit(4000)).alias("error_message"))
+        rows.write.mode("append").parquet(log_path)
+        return rows
+
+    try:
+        replace_documents(spark, chunk_rows(laws, model), chunks_path)
+    except Exception as error:
+        log("failed", ids.withColumn("chunks_created", F.lit(None).cast("long")), str(error))
+        raise
+    written = spark.read.parquet(chunks_path).groupBy(F.col("document_id").cast("long").alias("document_id")).agg(F.count(F.lit(1)).alias("chunks_created"))
+    return log("success", ids.join(written, "document_id", "left").withColumn("chunks_created", F.coalesce("chunks_created", F.lit(0).cast("long"))))
+
+
+def rebuild_relations(relations: DataFrame, path: str) -> None:
+    """Write all edges anew; running it twice gives the same table."""
+    checked(relations).write.mode("overwrite").parquet(path)
+
+
 def upsert_conversations(known: DataFrame, new: DataFrame) -> DataFrame:
     """``known`` plus the rows of ``new`` whose (platform, chat_id) is not there yet, one each: the earliest."""
     first = Window.partitionBy("platform", "chat_id").orderBy("started_at", "id")
@@ -95,9 +166,3 @@ def turn_rows(turns: DataFrame) -> DataFrame:
 def load_check(chunks: DataFrame) -> DataFrame:
     """Rows, embedded rows and model per document after a load."""
     return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("embedded"), F.min("embedding_model").alias("model"))
-
-
-def page_text(html: Column) -> Column:
-    from normata.functions.text import html_text
-
-    return html_text(html)

@@ -8,12 +8,15 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RATE, SPAN = 10, 60.0
+NEVER = -(1 << 62)  # stands for no time
 COOLDOWN_MINUTES = 30
 
 
@@ -42,20 +45,57 @@ def rate_limited_batch(events: DataFrame, key: str, time: str, tie: str, rate: i
     """``events`` with ``accepted``: at most ``rate`` accepted per key in any trailing ``span`` seconds.
 
     Partitions are sorted by key and time and read once; a key's state is its last ``rate`` accepted times.
+    Runs in which no event is too near to the ``rate``-th before it pass as they are; only the others are
+    walked. Events without key share one; an event without time is not accepted and counts for nothing.
     """
-    schema = events.schema.simpleString()[7:-1] + ",accepted:boolean"
+    names = [c for c in events.columns if c != "accepted"]
+    schema = T.StructType([*events.select(*names).schema.fields, T.StructField("accepted", T.BooleanType())])
+    width = int(span * 1_000_000)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = object(), deque()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, deque()
         for batch in batches:
-            accepted = []
-            for value, at in zip(batch[key], batch[time], strict=True):
-                if value != current:
-                    current, held = value, deque()
-                accepted += within_rate([at.timestamp()], held, rate, span, ends_count)
-            yield batch.assign(accepted=accepted)
-
-    return events.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, schema)
+            run_of, at = (batch.column(len(names) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            accepted = at != NEVER
+            begins = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1])) if len(at) else []
+            for begin, end in zip(begins, [*begins[1:], len(at)], strict=True):
+                if run_of[begin] != current:
+                    current, held = run_of[begin], deque()
+                times = at[begin:end][accepted[begin:end]]
+                gaps = times[rate:] - times[:-rate] if len(times) > rate else np.zeros(0, np.int64)
+                if not held and (gaps > width if ends_count else gaps >= width).all():
+                    held = deque(times[-rate:].tolist())
+                else:
+                    ok = within_rate(times.tolist(), held, rate, width, ends_count)
+                    accepted[begin + np.flatnonzero(accepted[begin:end])] = ok
+            columns = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(accepted, pa.bool_())], [*names, "accepted"])
+
+    # The key's number tells runs apart, whatever the key's type: a hash, with the sort by the key itself.
+    rows = events.select(*names, F.xxhash64(key, F.col(key).isNull()).alias("__run"), F.coalesce(F.unix_micros(time), F.lit(NEVER)).alias("__at"))
+    return rows.repartition(key).sortWithinPartitions(key, "__at", tie).mapInArrow(run, schema)
+
+
+def two_buckets(events: DataFrame, session: str, address: str, time: str, tie: str, rate: int = RATE, span: float = SPAN) -> DataFrame:
+    """``events`` with ``accepted``: the session's limit is charged first, then, for what passes, the address's.
+
+    What the address's limit rejects was charged to the session all the same.
+    """
+    first = rate_limited_batch(events, session, time, tie, rate, span).withColumnRenamed("accepted", "__passed")
+    second = rate_limited_batch(first.where("__passed"), address, time, tie, rate, span).drop("__passed")
+    return second.unionByName(first.where("NOT __passed").drop("__passed").withColumn("accepted", F.lit(False)))
+
+
+def cached_reads(log: DataFrame, key: str, time: str, tie: str, is_turn: str, ttl: float = 3600.0) -> DataFrame:
+    """The reads of a log with ``cached``: whether a history stored by an earlier read is still there.
+
+    A read that finds none stores its own, for ``ttl`` seconds from then, whatever reads follow; a new turn
+    (``is_turn``) drops what is stored.
+    """
+    order = Window.partitionBy(key).orderBy(time, tie)
+    parts = log.withColumn("__part", F.count_if(is_turn).over(order)).where(~F.col(is_turn)).withColumn("__bucket", F.xxhash64(key, "__part"))
+    out = rate_limited_batch(parts, "__bucket", time, tie, 1, ttl, ends_count=False)
+    return out.withColumn("cached", ~F.col("accepted")).drop("accepted", "__part", "__bucket")
 
 
 def drop_repeats_batch(events: DataFrame, key: str, time: str, tie: str, hours: int = 24) -> DataFrame:
