@@ -37,9 +37,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like :func:`materialise`, in buckets of ``key``: joins on it shuffle their other side only.
+
+    The table lies in the shared folder; the catalogue knows it until :func:`discard`.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.scratch, out.known_as = path, table
+    return out
+
+
 def discard(table: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     spark = table.sparkSession
+    if name := getattr(table, "known_as", None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

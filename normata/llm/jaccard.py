@@ -10,7 +10,7 @@ link when the Jaccard similarity of their sets is at least ``percent`` per cent.
    sends the prefixes, once per set and task, to their shingle, in order, where a stream tells the
    shared ones. Shingles of over ``HOT`` of all rows, which the slots show, are dealt to many tasks.
    Only sets with enough shared shingles go on; their shingles are read once more, from rows that a
-   bitmap of fixed size names, and written as hashes. A shingle's smallest set is its hub.
+   bitmap of fixed size names, and written as hashes, in buckets. A shingle's smallest set is its hub.
 3. Hubs are compared with the sets that share a shingle with them, as a stream with one set in memory.
    Components of those links are a first labelling: families of near copies mostly end in one.
 4. What is left are shared shingles whose sets have several labels. Sets that a chain of those joins are
@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normata.llm.common import discard, materialise
+from normata.llm.common import bucketed, discard, materialise
 from normata.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -283,7 +283,7 @@ def token_lists(documents: DataFrame, rows: DataFrame, sets: DataFrame, words: i
                     found[own] = tokens.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], ["set", "tokens"])
 
-    lists = materialise(keyed(documents).select("key", "text").mapInArrow(run, "set long, tokens binary"), "tokens")
+    lists = bucketed(keyed(documents).select("key", "text").mapInArrow(run, "set long, tokens binary"), "tokens", "set")
     chosen.destroy()
     return lists
 
