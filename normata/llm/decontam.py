@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normata.llm.common import slices
+
 CELL, ITEMS, TOGETHER, WINDOWS = 32, 1000, 8, 256
 RANK, OVERSAMPLE = 96, 16
 SHARED, COPIED, ANSWERED = 0.4, 0.65, 0.6
@@ -149,7 +151,7 @@ def sketch_corpus(documents: DataFrame, blocks: list[Items], width: int) -> list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = [Buffered(items, width) for items in blocks]
-        for texts in batches:
+        for texts in slices(batches):
             for text in texts.column(0).to_pylist():
                 words = words_of(text)
                 for one in open_:
@@ -347,7 +349,7 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, rank: int = RANK) -
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matchers = [Matcher(*one) for one in shared.value]
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     words = words_of(text)

@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normata.llm.common import bucketed, discard, materialise
+from normata.llm.common import bucketed, discard, materialise, slices
 from normata.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
@@ -120,7 +120,7 @@ def describe(documents: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, slots = Shingler(words), np.zeros(1 << SLOT_BITS, np.uint16)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, ids = [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle(text)
@@ -168,7 +168,7 @@ def prefixes(documents: DataFrame, slots: Broadcast, hot: int, words: int, perce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, counts = Shingler(words), set(), slots.value
-        for batch in batches:
+        for batch in slices(batches):
             tokens_out, salts_out, sets_out = [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle(text)
@@ -235,10 +235,11 @@ def key_map(keys: DataFrame) -> np.ndarray:
     """Bits of the keys' low ends: a map of fixed size, which lets through all of them and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << MAP_BITS, bool)
+        bits = np.zeros((1 << MAP_BITS) // 8, np.uint8)
         for batch in batches:
-            bits[map_place(batch.column(0).to_numpy())] = True
-        for i, piece in enumerate(np.split(np.packbits(bits), CHUNKS)):
+            place = map_place(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, place >> 3, (128 >> (place & 7)).astype(np.uint8))
+        for i, piece in enumerate(np.split(bits, CHUNKS)):
             if piece.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)])], ["chunk", "bits"])
 
@@ -271,7 +272,7 @@ def token_lists(documents: DataFrame, rows: DataFrame, sets: DataFrame, words: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, bits = Shingler(words), set(), chosen.value
-        for batch in batches:
+        for batch in slices(batches):
             place = map_place(batch.column(0).to_numpy())
             wanted = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
             found = {}
@@ -292,12 +293,13 @@ def tokens_from(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.uint64)
 
 
-def hub_links(met: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+def hub_links(met: DataFrame, lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each set that links with the hub ``a`` of one of its tokens.
 
-    A hub's sets stream by it; those of a hot hub are dealt to several tasks.
+    A hub's sets of a size near enough stream by it; those of a hot hub are dealt to several tasks.
     """
-    pairs = materialise(met.where("set <> hub").select("hub", "set").distinct(), "pairs")
+    every = met.where("set <> hub").select("hub", "set").distinct().join(sizes, "set").join(sizes.select(F.col("set").alias("hub"), F.col("n").alias("m")), "hub")
+    pairs = materialise(every.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("hub", "set"), "pairs")
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
     near = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "set")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("hub").alias("set"))
@@ -305,7 +307,7 @@ def hub_links(met: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
             for at, kind, own, packed in zip(*(batch.column(c).to_pylist() for c in ("hub", "kind", "set", "tokens")), strict=True):
                 tokens = tokens_from(packed)
@@ -473,7 +475,7 @@ def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
                     a, b = [ids[i] for i in moved], [ids[labels[i]] for i in moved]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = (batch.column(c).to_pylist() for c in ("cell", "low", "high", "block", "set", "label", "tokens"))
             for *at, block, own, label, packed in zip(*columns, strict=True):
                 if at != cell:
@@ -491,11 +493,11 @@ def verified(cells: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 def set_labels(documents: DataFrame, rows: DataFrame, slots: np.ndarray, words: int, percent: int) -> DataFrame:
     """(set, label): the component of each set that links with another."""
     shared = documents.sparkSession.sparkContext.broadcast(slots)
-    sizes = rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"))
+    sizes = materialise(rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n")), "sizes")
     met = meetings(prefixes(documents, shared, max(3, int(HOT * rows.count())), words, percent), sizes, percent)
     shared.destroy()
     lists = token_lists(documents, rows, met.select("set").distinct(), words)
-    first = materialise(connected_components(hub_links(met, lists, percent)).select(F.col("node").alias("set"), F.col("root").alias("label")), "labels")
+    first = materialise(connected_components(hub_links(met, lists, sizes, percent)).select(F.col("node").alias("set"), F.col("root").alias("label")), "labels")
     more = materialise(verified(materialise(cells_of(met, first, sizes), "cells"), lists, percent), "links")
     for table in (met, lists):
         discard(table)

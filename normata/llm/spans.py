@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normata.llm.common import materialise
+from normata.llm.common import materialise, slices
 
 #: Least sentences and words of a run; words beyond which a sentence is parted.
 LEAST, WORDS, LONG = 2, 25, 20
@@ -94,7 +94,7 @@ def runs_of(documents: DataFrame) -> DataFrame:
     """(h1, h2, ord): the distinct runs of each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes, owners = [], []
             for order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, _, found = run_hashes(sentences(text))
@@ -143,7 +143,7 @@ def drop_repeated_spans(documents: DataFrame) -> DataFrame:
     fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in documents.schema.fields]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, totals, cuts = [], [], []
             for text, taken_here in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 pieces = sentences(text)
