@@ -7,42 +7,8 @@ from pyspark.sql import functions as F
 from normata.operators import catalog as K
 from normata.operators import relations as L
 from normata.plans import adapters as A
-from normata.plans.texts import values
 from normata.sources import tables as S
 
-LAWS = [
-    (1, "Codigo Penal del Estado", True, "http://a.example/cp.pdf", "a"), (2, "Ley de Aguas", True, "http://a.example/la.pdf", "a"), (3, "Ley de Aguas Residuales", True, "http://b.example/lar.pdf", "b"),
-    (4, "Ley Forestal", False, "http://a.example/lf.pdf", "a"), (5, "Ley de Transporte", True, None, None), (6, "Ley Ganadera", True, "http://b.example/lg.pdf", "b"),
-]
-CATALOG = [
-    ("CÓDIGO PENAL DEL ESTADO", "http://a.example/cp.pdf", "a"), ("LEY DE AGUAS", "http://a.example/la-2.pdf", "a"), ("LEY DE AGUAS RESIDUALES Y OTRAS", "http://b.example/lar.pdf", "b"),
-    ("LEY DE AGUAS RESIDUALES VIEJA", "http://b.example/lar0.pdf", "b"), ("LEY NUEVA", "http://a.example/n.pdf", "a"), ("Ley  Nueva", "http://b.example/n.pdf", "b"), ("LEY VIEJA ABROGADA", "x", "a"), ("DECLARATORIA UNO", "x", "a"),
-]
-TEXTS = [
-    (1, 10, "5", "Articulo 5.- Texto (REFORMADO, P.O. 3 DE MAYO DE 2010) sigue"), (1, 11, "6", "(ADICION PUBLICADA MEDIANTE P.O. NUM. 113 DE FECHA 28 DE AGOSTO 2008)"), (1, 12, "7", "(ULTIMA\nREFORMA PUBLICADA MEDIANTE P.O. 1 DE ENERO DE 2001)"),
-    (2, 20, "1", "REFORMA PUBLICADA EN EL P. O. 17 de Septiembre de 2012)"), (2, 21, "2", "(SE DEROGA MEDIANTE P.O. 31 DE FEBRERO DE 2012)"), (2, 22, "3", "(DEROGADA POR EL ARTICULO 2 DE LA LEY FORESTAL, P.O. 9 DE JUNIO DE 1999)"),
-    (3, 30, "4 BIS", "(ADICIONADO POR EL TRANSITORIO DEL CODIGO PENAL DEL ESTADOO, P.O. 10 DE JULIO DE 2005)"), (3, 31, None, "(REFORMADO POR DECRETO DE LA LEY DESCONOCIDA, P.O. 2 DE MARZO DE 2003)"), (3, 32, "9", "sin marcador"),
-]
-FOUND = [
-    (1, 10, "5", "reforma", 1, "2010-05-03", "regex", True), (1, 11, "6", "adiciona", 1, "2008-08-28", "regex_publicada", True), (2, 20, "1", "reforma", 2, "2012-09-17", "regex_publicada", True),
-    (2, 21, "2", "deroga", 2, None, "regex_se_verbo", True), (2, 22, "3", "deroga", 4, "1999-06-09", "regex", False), (3, 30, "4 BIS", "adiciona", 1, "2005-07-10", "regex", False), (3, 31, None, "reforma", None, "2003-03-02", "regex", False),
-]
-HISTORY = "from_document_id, from_chunk_id, from_articulo, relation_type, to_document_id, fecha, extraction_method, is_self"
-
-
-def laws(spark):
-    return spark.createDataFrame(LAWS, "id int, nombre string, is_active boolean, source_url string, source string")
-
-
-def catalog(spark):
-    return spark.createDataFrame(CATALOG, "nombre string, source_url string, source string")
-
-
-def relations(spark):
-    chunks = spark.createDataFrame(TEXTS, "document_id int, chunk_id int, articulo_numero string, content string")
-    return L.build_relations(chunks, laws(spark))
-
-
 def documents(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
@@ -51,18 +17,27 @@ def chunk_table(spark, d):
     return documents(spark, d).select(F.expr("CAST(substring(source, 4) AS INT)").alias("document_id"), F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).cast("string").alias("articulo_numero"), F.col("text").alias("content"))
 
 
+def numbered(spark, d):
+    """Articles 0 to 49 of which 13 and some runs have no number, and one law has none at all."""
+    label = F.when(F.expr("document_id = 7 OR chunk_id % 50 IN (13, 20, 21, 22)"), "").when(F.expr("chunk_id % 50 = 30"), None).otherwise(F.concat("articulo_numero", F.lit(" BIS")))
+    return chunk_table(spark, d).withColumn("articulo_numero", label)
+
+
 def law_table(spark, d):
     return A.build(spark, d, A.LAWS, "documents")
 
 
-def article(spark, d):
+def pieces_of_laws(spark, d):
     chunks = A.build(spark, d, A.CHUNKS, "documents").join(law_table(spark, d).select("nombre", F.col("id").alias("document_id")), "nombre").drop("nombre")
-    return L.find_article(chunks, law_table(spark, d), "ley src12", "7").select("chunk_id", "articulo_numero")
+    return chunks.withColumn("articulo_numero", (F.col("chunk_id") % 7).cast("string"))
+
+
+def article(spark, d):
+    return L.find_article(pieces_of_laws(spark, d), law_table(spark, d), "ley src12", "6").select("chunk_id", "articulo_numero")
 
 
 def ambiguous(spark, d):
-    chunks = A.build(spark, d, A.CHUNKS, "documents").join(law_table(spark, d).select("nombre", F.col("id").alias("document_id")), "nombre").drop("nombre")
-    return L.ambiguous_laws(chunks, law_table(spark, d), "src1", "7")
+    return L.ambiguous_laws(pieces_of_laws(spark, d), law_table(spark, d), "src1", "6")
 
 
 def duplicates(spark, d):
@@ -76,7 +51,7 @@ def upserted(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").select(
         F.col("o_orderkey").alias("id"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("platform"), (F.col("o_custkey") % 300).cast("string").alias("chat_id"), F.col("o_orderdate").alias("started_at")
     )
-    return S.upsert_conversations(rows.where("id % 4 = 0 AND id < 2000"), rows.where("id % 4 <> 0")).select("id", "platform", "chat_id")
+    return S.upsert_conversations(rows.where("id % 4 = 0"), rows.where("id % 4 <> 0")).select("id", "platform", "chat_id")
 
 
 def hits(spark, d):
@@ -103,26 +78,18 @@ def loaded(spark, d):
 
 
 QUERIES = {
-    "relations": lambda s, d: relations(s).select(*[F.col(c.strip()) if c.strip() != "fecha" else F.col("fecha").cast("string").alias("fecha") for c in HISTORY.split(",")]),
-    "relation_counters": lambda s, d: L.extraction_counters(relations(s)),
-    "law_history": lambda s, d: L.law_history(relations(s), laws(s), "codigo penal").select("from_chunk_id"),
-    "article_history": lambda s, d: L.law_history(relations(s), laws(s), "Ley de Aguas", " 1 ").select("from_chunk_id"),
-    "bulk_history": lambda s, d: L.bulk_history(relations(s), laws(s), s.createDataFrame([("Codigo Penal del Estado", "5"), ("Ley de Aguas", "99")], "nombre string, articulo string")).select("nombre", "articulo", F.array_join("history", "|").alias("history")),
-    "relation_explorer": lambda s, d: L.other_side(relations(s), laws(s), "ley de aguas").select("from_chunk_id", "other"),
-    "relation_chunks": lambda s, d: L.as_chunks(relations(s), laws(s)).groupBy("document_nombre").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars")),
     "article_lookup": article,
     "ambiguous_laws": ambiguous,
-    "catalog_updates": lambda s, d: K.detect_updates(laws(s).where("is_active"), catalog(s)).select("id", "status"),
-    "catalog_new_laws": lambda s, d: K.new_laws(laws(s).where("is_active"), catalog(s)),
     "catalog_newly_listed": lambda s, d: K.newly_listed(documents(s, d).select(F.col("source").alias("nombre")), documents(s, d).where("doc_id % 20 < 17").select(F.col("source").alias("nombre"))),
-    "catalog_alert": lambda s, d: documents(s, d).agg(F.collect_set("source").alias("names")).select(K.names_preview(F.col("names")).alias("preview")),
-    "numbering_report": lambda s, d: K.numbering_report(chunk_table(s, d).where("articulo_numero <> '13'")),
+    "catalog_alert": lambda s, d: K.alert_text(documents(s, d).select(F.col("source").alias("nombre"))),
+    "numbering_report": lambda s, d: K.numbering_report(numbered(s, d)),
     "duplicate_ratio": duplicates,
     "upsert_conversations": upserted,
     "cache_hits": hits,
     "reembed_selection": reembed,
     "soft_delete": deactivated,
     "load_check": loaded,
+    "documents_by_id": lambda s, d: S.documents_by_id(law_table(s, d)).select("id", "nombre", "is_active"),
     "law_list": lambda s, d: law_table(s, d).where("is_active").select("id", "nombre").orderBy("nombre"),
     "active_corpus": lambda s, d: A.build(s, d, A.CHUNKS, "documents").join(law_table(s, d).where("is_active").select("nombre"), "nombre").select("chunk_id", "nombre"),
 }
@@ -138,32 +105,26 @@ def key_sql() -> str:
 
 
 ORACLE_SQL = {
-    "relations": f"SELECT * FROM {values(FOUND, HISTORY)}",
-    "relation_counters": "SELECT 4 AS auto_mod, 2 AS cross_resolved, 1 AS cross_unresolved, 1 AS skipped_no_date",
-    "law_history": "SELECT * FROM (VALUES (10), (11), (30)) v(from_chunk_id)",
-    "article_history": "SELECT 20 AS from_chunk_id",
-    "bulk_history": """SELECT * FROM (VALUES ('Codigo Penal del Estado', '5', 'El articulo 5 de Codigo Penal del Estado fue reformado el 3 de mayo de 2010, mediante una reforma registrada dentro de la misma ley '
-      || '(el marcador no nombra a otra ley distinta). Marcador original del Periodico Oficial: "(REFORMADO, P.O. 3 DE MAYO DE 2010)".'), ('Ley de Aguas', '99', '')) v(nombre, articulo, history)""",
-    "relation_explorer": "SELECT * FROM (VALUES (20, 'Ley de Aguas'), (21, 'Ley de Aguas'), (22, 'LEY FORESTAL')) v(from_chunk_id, other)",
-    "relation_chunks": "SELECT * FROM (VALUES ('Codigo Penal del Estado', 2, 550), ('Ley de Aguas Residuales', 2, 581), ('Ley de Aguas', 3, 754)) v(document_nombre, n, chars)",
-    "article_lookup": f"SELECT min(doc_id) AS chunk_id, '7' AS articulo_numero FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source = 'src12' AND doc_id % 50 = 7 HAVING count(*) > 0",
-    "ambiguous_laws": f"WITH x AS (SELECT DISTINCT nombre FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source ILIKE '%src1%' AND doc_id % 50 = 7) SELECT nombre FROM x WHERE (SELECT count(*) FROM x) > 1",
-    "catalog_updates": "SELECT * FROM (VALUES (1, 'unchanged'), (2, 'changed'), (3, 'ambiguo'), (5, 'unknown_source'), (6, 'sin_match')) v(id, status)",
-    "catalog_new_laws": "SELECT 'LEY NUEVA' AS nombre",
+    "article_lookup": f"SELECT min(doc_id) AS chunk_id, '6' AS articulo_numero FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source = 'src12' AND doc_id % 7 = 6 HAVING count(*) > 0",
+    "ambiguous_laws": f"WITH x AS (SELECT DISTINCT nombre FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source ILIKE '%src1%' AND doc_id % 7 = 6) SELECT nombre FROM x WHERE (SELECT count(*) FROM x) > 1",
     "catalog_newly_listed": "SELECT DISTINCT source AS nombre FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 < 17)",
     "catalog_alert": "WITH s AS (SELECT DISTINCT source FROM documents), o AS (SELECT source, row_number() OVER (ORDER BY source) AS n FROM s) SELECT string_agg(source, ', ' ORDER BY source) FILTER (WHERE n <= 8) || CASE WHEN count(*) > 8 THEN ' y ' || (count(*) - 8) || ' mas' ELSE '' END AS preview FROM o",
-    "numbering_report": """WITH n AS (SELECT CAST(substring(source, 4) AS INT) AS document_id, doc_id % 50 AS a, count(*) AS times FROM documents WHERE doc_id % 50 <> 13 GROUP BY 1, 2)
-      SELECT document_id, count(*) AS labels, count(*) FILTER (WHERE times > 1) AS duplicates, CAST(min(a) AS INT) AS first_number, CAST(max(a) AS INT) AS last_number,
-      CAST(max(a) - min(a) + 1 - count(*) AS INT) AS gaps, round((max(a) - min(a) + 1 - count(*)) / CAST(max(a) - min(a) + 1 AS DOUBLE), 6) AS gap_ratio FROM n GROUP BY 1""",
+    "numbering_report": """WITH c AS (SELECT CAST(substring(source, 4) AS INT) AS document_id, CASE WHEN substring(source, 4) = '7' OR doc_id % 50 IN (13, 20, 21, 22, 30) THEN NULL ELSE doc_id % 50 END AS a FROM documents),
+      n AS (SELECT document_id, a, count(*) AS times FROM c GROUP BY 1, 2), g AS (SELECT document_id, a, lead(a) OVER (PARTITION BY document_id ORDER BY a) AS z FROM n WHERE a IS NOT NULL),
+      m AS (SELECT document_id, string_agg(CASE WHEN z - a = 2 THEN CAST(a + 1 AS VARCHAR) ELSE (a + 1) || '-' || (z - 1) END, ',' ORDER BY a) AS missing FROM g WHERE z - a > 1 GROUP BY 1)
+      SELECT document_id, count(a) AS labels, CAST(coalesce(sum(times) FILTER (WHERE a IS NULL), 0) AS BIGINT) AS unnumbered, count(*) FILTER (WHERE times > 1 AND a IS NOT NULL) AS duplicates,
+        CAST(min(a) AS INT) AS first_number, CAST(max(a) AS INT) AS last_number, CAST(coalesce(max(a) - min(a) + 1 - count(a), 0) AS INT) AS gaps, coalesce(any_value(missing), '') AS missing,
+        coalesce(round((max(a) - min(a) + 1 - count(a)) / CAST(max(a) - min(a) + 1 AS DOUBLE), 6), 1.0) AS gap_ratio FROM n LEFT JOIN m USING (document_id) GROUP BY 1""",
     "duplicate_ratio": f"""WITH k AS (SELECT doc_id, doc_id % 20 AS document_id, {key_sql()} AS key FROM documents), o AS (SELECT key FROM k WHERE doc_id % 2 = 0 AND length(key) >= 60 GROUP BY 1)
       SELECT document_id, count(*) AS keys, count(o.key) AS hits, round(count(o.key) / CAST(count(*) AS DOUBLE), 6) AS ratio FROM k LEFT JOIN o ON o.key = k.key WHERE doc_id % 2 = 1 AND length(k.key) >= 60 GROUP BY 1""",
     "upsert_conversations": """WITH r AS (SELECT o_orderkey AS id, lower(substring(o_orderpriority, 3, 20)) AS platform, CAST(o_custkey % 300 AS VARCHAR) AS chat_id, o_orderdate AS t FROM orders),
-      k AS (SELECT * FROM r WHERE id % 4 = 0 AND id < 2000), n AS (SELECT *, row_number() OVER (PARTITION BY platform, chat_id ORDER BY t, id) AS o FROM r WHERE id % 4 <> 0)
+      k AS (SELECT * FROM r WHERE id % 4 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY platform, chat_id ORDER BY t, id) AS o FROM r WHERE id % 4 <> 0)
       SELECT id, platform, chat_id FROM k UNION ALL SELECT id, platform, chat_id FROM n WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.platform = n.platform AND k.chat_id = n.chat_id)""",
     "cache_hits": """SELECT r.id, CAST(1 + count(e.user_id) AS INT) AS hit_count, strftime(max(e.ts), '%Y-%m-%d %H:%M:%S') AS last_used_at FROM range(200) r(id) LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') e ON e.user_id = r.id GROUP BY 1""",
     "reembed_selection": f"SELECT vec_id AS id FROM embeddings JOIN {LAW_SQL} l ON l.id = vec_id % 20 + 1 WHERE label % 3 <> 1 AND l.is_active",
     "soft_delete": f"SELECT id, is_active AND id NOT IN (2, 5) AS is_active FROM {LAW_SQL} l",
     "load_check": "SELECT CAST(substring(source, 4) AS INT) AS document_id, count(*) AS chunks, count(*) FILTER (WHERE doc_id % 3 > 0) AS embedded, min('m' || doc_id % 2) AS model FROM documents GROUP BY 1",
+    "documents_by_id": f"SELECT id, nombre, is_active FROM {LAW_SQL} l ORDER BY id",
     "law_list": f"SELECT id, nombre FROM {LAW_SQL} l WHERE is_active ORDER BY nombre",
     "active_corpus": f"SELECT doc_id AS chunk_id, nombre FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE is_active",
 }

@@ -41,7 +41,13 @@ def refusals(spark, d):
 
 def histories(spark, d):
     rows = messages(spark, d)
-    return M.recent_turns(rows, 3)
+    return M.recent_turns(rows)
+
+
+def clarified(spark, d):
+    rows = messages(spark, d)
+    asks = (F.col("role") == "assistant") & (F.col("conversation_id") % 5 == 0)
+    return M.needs_rewriting(rows.withColumn("content", F.when(asks, F.concat("content", F.lit(" quiere aclarar?"))).otherwise(F.col("content"))), "aclarar")
 
 
 def runs(spark, d):
@@ -70,7 +76,8 @@ def positions(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
     rows = lines.select(
         F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("position"), F.concat(F.lit("Ley "), "l_returnflag").alias("document_nombre"), F.col("l_linestatus").alias("articulo_numero"),
-        F.when(F.col("l_orderkey") % 4 > 0, "ley r").alias("ley_contains"), F.when(F.col("l_orderkey") % 3 > 0, "f").alias("articulo_esperado"),
+        F.when(F.col("l_orderkey") % 4 > 0, "ley r").alias("ley_contains"), F.when(F.col("l_orderkey") % 3 > 0, "F").alias("articulo_esperado"),
+        F.when(F.col("l_orderkey") % 5 == 0, "LEY N").alias("alt_ley_contains"), F.array(F.lit("O"), F.lit("X")).alias("alt_articulos"),
     )
     return E.expected_position(rows)
 
@@ -132,7 +139,8 @@ QUERIES = {
     "agent_effort": of_messages(M.agent_effort),
     "recent_turns": histories,
     "last_user_turn": of_messages(M.last_user_turn),
-    "needs_rewriting": of_messages(M.needs_rewriting, "aclarar"),
+    "needs_rewriting": clarified,
+    "out_of_scope_total": lambda s, d: M.out_of_scope_total(refusals(s, d), REFUSAL),
     "golden_run_totals": lambda s, d: E.run_totals(cases(s, d)),
     "golden_latest_run": latest,
     "golden_recent_runs": lambda s, d: E.recent_runs(runs(s, d)).select("id", "duration_ms"),
@@ -147,11 +155,14 @@ CITED = """e AS (SELECT id, found_answer, json_extract_string(x, '$.document_nom
   FROM (SELECT id, found_answer, unnest(CAST(CAST(retrieved_chunks AS JSON) AS JSON[])) AS x FROM m WHERE role = 'assistant' AND retrieved_chunks IS NOT NULL)) """
 U, ASSIST = "u AS (SELECT * FROM m WHERE role = 'user') ", "a AS (SELECT * FROM m WHERE role = 'assistant') "
 DAY = "strftime(created_at, '%Y-%m-%d')"
-CASE_SQL = f"""WITH k AS (SELECT *, CASE
-  WHEN expects_grounded = actual_grounded AND (articulo_esperado IS NULL OR found_at IS NOT NULL OR NOT expects_grounded) THEN 'passed'
-  WHEN coalesce(known_limitation, false) AND CASE WHEN limitation_kind = 'not_grounded' THEN NOT actual_grounded
-    WHEN limitation_kind = 'wrong_article' THEN actual_grounded AND found_at IS NULL WHEN limitation_kind = 'alternative_law' THEN alternative ELSE true END THEN 'xfailed'
-  ELSE 'failed' END AS status FROM ({A.oracle(A.CASES, "lineitem")})) """
+CASE_SQL = f"""WITH k AS (SELECT *, CASE limitation_kind
+  WHEN 'tolerate_grounded_true' THEN CASE WHEN actual_grounded THEN 'xfailed_known' WHEN answer IS NULL OR trim(answer) = '' THEN 'failed' ELSE 'passed' END
+  WHEN 'tolerate_missing_position' THEN CASE WHEN actual_grounded IS NOT true THEN 'failed' WHEN found_at IS NULL THEN 'xfailed_known' ELSE 'passed' END
+  WHEN 'tolerate_grounded_false' THEN CASE WHEN actual_grounded IS NOT true THEN 'xfailed_known' WHEN found_at IS NULL AND NOT alternative THEN 'failed' ELSE 'passed' END
+  ELSE CASE WHEN actual_grounded IS DISTINCT FROM expects_grounded THEN 'failed'
+    WHEN expects_empty_retrieval THEN CASE WHEN retrieved > 0 OR llm_model IS NOT NULL THEN 'failed' ELSE 'passed' END
+    WHEN articulo_esperado IS NOT NULL AND ley_contains <> '' AND found_at IS NULL AND NOT alternative THEN 'failed' ELSE 'passed' END
+  END AS status FROM ({A.oracle(A.CASES, "lineitem")})) """
 QUANTILE = "round(quantile_cont(CAST({0} AS DOUBLE), 0.95), 6)"
 
 ORACLE_SQL = {
@@ -194,12 +205,13 @@ ORACLE_SQL = {
     "route_distribution": MSG + U + "SELECT json_extract_string(agent_trace, '$.route') AS route, count(*) AS count FROM m WHERE agent_trace IS NOT NULL GROUP BY 1",
     "agent_effort": MSG + U + """SELECT round(avg(CAST(json_extract_string(agent_trace, '$.intentos') AS INT)), 6) AS avg_intentos,
       count(*) FILTER (WHERE json_extract_string(agent_trace, '$.self_reflection_triggered') = 'true') AS triggered, count(*) AS total FROM m WHERE agent_trace IS NOT NULL""",
-    "recent_turns": MSG + U + """SELECT conversation_id, string_agg(role || ': ' || left(content, 40), chr(10) ORDER BY back DESC) AS history
-      FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) AS back FROM m) WHERE back <= 3 GROUP BY 1""",
+    "recent_turns": MSG + U + """SELECT conversation_id, string_agg(role || ': ' || content, chr(10) ORDER BY back DESC) AS history
+      FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC, id DESC) AS back FROM m) WHERE back <= 8 GROUP BY 1""",
     "last_user_turn": MSG + U + "SELECT conversation_id, arg_max(content, id) AS content FROM u GROUP BY 1",
-    "needs_rewriting": MSG + U + """SELECT id, prev IS NOT NULL AND (contains(prev, 'aclarar') OR len(string_split_regex(trim(content), '\\s+')) <= 6) AS needs_rewriting
-      FROM (SELECT id, role, content, lag(content) OVER (PARTITION BY conversation_id ORDER BY id) AS prev FROM m) WHERE role = 'user'""",
-    "golden_run_totals": CASE_SQL + """SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'xfailed') AS xfailed_known,
+    "needs_rewriting": MSG + U + """SELECT id, prev IS NULL OR prev_role = 'assistant' AND conversation_id % 5 = 0 OR len(regexp_extract_all(content, '\\S+')) <= 6 AS needs_rewriting
+      FROM (SELECT id, role, content, conversation_id, lag(id) OVER o AS prev, lag(role) OVER o AS prev_role FROM m WINDOW o AS (PARTITION BY conversation_id ORDER BY id)) WHERE role = 'user'""",
+    "out_of_scope_total": MSG + ASSIST + "SELECT count(*) FILTER (WHERE id % 10 < 4) AS total FROM a",
+    "golden_run_totals": CASE_SQL + """SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'xfailed_known') AS xfailed_known,
       count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM k GROUP BY 1""",
     "golden_latest_run": CASE_SQL + f"SELECT run_id, case_id, status FROM k WHERE run_id = (SELECT id FROM ({A.oracle(A.RUNS, 'orders')}) WHERE started_at IS NOT NULL ORDER BY started_at DESC, id DESC LIMIT 1)",
     "golden_recent_runs": f"SELECT id, duration_ms FROM ({A.oracle(A.RUNS, 'orders')}) ORDER BY started_at DESC NULLS LAST, id DESC LIMIT 10",
@@ -207,8 +219,8 @@ ORACLE_SQL = {
       r AS (SELECT l_orderkey AS case_id, 'x ' || upper(p_brand) AS document_nombre FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25),
       h AS (SELECT g.case_id, g.group_no, bool_or(coalesce(contains(lower(document_nombre), lower(name)), false)) AS hit FROM g LEFT JOIN r ON g.case_id = r.case_id GROUP BY 1, 2)
       SELECT case_id, round(avg(CAST(hit AS INT)), 6) AS coverage FROM h GROUP BY 1""",
-    "golden_positions": """SELECT l_orderkey AS case_id, min(l_linenumber) FILTER (WHERE (l_orderkey % 4 = 0 OR l_returnflag = 'R') AND (l_orderkey % 3 = 0 OR l_linestatus = 'F')) AS found_at, count(*) AS retrieved
-      FROM lineitem GROUP BY 1""",
+    "golden_positions": """SELECT l_orderkey AS case_id, min(l_linenumber) FILTER (WHERE l_orderkey % 4 > 0 AND l_returnflag = 'R' AND l_orderkey % 3 > 0 AND l_linestatus = 'F') AS found_at,
+      bool_or(l_orderkey % 5 = 0 AND l_returnflag = 'N' AND l_linestatus = 'O') AS alternative, count(*) AS retrieved FROM lineitem GROUP BY 1""",
     "grounding_gates": MSG + CITED + """, t AS (SELECT id AS turn_id, id % 3 = 0 AS exact, id % 5 > 0 AS ok, id % 7 = 0 AS filler, id % 2 AS attempts FROM m WHERE role = 'assistant'),
       p AS (SELECT t.*, CASE WHEN exact THEN coalesce(n, 0) > 0 ELSE coalesce(passed, false) END AS "primary" FROM t LEFT JOIN (SELECT id, bool_or(passed) AS passed, count(*) AS n FROM e GROUP BY 1) x ON x.id = t.turn_id)
       SELECT turn_id, "primary", "primary" AND ok AND NOT filler AS grounded, NOT exact AND "primary" AND NOT ("primary" AND ok AND NOT filler) AND attempts < 1 AS retry FROM p""",

@@ -20,7 +20,19 @@ def limited(spark, d):
     return out.select("event_id", "accepted")
 
 
+def buckets(spark, d):
+    rows = events(spark, d).withColumn("address", F.col("user_id") % 17)
+    return L.two_buckets(rows, "user_id", "address", "ts", "event_id", rate=3, span=86400.0).select("event_id", "accepted")
+
+
+def reads(spark, d):
+    rows = events(spark, d).withColumn("turn", F.col("event_type") == "click")
+    return L.cached_reads(rows, "user_id", "ts", "event_id", "turn", 86400.0).select("event_id", "cached")
+
+
 QUERIES = {
+    "two_buckets": buckets,
+    "history_cache": reads,
     "drop_repeated_updates": lambda s, d: L.drop_repeats_batch(events(s, d), "user_id", "ts", "event_id", 24).select("event_id"),
     "rate_limiter": limited,
     "error_surges": lambda s, d: L.error_surges(events(s, d).where("event_type = 'error'")).select(stamp("window_start"), "errors"),
@@ -38,8 +50,24 @@ def fold_sql(key: str, span: str, where: str = "true", out: str = "event_id") ->
       SELECT {out} FROM e JOIN k ON k.key = e.{key} AND k.o = e.o"""
 
 
+def limit_sql(name: str, source: str, key: str) -> str:
+    """At most three accepted in a day, by recursion over each key's events with the list of those accepted."""
+    return f"""{name}_e AS (SELECT event_id, ts, {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS o FROM {source}),
+      {name} AS (SELECT key, o, event_id, true AS accepted, [ts] AS held FROM {name}_e WHERE o = 1
+        UNION ALL SELECT key, o, event_id, len(f) < 3, CASE WHEN len(f) < 3 THEN list_append(f, ts) ELSE f END
+        FROM (SELECT e.key, e.o, e.event_id, e.ts, list_filter(k.held, lambda h: e.ts - h <= INTERVAL 1 DAY) AS f FROM {name} k JOIN {name}_e e ON e.key = k.key AND e.o = k.o + 1))"""
+
+
 FMT = "'%Y-%m-%d %H:%M:%S'"
 ORACLE_SQL = {
+    "rate_limiter": f"WITH RECURSIVE {limit_sql('a', 'events', 'user_id')} SELECT event_id, accepted FROM a",
+    "two_buckets": f"""WITH RECURSIVE {limit_sql('a', 'events', 'user_id')}, passed AS (SELECT e.* FROM events e JOIN a ON a.event_id = e.event_id WHERE accepted), {limit_sql('b', 'passed', 'user_id % 17')}
+      SELECT event_id, accepted FROM b UNION ALL SELECT event_id, false FROM a WHERE NOT accepted""",
+    "history_cache": """WITH RECURSIVE p AS (SELECT *, count(*) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS part FROM events),
+      r AS (SELECT event_id, ts, user_id || '-' || part AS key, row_number() OVER (PARTITION BY user_id, part ORDER BY ts, event_id) AS o FROM p WHERE event_type <> 'click'),
+      s AS (SELECT key, o, event_id, false AS cached, ts AS stored FROM r WHERE o = 1
+        UNION ALL SELECT r.key, r.o, r.event_id, r.ts - stored < INTERVAL 1 DAY, CASE WHEN r.ts - stored < INTERVAL 1 DAY THEN stored ELSE r.ts END FROM s JOIN r ON r.key = s.key AND r.o = s.o + 1)
+      SELECT event_id, cached FROM s""",
     "drop_repeated_updates": fold_sql("user_id", "INTERVAL 24 HOURS"),
     "error_surges": f"""SELECT strftime(w, {FMT}) AS window_start, count(*) AS errors FROM (SELECT unnest([time_bucket(INTERVAL 5 MINUTES, ts), time_bucket(INTERVAL 5 MINUTES, ts) - INTERVAL 5 MINUTES]) AS w
       FROM events WHERE event_type = 'error') GROUP BY 1 HAVING count(*) >= 3""",
