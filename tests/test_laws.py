@@ -114,6 +114,9 @@ def test_marker_families(spark):
     assert markers(spark, "(ULTIMA REFORMA PUBLICADA P.O. 1)") == [] and markers(spark, "(ULTIMA\nREFORMA PUBLICADA P.O. 1)") == []
     assert markers(spark, "REFORMA PUBLICADA " + "x" * 260 + ")") == []
     assert markers(spark, "(SE ADICONA ESTE CAPITULO P.O. 3)")[0][0] == "regex_se_verbo"
+    assert markers(spark, "x\nAdición publicada en el Periódico, P.O. 7)") == [("regex_publicada", "Adición publicada en el Periódico, P.O. 7)")]
+    assert markers(spark, "(REFORMADO POR DECRETO, SESIÓN 4)") == [("regex", "(REFORMADO POR DECRETO, SESIÓN 4)")]
+    assert markers(spark, "(ULTIMA" + " " * 14 + "\nREFORMA PUBLICADA P.O. 1)") != [] and markers(spark, "(ULTIMA" + " " * 10 + "\nREFORMA PUBLICADA P.O. 1)") == []
 
 
 def test_types_dates_and_names(spark):
@@ -122,8 +125,9 @@ def test_types_dates_and_names(spark):
         ("(REFORMADO 31 DE FEBRERO DE 2000)", "reforma", None, None), ("(DEROGADO POR EL ARTICULO 1 DE LA LEY FORESTAL, P.O. 1)", "deroga", None, "LEY FORESTAL"),
         ("(REFORMADO POR LA LEY DE LA LEY DE TRANSPORTE, P.O. 3)", "reforma", None, "LEY DE TRANS"),
     ]
-    df = spark.createDataFrame([(r[0],) for r in rows], "m string")
-    got = df.select(L.relation_type(F.col("m")), L.marker_date(F.col("m")), L.other_law(F.col("m")), L.other_law(F.col("m"), strict=True)).collect()
+    methods = ["regex_se_verbo", "regex_publicada", "regex", "regex", "regex"]
+    df = spark.createDataFrame([(r[0], m) for r, m in zip(rows, methods, strict=True)], "m string, f string")
+    got = df.select(L.relation_type(F.col("m"), F.col("f")), L.marker_date(F.col("m")), L.other_law(F.col("m")), L.other_law(F.col("m"), strict=True)).collect()
     assert [tuple(g[:3]) for g in got] == [r[1:] for r in rows]
     assert got[4][3] == "LEY DE TRANSPORTE"
 
@@ -143,3 +147,45 @@ def test_ambiguity_is_refused_unless_a_name_is_exact(spark):
     known = spark.createDataFrame([(1, "Ley de Aguas"), (2, "Ley de Aguas Residuales"), (3, "Codigo Civil Uno"), (4, "Codigo Civil Dos")], "id int, nombre string")
     assert [r.id for r in L.laws_named(known, "ley de águas").collect()] == [1]
     assert sorted(r.id for r in L.laws_named(known, "codigo civil").collect()) == [3, 4]
+
+
+def test_bulk_history_takes_loose_names(spark):
+    known = spark.createDataFrame([(1, "Ley de Aguas", True), (2, "Ley de Aguas Residuales", True), (3, "Ley Forestal", False), (4, "Código 100%_Civil", True)], "id int, nombre string, is_active boolean")
+    day = datetime.date(2010, 5, 3)
+    rows = [(d, 10 * d + k, "5 ", "reforma", d, "x", day, f"m{d}{k}") for d in (1, 2, 3, 4) for k in range(12)]
+    edges = spark.createDataFrame(rows, "from_document_id int, from_chunk_id int, from_articulo string, relation_type string, to_document_id int, to_law_name_raw string, fecha date, source_text string")
+    asked = spark.createDataFrame([("ley aguas", "5"), ("LEY DE ÁGUAS", "5"), ("ley forestal", "5"), ("100%_civil", " 5"), ("ley aguas", None), ("nada", "5")], "nombre string, articulo string")
+    found = {(r.nombre, r.articulo): r.history for r in L.bulk_history(edges, known, asked).collect()}
+    told = lambda h: {x.split(" de ")[1] + " de " + x.split(" de ")[2].split(" fue")[0] for x in h}
+    assert len(found["ley aguas", "5"]) == 10 and len(found["LEY DE ÁGUAS", "5"]) == 10 and len(found["100%_civil", " 5"]) == 10
+    assert all("Residuales" not in x for x in found["LEY DE ÁGUAS", "5"]) and told(found["LEY DE ÁGUAS", "5"]) == {"Ley de Aguas"}
+    assert found["ley forestal", "5"] == [] and found["nada", "5"] == [] and len(found) == 5
+    cited = spark.createDataFrame([(1, "Ley de Aguas", "5"), (2, "Ley de Aguas", None), (3, "Otra", "5")], "chunk_id int, document_nombre string, articulo_numero string")
+    assert {r.chunk_id: len(r.historial) for r in L.with_history(cited, edges, known).collect()} == {1: 10, 2: 0, 3: 0}
+
+
+def test_verdicts(spark):
+    from normata.operators import evaluation as E
+
+    true, place, false = E.GROUNDED_TRUE, E.MISSING_POSITION, E.GROUNDED_FALSE
+    # expects, actual, kind, answer, ley, articulo, found_at, alternative, expects_empty, retrieved, model -> status
+    rows = [
+        (False, True, true, "x", "", None, None, False, False, 1, "m", "xfailed_known"), (False, False, true, "x", "", None, None, False, False, 1, "m", "passed"), (False, False, true, "  ", "", None, None, False, False, 1, "m", "failed"),
+        (True, False, place, "x", "ley", "1", 1, False, False, 1, "m", "failed"), (True, None, place, "x", "ley", "1", 1, False, False, 1, "m", "failed"), (True, True, place, "x", "ley", "1", None, False, False, 1, "m", "xfailed_known"),
+        (True, True, place, "x", "ley", "1", 3, False, False, 1, "m", "passed"), (True, False, false, "x", "ley", "1", None, False, False, 1, "m", "xfailed_known"), (True, True, false, "x", "ley", "1", None, False, False, 1, "m", "failed"),
+        (True, True, false, "x", "ley", "1", None, True, False, 1, "m", "passed"), (True, False, None, "x", "ley", "1", 1, False, False, 1, "m", "failed"), (False, False, None, "x", "", None, None, False, True, 0, None, "passed"),
+        (False, False, None, "x", "", None, None, False, True, 0, "m", "failed"), (False, False, None, "x", "", None, None, False, True, 2, None, "failed"), (True, True, None, "x", "ley", "1", None, False, False, 1, "m", "failed"),
+        (True, True, None, "x", "ley", "1", None, True, False, 1, "m", "passed"), (True, True, None, "", "", "1", None, False, False, 1, "m", "passed"), (None, None, None, "x", "", None, None, False, False, 1, "m", "passed"),
+    ]
+    schema = "expects_grounded boolean, actual_grounded boolean, limitation_kind string, answer string, ley_contains string, articulo_esperado string, found_at int, alternative boolean, expects_empty_retrieval boolean, retrieved long, llm_model string, want string"
+    got = spark.createDataFrame(rows, schema).withColumn("got", E.verdict()).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_first_turns_are_rewritten(spark):
+    from normata.operators import metrics as M
+
+    long = "una pregunta larga que trae ya su propio tema completo"
+    rows = [(1, 1, "user", long), (2, 1, "assistant", "a"), (3, 1, "user", long), (4, 1, "assistant", "cual ley?"), (5, 1, "user", long), (6, 1, "user", "y eso aplica igual"), (7, 1, "user", "cual ley?" + long), (8, 2, "user", None)]
+    df = spark.createDataFrame(rows, "id int, conversation_id int, role string, content string")
+    assert {r.id: r.needs_rewriting for r in M.needs_rewriting(df, "cual ley?").collect()} == {1: True, 3: False, 5: True, 6: True, 7: False, 8: True}

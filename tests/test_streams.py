@@ -80,3 +80,39 @@ def test_cooldown_thins_before_the_shuffle(spark):
     assert sorted(((r.key, r.ts) for r in out.collect()), key=repr) == sorted([(k, at(s)) for k in ("x", "y", None) for s in (0, 1800)] + [("z", at(5))], key=repr)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "HashAggregate" in plan
+
+
+def test_null_keys_share_a_bucket_and_null_times_count_for_nothing(spark):
+    rows = [(i, None, at(i)) for i in range(4)] + [(10 + i, "a", at(i) if i else None) for i in range(4)]
+    out = L.rate_limited_batch(spark.createDataFrame(rows, "id long, key string, ts timestamp"), "key", "ts", "id", rate=2, span=60.0).orderBy("id").collect()
+    assert [r.accepted for r in out] == [True, True, False, False, False, True, True, False]
+
+
+def test_batch_limit_equals_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "b", "c", None]), at(rng.randrange(0, 3000))) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, key string, ts timestamp")
+    want, held = {}, {}
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        mine = held[k] = [x for x in held.get(k, []) if (t - x).total_seconds() <= 30]
+        want[i] = len(mine) < 3
+        if want[i]:
+            mine.append(t)
+    got = {r.id: r.accepted for r in L.rate_limited_batch(frame, "key", "ts", "id", rate=3, span=30.0).collect()}
+    assert got == want
+
+
+def test_two_buckets_charge_the_session_first(spark):
+    rows = [(i, "s1" if i < 3 else "s2", "ip", at(i)) for i in range(6)]
+    events = spark.createDataFrame(rows, "id long, session string, ip string, ts timestamp")
+    out = L.two_buckets(events, "session", "ip", "ts", "id", rate=2, span=60.0).orderBy("id").collect()
+    assert [r.accepted for r in out] == [True, True, False, False, False, False]
+
+
+def test_history_cache_lives_from_its_write(spark):
+    rows = [(0, "c", at(0), False), (1, "c", at(3599), False), (2, "c", at(3600), False), (3, "c", at(3700), True), (4, "c", at(3701), False), (5, "d", at(3701), False)]
+    log = spark.createDataFrame(rows, "id long, conversation string, ts timestamp, turn boolean")
+    out = {r.id: r.cached for r in L.cached_reads(log, "conversation", "ts", "id", "turn").collect()}
+    assert out == {0: False, 1: True, 2: False, 4: False, 5: False}

@@ -46,13 +46,46 @@ def test_turn_rows(spark):
 def test_answers(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit = F.lit
-    assert one(N.plan(lit('```json\n{"subpreguntas": ["Uno?", "uno?", "Q", "Uno?", "Dos", "Tres", "Cuatro"]}\n```'), lit("q"))) == ["Uno?", "uno?", "Dos"]
-    assert one(N.plan(lit("nada"), lit("q"))) == []
+    told = one(N.plan(lit('```json\n{"subpreguntas": ["Uno  es?", "uno es?", "Q", "Dos", "Tres", "Cuatro"], "areas": [" A ", ""]}\n```'), lit("q")))
+    assert told.subpreguntas == ["Uno es?", "Dos", "Tres"] and told.areas == ["a"]
+    assert one(N.plan(lit("nada"), lit("q"))).subpreguntas == []
     assert one(N.claims(lit("nada"))) is None and one(N.claims(lit('{"claims": []}'))) == []
     assert one(N.trim_to_sentence(lit("Uno. Ver Art. 5 y"))) == "Uno."
-    assert one(N.strip_disclaimer(lit("Texto.\n\nAviso."), "Aviso.")) == "Texto."
-    assert one(N.storable_url(lit(" http://old.x/a b.pdf"), {"old.x": "new.x"})) == "http://new.x/a%20b.pdf"
+    assert one(N.strip_disclaimer(lit("Texto.\n\nAviso."), "Aviso.")) == "Texto.\n\n"
+    assert one(N.storable_url(lit("http://old.x/a b.pdf"), {"old.x": "new.x"})) == "http://new.x/a%20b.pdf"
     assert one(N.has_filler(lit("Claro.\n\nNo hay datos. Suele pasar."), N.first_paragraph(lit("Claro.\n\nNo hay datos. Suele pasar.")))) is False
-    assert one(X.plain_markdown(lit("# T\n**b** `c` * x\n| a | b |\n|---|---|\n| 1 | 2 |"))) == "T\nb c  x\na, b\n1, 2"
+    assert one(X.plain_markdown(lit("# T\n**b** `c` * x\n| a | b |\n|---|---|\n| 1 | 2 |"))) == "T\nb c  x\n1: b: 2"
     assert one(X.nfkd_fold(lit("Ångström ñ"))) == "Angstrom n"
     assert one(X.source_of(lit("http://A.example/x"), {"a.example": "a"})) == "a"
+
+
+def test_ingest_replaces_all_or_nothing(spark, tmp_path):
+    laws = lambda n: spark.createDataFrame([(1, "Ley Uno", "TITULO I\n" + "".join(f"Articulo {i}.- Uno.\n" for i in range(1, n + 1))), (2, "Ley Dos", "nada")], "id int, nombre string, raw_text string")
+    chunks, log = f"{tmp_path}/chunks", f"{tmp_path}/log"
+    assert {r.document_id: r.chunks_created for r in S.ingest(spark, laws(3), chunks, log, "m").collect()} == {1: 3, 2: 0}
+    S.ingest(spark, laws(2), chunks, log, "m")
+    rows = spark.read.parquet(chunks).orderBy("position").collect()
+    assert [r.articulo_numero for r in rows] == ["1", "2"] and rows[0].embedding_text == "Ley Uno, Titulo I, Articulo 1: Articulo 1.- Uno." and rows[0].chunk_metadata.parte is None
+    broken = laws(5).withColumn("raw_text", F.when(F.col("id") == 1, F.raise_error(F.lit("no text"))).otherwise(F.col("raw_text")))
+    with pytest.raises(Exception, match="no text"):
+        S.ingest(spark, broken, chunks, log, "m")
+    assert spark.read.parquet(chunks).count() == 2
+    assert sorted((r.status, len(r.error_message or "") <= 4000) for r in spark.read.parquet(log).collect()) == [("failed", True)] * 2 + [("success", True)] * 4
+
+
+def test_rebuilding_relations_is_idempotent(spark, tmp_path):
+    edges = spark.createDataFrame([(1, "reforma"), (2, "deroga")], "id int, relation_type string")
+    for _ in range(2):
+        S.rebuild_relations(edges, f"{tmp_path}/edges")
+    assert spark.read.parquet(f"{tmp_path}/edges").count() == 2
+
+
+def test_dense_search_with_odd_vectors(spark):
+    from normata.operators import retrieval as R
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0]), (6, [None, 1.0]), (7, [2.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [3.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query_id long, embedding array<float>")
+    got = R.dense_search(chunks, asked, 2, 0.1).orderBy("position").collect()
+    assert [(r.query_id, r.chunk_id, round(r.similarity, 6)) for r in got] == [(1, 1, 1.0), (1, 7, 1.0)]
+    assert R.dense_search(chunks, asked.limit(0), 2).count() == 0 and R.dense_search(chunks.limit(0), asked, 2).count() == 0
