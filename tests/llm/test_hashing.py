@@ -79,3 +79,34 @@ def test_queries_with_few_neighbours_get_all_their_rows(spark):
     for r in H.search(df, F.col("vec_id").isin(0, 1000)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got[1000] == [i for i, _ in brute(rows, {1000})[1000]] and len(got[0]) == 5
+
+
+def test_strong_neighbours_are_settled_by_the_join(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 64))
+    rows = [(i, (centres[i % 40] + 0.01 * rng.standard_normal(64)).tolist()) for i in range(600)] + [(600 + i, centres[0].tolist()) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = set(range(0, 608, 10))
+    want = {(q, n + 1, i) for q, w in brute(rows, queries).items() for n, (i, _) in enumerate(w)}
+    asked = H.coded(df.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS vector"), spark.sparkContext.broadcast(np.eye(64)))
+    entries = H.coded(df.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumnRenamed("embedding", "vector"), spark.sparkContext.broadcast(np.eye(64)))
+    settled = H.near_search(entries, asked, 5, 64)
+    assert settled.select("query_id").distinct().count() >= 0.9 * len(queries)
+    for bucket in (H.BUCKET, 3):
+        monkeypatch.setattr(H, "BUCKET", bucket)
+        got = {(r.query_id, r.rank, r.vec_id) for r in H.search(df, F.col("vec_id") % 10 == 0).collect()}
+        assert len(got & want) >= 0.97 * len(want) and len(got) == len(want)
+
+
+def test_recall_on_the_given_vectors(spark):
+    import os
+
+    folder = os.environ.get("SMALL_SF_DIR", "/root/testdata/sf0.001").replace("sf0.001", "sf0.01")
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    want = brute(rows, {i for i, _ in rows if i % 50 == 0})
+    got = {}
+    for r in H.op1_multi_index_hashing(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == len(w) for q, w in want.items())
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
