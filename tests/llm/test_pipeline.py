@@ -55,3 +55,24 @@ def test_stages_and_result(spark, tmp_path):
         for r in rows:
             if r.doc_id == doc_id:
                 assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    docs, _ = write_tables(spark, tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, key int, shard string"
+    long = " ".join(f"w{i}" for i in range(200_000))
+    odd = [(2**53 + 1, docs[0]), (None, docs[0]), (1, None), (1, None), (None, ""), (None, None), (5, long), (5, long), (6, docs[1]), (6, docs[1])]
+    rows = [(i, t, None, None, None, "mine", 7, "s") for i, t in odd]
+    table, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        assert out.columns == table.columns, name
+        kept = out.collect()
+        assert {r.score for r in kept} == {"mine"} and {r.key for r in kept} == {7}
+        assert {r.doc_id for r in kept} >= {2**53 + 1, 1, 5, 6, None}, name
+        assert sum(r.text is None for r in kept) >= 2
+        if name == "jaccard_join":
+            assert sum(r.doc_id == 5 for r in kept) == sum(r.doc_id == 6 for r in kept) == 1 and sum(r.text == docs[0] for r in kept) == 1
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert P.STAGES[-1][1](spark, table, str(tmp_path)).select("doc_id").distinct().count() == 5
+    assert P.STAGES[-1][1](spark, empty, str(tmp_path)).count() == 0
