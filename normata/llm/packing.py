@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normata.llm.encoding import WordEncoder, encoder_for
+
+__all__ = ["WordEncoder", "op6_packing", "pack", "pack_documents"]
+
 WINDOW = 4096
 END_ID = 2
 #: Open windows of one stream; beyond it the emptiest goes, which bounds memory at 64 MB of ids.
@@ -34,79 +37,6 @@ SCHEMA = (
 )
 
 
-class WordEncoder(dict):
-    """Ids of whole texts, as little-endian 32-bit bytes, from a cache of the ids of words.
-
-    The vocabulary's pieces never span ASCII white space, so a text's ids are those of its words;
-    it folds case, so ASCII capitals are folded first; and signs after a letter or digit are pieces
-    of their own, so ``word.`` has the ids of ``word`` and of ``.``. Two generations of words are
-    kept, of which the older goes when the younger is full.
-    """
-
-    LIMIT, LONGEST, TOGETHER = 600_000, 64, 400
-    SIGNS = b".,!?;:*$%&#"
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encoder, self.old = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            stem = word.rstrip(self.SIGNS)
-            if stem and stem != word and stem[-1:].isalnum():
-                ids = self[stem] + self[word[len(stem) :]]
-            else:
-                ids = self.encode(word.decode("utf-8", "replace"))
-        if len(word) <= self.LONGEST:
-            self.keep(word, ids)
-        return ids
-
-    def keep(self, word: bytes, ids: bytes) -> None:
-        if len(self) >= self.LIMIT:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode unseen words many at a time, told apart by where their ids begin."""
-        stems = {w.rstrip(self.SIGNS) for w in words if w not in self}
-        new = [w for w in stems if w and len(w) <= self.LONGEST and w not in self and w not in self.old]
-        for at in range(0, len(new), self.TOGETHER):
-            part = new[at : at + self.TOGETHER]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            found = self.encoder.encode(" ".join(texts), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            edges = (4 * np.searchsorted([o[0] for o in found.offsets], begins)).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            for word, a, b in zip(part, edges, edges[1:], strict=False):
-                self.keep(word, ids[a:b])
-
-    def words(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "replace")
-        return (raw if b"<|" in raw else raw.lower()).split()  # a special token is one in lower case only
-
-    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 32):
-            lists = [self.words(t) for t in texts[at : at + 32]]
-            self.learn(set().union(*lists))
-            for words in lists:
-                yield b"".join(map(self.__getitem__, words))
-
-    def text(self, text: str | None) -> bytes:
-        return next(self.texts([text]))
-
-
-@lru_cache(maxsize=1)
-def encoder_for(path: str) -> WordEncoder:
-    """The worker's encoder: its words stay known from one task to the next."""
-    return WordEncoder(path)
-
-
 class SumOfSquares:
     """Windows of ``size`` tokens, filled online; pieces are (document, start, ids as bytes)."""
 
@@ -211,7 +141,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, size: int = WINDOW, en
         stream = (
             (doc_id, ids + end)
             for batch in batches
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1).to_pylist()), strict=True)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1)), strict=True)
         )
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
