@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, decontam, hashing, jaccard, merkle, packing, quality, sharding, spans, suffix_tree, toxicity
+from normata.llm import chat, decontam, hashing, jaccard, merkle, packing, quality, runs, sharding, spans, suffix_tree, toxicity
 
 QUERIES = {
     "op1_multi_index_hashing": hashing.op1_multi_index_hashing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_tree": suffix_tree.op8_suffix_tree,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
+    "op11_periodic_runs": runs.op11_periodic_runs,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
