@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normata.llm.common import discard, materialise, remainder
+from normata.llm.common import discard, materialise, remainder, small
 
 #: Children of a node, and levels of a block's tree.
 FAN, LEVELS = 8, 4
@@ -135,11 +135,6 @@ def proof_digest(path: list[tuple[list[str], list[str]]]) -> str:
     return digest([node for left, right in path for node in (*left, *right)])
 
 
-def small(table: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A stored table of short rows, with a hint to broadcast it if it has few of them; else Spark joins as it sees fit."""
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
-
-
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """``rows`` with ``at``, their place in their ``tree``, and ``size``, their tree's; stored.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from normata.llm import chat, decontam, hashing, jaccard, merkle, packing, quality, runs, sharding, spans, suffix_tree, toxicity
+from normata.llm import chat, decontam, hashing, jaccard, merkle, packing, quality, runs, sharding, spans, suffix_tree, tokens, toxicity
 
 QUERIES = {
     "op1_multi_index_hashing": hashing.op1_multi_index_hashing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_hilbert_sharding": sharding.op10_hilbert_sharding,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_token_ids": tokens.op12_token_ids,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
