@@ -6,8 +6,6 @@ markers; each order is a law text of its own. What the operators must find is to
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from normata.operators import catalog as K
@@ -15,6 +13,7 @@ from normata.operators import chunking as C
 from normata.operators import relations as L
 from normata.plans import adapters as A
 from normata.sources import tables as S
+from normata.sources.scratch import new_folder, remove, stored
 
 HEAD = "(El ejecutivo publica la presente)\nArticulo 1.- De un indice.\nPAGINA\n"
 TAIL = "T R A N S I T O R I O S\nArticulo 1.- Fuera."
@@ -57,12 +56,32 @@ def started(spark, d):
     return texts.select("id", C.law_start(F.col("raw_text")).alias("line"), F.length(C.trim_to_law_start(F.col("raw_text"))).alias("chars"))
 
 
+def whole_laws(spark, d):
+    """One text for each document: its articles, from the orders of all laws."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x.content), "\n")
+    laws = articles(spark, d).groupBy(F.col("document_id").alias("id")).agg(text.alias("raw_text"))
+    return laws.withColumn("nombre", F.concat(F.lit("Ley de NATION_"), "id"))
+
+
 def ingested(spark, d):
     """A load of every law into a new folder: what the log tells."""
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/normata-ingest-{uuid.uuid4().hex}"
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x.content), "\n")
-    laws = articles(spark, d).groupBy(F.col("document_id").alias("id")).agg(text.alias("raw_text")).withColumn("nombre", F.concat(F.lit("Ley de NATION_"), "id"))
-    return S.ingest(spark, laws, f"{folder}/chunks", f"{folder}/log", "m1").select("document_id", "chunks_created", "status")
+    folder = new_folder(spark, "ingest")
+    out = S.ingest(spark, stored(whole_laws(spark, d), "laws"), f"{folder}/chunks", f"{folder}/log", "m1", documents=nations(spark, d))
+    remove(spark, f"{folder}/chunks")
+    return out.select("document_id", "chunks_created", "status")
+
+
+def ingested_again(spark, d):
+    """Three loads: all laws; a third of them again, with texts that have no article any more; another third beside what is there."""
+    folder = new_folder(spark, "ingest")
+    laws = stored(whole_laws(spark, d), "laws")
+    load = lambda rows, replace: S.ingest(spark, rows, f"{folder}/chunks", f"{folder}/log", "m1", replace)
+    load(laws, True)
+    load(laws.where("id % 3 = 0").withColumn("raw_text", F.concat(F.lit("Abrogada: "), "nombre")), True)
+    load(laws.where("id % 3 = 1"), False)
+    left = S.read_chunks(spark, f"{folder}/chunks").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    log = S.ingestion_log(spark, f"{folder}/log").where("status = 'success'").groupBy("document_id").agg(F.count(F.lit(1)).alias("loads"), F.sum("chunks_created").alias("written"))
+    return log.join(left, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
 
 
 def piece_rows(spark, d):
@@ -121,6 +140,7 @@ QUERIES = {
     "law_chunks_strict": chunked(True),
     "law_start": started,
     "ingest_log": ingested,
+    "ingest_again": ingested_again,
     "ingest_pieces": piece_rows,
     "last_reforms": reforms,
     "relations": edges,
@@ -165,6 +185,8 @@ ORACLE_SQL = {
         bool_or(n = 1 AND part % 5 > 0) AND bool_or(n = 2 AND part % 5 > 0) AS pair, bool_or(n = 2 AND part % 5 > 0) AS two, bool_or(n = 1 AND part % 5 > 0) AS one FROM a GROUP BY 1)
       SELECT id, CASE WHEN pair THEN 3 WHEN two THEN 1 ELSE 0 END AS line, CAST(chars + 43 + CASE WHEN pair THEN 0 WHEN two THEN 34 ELSE 69 END AS INT) AS chars FROM t""",
     "ingest_log": ART + "SELECT CAST(document_id AS BIGINT) AS document_id, count(*) AS chunks_created, 'success' AS status FROM a GROUP BY 1",
+    "ingest_again": ART + """SELECT CAST(document_id AS BIGINT) AS document_id, CASE WHEN document_id % 3 = 2 THEN 1 ELSE 2 END AS loads, CAST(count(*) * CASE WHEN document_id % 3 = 1 THEN 2 ELSE 1 END AS BIGINT) AS written,
+      CAST(count(*) * (CASE document_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) AS BIGINT) AS chunks FROM a GROUP BY document_id""",
     "ingest_pieces": ART + """, x AS (SELECT *, length(content) > 90 AS cut, 'Ley ' || law || ', Titulo ' || CASE WHEN n >= 5 THEN 'SEGUNDO' ELSE 'PRIMERO' END || ', Capitulo ' || CASE WHEN n >= 3 THEN 'II' ELSE 'I' END || ', Articulo ' || label || ': ' AS head FROM a)
       SELECT law AS document_id, label AS articulo_numero, CASE WHEN cut THEN 1 END AS parte, CASE WHEN cut THEN 2 END AS partes_totales, CAST(length(content) - CASE WHEN cut THEN length(marker) + 1 ELSE 0 END AS INT) AS chars, CAST(length(head) AS INT) AS header FROM x
       UNION ALL SELECT law, label, 2, 2, CAST(length(marker) AS INT), CAST(length(head) AS INT) FROM x WHERE cut""",

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import traceback
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normata.operators.chunking import chunk_laws, embedding_pieces, embedding_text
 from normata.sources.schemas import ALLOWED
+from normata.sources.versions import read_versions, write_version
+
+#: What :func:`chunk_rows` gives, and the rows of the log.
+CHUNK_ROWS = (
+    "document_id long, position int, articulo_numero string, titulo string, capitulo string, seccion string, content string, "
+    "chunk_metadata struct<titulo: string, capitulo: string, seccion: string, parte: int, partes_totales: int>, embedding_text string, embedding_model string"
+)
+LOG = "run string, document_id long, chunks_created long, status string, error_message string, started_at timestamp, completed_at timestamp"
 
 
 def read_law_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -70,11 +81,9 @@ def checked(df: DataFrame) -> DataFrame:
     return df
 
 
-def replace_documents(spark: SparkSession, chunks: DataFrame, path: str) -> None:
-    """Replace all chunks of the documents in ``chunks``; partitions of other documents stay as they are."""
-    (
-        chunks.repartition("document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
-    )
+def replace_documents(chunks: DataFrame, documents: DataFrame, path: str) -> dict:
+    """Put ``chunks`` in place of all chunks of ``documents`` (document_id), those without chunks included."""
+    return write_version(chunks, path, "document_id", documents)
 
 
 def chunk_rows(laws: DataFrame, model: str, limit: int = 900) -> DataFrame:
@@ -88,28 +97,58 @@ def chunk_rows(laws: DataFrame, model: str, limit: int = 900) -> DataFrame:
     )
 
 
-def ingest(spark: SparkSession, laws: DataFrame, chunks_path: str, log_path: str, model: str) -> DataFrame:
-    """Replace the chunks of ``laws`` and log it: (document_id, chunks_created, status, error_message), a row for each law.
+def ingest(spark: SparkSession, laws: DataFrame, chunks_path: str, log_path: str, model: str, replace: bool = True, documents: DataFrame | None = None) -> DataFrame:
+    """Write the chunks of ``laws`` (id, nombre, raw_text) and log it: the closing row of each law.
 
-    All new chunks are written before any old one goes, so a failure leaves the old ones; it is logged as
-    ``failed`` with the first 4000 characters of its error, and raised.
+    ``replace``: the laws' old chunks go, also those of a law that has no article any more; else the new ones
+    come beside them. All laws of a call succeed or fail together: a failure leaves every old chunk. The log
+    gets a row ``running`` for each law, then one ``success`` with the chunks that this call wrote, or one ``failed``
+    with the first 4000 characters of the traceback, which is raised. With ``documents`` (id), a law that is not among
+    them is a failure.
     """
     ids = laws.select(F.col("id").cast("long").alias("document_id")).distinct()
+    run = uuid.uuid4().hex
 
     def log(status: str, counts: DataFrame, error: str | None = None) -> DataFrame:
-        rows = counts.select("document_id", "chunks_created", F.lit(status).alias("status"), F.left(F.lit(error).cast("string"), F.lit(4000)).alias("error_message"))
+        now = F.current_timestamp()
+        rows = counts.select(
+            F.lit(run).alias("run"), "document_id", "chunks_created", F.lit(status).alias("status"), F.left(F.lit(error).cast("string"), F.lit(4000)).alias("error_message"),
+            F.when(F.lit(status == "running"), now).alias("started_at"), F.when(F.lit(status != "running"), now).alias("completed_at"),
+        )
         rows.write.mode("append").parquet(log_path)
-        return rows
+        return spark.read.schema(LOG).parquet(log_path).where((F.col("run") == run) & (F.col("status") == status))
 
+    nothing = ids.withColumn("chunks_created", F.lit(None).cast("long"))
+    log("running", nothing)
     try:
-        replace_documents(spark, chunk_rows(laws, model), chunks_path)
-    except Exception as error:
-        log("failed", ids.withColumn("chunks_created", F.lit(None).cast("long")), str(error))
+        if documents is not None:
+            unknown = ids.join(documents.select(F.col("id").cast("long").alias("document_id")), "document_id", "left_anti").limit(10).collect()
+            if unknown:
+                raise ValueError("no document " + ", ".join(str(r.document_id) for r in unknown))
+        rows = chunk_rows(laws, model)
+        made = replace_documents(rows, ids, chunks_path) if replace else write_version(rows, chunks_path, "document_id")
+    except Exception:
+        log("failed", nothing, traceback.format_exc())
         raise
-    written = spark.read.parquet(chunks_path).groupBy(F.col("document_id").cast("long").alias("document_id")).agg(F.count(F.lit(1)).alias("chunks_created"))
+    files = [f"{chunks_path}/{f}" for f in made["files"]]
+    own = spark.read.schema("document_id long").parquet(*files) if files else spark.createDataFrame([], "document_id long")
+    written = own.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks_created"))
     return log("success", ids.join(written, "document_id", "left").withColumn("chunks_created", F.coalesce("chunks_created", F.lit(0).cast("long"))))
 
 
+def read_chunks(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The chunk table that :func:`ingest` writes."""
+    return read_versions(spark, path, CHUNK_ROWS, "document_id", version)
+
+
+def ingestion_log(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each law and call, as far as it came: ``running`` until its closing row is there."""
+    rows = spark.read.schema(LOG).parquet(path)
+    ended = F.max(F.when(F.col("status") != "running", F.struct("status", "chunks_created", "error_message", "completed_at"))).alias("end")
+    one = rows.groupBy("run", "document_id").agg(ended, F.min("started_at").alias("started_at"))
+    return one.select("run", "document_id", F.coalesce("end.status", F.lit("running")).alias("status"), "end.chunks_created", "end.error_message", "started_at", "end.completed_at")
+
+
 def rebuild_relations(relations: DataFrame, path: str) -> None:
     """Write all edges anew; running it twice gives the same table."""
     checked(relations).write.mode("overwrite").parquet(path)

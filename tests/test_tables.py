@@ -8,14 +8,6 @@ from normata.functions import text as X
 from normata.sources import tables as S
 
 
-def test_replace_touches_only_its_documents(spark, tmp_path):
-    path = f"{tmp_path}/chunks"
-    rows = lambda r: spark.createDataFrame(r, "id int, document_id int, content string")
-    S.replace_documents(spark, rows([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")]), path)
-    S.replace_documents(spark, rows([(4, 1, "new")]), path)
-    assert sorted((r.id, r.document_id) for r in spark.read.parquet(path).collect()) == [(3, 2), (4, 1)]
-
-
 def test_constraints(spark):
     ok = spark.createDataFrame([("user",), (None,)], "role string")
     assert S.checked(ok).count() == 2
@@ -59,20 +51,6 @@ def test_answers(spark):
     assert one(X.source_of(lit("http://A.example/x"), {"a.example": "a"})) == "a"
 
 
-def test_ingest_replaces_all_or_nothing(spark, tmp_path):
-    laws = lambda n: spark.createDataFrame([(1, "Ley Uno", "TITULO I\n" + "".join(f"Articulo {i}.- Uno.\n" for i in range(1, n + 1))), (2, "Ley Dos", "nada")], "id int, nombre string, raw_text string")
-    chunks, log = f"{tmp_path}/chunks", f"{tmp_path}/log"
-    assert {r.document_id: r.chunks_created for r in S.ingest(spark, laws(3), chunks, log, "m").collect()} == {1: 3, 2: 0}
-    S.ingest(spark, laws(2), chunks, log, "m")
-    rows = spark.read.parquet(chunks).orderBy("position").collect()
-    assert [r.articulo_numero for r in rows] == ["1", "2"] and rows[0].embedding_text == "Ley Uno, Titulo I, Articulo 1: Articulo 1.- Uno." and rows[0].chunk_metadata.parte is None
-    broken = laws(5).withColumn("raw_text", F.when(F.col("id") == 1, F.raise_error(F.lit("no text"))).otherwise(F.col("raw_text")))
-    with pytest.raises(Exception, match="no text"):
-        S.ingest(spark, broken, chunks, log, "m")
-    assert spark.read.parquet(chunks).count() == 2
-    assert sorted((r.status, len(r.error_message or "") <= 4000) for r in spark.read.parquet(log).collect()) == [("failed", True)] * 2 + [("success", True)] * 4
-
-
 def test_rebuilding_relations_is_idempotent(spark, tmp_path):
     edges = spark.createDataFrame([(1, "reforma"), (2, "deroga")], "id int, relation_type string")
     for _ in range(2):
