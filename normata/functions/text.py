@@ -207,15 +207,6 @@ def plain_markdown(text: Column) -> Column:
     return F.replace(out, F.lit("*"), F.lit(""))
 
 
-def html_text(html: Column) -> Column:
-    """Visible text of a page: scripts, styles and page furniture off, text nodes one per line."""
-    out = html
-    for tag in ("script", "style", "nav", "header", "footer"):
-        out = F.regexp_replace(out, f"(?is)<{tag}[^>]*>.*?</{tag}>", "")
-    lines = F.split(F.regexp_replace(out, "(?s)<[^>]*>", "\n"), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda line: F.trim(line)), lambda line: line != ""), "\n")
-
-
 def words(text: Column) -> Column:
     """Lower-case words between ASCII white space."""
     return F.filter(F.split(F.lower(text), r"[ \t\r\n\f\x0b]+"), lambda w: w != "")

@@ -123,6 +123,23 @@ def catalogue_pages(spark, d):
     return rows.select(F.col("s_suppkey").alias("page_id"), page.alias("html"))
 
 
+def marked_catalogues(spark, d):
+    """A page for each supplier: references in names and addresses, rows in comments, and tables within cells."""
+    rows = spark.read.parquet(f"{d}/supplier.parquet")
+    key = F.col("s_suppkey").cast("string")
+    page = F.concat(
+        F.lit("<table><!-- <tr onclick=\"x('no.pdf')\"><td>1</td><td>No</td></tr> --><tr title=\"a > b\" onclick=\"abrir(&quot;x&quot;, 'https://h.example/ver.pdf?a=1&amp;k="), key,
+        F.lit("')\"><td>1</td><td> Ley &amp; <b>&lt;"), "s_name", F.lit("&gt;</b><!-- > --> </td></tr><tr><td><table><TR ID='fila'><td>1</td><td>Decreto &#233; "), "s_name",
+        F.lit("</td><td><table><tr id=\"otra\"><td><a name=\"n\"></a><a href='/d/a&amp;b"), key, F.when(F.col("s_suppkey") % 3 == 0, ".html").otherwise(".PDF"), F.lit("'></a></td></tr></table></td></TR></table></td></tr></table>"),
+    )
+    return rows.select(F.col("s_suppkey").alias("page_id"), page.alias("html"))
+
+
+def read_marked(spark, d):
+    pages = marked_catalogues(spark, d)
+    return S.catalog_by_onclick(pages).withColumn("reader", F.lit("onclick")).unionByName(S.catalog_by_row(pages, "fila").withColumn("reader", F.lit("row")))
+
+
 def sourced(spark, d):
     return A.build(spark, d, A.SOURCED, "supplier")
 
@@ -156,6 +173,7 @@ QUERIES = {
     "catalog_new_laws": lambda s, d: K.new_laws(sourced(s, d), entries(s, d)),
     "catalog_by_onclick": lambda s, d: S.catalog_by_onclick(catalogue_pages(s, d)),
     "catalog_by_row": lambda s, d: S.catalog_by_row(catalogue_pages(s, d), "fila"),
+    "catalog_marks": read_marked,
     "turn_rows": turns,
 }
 
@@ -204,6 +222,8 @@ ORACLE_SQL = {
     "catalog_new_laws": "SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'LEY  NUEVA ' ELSE 'Ley Nueva ' END || s_name || 'X' || s_nationkey AS nombre FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 > 0 UNION ALL SELECT 'LEY  NUEVA ' || s_name || 'X' || s_nationkey FROM supplier WHERE s_suppkey % 12 = 0",
     "catalog_by_onclick": "SELECT s_suppkey AS page_id, 'Leyde ' || s_name AS nombre, 'https://h.example/' || s_suppkey || CASE WHEN s_suppkey % 3 = 1 THEN '.PDF?v=1' ELSE '.pdf' END AS source_url FROM supplier WHERE s_suppkey % 3 > 0",
     "catalog_by_row": "SELECT s_suppkey AS page_id, 'Decreto ' || s_name AS nombre, '/d/' || s_suppkey || '.pdf' AS source_url FROM supplier WHERE s_suppkey % 2 = 0",
+    "catalog_marks": """SELECT s_suppkey AS page_id, 'Ley &<' || s_name || '>' AS nombre, 'https://h.example/ver.pdf?a=1&k=' || s_suppkey AS source_url, 'onclick' AS reader FROM supplier
+      UNION ALL SELECT s_suppkey, 'Decreto é ' || s_name, '/d/a&b' || s_suppkey || '.PDF', 'row' FROM supplier WHERE s_suppkey % 3 > 0""",
     "turn_rows": """SELECT conv_id AS conversation_id, CAST(turn * 2 AS INT) AS position, 'user' AS role, length(text) AS chars, CAST(NULL AS BOOLEAN) AS found_answer, CAST(NULL AS INT) AS error_chars FROM conversations WHERE role = 'user'
       UNION ALL SELECT conv_id, CAST(turn * 2 + 1 AS INT), 'assistant', CASE WHEN turn % 4 = 0 THEN length(text) ELSE 0 END, CASE WHEN turn % 4 = 0 THEN conv_id % 2 = 0 END, CASE WHEN turn % 4 > 0 THEN least(100 * length(text), 4000) END FROM conversations WHERE role = 'user'""",
 }

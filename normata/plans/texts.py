@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normata.functions import answers as N
+from normata.functions import html as H
 from normata.functions import text as X
 from normata.operators import chunking as C
 
@@ -89,7 +90,20 @@ def fixed_texts(spark, d):
     return C.apply_text_fixes(laws, fixes).select("doc_id", F.col("raw_text").alias("fixed"))
 
 
+def marked_pages(spark, d):
+    """A page for each document: its text escaped, with comments, quoted marks, raw text and furniture around it."""
+    escaped = F.col("text")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ('"', "&quot;")):
+        escaped = F.replace(escaped, F.lit(sign), F.lit(name))
+    page = F.concat(
+        F.lit("<!doctype html><title>"), "source", F.lit(" &amp;amp; &#xE9;</title><script>if (a < b) document.write('<p>no</p>')</script><NAV><p>no<nav>no</nav></p></NAV><p title=\"a > b\" data-x='</p>'>"),
+        escaped, F.lit("<!-- hidden > "), "source", F.lit(" --></p><div><header>no</div>"), F.col("lang"), F.lit("<br/>&lt;"), F.col("doc_id").cast("string"), F.lit("&gt;<!-- open"), "source",
+    )
+    return docs(spark, d).select("doc_id", page.alias("html"))
+
+
 QUERIES = {
+    "html_marks": lambda s, d: marked_pages(s, d).select("doc_id", H.html_text(F.col("html")).alias("text")),
     "fold_accents": over_documents(lambda: X.fold(F.col("text")).alias("folded")),
     "law_key": over_documents(lambda: X.law_key(F.concat(F.lit("  Ley ÁÉ "), "source", F.lit(" "))).alias("law_key")),
     "content_key": over_documents(lambda: X.content_key(F.concat(F.lit("Artículo 3.- "), "text")).alias("content_key")),
@@ -97,7 +111,7 @@ QUERIES = {
     "name_filter": lambda s, d: docs(s, d).where(X.matches_name(F.col("text"), "Thé of")).select("doc_id"),
     "in_order_filter": lambda s, d: docs(s, d).where(X.contains_words(F.col("text"), "the And")).select("doc_id"),
     "word_overlap": over_documents(lambda: F.round(X.overlap(F.lit("the and the of zebra"), F.col("text")), 6).alias("overlap")),
-    "html_to_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", X.html_text(F.col("html")).alias("text")),
+    "html_to_text": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", H.html_text(F.col("html")).alias("text")),
     "embedding_pieces": piece_rows,
     "embedding_header": over_documents(lambda: C.embedding_text(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.col("doc_id").cast("string"), F.col("text")).alias("embedding_text")),
     "prompt_context": over_documents(lambda: N.prompt_context(F.col("doc_id"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text"), F.col("doc_id") % 5 == 0).alias("context")),
@@ -126,9 +140,13 @@ QUERIES = {
 }
 
 WS = r"'[ \t\r\n\f\x0b]+'"
+# Elements that the page's end cuts off go with it; comments and tags part the text; references are decoded last.
 HTML = "html"
 for _tag in ("script", "style", "nav", "header", "footer"):
-    HTML = f"regexp_replace({HTML}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', '', 'g')"
+    HTML = f"regexp_replace({HTML}, '(?is)<{_tag}[^>]*>.*?(</{_tag}>|\\z)', chr(10), 'g')"
+HTML = f"regexp_replace(regexp_replace({HTML}, '(?s)<!--.*?(-->|\\z)', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+HTML = f"regexp_replace(replace({HTML}, '&quot;', chr(34)), '&amp;?', '&', 'g')"
+LINES = "array_to_string(list_filter(list_transform(string_split({0}, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\f\\x0b\\x{{A0}}]+|[ \\t\\r\\f\\x0b\\x{{A0}}]+$', '', 'g')), lambda x: x <> ''), chr(10))"
 ORACLE_SQL = {
     "fold_accents": f"SELECT doc_id, translate(text, '{A}', '{P}') AS folded FROM documents",
     "law_key": "SELECT doc_id, 'ley ae ' || lower(source) AS law_key FROM documents",
@@ -138,7 +156,8 @@ ORACLE_SQL = {
     "in_order_filter": "SELECT doc_id FROM documents WHERE text ILIKE '%the%and%'",
     "word_overlap": f"""SELECT doc_id, round((CAST(list_contains(w, 'the') AS INT) + CAST(list_contains(w, 'and') AS INT) + CAST(list_contains(w, 'of') AS INT) + CAST(list_contains(w, 'zebra') AS INT)) / 4.0::DOUBLE, 6) AS overlap
       FROM (SELECT doc_id, string_split_regex(lower(text), {WS}) AS w FROM documents)""",
-    "html_to_text": f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({HTML}, '(?s)<[^>]*>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM pages""",
+    "html_to_text": f"SELECT page_id, {LINES.format(HTML)} AS text FROM pages",
+    "html_marks": f"SELECT doc_id, {LINES.format("source || ' &amp; é' || chr(10) || text || chr(10) || lang || chr(10) || '<' || doc_id || '>'")} AS text FROM documents",
     "embedding_header": "SELECT doc_id, source || ', Capitulo ' || lang || ', Articulo ' || doc_id || ': ' || text AS embedding_text FROM documents",
     "prompt_context": """SELECT doc_id, '[' || doc_id || '] ' || source || CASE WHEN doc_id % 2 = 0 THEN ', Articulo ' || lang ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' [DEROGADO]' ELSE '' END || ':' || chr(10) || text AS context FROM documents""",
     "line_range": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents",

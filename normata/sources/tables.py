@@ -5,9 +5,10 @@ from __future__ import annotations
 import traceback
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from normata.functions.html import html_rows
 from normata.operators.chunking import chunk_laws, embedding_pieces, embedding_text
 from normata.sources.schemas import ALLOWED
 from normata.sources.versions import read_versions, write_version
@@ -40,30 +41,18 @@ def catalog_by_link(pages: DataFrame) -> DataFrame:
     return found.select("page_id", text(F.col("cells")[1]).alias("nombre"), "source_url")
 
 
-def cells_of(row: str) -> Column:
-    return F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)
-
-
-def cell_text(cell: Column) -> Column:
-    """Visible text of a cell, its text nodes trimmed and joined."""
-    nodes = F.transform(F.split(F.regexp_replace(cell, "(?s)<[^>]*>", "\x01"), "\x01", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.array_join(nodes, "")
-
-
 def catalog_by_onclick(pages: DataFrame) -> DataFrame:
     """(page_id, nombre, source_url): rows that open a PDF by ``onclick``; the second cell names the law."""
-    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?is)<tr[^>]*onclick[^>]*>.*?</tr>"), 0)).alias("row"))
-    url = F.regexp_extract("row", r"(?is)<tr[^>]*onclick\s*=\s*\"[^\">]*?'([^'\">]+)'", 1)
-    found = rows.select("page_id", cell_text(F.get(cells_of("row"), 1)).alias("nombre"), url.alias("source_url"))
+    rows = pages.select("page_id", F.explode(html_rows(F.col("html"))).alias("row")).where(F.size("row.cells") >= 2)
+    url = F.regexp_extract("row.onclick", "'([^']+)'", 1)
+    found = rows.select("page_id", F.col("row.cells")[1]["text"].alias("nombre"), url.alias("source_url"))
     return found.where((F.col("nombre") != "") & F.lower("source_url").rlike(r"\.pdf$|\.pdf\?"))
 
 
 def catalog_by_row(pages: DataFrame, row_id: str) -> DataFrame:
     """(page_id, nombre, source_url): rows with an id and three cells or more, the second the name, the third a link to a PDF."""
-    pattern = rf"(?is)<tr[^>]*\bid\s*=\s*[\"']{row_id}[\"'][^>]*>.*?</tr>"
-    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), 0)).alias("row"))
-    url = F.regexp_extract(F.get(cells_of("row"), 2), r"(?is)<a[^>]*\bhref\s*=\s*[\"']([^\"']+)[\"']", 1)
-    found = rows.where(F.size(cells_of("row")) >= 3).select("page_id", cell_text(F.get(cells_of("row"), 1)).alias("nombre"), url.alias("source_url"))
+    rows = pages.select("page_id", F.explode(html_rows(F.col("html"))).alias("row")).where((F.col("row.id") == row_id) & (F.size("row.cells") >= 3))
+    found = rows.select("page_id", F.col("row.cells")[1]["text"].alias("nombre"), F.col("row.cells")[2]["href"].alias("source_url"))
     return found.where((F.col("nombre") != "") & F.lower("source_url").endswith(".pdf"))
 
 
