@@ -32,6 +32,17 @@ def parts(texts: pa.Array, size: int = PART) -> Iterator[pa.Array]:
         yield texts.slice(a, b - a)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, codes, bounds): the distinct words of the texts, between ASCII white space, each text's words as places
+    among them, and where the texts begin and end in these. The empty text may be among the distinct words, but no code is its."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = lists.flatten().dictionary_encode()
+    codes = words.indices.to_numpy().astype(np.int64)
+    full = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[codes]
+    ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+    return words.dictionary, codes[full], np.append(0, np.cumsum(full))[ends]
+
+
 class WordEncoder:
     """Ids of texts, from a cache of the ids of words; a full cache starts anew."""
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normata.llm.encoding import parts
+from normata.llm.encoding import parts, split_words
 
 LEAST, RATIO = 24, 3
 #: Bytes of text that are sorted together (one text at least).
@@ -194,19 +194,9 @@ def runs_of(keys: np.ndarray, bounds: np.ndarray, least: int = LEAST, ratio: int
     return out[np.lexsort((out[:, 2], out[:, 0]))]
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A number for each word of the texts, equal for equal words, and the bounds of the texts."""
-    lists = pc.ascii_split_whitespace(texts)
-    words = lists.flatten().dictionary_encode()
-    codes = words.indices.to_numpy().astype(np.int64)
-    full = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False)[codes]
-    ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
-    return codes[full], np.append(0, np.cumsum(full))[ends]
-
-
 def runs_in_texts(texts: pa.Array, least: int = LEAST, ratio: int = RATIO) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(runs, their texts, words of each text); runs begin at the words of their own text."""
-    codes, bounds = word_codes(texts)
+    _, codes, bounds = split_words(texts)
     sizes = np.diff(bounds)
     text_of = np.repeat(np.arange(len(texts)), sizes)
     keys = text_of * (int(codes.max(initial=0)) + 1) + codes
