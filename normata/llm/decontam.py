@@ -7,14 +7,14 @@
    Nystroem approximation gives the leading eigenvectors, that is the right singular vectors of the
    TF-IDF passages (randomised SVD in a single pass). The benchmark's own passages take part, weighted
    so that their directions are kept.
-2. A second pass tells for windows of two passages which of each item's telling terms they hold and
-   maps them into that space. A window that holds ``SHARED`` of the distinct terms of an item's part
-   makes it a candidate, whatever the cosine: a space of ``RANK`` dimensions does not hold the terms
-   of more than about as many items. The cosine is given with each match. Around the window, the
+2. A second pass maps windows of two passages into that space. A window whose cosine with an item's part
+   is ``COSINE`` or more makes the item a candidate; so does one that holds ``SHARED`` of the distinct
+   telling terms of the part, since a space of ``RANK`` dimensions does not hold the terms
+   of more than about as many items. Around the window, the
    longest common subsequence of words with the item and with its answer (the item's last words)
-   decide: a paraphrase keeps the order of most words. So what counts as one are copies with words
-   left out, put in or exchanged, up to about a third of them; a text that says the same in other
-   words altogether is not found.
+   decide: a copy keeps the order of most words (``COPIED``) and of its answer's (``ANSWERED``), a paraphrase
+   near in the space that of half of them (``LOOSE``) and its answer nearly whole (``STRICT``). A text
+   that says the same in other words altogether is not found.
 
 Terms that no item holds add nothing to a cosine with an item and are left out; so are those in very
 many items. The benchmark is broadcast in blocks of ``ITEMS`` items, each with a space of its own; up
@@ -43,6 +43,9 @@ from normata.llm.common import slices
 CELL, ITEMS, TOGETHER, WINDOWS = 32, 1000, 8, 256
 RANK, OVERSAMPLE = 96, 16
 SHARED, COPIED, ANSWERED = 0.4, 0.65, 0.6
+COSINE, LOOSE, STRICT = 0.55, 0.5, 0.85
+#: Telling words that a window must hold to be mapped into the space.
+MAPPED = 3
 SHORT = 8
 #: Telling words that a task gathers before it adds them to its sketch.
 BUFFER = 20_000
@@ -284,37 +287,39 @@ class Matcher:
             runs = np.lib.stride_tricks.sliding_window_view(region, n) if len(region) >= n else np.zeros((0, n))
             return (1.0, 1.0) if (runs == want).all(axis=1).any() else (0.0, 0.0)
         region = region[region >= 0]
-        if len(region) < COPIED * n:
+        if len(region) < LOOSE * n:
             return 0.0, 0.0
         region = region.tolist()
         whole = common_subsequence(self.masks[item], n, region) / n
-        if whole < COPIED:
+        if whole < LOOSE:
             return whole, 0.0
         tail = self.tails[item]
         return whole, common_subsequence(self.tail_masks[item], len(tail), region) / len(tail)
 
-    def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, part) where the window holds enough of the part's distinct terms."""
+    def candidates(self, numbers: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(window, part, cosine) where the window is near the part or holds enough of its distinct terms."""
         for begin in range(0, window_count(numbers), WINDOWS):
             end = min(begin + WINDOWS, window_count(numbers))
             window, term = windows_in(numbers, self.items.terms, begin, end)
-            if len(window):
-                pair = np.unique(window.astype(np.int64) * self.items.terms + term)
-                window, term = np.divmod(pair, self.items.terms)
-                shared = sums_by(window, self.has[term], end - begin, np.uint8)
-                for w, q in zip(*np.nonzero(shared >= self.need), strict=True):
-                    yield begin + int(w), int(q)
-
-    def cosine(self, numbers: np.ndarray, window: int, part: int) -> float:
-        found = numbers[window * CELL : (window + 2) * CELL]
-        vector = self.latent[found[(found >= 0) & (found < self.items.terms)]].sum(axis=0, keepdims=True)
-        return float((unit(vector) @ self.queries[part])[0])
+            if not len(window):
+                continue
+            pair, count = np.unique(window.astype(np.int64) * self.items.terms + term, return_counts=True)
+            window, term = np.divmod(pair, self.items.terms)
+            shared = sums_by(window, self.has[term], end - begin, np.uint8) >= self.need
+            full = np.flatnonzero(np.bincount(window, minlength=end - begin) >= MAPPED)
+            cosine = np.zeros(shared.shape, np.float32)
+            if len(full):
+                own = np.isin(window, full)
+                vectors = sums_by(window[own], self.latent[term[own]] * count[own, None].astype(np.float32), end - begin, np.float32)
+                cosine[full] = unit(vectors[full]) @ self.queries.T
+            for w, q in zip(*np.nonzero(shared | (cosine >= COSINE)), strict=True):
+                yield begin + int(w), int(q), float(cosine[w, q])
 
     def match(self, words: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
         """(item, first word, cosine, lcs, answer) of each item that a text of these words holds."""
         numbers = self.items.numbers(words)
         best: dict[int, tuple] = {}
-        for window, part in self.candidates(numbers):
+        for window, part, cosine in self.candidates(numbers):
             item = self.owner[part]
             held = best.get(item)
             if held and held[2] >= 1:
@@ -322,8 +327,10 @@ class Matcher:
             first = window * CELL - self.offset[part]
             n = len(self.items.words[item])
             lcs, answer = self.check(numbers, item, first - CELL, first + max(n, 2 * CELL) + CELL)
-            if lcs >= COPIED and answer >= ANSWERED and (held is None or lcs > held[2]):
-                best[item] = (max(0, first), self.cosine(numbers, window, part), lcs, answer)
+            copied = lcs >= COPIED and answer >= ANSWERED
+            reworded = cosine >= COSINE and lcs >= LOOSE and answer >= STRICT
+            if (copied or reworded) and (held is None or lcs > held[2]):
+                best[item] = (max(0, first), cosine, lcs, answer)
         for item, found in best.items():
             yield self.items.ids[item], *found
 

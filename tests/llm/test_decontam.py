@@ -104,7 +104,7 @@ def test_candidates_miss_hardly_a_paraphrase():
         edited = [rng.choice(vocabulary) if rng.random() < rate / 2 else w for w in t if rng.random() > rate / 2]
         doc = rng.choices(vocabulary, k=rng.randrange(200)) + edited + rng.choices(vocabulary, k=rng.randrange(200))
         numbers = items.numbers([w.encode() for w in doc])
-        near = {matcher.owner[q] for _, q in matcher.candidates(numbers)}
+        near = {matcher.owner[q] for _, q, _ in matcher.candidates(numbers)}
         if lcs(edited, texts[i % 60]) >= D.COPIED * len(texts[i % 60]):
             real += 1
             met += i % 60 in near
@@ -123,3 +123,42 @@ def test_repeated_benchmark_rows_are_one_item(spark):
     benchmark = spark.createDataFrame([(1, text)] * 4 + [(2, text)], "item_id long, text string")
     found = D.find_matches(spark.createDataFrame([(7, "x y " + text)], "doc_id long, text string"), benchmark).collect()
     assert sorted(r.item_id for r in found) == [1, 2]
+
+
+def test_the_latent_space_finds_what_shared_terms_do_not():
+    """Paraphrases that keep nine of 24 telling words, the answer's among them: with the space set to zero they are lost."""
+    common = ["the", "of", "and", "to"]
+    texts = [[w for j in range(24) for w in (common[j % 4], f"w{i}x{j}")] for i in range(60)]
+    items = D.Items.of([(i, " ".join(t)) for i, t in enumerate(texts)])
+    sketch = D.Sketch(items.terms, D.RANK + D.OVERSAMPLE)
+    found = {}
+    for name, latent in (("space", D.latent_terms(sketch, items, D.RANK)), ("zero", np.zeros((items.terms, 4), np.float32))):
+        matcher = D.Matcher(items, latent)
+        hits = set()
+        for i, t in enumerate(texts):
+            kept = [w if w in common or j >= 36 or j % 12 == 1 else f"other{i}x{j}" for j, w in enumerate(t)]
+            doc = ["the"] * 80 + kept + ["of"] * 80
+            hits |= {(i, item) for item, *_ in matcher.match(D.words_of(" ".join(doc)))}
+        assert all(i == item for i, item in hits)
+        found[name] = len(hits)
+    assert found == {"space": 60, "zero": 0}
+
+
+def test_recall_over_a_thousand_items_through_spark(spark):
+    """Against the longest common subsequence of each document with each item: copies with words left out and exchanged."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(4000)] + ["the", "of", "and"] * 500
+    texts = [rng.choices(vocabulary, k=rng.randrange(20, 60)) for _ in range(1000)]
+    docs, truth = [], set()
+    for i in rng.sample(range(1000), 300):
+        t, rate = texts[i], rng.uniform(0, 0.5)
+        kept = [rng.choice(vocabulary) if rng.random() < rate / 2 else w for w in t if rng.random() > rate / 2]
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=rng.randrange(150)), *kept, *rng.choices(vocabulary, k=rng.randrange(150))])))
+        tail = t[-max(3, len(t) // 4) :]
+        if lcs(kept, t) >= D.COPIED * len(t) and lcs(kept, tail) >= D.ANSWERED * len(tail):
+            truth.add((i, i))
+    docs += [(5000 + i, " ".join(rng.choices(vocabulary, k=200))) for i in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in D.find_matches(table, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")).collect()}
+    assert len(truth) > 180 and len(got & truth) >= 0.97 * len(truth)
+    assert not any(d >= 5000 for d, _ in got)
