@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normata.functions.text import content_key, name_key, not_current_law, url_key
+from normata.operators.names import either_holds
+from normata.sources.scratch import stored
 
 
 def detect_updates(documents: DataFrame, catalog: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -16,8 +18,9 @@ def detect_updates(documents: DataFrame, catalog: DataFrame, aliases: dict[str,
     """
     entries = catalog.select("source", name_key(F.col("nombre")).alias("entry"), F.col("source_url").alias("entry_url"))
     docs = documents.withColumn("own", name_key(F.col("nombre")))
-    near = (docs.source == entries.source) & (entries.entry.contains(docs.own) | docs.own.contains(entries.entry))
-    met = docs.join(entries, near, "left").groupBy(docs.id, docs.nombre, docs.source_url, docs.source).agg(
+    pairs = stored(either_holds(docs.select(F.col("own").alias("left")), entries.select(F.col("entry").alias("right"))), "pairs")
+    near = pairs.select(F.col("left").alias("own"), F.col("right").alias("entry")).join(entries, "entry")
+    met = docs.join(near, ["own", "source"], "left").groupBy("id", "nombre", "source_url", "source").agg(
         F.count("entry").alias("n"), F.count_if(F.col("entry") == F.col("own")).alias("exact"),
         F.min(F.when(F.col("entry") == F.col("own"), F.col("entry_url"))).alias("exact_url"), F.min("entry_url").alias("url"),
     )
@@ -39,7 +42,8 @@ def new_laws(documents: DataFrame, catalog: DataFrame) -> DataFrame:
     entries = catalog.where(~not_current_law(F.col("nombre"))).withColumn("entry", name_key(F.col("nombre")))
     first = Window.partitionBy("entry").orderBy("nombre")
     once = entries.withColumn("at", F.row_number().over(first)).where("at = 1").select("nombre", "entry")
-    return once.join(own, once.entry.contains(own.own) | own.own.contains(once.entry), "left_anti").select("nombre")
+    known = either_holds(once.select(F.col("entry").alias("left")), own.select(F.col("own").alias("right")))
+    return once.join(known.select(F.col("left").alias("entry")).distinct(), "entry", "left_anti").select("nombre")
 
 
 def newly_listed(current: DataFrame, previous: DataFrame | None) -> DataFrame | None:
@@ -47,13 +51,6 @@ def newly_listed(current: DataFrame, previous: DataFrame | None) -> DataFrame |
     return None if previous is None else current.select("nombre").join(previous.select("nombre"), "nombre", "left_anti").distinct()
 
 
-def names_preview(names: Column, shown: int = 8) -> Column:
-    """The first names, and how many more there are."""
-    more = F.size(names) - shown
-    head = F.array_join(F.slice(F.array_sort(names), 1, shown), ", ")
-    return F.when(more > 0, F.concat(head, F.lit(" y "), more.cast("string"), F.lit(" mas"))).otherwise(head)
-
-
 def alert_text(names: DataFrame, shown: int = 8) -> DataFrame:
     """(preview): the first ``shown`` distinct names in order, and how many more there are; only those meet in one row."""
     distinct = names.select("nombre").distinct()

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from normata.functions.text import collapse, entity_key, fold, law_key, like_pattern_of, matches_name
+from normata.functions.text import collapse, entity_key, fold, law_key, matches_name
+from normata.operators.names import alike, either_holds, hold_words
+from normata.sources.scratch import stored
 
 # The three families of markers, and the words of each that give a marker's type. The second
 # takes an accented o, and no line that goes on with the last reform of a whole law.
@@ -81,27 +78,21 @@ def extract_markers(chunks: DataFrame) -> DataFrame:
     return each.select("document_id", "chunk_id", "articulo_numero", F.col("f.method").alias("extraction_method"), F.explode("f.texts").alias("source_text"))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratio of matching blocks, as difflib defines it."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
-
-
 def resolve_names(names: DataFrame, documents: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(name, document_id): the known law most like each distinct name, if alike enough; the first by id on ties.
 
-    Names are distinct and documents are the catalogue of laws, which is short. Only pairs whose lengths
-    leave a ratio of ``accept`` possible are compared letter by letter.
+    Equal names are alike, then names of which one holds the other, then by their ratio of matching blocks.
     """
-    asked = names.select("name").distinct().withColumn("a", entity_key(F.col("name")))
+    asked = stored(names.select("name").distinct().withColumn("a", entity_key(F.col("name"))), "asked")
     known = documents.select(F.col("id").alias("document_id"), entity_key(F.col("nombre")).alias("b"))
-    told = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")), 0.95)
-    pairs = asked.join(known).withColumn("score", told)
-    most = 2 * F.least(F.length("a"), F.length("b")) / (F.length("a") + F.length("b"))
-    near = pairs.where(F.col("score").isNull() & (most >= accept)).withColumn("score", sequence_ratio("a", "b"))
-    scored = pairs.where("score IS NOT NULL").unionByName(near).where(F.col("score") >= accept)
+    bearers = stored(known.groupBy("b").agg(F.min("document_id").alias("document_id")), "bearers")
+    a, b = asked.select("a"), bearers.select("b")
+    held = either_holds(a.select(F.col("a").alias("left")), b.select(F.col("b").alias("right"))).select(F.col("left").alias("a"), F.col("right").alias("b"))
+    scored = alike(a, b, accept).unionByName(held.where("a <> b").withColumn("score", F.lit(0.95)))
+    one = scored.groupBy("a", "b").agg(F.max(F.when(F.col("score") == 0.95, 0.95)).alias("held"), F.max("score").alias("score"))
+    told = one.select("a", "b", F.coalesce("held", "score").alias("score")).where(F.col("score") >= accept).join(bearers, "b")
     best = F.min_by("document_id", F.struct(-F.col("score"), "document_id"))
-    return scored.groupBy("name").agg(best.alias("document_id"))
+    return asked.join(told.groupBy("a").agg(best.alias("document_id")), "a").select("name", "document_id")
 
 
 def build_relations(chunks: DataFrame, documents: DataFrame, strict: bool = False) -> DataFrame:
@@ -204,7 +195,8 @@ def laws_matching(documents: DataFrame, names: DataFrame) -> DataFrame:
     """
     asked = names.select("nombre").distinct().withColumn("at", F.row_number().over(Window.orderBy("nombre")))  # a batch of names
     laws = documents.where("is_active").select(F.col("id").alias("document_id"), F.col("nombre").alias("known"))
-    met = asked.join(laws, F.ilike(fold(F.col("known")), like_pattern_of(F.col("nombre"))))
+    words = hold_words(asked.select(F.col("nombre").alias("name")), laws.select(F.col("known").alias("text")))
+    met = asked.join(words.select(F.col("name").alias("nombre"), F.col("text").alias("known")), "nombre").join(laws, "known")
     each = Window.partitionBy("nombre")
     exact = law_key(F.col("known")) == law_key(F.col("nombre"))
     told = met.withColumn("exact", exact).withColumns({"n": F.count(F.lit(1)).over(each), "n_exact": F.count_if("exact").over(each)})
@@ -263,15 +255,3 @@ def as_chunks(relations: DataFrame, documents: DataFrame) -> DataFrame:
         F.coalesce("from_chunk_id", F.lit(-1)).alias("chunk_id"), F.col("from_nombre").alias("document_nombre"), F.col("from_articulo").alias("articulo_numero"),
         sentence().alias("content"), F.lit(1.0).alias("similarity"), F.lit(False).alias("passed_threshold"),
     )
-
-
-def in_batches(rows: Iterator, size: int = 64) -> Iterator[list]:
-    """Lists of at most ``size`` rows, for calls of an embedding service from inside a task."""
-    part: list = []
-    for row in rows:
-        part.append(row)
-        if len(part) == size:
-            yield part
-            part = []
-    if part:
-        yield part
