@@ -84,8 +84,9 @@ def hold_words(names: DataFrame, texts: DataFrame) -> DataFrame:
     least = words.join(often, "word", "left").groupBy("name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("rarest"))
     near = least.select("name", F.col("rarest.word").alias("word")).join(met, "word").join(known, "plain")
     fits = near.where(F.ilike("plain", like_pattern_of(F.col("name")))).select("name", "text")
-    blank = asked.where(F.size(split) == 0).withColumn("__one", F.lit(1))
-    return fits.unionByName(blank.join(known.withColumn("__one", F.lit(1)), "__one").select("name", "text"))
+    blank = asked.withColumn("__words", F.size(split)).where("__words = 0")
+    every = known.withColumn("__words", F.length("text") * 0)
+    return fits.unionByName(blank.join(every, "__words").select("name", "text"))
 
 
 def letter_pairs(name: Column) -> Column:
