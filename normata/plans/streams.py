@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from normata.sources.scratch import new_folder
+from normata.streaming import keyed as K
 from normata.streaming import limits as L
 
 
@@ -30,7 +32,31 @@ def reads(spark, d):
     return L.cached_reads(rows, "user_id", "ts", "event_id", "turn", 86400.0).select("event_id", "cached")
 
 
+def streamed(build, *columns):
+    """A streaming form over all events as a stream of files, to its end; an event long after the last lets the watermark pass them all."""
+
+    def query(spark, d):
+        K.use_rocksdb(spark)
+        rows, folder = events(spark, d), new_folder(spark, "stream")
+        rows.write.parquet(f"{folder}/in/1")
+        last = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+        for i in (2, 3):
+            last.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(i))).select([F.col(f.name).cast(f.dataType) for f in rows.schema]).write.parquet(f"{folder}/in/{i}")
+        came = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max(1, len(spark.read.parquet(f"{folder}/in/1").inputFiles()))).parquet(f"{folder}/in")
+        out = build(came.withColumn("address", F.col("user_id") % 17).withColumn("turn", F.col("event_type") == "click"))
+        run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+        return spark.read.schema(out.schema).parquet(f"{folder}/out").selectExpr(*columns)
+
+    return query
+
+
+DAY = 86400.0
 QUERIES = {
+    "rate_limiter_stream": streamed(lambda s: K.limited_stream(s, "user_id", "ts", "event_id", 3, DAY).where("id >= 0"), "id AS event_id", "accepted"),
+    "two_buckets_stream": streamed(lambda s: K.two_buckets_stream(s, "user_id", "address", "ts", "event_id", 3, DAY).where("id >= 0"), "id AS event_id", "accepted"),
+    "history_cache_stream": streamed(lambda s: K.cached_reads_stream(s, "user_id", "ts", "event_id", "turn", DAY).where("id >= 0"), "id AS event_id", "cached"),
+    "alert_cooldown_stream": streamed(lambda s: K.cooled_down_stream(s.where("event_type IN ('error', 'end')"), "event_type", "ts", "event_id").where("event_type <> 'end'"), "event_type", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts"),
     "two_buckets": buckets,
     "history_cache": reads,
     "drop_repeated_updates": lambda s, d: L.drop_repeats_batch(events(s, d), "user_id", "ts", "event_id", 24).select("event_id"),
@@ -76,3 +102,4 @@ ORACLE_SQL = {
       FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)) GROUP BY user_id, s""",
     "hourly_events": f"SELECT strftime(date_trunc('hour', ts), {FMT}) AS hour, event_type, count(*) AS events FROM events GROUP BY 1, 2",
 }
+ORACLE_SQL |= {f"{name}_stream": ORACLE_SQL[name] for name in ("rate_limiter", "two_buckets", "history_cache", "alert_cooldown")}

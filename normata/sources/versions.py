@@ -63,8 +63,8 @@ class Written(WriterCommitMessage):
 class VersionWriter(DataSourceArrowWriter):
     """Writes the rows of each task to files of the new version; the commit names them in its manifest."""
 
-    def __init__(self, path: str, key: str, version: int):
-        self.path, self.key, self.version = path, key, version
+    def __init__(self, path: str, key: str, version: int, tag: str | None = None):
+        self.path, self.key, self.version, self.tag = path, key, version, tag
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, at = opened(self.path)
@@ -101,6 +101,7 @@ class VersionWriter(DataSourceArrowWriter):
             "files": sorted(f for m in done for f in m.files),
             "replaced": sorted(f for m in done for f in m.replaced),
             "rows": sum(m.rows for m in done),
+            "tag": self.tag,
         }
         files, at = opened(self.path)
         place = f"{at}/versions/{self.version:09d}.json"
@@ -135,21 +136,27 @@ class VersionedTable(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> VersionWriter:
         path, key = self.options["path"], self.options["key"]
         known = manifests(path)
-        return VersionWriter(path, key, known[-1]["version"] + 1 if known else 1)
+        return VersionWriter(path, key, known[-1]["version"] + 1 if known else 1, self.options.get("tag"))
 
 
-def write_version(rows: DataFrame, path: str, key: str, replaced: DataFrame | None = None) -> dict:
+def write_version(rows: DataFrame, path: str, key: str, replaced: DataFrame | None = None, tag: str | None = None) -> dict:
     """Append ``rows``, or with ``replaced`` (a column ``key``) put them in place of all rows of these keys. Its manifest.
 
     Defined results: no rows and no keys make a version without files; a null key is a key like others; a key
     that is replaced and has no row is gone; a key that has rows and is not in ``replaced`` keeps its old ones.
+    With a ``tag`` that a version already has, nothing is written: a batch that comes again changes nothing.
     """
     spark = rows.sparkSession
+    if tag is not None:
+        for known in manifests(path):
+            if known.get("tag") == tag:
+                return known
     spark.dataSource.register(VersionedTable)
     marked = rows.withColumn(MARK, F.lit(False))
     if replaced is not None:
         marked = marked.unionByName(replaced.select(F.col(key)).distinct().withColumn(MARK, F.lit(True)), allowMissingColumns=True)
-    marked.write.format(FORMAT).option("path", path).option("key", key).mode("append").save()
+    writer = marked.write.format(FORMAT).option("path", path).option("key", key)
+    (writer if tag is None else writer.option("tag", tag)).mode("append").save()
     return manifests(path)[-1]
 
 

@@ -112,11 +112,13 @@ def rate_limited(events: DataFrame, key: str, time: str, rate: int = RATE, span:
             state.remove()
             return
         held = deque(state.get[0]) if state.exists else deque()
-        times = sorted(t.timestamp() for b in batches for t in b["at"])
-        accepted = within_rate(times, held, rate, span)
+        came = [t for b in batches for t in b["at"]]
+        times = sorted(t.timestamp() for t in came if not pd.isna(t))
+        timeless = len(came) - len(times)  # not accepted, and counted for nothing
+        accepted = within_rate(times, held, rate, span) + [False] * timeless
         state.update((list(held),))
-        state.setTimeoutTimestamp(int((times[-1] + span + 1) * 1000) if times else state.getCurrentWatermarkMs() + 1000)
-        yield pd.DataFrame({"key": [keys[0]] * len(times), "at": times, "accepted": accepted})
+        state.setTimeoutTimestamp(max(int((times[-1] + span + 1) * 1000) if times else 0, state.getCurrentWatermarkMs() + 1000))
+        yield pd.DataFrame({"key": [keys[0]] * len(came), "at": pd.array(times + [None] * timeless, "Float64"), "accepted": accepted})
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(time).alias("at")).withWatermark("at", "1 minute")
     return rows.groupBy("key").applyInPandasWithState(
