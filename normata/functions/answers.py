@@ -16,6 +16,7 @@ HABIT = r"\b(generalmente|normalmente|usualmente|habitualmente|por lo general|ti
 # Abbreviations whose stop ends no sentence, and the label of the part on what an answer does not cover.
 ABBREVIATIONS = ("art", "arts", "fr", "fracc", "num", "núm", "no", "p", "pp", "inc", "cap", "sec", "lic", "dr", "sr", "sra")
 NOT_COVERED = "Que no cubre"
+# The actions of a decision, and what stands for no value.
 ACTIONS = ("busqueda_general", "busqueda_por_ley", "articulo_especifico", "historial_ley", "ninguna")
 NULLISH = ("", "NULL", "NONE", "NINGUNA", "NINGUNO", "N/A", "-")
 DECISION = "struct<accion:string,ley:string,articulo:string>"
@@ -57,14 +58,18 @@ def has_filler(answer: Column, scope: Column | None = None) -> Column:
 
 
 def strip_filler(answer: Column, scope: Column | None = None) -> Column:
-    """The answer without sentences on what is usual, if it admits a gap; unchanged if nothing would be left."""
+    """The answer without sentences on what is usual, if it admits a gap; unchanged if nothing would be left.
 
-    def paragraph(text: Column) -> Column:
-        sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: ~F.lower(fold(s)).rlike(HABIT))
-        return F.array_join(sentences, " ")
+    What stands between paragraphs stays as it is; with a paragraph that goes, what stands before it goes.
+    """
+    paragraphs, between = F.split(answer, r"\n\s*\n", -1), F.regexp_extract_all(answer, F.lit(r"(\n\s*\n)"), 1)
+
+    def kept(paragraph: Column, i: Column) -> Column:
+        sentences = F.filter(F.split(paragraph, r"(?<=[.!?])\s+"), lambda s: ~F.lower(fold(s)).rlike(HABIT))
+        text = F.array_join(sentences, " ")
+        return F.when(F.trim(text) != "", F.concat(F.coalesce(F.get(between, i - 1), F.lit("")), text)).otherwise("")
 
-    kept = F.filter(F.transform(F.split(answer, r"\n\s*\n"), paragraph), lambda p: F.trim(p) != "")
-    clean = F.trim(F.array_join(kept, "\n\n"))
+    clean = F.regexp_replace(F.array_join(F.transform(paragraphs, kept), ""), r"^\s+|\s+$", "")
     return F.when(has_filler(answer, scope) & (clean != ""), clean).otherwise(answer)
 
 

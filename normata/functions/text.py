@@ -219,19 +219,25 @@ def overlap(query: Column, text: Column) -> Column:
 
 
 def split_pieces(text: str, limit: int) -> list[str]:
-    """Pieces of at most ``limit`` characters: by line, and by sentence where a line is longer; a longer sentence stays whole."""
+    """Pieces of at most ``limit`` characters: by line, and by sentence where a line is longer; a longer sentence stays whole.
+
+    Lines end at every kind of line end and are joined by a line feed; blank lines at the beginning of a piece go. A text
+    within the limit is one piece, unchanged.
+    """
     if len(text) <= limit:
         return [text]
-    done: list[str] = []
-    for line in text.split("\n"):
-        parts = [line] if len(line) <= limit else re.split(r"(?<=[.;:])\s+", line)
-        for i, part in enumerate(parts):
-            sep = " " if i else "\n"
-            if done and (i or len(line) <= limit) and len(done[-1]) + 1 + len(part) <= limit:
-                done[-1] += sep + part
-            else:
-                done.append(part)
-    return [p for p in done if p]
+    done, piece = [], ""
+    for line in text.splitlines():
+        fits = len(line) <= limit
+        for i, part in enumerate([line] if fits else re.split(r"(?<=[.;:])\s+", line)):
+            longer = piece + (" " if i else "\n") + part if piece else part
+            if (fits or i) and len(longer) <= limit:
+                piece = longer
+                continue
+            if piece:
+                done.append(piece)
+            piece = part
+    return done + [piece] if piece else done
 
 
 def pieces(content: Column, limit: int = 900) -> Column:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from normata.functions import tables as T
 from normata.operators import catalog as K
 from normata.operators import chunking as C
 from normata.operators import relations as L
 from normata.plans import adapters as A
+from normata.plans.texts import ORACLE_SQL as TEXTS
 from normata.sources import tables as S
 from normata.sources.scratch import new_folder, remove, stored
 
@@ -112,6 +114,26 @@ def turns(spark, d):
     return out.select("conversation_id", "position", "role", F.length("content").alias("chars"), "found_answer", F.length("error_message").alias("error_chars"))
 
 
+def chunked_in_sql(spark, d):
+    """Articles by the table function, in SQL."""
+    T.register(spark)
+    T.lines_view(law_texts(spark, d), "normata_lines")
+    return spark.sql("SELECT * FROM chunk_law(TABLE(normata_lines) PARTITION BY id ORDER BY at)")
+
+
+def markers_in_sql(spark, d):
+    T.register(spark)
+    articles(spark, d).createOrReplaceTempView("normata_articles")
+    return spark.sql("SELECT * FROM extract_markers(TABLE(SELECT document_id, chunk_id, label AS articulo_numero, content FROM normata_articles))")
+
+
+def pieces_in_sql(spark, d):
+    T.register(spark)
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("normata_texts")
+    return spark.sql("""SELECT id AS doc_id, max(total) AS n_pieces, max(length(content)) AS longest, sum(length(content)) AS chars
+      FROM split_pieces(TABLE(SELECT doc_id AS id, text AS content FROM normata_texts)) GROUP BY id""")
+
+
 def catalogue_pages(spark, d):
     rows = spark.read.parquet(f"{d}/supplier.parquet")
     key = F.col("s_suppkey").cast("string")
@@ -153,6 +175,9 @@ def totals(spark, d):
 
 
 QUERIES = {
+    "chunk_law_sql": chunked_in_sql,
+    "extract_markers_sql": markers_in_sql,
+    "split_pieces_sql": pieces_in_sql,
     "law_chunks": chunked(False),
     "law_chunks_strict": chunked(True),
     "law_start": started,
@@ -195,6 +220,9 @@ CHUNK = """SELECT law AS document_id, {position} AS position, label AS articulo_
 PAIRS = """, p AS (SELECT DISTINCT l.nombre, label AS articulo, document_id FROM a JOIN l ON l.id = a.document_id), h AS (SELECT nombre, from_articulo AS articulo, string_agg(said, '|' ORDER BY o) AS history, count(*) AS n FROM (
     SELECT *, row_number() OVER (PARTITION BY nombre, from_articulo ORDER BY fecha DESC NULLS LAST, from_chunk_id, source_text) AS o FROM s WHERE from_document_id IN (SELECT id FROM l WHERE is_active)) WHERE o <= 10 GROUP BY 1, 2)"""
 ORACLE_SQL = {
+    "chunk_law_sql": ART + CHUNK.format(position="CAST(n AS INT)", second="n >= 3", more=""),
+    "extract_markers_sql": REL + "SELECT from_document_id AS document_id, from_chunk_id AS chunk_id, from_articulo AS articulo_numero, extraction_method, source_text FROM r",
+    "split_pieces_sql": TEXTS["embedding_pieces"],
     "law_chunks": ART + CHUNK.format(position="CAST(n AS INT)", second="n >= 3", more=""),
     # Strict reading takes no heading with a title, which stays with the article before it, and reads on after the transitory heading.
     "law_chunks_strict": ART + CHUNK.format(position="CAST(n AS INT)", second="false", more=" || CASE WHEN n = 2 AND lead(n) OVER (PARTITION BY law ORDER BY n) = 3 THEN chr(10) || 'CAPITULO II DISPOSICIONES GENERALES.' ELSE '' END")

@@ -187,15 +187,16 @@ ORACLE_SQL = {
     "page_sources": "SELECT page_id, CASE WHEN lower(url) LIKE '%example.com%' THEN 'uno' WHEN lower(url) LIKE '%example.net%' THEN 'dos' END AS source FROM pages",
     "text_fixes": "SELECT doc_id, CASE WHEN source = 'src1' THEN replace(replace(text, 'the', '[the]'), '[the] and', '[the and]') WHEN source = 'src2' THEN replace(text, 'zz zz zz', 'never') ELSE text END AS fixed FROM documents",
     "nfkd_fold": "SELECT doc_id, strip_accents(text) AS folded FROM documents",
-    "embedding_pieces": """WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS lines, length(text) AS size FROM documents),
-      x AS (SELECT doc_id, size, i, unnest(CASE WHEN length(lines[i]) <= 900 THEN [lines[i]] ELSE string_split(regexp_replace(lines[i], '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) END) AS part,
+    "embedding_pieces": """WITH RECURSIVE l AS (SELECT doc_id, string_split_regex(regexp_replace(text, '(\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}])$', ''), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]') AS lines FROM documents WHERE length(text) > 900),
+      x AS (SELECT doc_id, i, unnest(CASE WHEN length(lines[i]) <= 900 THEN [lines[i]] ELSE string_split(regexp_replace(lines[i], '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) END) AS part,
         generate_subscripts(CASE WHEN length(lines[i]) <= 900 THEN [lines[i]] ELSE string_split(regexp_replace(lines[i], '([.;:])\\s+', '\\1' || chr(1), 'g'), chr(1)) END, 1) AS j, length(lines[i]) > 900 AS long
-        FROM (SELECT doc_id, lines, size, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+        FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
       u AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM x),
       f AS (SELECT doc_id, k, 1 AS piece, length(part) AS n FROM u WHERE k = 1
-        UNION ALL SELECT u.doc_id, u.k, CASE WHEN size <= 900 OR (j > 1 OR NOT long) AND f.n + 1 + length(part) <= 900 THEN f.piece ELSE f.piece + 1 END,
-          CASE WHEN size <= 900 OR (j > 1 OR NOT long) AND f.n + 1 + length(part) <= 900 THEN f.n + 1 + length(part) ELSE length(part) END FROM f JOIN u ON u.doc_id = f.doc_id AND u.k = f.k + 1),
-      p AS (SELECT doc_id, piece, max(n) AS n, max(k) AS k FROM f GROUP BY 1, 2)
-      SELECT doc_id, count(*) AS n_pieces, max(n) AS longest, CAST(sum(n) AS BIGINT) AS chars FROM p JOIN l USING (doc_id) WHERE n > 0 OR size <= 900 GROUP BY 1""",
+        UNION ALL SELECT u.doc_id, u.k, CASE WHEN f.n = 0 OR (j > 1 OR NOT long) AND f.n + 1 + length(part) <= 900 THEN f.piece ELSE f.piece + 1 END,
+          CASE WHEN f.n > 0 AND (j > 1 OR NOT long) AND f.n + 1 + length(part) <= 900 THEN f.n + 1 + length(part) ELSE length(part) END FROM f JOIN u ON u.doc_id = f.doc_id AND u.k = f.k + 1),
+      p AS (SELECT doc_id, piece, max(n) AS n FROM f GROUP BY 1, 2)
+      SELECT doc_id, count(*) AS n_pieces, max(n) AS longest, CAST(sum(n) AS BIGINT) AS chars FROM p WHERE n > 0 GROUP BY 1
+      UNION ALL SELECT doc_id, 1, length(text), CAST(length(text) AS BIGINT) FROM documents WHERE length(text) <= 900""",
     "call_errors": spread_sql(CALLS, "SELECT * FROM (VALUES (1,'gone'),(2,'auth'),(3,'quota'),(4,'quota'),(5,'transient'),(6,'transient'),(7,'gone'),(8,'auth')) v(id, kind)"),
 }
