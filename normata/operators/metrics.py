@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normata.sources.scratch import stored
+
 CHUNKS_SCHEMA = (
     "array<struct<chunk_id:int,document_nombre:string,articulo_numero:string,similarity:double,content:string,passed_threshold:boolean,derogado:boolean>>"
 )
@@ -123,12 +125,49 @@ def grounded_by_rewrite(messages: DataFrame) -> DataFrame:
 
 
 # Performance
+def value_at(rows: DataFrame, column: str, rank: int, buckets: int = 4096) -> tuple[float, int]:
+    """The value of rank ``rank`` (from 0) among a column's non-null values, and how many values are no larger.
+
+    The range that holds it is parted evenly and the parts are counted, until its part has one value only; a pass brings
+    ``buckets`` rows at most to the driver, and no aggregate holds the values.
+    """
+    value = F.col(column).cast("double")
+    low, high, below = *rows.agg(F.min(value), F.max(value)).first(), 0
+    while low < high:
+        width = (high - low) / buckets
+        part = F.least(F.floor((value - low) / width), F.lit(buckets - 1)) if width > 0 else F.when(value > low, 1).otherwise(0)
+        counted = rows.where(value.between(low, high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        for found in counted.orderBy("part").collect():
+            if rank < below + found.n:
+                low, high = found.low, found.high
+                break
+            below += found.n
+    return low, rows.where(value <= low).count()
+
+
+def quantile(rows: DataFrame, column: str, p: float) -> float | None:
+    """The exact quantile, between neighbouring values in proportion; null without values."""
+    n = rows.where(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    place = p * (n - 1)
+    rank = int(place)
+    value, upto = value_at(rows, column, rank)
+    if place == rank or rank + 1 < upto:
+        return value
+    following = rows.where(F.col(column).cast("double") > value).agg(F.min(F.col(column).cast("double"))).first()[0]
+    return value + (place - rank) * (following - value)
+
+
 def latency(messages: DataFrame, *columns: str) -> DataFrame:
     """Mean and exact 95th percentile of each column, nulls left out."""
-    parts = []
-    for c in columns:
-        parts += [F.round(F.avg(c), 6).alias(f"{c}_avg"), F.round(F.expr(f"percentile_cont(0.95) WITHIN GROUP (ORDER BY {c})"), 6).alias(f"{c}_p95")]
-    return assistant(messages).agg(*parts)
+    rows = stored(assistant(messages).select(*columns), "latencies")
+    means = rows.agg(*[F.avg(c) for c in columns]).first()
+    values = {}
+    for c, mean in zip(columns, means, strict=True):
+        values |= {f"{c}_avg": mean, f"{c}_p95": quantile(rows, c, 0.95)}
+    one = messages.sparkSession.createDataFrame([tuple(values.values())], ", ".join(f"{c} double" for c in values))
+    return one.select(*[F.round(c, 6).alias(c) for c in values])
 
 
 def usage_by_model(messages: DataFrame) -> DataFrame:

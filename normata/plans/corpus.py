@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from normata.operators import catalog as K
+from normata.operators import models as M
 from normata.operators import relations as L
 from normata.plans import adapters as A
 from normata.sources import tables as S
@@ -56,7 +57,7 @@ def upserted(spark, d):
 
 def hits(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
-    cache = spark.range(200).select(F.col("id"), F.lit(1).alias("hit_count"), F.lit(None).cast("timestamp").alias("last_used_at"))
+    cache = events.select(F.col("user_id").alias("id")).distinct().select("id", F.lit(1).alias("hit_count"), F.lit(None).cast("timestamp").alias("last_used_at"))
     out = S.count_hits(cache, events.where("event_type = 'click'").select(F.col("user_id").alias("cache_id"), F.col("ts").alias("at")))
     return out.select("id", "hit_count", F.date_format("last_used_at", "yyyy-MM-dd HH:mm:ss").alias("last_used_at"))
 
@@ -68,6 +69,24 @@ def reembed(spark, d):
     return S.to_reembed(vectors, law_table(spark, d), "m1").select("id")
 
 
+def measured(texts: list[str]) -> list[list[float]]:
+    """Stands for an embedding service: a text's length, and how often it has two letters."""
+    return [[float(len(t)), float(t.count("e")), float(t.count("a"))] for t in texts]
+
+
+def unreachable(texts: list[str]) -> list[list[float]]:
+    raise ConnectionError("no such host")
+
+
+def reembedded(spark, d):
+    """New embeddings of the chunks of another model, by the second of three services: the first fails, the second gives them, the third is not asked."""
+    old = F.array(F.lit(1.0).cast("float"))
+    chunks = chunk_table(spark, d).select(F.col("chunk_id").alias("id"), "document_id", "content", old.alias("embedding"), F.when(F.col("chunk_id") % 4 == 0, "m1").otherwise("m0").alias("embedding_model"))
+    services = [M.Model("m1", unreachable), M.Model("m2", measured), M.Model("m3", unreachable)]
+    out = M.reembedded(chunks, law_table(spark, d), services, 3)
+    return out.select("id", F.transform("embedding", lambda x: x.cast("long")).alias("v"), "embedding_model").select("id", *[F.col("v")[i].alias(f"v{i}") for i in range(3)], "embedding_model")
+
+
 def deactivated(spark, d):
     return S.deactivate(law_table(spark, d), spark.createDataFrame([(2,), (5,), (99,)], "id int")).select("id", "is_active")
 
@@ -87,6 +106,7 @@ QUERIES = {
     "upsert_conversations": upserted,
     "cache_hits": hits,
     "reembed_selection": reembed,
+    "reembedded": reembedded,
     "soft_delete": deactivated,
     "load_check": loaded,
     "documents_by_id": lambda s, d: S.documents_by_id(law_table(s, d)).select("id", "nombre", "is_active"),
@@ -105,6 +125,8 @@ def key_sql() -> str:
 
 
 ORACLE_SQL = {
+    "reembedded": f"""SELECT doc_id AS id, length(text) AS v0, length(text) - length(replace(text, 'e', '')) AS v1, length(text) - length(replace(text, 'a', '')) AS v2, 'm2' AS embedding_model
+      FROM documents JOIN {LAW_SQL} l ON l.id = CAST(substring(source, 4) AS INT) WHERE l.is_active AND doc_id % 4 <> 0""",
     "article_lookup": f"SELECT min(doc_id) AS chunk_id, '6' AS articulo_numero FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source = 'src12' AND doc_id % 7 = 6 HAVING count(*) > 0",
     "ambiguous_laws": f"WITH x AS (SELECT DISTINCT nombre FROM documents JOIN {LAW_SQL} l ON l.nombre = 'Ley ' || source WHERE l.is_active AND source ILIKE '%src1%' AND doc_id % 7 = 6) SELECT nombre FROM x WHERE (SELECT count(*) FROM x) > 1",
     "catalog_newly_listed": "SELECT DISTINCT source AS nombre FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 < 17)",
@@ -120,7 +142,7 @@ ORACLE_SQL = {
     "upsert_conversations": """WITH r AS (SELECT o_orderkey AS id, lower(substring(o_orderpriority, 3, 20)) AS platform, CAST(o_custkey % 300 AS VARCHAR) AS chat_id, o_orderdate AS t FROM orders),
       k AS (SELECT * FROM r WHERE id % 4 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY platform, chat_id ORDER BY t, id) AS o FROM r WHERE id % 4 <> 0)
       SELECT id, platform, chat_id FROM k UNION ALL SELECT id, platform, chat_id FROM n WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.platform = n.platform AND k.chat_id = n.chat_id)""",
-    "cache_hits": """SELECT r.id, CAST(1 + count(e.user_id) AS INT) AS hit_count, strftime(max(e.ts), '%Y-%m-%d %H:%M:%S') AS last_used_at FROM range(200) r(id) LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') e ON e.user_id = r.id GROUP BY 1""",
+    "cache_hits": """SELECT r.id, CAST(1 + count(e.user_id) AS INT) AS hit_count, strftime(max(e.ts), '%Y-%m-%d %H:%M:%S') AS last_used_at FROM (SELECT DISTINCT user_id AS id FROM events) r LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') e ON e.user_id = r.id GROUP BY 1""",
     "reembed_selection": f"SELECT vec_id AS id FROM embeddings JOIN {LAW_SQL} l ON l.id = vec_id % 20 + 1 WHERE label % 3 <> 1 AND l.is_active",
     "soft_delete": f"SELECT id, is_active AND id NOT IN (2, 5) AS is_active FROM {LAW_SQL} l",
     "load_check": "SELECT CAST(substring(source, 4) AS INT) AS document_id, count(*) AS chunks, count(*) FILTER (WHERE doc_id % 3 > 0) AS embedded, min('m' || doc_id % 2) AS model FROM documents GROUP BY 1",

@@ -86,6 +86,23 @@ def ingested_again(spark, d):
     return log.join(left, "document_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0).cast("long")))
 
 
+def texts_read(spark, d):
+    """Every law as a text file of its own, read back whole."""
+    folder = new_folder(spark, "law_texts")
+    whole_laws(spark, d).select("id", "raw_text").write.partitionBy("id").text(folder)
+    rows = S.read_law_texts(spark, folder)
+    return rows.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("int").alias("id"), F.length("raw_text").alias("chars"), F.md5("raw_text").alias("md5"))
+
+
+def rebuilt(spark, d):
+    """The edges, written twice to the same place."""
+    path = new_folder(spark, "edges")
+    rows = stored(relations(spark, d), "relations")
+    for _ in range(2):
+        S.rebuild_relations(rows, path)
+    return spark.read.parquet(path).groupBy("from_document_id", "relation_type").agg(F.count(F.lit(1)).alias("n"), F.count("fecha").alias("dated"))
+
+
 def piece_rows(spark, d):
     """Pieces of at most 90 characters, with part and total where an article has several."""
     rows = S.chunk_rows(law_texts(spark, d), "m1", 90)
@@ -184,6 +201,8 @@ QUERIES = {
     "ingest_log": ingested,
     "ingest_again": ingested_again,
     "ingest_pieces": piece_rows,
+    "law_texts_read": texts_read,
+    "relations_rebuilt": rebuilt,
     "last_reforms": reforms,
     "relations": edges,
     "relation_counters": lambda s, d: L.extraction_counters(relations(s, d)),
@@ -236,6 +255,8 @@ ORACLE_SQL = {
     "ingest_pieces": ART + """, x AS (SELECT *, length(content) > 90 AS cut, 'Ley ' || law || ', Titulo ' || CASE WHEN n >= 5 THEN 'SEGUNDO' ELSE 'PRIMERO' END || ', Capitulo ' || CASE WHEN n >= 3 THEN 'II' ELSE 'I' END || ', Articulo ' || label || ': ' AS head FROM a)
       SELECT law AS document_id, label AS articulo_numero, CASE WHEN cut THEN 1 END AS parte, CASE WHEN cut THEN 2 END AS partes_totales, CAST(length(content) - CASE WHEN cut THEN length(marker) + 1 ELSE 0 END AS INT) AS chars, CAST(length(head) AS INT) AS header FROM x
       UNION ALL SELECT law, label, 2, 2, CAST(length(marker) AS INT), CAST(length(head) AS INT) FROM x WHERE cut""",
+    "law_texts_read": ART + """SELECT document_id AS id, CAST(length(t) AS INT) AS chars, md5(t) AS md5 FROM (SELECT document_id, string_agg(content, chr(10) ORDER BY chunk_id, content) || chr(10) AS t FROM a GROUP BY 1)""",
+    "relations_rebuilt": REL + "SELECT from_document_id, relation_type, count(*) AS n, count(fecha) AS dated FROM r GROUP BY 1, 2",
     "last_reforms": ART + "SELECT law AS id, max(CAST(day_of AS VARCHAR)) FILTER (WHERE flag = 'R') AS last_reform FROM a GROUP BY 1",
     "relations": REL + "SELECT * EXCLUDE (nombre) FROM r",
     "relation_counters": REL + "SELECT count(*) FILTER (WHERE is_self) AS auto_mod, count(*) FILTER (WHERE NOT is_self AND to_document_id IS NOT NULL) AS cross_resolved, count(*) FILTER (WHERE NOT is_self AND to_document_id IS NULL) AS cross_unresolved, count(*) FILTER (WHERE fecha IS NULL) AS skipped_no_date FROM r",
