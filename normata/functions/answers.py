@@ -154,6 +154,16 @@ def error_kind(status: Column, body: Column) -> Column:
     )
 
 
+def snippet(answer: Column, error: Column) -> Column:
+    """What a golden run keeps of an answer, or of the error in its place: 200 characters."""
+    return F.left(F.when(error.isNotNull(), F.concat(F.lit("ERROR: "), error)).otherwise(F.coalesce(answer, F.lit(""))), F.lit(200))
+
+
+def rerank_query(question: Column, subquestions: Column) -> Column:
+    """A question and its subquestions as one text for reranking: 600 characters."""
+    return F.left(F.concat_ws(" ", question, subquestions), F.lit(600))
+
+
 def prompt_context(position: Column, law: Column, article: Column, content: Column, repealed: Column) -> Column:
     """One numbered source of a prompt, marked if its article is repealed."""
     mark = F.when(repealed, " [DEROGADO]").otherwise("")

@@ -59,6 +59,7 @@ QUERIES = {
     "embedding_pieces": piece_rows,
     "embedding_header": over_documents(lambda: C.embedding_text(F.col("source"), F.lit(None).cast("string"), F.col("lang"), F.col("doc_id").cast("string"), F.col("text")).alias("embedding_text")),
     "prompt_context": over_documents(lambda: N.prompt_context(F.col("doc_id"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")), F.col("text"), F.col("doc_id") % 5 == 0).alias("context")),
+    "text_cuts": over_documents(lambda: N.snippet(F.col("text"), F.when(F.col("doc_id") % 5 == 0, F.col("source"))).alias("snippet"), lambda: N.rerank_query(F.col("text"), F.array("lang", "source")).alias("query")),
     "line_range": over_documents(lambda: C.line_range(F.col("text"), 2, 3).alias("lines")),
     "page_sources": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", X.source_of(F.col("url"), {"example.com": "uno", "example.net": "dos"}).alias("source")),
     "text_fixes": fixed_texts,
@@ -86,6 +87,7 @@ ORACLE_SQL = {
     "html_marks": f"SELECT doc_id, {LINES.format("source || ' &amp; é' || chr(10) || text || chr(10) || lang || chr(10) || '<' || doc_id || '>'")} AS text FROM documents",
     "embedding_header": "SELECT doc_id, source || ', Capitulo ' || lang || ', Articulo ' || doc_id || ': ' || text AS embedding_text FROM documents",
     "prompt_context": """SELECT doc_id, '[' || doc_id || '] ' || source || CASE WHEN doc_id % 2 = 0 THEN ', Articulo ' || lang ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN ' [DEROGADO]' ELSE '' END || ':' || chr(10) || text AS context FROM documents""",
+    "text_cuts": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ERROR: ' || source ELSE left(text, 200) END AS snippet, left(text || ' ' || lang || ' ' || source, 600) AS query FROM documents",
     "line_range": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS lines FROM documents",
     "page_sources": "SELECT page_id, CASE WHEN lower(url) LIKE '%example.com%' THEN 'uno' WHEN lower(url) LIKE '%example.net%' THEN 'dos' END AS source FROM pages",
     "text_fixes": "SELECT doc_id, CASE WHEN source = 'src1' THEN replace(replace(text, 'the', '[the]'), '[the] and', '[the and]') WHEN source = 'src2' THEN replace(text, 'zz zz zz', 'never') ELSE text END AS fixed FROM documents",
