@@ -15,7 +15,8 @@ role, text  role counts on ``message`` events; null text is empty, null role too
 
 Defined results: an empty log gives no rows; a message that never started keeps the text of
 its deltas and an empty role; events with equal ``seq`` apply in the order of kind and text;
-an unknown kind is ignored; columns other than these are ignored.
+an unknown kind is ignored; texts and conversations of any length are rendered whole, each as one string;
+columns other than these are ignored.
 """
 
 from __future__ import annotations

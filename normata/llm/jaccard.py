@@ -30,7 +30,7 @@ bits; a collision of two sets among a billion has a chance of some 3 per cent.
 Defined results: a text with fewer words is one shingle, its whole sequence; null and blank texts
 have the empty set and link with nothing, their component is their own doc_id; a component of rows
 without doc_id has component null; repeated rows share a component; an empty table gives no rows;
-columns other than doc_id and text are ignored.
+columns other than doc_id and text are ignored; of a text of any length all words count.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ feature, which is what workers get.
 Defined results: null, empty and blank texts have no features and score the bias alone; repeated
 documents score alike; words of any length count; columns other than doc_id and text are ignored, but
 one with the name of the score is replaced; without labels of both classes the score is the share of
-label 1 (0.5 without labels); labels other than 0 and 1 count for nothing.
+label 1 (0.5 without labels); labels other than 0 and 1 count for nothing; a text of any length is read whole;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ per range reaches the driver.
 
 Defined results: null text has 0 bytes and no CRC input (that of the empty text); null metadata takes
 cell 0; repeated rows are ranked apart; an empty table gives no rows; other columns pass through, but ones
-named ``shard`` or ``slot`` are replaced; with fewer rows than shards some shards stay empty.
+named ``shard`` or ``slot`` are replaced; with fewer rows than shards some shards stay empty;
+a text of any length is one row, of which only its size and hash are read.
 """
 
 from __future__ import annotations

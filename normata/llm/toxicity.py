@@ -12,7 +12,8 @@ on the same sample.
 Defined results: null and empty texts have no hit and score as such a document; repeated documents
 score alike; overlapping matches in one word count once, by the largest weight; columns other than
 doc_id and text are ignored, but one named ``score`` is replaced; without labels of both classes the
-score is the share of label 1; labels other than 0 and 1 count for nothing.
+score is the share of label 1; labels other than 0 and 1 count for nothing; a text of any length is read whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

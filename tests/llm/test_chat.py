@@ -63,3 +63,11 @@ def test_streamed_log_folds_back_to_the_turns(spark):
     folded = C.fold_events(log).orderBy("conv_id", "msg_id").collect()
     got = sorted((str(r.conv_id), r.role, r.text) for r in folded)
     assert got == sorted((str(c), r or "", x or "") for c, _, r, x in rows + rows[:2])
+
+
+def test_a_long_conversation_is_rendered_whole(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|x|>") for t in range(3000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = C.format_conversations(table).withColumn("turns", C.read_back(F.col("formatted"))).collect()
+    assert len(out) == 1 and [(t.role, t.text) for t in out[0].turns] == [(r, x) for _, _, r, x in rows]
+    assert len(out[0].loss_spans) == 1500
