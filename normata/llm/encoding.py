@@ -12,6 +12,7 @@ of a few times its own size; a special token counts as one in lower case only, a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that become words at a time (one text at least).
-PART = 8 << 20
+PART = 16 << 20
 
 
 def parts(texts: pa.Array, size: int = PART) -> Iterator[pa.Array]:
@@ -58,6 +59,7 @@ class WordEncoder:
     def clear(self) -> None:
         """Forget all words. ``slots`` numbers words; ``start`` and ``length`` say where ``pool`` has their ids."""
         self.slots: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
 
@@ -117,11 +119,19 @@ class WordEncoder:
         low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         lists = pc.ascii_split_whitespace(low)
         words = lists.flatten().dictionary_encode()
-        own = words.dictionary.to_pylist()
+        own = words.dictionary
         if len(self.slots) + len(own) > self.LIMIT:
             self.clear()
-        self.learn([w for w in own if w not in self.slots])
-        ids, ends = self.ids_of(self.slots_of(own)[words.indices.to_numpy()])
+        place = pc.index_in(own, value_set=self.known)
+        unmet = place.is_null()
+        slots = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        if new := own.filter(unmet).to_pylist():
+            before = len(self.slots)
+            self.learn(new)
+            added = list(itertools.islice(reversed(self.slots), len(self.slots) - before))[::-1]
+            self.known = pa.concat_arrays([self.known, pa.array(added, pa.string())])
+            slots[unmet.to_numpy(zero_copy_only=False)] = self.slots_of(new)
+        ids, ends = self.ids_of(slots[words.indices.to_numpy()])
         return ids, ends[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
 
     def arrays(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
