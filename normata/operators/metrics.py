@@ -125,38 +125,38 @@ def grounded_by_rewrite(messages: DataFrame) -> DataFrame:
 
 
 # Performance
-def value_at(rows: DataFrame, column: str, rank: int, buckets: int = 4096) -> tuple[float, int]:
-    """The value of rank ``rank`` (from 0) among a column's non-null values, and how many values are no larger.
+def value_at(rows: DataFrame, column: str, rank: int, low: float, high: float, buckets: int = 4096) -> tuple[float, int]:
+    """The value of rank ``rank`` (from 0) among a column's non-null values, all from ``low`` to ``high``, and how many are no larger.
 
     The range that holds it is parted evenly and the parts are counted, until its part has one value only; a pass brings
     ``buckets`` rows at most to the driver, and no aggregate holds the values.
     """
-    value = F.col(column).cast("double")
-    low, high, below = *rows.agg(F.min(value), F.max(value)).first(), 0
-    while low < high:
+    value, below = F.col(column).cast("double"), 0
+    while True:
         width = (high - low) / buckets
         part = F.least(F.floor((value - low) / width), F.lit(buckets - 1)) if width > 0 else F.when(value > low, 1).otherwise(0)
         counted = rows.where(value.between(low, high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
-        for found in counted.orderBy("part").collect():
+        for found in sorted(counted.collect(), key=lambda r: r.part):
             if rank < below + found.n:
-                low, high = found.low, found.high
                 break
             below += found.n
-    return low, rows.where(value <= low).count()
+        if found.low == found.high:
+            return found.low, below + found.n
+        low, high = found.low, found.high
 
 
 def quantile(rows: DataFrame, column: str, p: float) -> float | None:
     """The exact quantile, between neighbouring values in proportion; null without values."""
-    n = rows.where(F.col(column).isNotNull()).count()
+    value = F.col(column).cast("double")
+    n, low, high = rows.agg(F.count(value), F.min(value), F.max(value)).first()
     if not n:
         return None
     place = p * (n - 1)
     rank = int(place)
-    value, upto = value_at(rows, column, rank)
+    found, upto = value_at(rows, column, rank, low, high)
     if place == rank or rank + 1 < upto:
-        return value
-    following = rows.where(F.col(column).cast("double") > value).agg(F.min(F.col(column).cast("double"))).first()[0]
-    return value + (place - rank) * (following - value)
+        return found
+    return found + (place - rank) * (rows.where(value > found).agg(F.min(value)).first()[0] - found)
 
 
 def latency(messages: DataFrame, *columns: str) -> DataFrame:
