@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 FORMAT = "versioned"
 #: Column that tells rows from the keys that a version replaces.
@@ -164,7 +164,7 @@ def read_versions(spark: SparkSession, path: str, schema: str, key: str, version
     """What the table holds, now or as of ``version``; no rows if nothing was written yet."""
     listed = [m for m in manifests(path) if version is None or m["version"] <= version]
     under = lambda kind: [f"{path}/{f}" for m in listed for f in m[kind]]
-    kind = _parse_datatype_string(schema)
+    kind = StructType.fromDDL(schema)
     if not under("files"):
         return spark.createDataFrame([], kind)
     at = F.substring_index(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "-", 1).cast("int")
@@ -184,5 +184,5 @@ def compact(spark: SparkSession, path: str, schema: str, key: str) -> dict:
     held = [f"{path}/{f}" for m in manifests(path) for f in m["files"]]
     if not held:
         return write_version(rows, path, key)
-    every = spark.read.schema(StructType([_parse_datatype_string(schema)[key]])).parquet(*held)
+    every = spark.read.schema(StructType([StructType.fromDDL(schema)[key]])).parquet(*held)
     return write_version(rows, path, key, every)
