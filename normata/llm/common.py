@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,11 +70,19 @@ def small(table: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few rows, so that only these become Python objects at a time."""
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

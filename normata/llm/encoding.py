@@ -12,7 +12,6 @@ of a few times its own size; a special token counts as one in lower case only, a
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from normata.llm.common import give_back
+
 #: Bytes of text that become words at a time (one text at least).
-PART = 16 << 20
+PART = 4 << 20
 
 
 def parts(texts: pa.Array, size: int = PART) -> Iterator[pa.Array]:
@@ -45,9 +46,13 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 class WordEncoder:
-    """Ids of texts, from a cache of the ids of words; a full cache starts anew."""
+    """Ids of texts, from a cache of the ids of words; a full cache starts anew.
+
+    The cache is a few arrays, some 40 bytes a word: the words in the order in which they were met, where ``pool``
+    has their ids, and the pool.
+    """
 
-    LIMIT, LONGEST, TOGETHER = 1_000_000, 64, 400
+    LIMIT, LONGEST, TOGETHER = 600_000, 64, 400
     SIGNS = ".,!?;:*$%&#"
 
     def __init__(self, path: str):
@@ -57,37 +62,30 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        """Forget all words. ``slots`` numbers words; ``start`` and ``length`` say where ``pool`` has their ids."""
-        self.slots: dict[str, int] = {}
         self.known = pa.array([], pa.string())
-        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.pool, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """New words and their ids, one after the other."""
-        have, used = len(self.slots), self.used
-        while have + len(words) > len(self.start):
-            self.start, self.length = (np.append(x, np.zeros_like(x)) for x in (self.start, self.length))
-        while used + len(ids) > len(self.pool):
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
-        self.slots.update(zip(words, range(have, have + len(words)), strict=True))
-        self.start[have : have + len(words)] = used + np.cumsum(lengths) - lengths
-        self.length[have : have + len(words)] = lengths
-        self.pool[used : used + len(ids)] = ids
-        self.used += len(ids)
+        self.known = pa.concat_arrays([self.known, pa.array(words, pa.string())])
+        self.start = np.append(self.start, len(self.pool) + np.cumsum(lengths) - lengths)
+        self.length = np.append(self.length, lengths.astype(np.int32))
+        self.pool = np.append(self.pool, ids)
+
+    def slots_of(self, words: pa.Array) -> np.ndarray:
+        """The words' places among those known; -1 for others."""
+        return pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
 
     def ids_of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a row of known words, and where each word's end."""
         lengths = self.length[slots]
-        ends = np.append(0, np.cumsum(lengths))
+        ends = np.append(0, np.cumsum(lengths, dtype=np.int64))
         return self.pool[np.repeat(self.start[slots] - ends[:-1], lengths) + np.arange(ends[-1])], ends
 
-    def slots_of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
-
     def learn(self, words: list[str]) -> None:
         """Ids of words not met before, many at a time, told apart by where their ids begin."""
         whole, ends, stems, signs = [], [], [], []
@@ -99,20 +97,26 @@ class WordEncoder:
                 signs.append(word[len(stem) :])
             else:
                 whole.append(word)
-        new = [w for w in dict.fromkeys(whole + stems + signs) if w not in self.slots]
+        asked = pc.unique(pa.array(whole + stems + signs, pa.string()))
+        new = asked.filter(pa.array(self.slots_of(asked) < 0)).to_pylist()
         short = [w for w in new if 0 < len(w) <= self.LONGEST]
+        others = [w for w in new if not 0 < len(w) <= self.LONGEST]
+        ids, lengths = [], []
         for at in range(0, len(short), self.TOGETHER):
             part = short[at : at + self.TOGETHER]
             found = self.encoder.encode(" ".join(part), add_special_tokens=False)
             begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-            self.keep(part, np.array(found.ids, np.uint32), np.diff(np.searchsorted([o[0] for o in found.offsets], begins)))
-        for word in new:
-            if not 0 < len(word) <= self.LONGEST:
-                ids = self.encode(word)
-                self.keep([word], ids, np.array([len(ids)]))
+            ids.append(np.array(found.ids, np.uint32))
+            lengths.append(np.diff(np.searchsorted([o[0] for o in found.offsets], begins)))
+        for word in others:
+            ids.append(self.encode(word))
+            lengths.append(np.array([len(ids[-1])]))
+        if new:
+            self.keep(short + others, np.concatenate(ids), np.concatenate(lengths))
         if ends:
-            ids, at = self.ids_of(np.stack([self.slots_of(stems), self.slots_of(signs)], axis=1).ravel())
-            self.keep(ends, ids, np.diff(at[::2]))
+            pairs = np.stack([self.slots_of(pa.array(x, pa.string())) for x in (stems, signs)], axis=1)
+            joined, at = self.ids_of(pairs.ravel())
+            self.keep(ends, joined, np.diff(at[::2]))
 
     def part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
@@ -120,23 +124,22 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(low)
         words = lists.flatten().dictionary_encode()
         own = words.dictionary
-        if len(self.slots) + len(own) > self.LIMIT:
+        if len(self.known) + len(own) > self.LIMIT:
             self.clear()
-        place = pc.index_in(own, value_set=self.known)
-        unmet = place.is_null()
-        slots = pc.fill_null(place, 0).to_numpy().astype(np.int64)
-        if new := own.filter(unmet).to_pylist():
-            before = len(self.slots)
-            self.learn(new)
-            added = list(itertools.islice(reversed(self.slots), len(self.slots) - before))[::-1]
-            self.known = pa.concat_arrays([self.known, pa.array(added, pa.string())])
-            slots[unmet.to_numpy(zero_copy_only=False)] = self.slots_of(new)
+        slots = self.slots_of(own)
+        unmet = slots < 0
+        if unmet.any():
+            new = own.filter(pa.array(unmet))
+            self.learn(new.to_pylist())
+            slots[unmet] = self.slots_of(new)
         ids, ends = self.ids_of(slots[words.indices.to_numpy()])
         return ids, ends[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))]
 
     def arrays(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, bounds) of successive slices of the texts: text i of a slice has ids[bounds[i]:bounds[i + 1]]."""
-        return map(self.part, parts(texts))
+        for slice_ in parts(texts):
+            yield self.part(slice_)
+        give_back()
 
     def texts(self, texts: list[str | None] | pa.Array) -> Iterator[bytes]:
         """Each text's ids, as little-endian 32-bit bytes."""
