@@ -33,19 +33,24 @@ def reads(spark, d):
 
 
 def streamed(build, *columns):
-    """A streaming form over all events as a stream of files, to its end; an event long after the last lets the watermark pass them all."""
+    """A streaming form over all events as a stream of files, to its end; two events long after the last let the watermark pass them all.
+
+    Each of these comes in a run of its own, however many files hold the events: a second pass gets the last of them when the
+    first event is past, and needs the watermark of the second to decide them.
+    """
 
     def query(spark, d):
         K.use_rocksdb(spark)
         rows, folder = events(spark, d), new_folder(spark, "stream")
         rows.write.parquet(f"{folder}/in/1")
-        last = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-        for i in (2, 3):
-            last.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(i))).select([F.col(f.name).cast(f.dataType) for f in rows.schema]).write.parquet(f"{folder}/in/{i}")
-        came = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max(1, len(spark.read.parquet(f"{folder}/in/1").inputFiles()))).parquet(f"{folder}/in")
+        came = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
         out = build(came.withColumn("address", F.col("user_id") % 17).withColumn("turn", F.col("event_type") == "click"))
-        run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        run.awaitTermination()
+        last = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
+        for i in (1, 2, 3):
+            if i > 1:
+                last.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(i))).select([F.col(f.name).cast(f.dataType) for f in rows.schema]).write.parquet(f"{folder}/in/{i}")
+            run = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            run.awaitTermination()
         return spark.read.schema(out.schema).parquet(f"{folder}/out").selectExpr(*columns)
 
     return query

@@ -116,3 +116,12 @@ def test_history_cache_lives_from_its_write(spark):
     log = spark.createDataFrame(rows, "id long, conversation string, ts timestamp, turn boolean")
     out = {r.id: r.cached for r in L.cached_reads(log, "conversation", "ts", "id", "turn").collect()}
     assert out == {0: False, 1: True, 2: False, 4: False, 5: False}
+
+
+def test_streamed_buckets_decide_the_last_events_of_several_files(spark, tmp_path):
+    from normata.plans import streams as P
+
+    rows = spark.range(60).selectExpr("id AS event_id", "TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 7) AS ts", "id % 5 AS user_id", "'click' AS event_type", "1.0D AS value")
+    rows.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    told = lambda name: sorted(map(tuple, P.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert told("two_buckets_stream") == told("two_buckets") and len(told("two_buckets")) == 60
