@@ -9,6 +9,8 @@ A search reads what can matter. Some chunks that hold a query's weightiest terms
 k-th best of these is a floor. A chunk that has only terms whose largest parts sum to less than the floor cannot
 be among the best, so the lists of these terms, which are the long ones, are not read, nor are blocks that cannot
 reach it. Chunks that remain are scored in whole from ``forward``. Results equal those of scoring all chunks.
+Many or long queries hold terms whose lists are longer together than all of ``forward``: that is then read instead, once
+for each block of queries, and chunks are scored where they lie.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normata.functions.text import words
-from normata.operators.retrieval import EPSILON, K1, B, corpus_signature, term_counts, top_per_query
+from normata.operators.retrieval import EPSILON, K1, B, best_first, best_in_blocks, corpus_signature, only_kept, scaled, term_lists, top_per_query
 from normata.sources.scratch import stored
 
 #: Levels of impact that part a list, and chunks of a shard.
@@ -50,13 +52,12 @@ def part(tf: Column, length: Column, mean: float) -> Column:
 def build_index(chunks: DataFrame, path: str) -> None:
     """Write the three tables for ``chunks`` (chunk_id, content); texts are tokenised once."""
     spark = chunks.sparkSession
-    counted = term_counts(chunks).groupBy("chunk_id", "length").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
-    counted.write.mode("overwrite").parquet(f"{path}/counted")
+    term_lists(chunks).write.mode("overwrite").parquet(f"{path}/counted")
     held = spark.read.parquet(f"{path}/counted")
     n, mean = held.agg(F.count(F.lit(1)), F.avg("length")).first()
     impact = lambda t: part(t["tf"], F.col("length"), mean)
     with_impact = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), impact(t).alias("impact")))
-    held.select("chunk_id", "length", with_impact.alias("terms")).repartition("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{path}/forward")
+    held.select("chunk_id", "length", with_impact.alias("terms")).write.mode("overwrite").parquet(f"{path}/forward")
     forward = spark.read.schema(FORWARD).parquet(f"{path}/forward")
     listed = forward.select("chunk_id", F.inline("terms"))
     shards = max(1, -(-n // SHARD))
@@ -106,16 +107,12 @@ def floors(index: Index, asked: DataFrame, k: int, keep: DataFrame | None) -> Da
     """(query_id, floor): a score that the k-th best chunk reaches at least, where k chunks were found that easily."""
     leading = asked.withColumn("__at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "term"))).where(F.col("__at") <= LEADING)
     met = leading.join(index.postings, "term").select("query_id", "weight", F.inline("chunks"))
-    partial = kept(met, keep).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("partial"))
+    partial = only_kept(met, keep).groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("impact")).alias("partial"))
     first = top_per_query(partial, FIRST * k, F.desc("partial"), "chunk_id").select("query_id", "chunk_id")
     best = top_per_query(whole_scores(index, asked, first), k, F.desc("score"))
     return best.where(F.col("position") == k).select("query_id", F.col("score").alias("floor"))
 
 
-def kept(rows: DataFrame, keep: DataFrame | None) -> DataFrame:
-    return rows if keep is None else rows.join(keep.select(F.col("chunk_id").cast("long").alias("chunk_id")).distinct(), "chunk_id", "left_semi")
-
-
 def essential(asked: DataFrame, floor: DataFrame) -> DataFrame:
     """Terms of which a chunk must hold one to reach its query's floor, with ``rest``, what the other terms add at most,
     ``others``, what all terms but this one add at most, and ``floor``."""
@@ -133,15 +130,21 @@ def search_index(index: Index, queries: DataFrame, k: int, keep: DataFrame | Non
     ``keep`` (chunk_id) narrows what is ranked. A query without words that the corpus knows finds nothing.
     """
     asked = stored(asked_terms(index, queries), "asked")
+    postings = asked.join(index.terms, "term").agg(F.sum("df")).first()[0] or 0
+    if postings > (index.terms.agg(F.sum("df")).first()[0] or 0):
+        return whole_search(index, asked, k, keep)
     needed = essential(asked, floors(index, asked, k, keep))
     reach = F.greatest(F.col("weight") * F.col("block_max"), F.lit(0.0)) + F.col("others")
     read = needed.join(index.postings, "term").where(F.col("floor").isNull() | (reach >= F.col("floor") - SLACK))
-    met = kept(read.select("query_id", "weight", "rest", "floor", F.inline("chunks")), keep)
+    met = only_kept(read.select("query_id", "weight", "rest", "floor", F.inline("chunks")), keep)
     partial = met.groupBy("query_id", "chunk_id").agg(F.sum(F.greatest(F.col("weight") * F.col("impact"), F.lit(0.0))).alias("partial"), F.max("rest").alias("rest"), F.max("floor").alias("floor"))
     # What a block that was left out would add is missing for chunks only that cannot reach the floor.
     hopeful = partial.where(F.col("floor").isNull() | (F.col("partial") + F.col("rest") >= F.col("floor") - SLACK))
     scored = whole_scores(index, asked, hopeful.select("query_id", "chunk_id"))
-    top = top_per_query(scored, k, F.desc(F.round("score", 9)), "chunk_id")
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    scaled = F.col("score") / F.when(best > 0, best).otherwise(1.0)
-    return top.withColumn("similarity", scaled).where(F.col("score") > 0).select("query_id", "chunk_id", "similarity", "position")
+    return scaled(top_per_query(scored, k, *best_first()))
+
+
+def whole_search(index: Index, asked: DataFrame, k: int, keep: DataFrame | None) -> DataFrame:
+    """The search by ``forward``: every chunk is scored where it lies, by all questions of a block at once."""
+    impacts = index.forward.select("chunk_id", F.col("terms.term").alias("terms"), F.col("terms.impact").alias("impacts"))
+    return scaled(top_per_query(best_in_blocks(asked.select("query_id", "term", "weight"), only_kept(impacts, keep), k), k, *best_first()))

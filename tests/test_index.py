@@ -1,7 +1,9 @@
 """The stored BM25 index gives what scoring every chunk gives."""
 
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from normata.operators import index as X
@@ -74,3 +76,34 @@ def test_blocks_hold_all_postings(spark, tmp_path):
     blocks = index.postings.select("block_max", F.array_max(F.transform("chunks", lambda c: c["impact"])).alias("m"), F.size("chunks").alias("n"))
     assert blocks.where("abs(block_max - m) > 1e-12").count() == 0
     assert blocks.agg(F.sum("n")).first()[0] == index.forward.agg(F.sum(F.size("terms"))).first()[0]
+
+
+def test_scores_without_moving_pairs(spark, monkeypatch):
+    chunks = corpus(spark, 200)
+    texts = ["w0 w1", "w250 w0 w0", "w3 w150 w299 unknown", "alone", "nothing here", "", " ".join(f"w{i}" for i in range(0, 300, 7))]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id long, query_text string")
+    held = [(r.chunk_id, (r.content or "").lower().split()) for r in chunks.collect()]
+    df = {}
+    for _, words in held:
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: math.log(len(held) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    idf = {w: x if x >= 0 else R.EPSILON * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    mean = sum(len(words) for _, words in held) / len(held)
+    part = lambda w, words: idf[w] * words.count(w) * (R.K1 + 1) / (words.count(w) + R.K1 * (1 - R.B + R.B * len(words) / mean))
+    met = [(q, c, [w for w in text.split() if w in words], words) for q, text in enumerate(texts) for c, words in held]
+    want = {(q, c): round(sum(part(w, words) for w in shared), 9) for q, c, shared, words in met if shared}
+    monkeypatch.setattr(R, "BLOCK", 3)
+    monkeypatch.setattr(R, "DENSE", 2)
+    got = R.bm25_scores(chunks, asked)
+    assert {(r.query_id, r.chunk_id): round(r.score, 9) for r in got.collect()} == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_that_are_not_above_zero(spark):
+    rows = [(1, "a", -1.0), (1, "b", 1.0), (2, "b", 0.0), (2, "c", 2.0)]
+    weights = R.Weights.of(spark.createDataFrame(rows, "query_id long, term string, weight double").toArrow())
+    code = weights.terms
+    got = weights.scores(np.array([0, 0, 1, 2]), np.array([code["a"], code["b"], code["b"], code["c"]]), np.array([1.0, 1.0, 3.0, 1.0]), 4)
+    nan = np.nan
+    assert np.array_equal(got[[weights.ids.to_pylist().index(i) for i in (1, 2)]], [[0.0, 3.0, nan, nan], [0.0, 0.0, 2.0, nan]], equal_nan=True)
