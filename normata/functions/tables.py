@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normata.functions.text import split_pieces
-from normata.operators.chunking import CANDIDATE, LEVELS, law_lines, settle
+from normata.operators.chunking import TOLD, Law, law_lines
 from normata.operators.relations import FAMILIES
 
 LIMIT = 900
@@ -33,35 +33,16 @@ class ChunkLaw:
     """Articles of one law, from its lines in order."""
 
     def __init__(self):
-        self.lines: list[pa.RecordBatch] = []
+        self.id, self.law = None, Law(strict=False)
+        self.found: list[tuple] = []
 
     def eval(self, lines: pa.RecordBatch) -> Iterator[pa.Table]:
-        self.lines.append(lines)
+        for self.id, *told in zip(*(lines.column(c).to_pylist() for c in ("id", *TOLD)), strict=True):
+            self.found += self.law.read(tuple(told))
         yield from ()
 
     def terminate(self) -> Iterator[pa.Table]:
-        if not self.lines:
-            return
-        law = pa.Table.from_batches(self.lines)
-        kinds = law.column("kind").combine_chunks()
-        asked = law.filter(kinds.is_valid()).select(list(CANDIDATE)).combine_chunks().to_batches()
-        begun = {at for found in settle(iter(asked)) for at in found.column("at").to_pylist()}
-        under: dict[str, str | None] = dict.fromkeys(LEVELS)
-        out: list[tuple] = []
-        article: tuple | None = None
-        for at, kind, label, line in zip(*(law.column(c).to_pylist() for c in ("at", "kind", "label", "line")), strict=True):
-            if at in begun:
-                if kind == "transitory":
-                    break
-                article = None
-                if kind in LEVELS:
-                    under[kind] = label
-                else:
-                    article = (label, *under.values(), [])
-                    out.append(article)
-            if article:
-                article[-1].append(line)
-        rows = [(law.column("id")[0].as_py(), i, *a[:4], "\n".join(a[4]).strip(" \t\n\x0b\f\r")) for i, a in enumerate(out, 1)]
+        rows = [(self.id, *article) for article in (*self.found, *self.law.finish())]
         if rows:
             kinds = (pa.int64(), pa.int32(), *[pa.string()] * 5)
             names = [part.split()[0] for part in CHUNKS.split(", ")]
@@ -107,4 +88,4 @@ def register(spark: SparkSession) -> None:
 
 def lines_view(laws: DataFrame, name: str, strict: bool = False) -> None:
     """A view of the lines of laws (id, nombre, raw_text), for ``chunk_law``."""
-    law_lines(laws, strict).select(F.col("id").cast("long").alias("id"), F.col("at"), "line", "kind", "sure", "number", "label", "lettered", "suffixed", "open_before", "repeated").createOrReplaceTempView(name)
+    law_lines(laws, strict).select("id", "at", *TOLD).createOrReplaceTempView(name)

@@ -59,10 +59,8 @@ def started(spark, d):
 
 
 def whole_laws(spark, d):
-    """One text for each document: its articles, from the orders of all laws."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x.content), "\n")
-    laws = articles(spark, d).groupBy(F.col("document_id").alias("id")).agg(text.alias("raw_text"))
-    return laws.withColumn("nombre", F.concat(F.lit("Ley de NATION_"), "id"))
+    """One text for each document: its articles, from the orders of all laws, a row for each part of it, since a text grows with the tables."""
+    return articles(spark, d).select(F.col("document_id").alias("id"), F.concat(F.lit("Ley de NATION_"), "document_id").alias("nombre"), F.col("chunk_id").alias("part"), F.col("content").alias("raw_text"))
 
 
 def ingested(spark, d):
@@ -89,7 +87,8 @@ def ingested_again(spark, d):
 def texts_read(spark, d):
     """Every law as a text file of its own, read back whole."""
     folder = new_folder(spark, "law_texts")
-    whole_laws(spark, d).select("id", "raw_text").write.partitionBy("id").text(folder)
+    parts = whole_laws(spark, d).repartition("id").sortWithinPartitions("id", "part", "raw_text")  # each is written as it comes
+    parts.select("id", "raw_text").write.partitionBy("id").text(folder)
     rows = S.read_law_texts(spark, folder)
     return rows.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("int").alias("id"), F.length("raw_text").alias("chars"), F.md5("raw_text").alias("md5"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normata.functions.html import html_rows
-from normata.operators.chunking import chunk_laws, embedding_pieces, embedding_text
+from normata.operators.chunking import embedding_pieces, embedding_text, law_articles
 from normata.sources.schemas import ALLOWED
 from normata.sources.versions import read_versions, write_version
 
@@ -76,9 +76,8 @@ def replace_documents(chunks: DataFrame, documents: DataFrame, path: str) -> dic
 
 
 def chunk_rows(laws: DataFrame, model: str, limit: int = 900) -> DataFrame:
-    """Rows of the chunk table for laws (id, nombre, raw_text): the pieces of their articles, with the text to embed."""
-    chunks = chunk_laws(laws).join(laws.select(F.col("id").alias("document_id"), "nombre"), "document_id")
-    each = embedding_pieces(chunks, limit)
+    """Rows of the chunk table for laws (id, nombre, raw_text, perhaps in rows by part): the pieces of their articles, with the text to embed."""
+    each = embedding_pieces(law_articles(laws), limit)
     meta = F.struct("titulo", "capitulo", "seccion", "parte", "partes_totales")
     text = embedding_text(F.col("nombre"), F.col("titulo"), F.col("capitulo"), F.col("articulo_numero"), F.col("content"))
     return each.select(

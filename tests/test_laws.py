@@ -189,3 +189,13 @@ def test_first_turns_are_rewritten(spark):
     rows = [(1, 1, "user", long), (2, 1, "assistant", "a"), (3, 1, "user", long), (4, 1, "assistant", "cual ley?"), (5, 1, "user", long), (6, 1, "user", "y eso aplica igual"), (7, 1, "user", "cual ley?" + long), (8, 2, "user", None)]
     df = spark.createDataFrame(rows, "id int, conversation_id int, role string, content string")
     assert {r.id: r.needs_rewriting for r in M.needs_rewriting(df, "cual ley?").collect()} == {1: True, 3: False, 5: True, 6: True, 7: False, 8: True}
+
+
+def test_laws_are_read_where_they_lie_and_in_parts(spark):
+    parts = ["TITULO PRIMERO\nArticulo 1.- Segun el", "ARTICULO 9o. de la ley.\n12\n", "ARTICULO 2.\n\nARTICULO 2.- x.", "CAPITULO II\nArticulo 3.- Tres."]
+    whole = spark.createDataFrame([(1, "Ley Uno", "\n".join(parts)), (2, "Ley Dos", parts[0])], "id long, nombre string, raw_text string")
+    rows = [(1, "Ley Uno", i, p) for i, p in enumerate(parts)][::-1] + [(2, "Ley Dos", 0, parts[0])]
+    cut = spark.createDataFrame(rows, "id long, nombre string, part int, raw_text string").repartition(3)
+    told = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert told(C.chunk_laws(cut)) == told(C.chunk_laws(whole)) and C.chunk_laws(whole).count() == 4
+    assert "Exchange" not in C.chunk_laws(whole)._jdf.queryExecution().executedPlan().toString()
