@@ -55,7 +55,8 @@ def chunked(strict):
 
 def started(spark, d):
     texts = law_texts(spark, d).withColumn("raw_text", F.concat(F.lit(HEAD), "raw_text"))
-    return texts.select("id", C.law_start(F.col("raw_text")).alias("line"), F.length(C.trim_to_law_start(F.col("raw_text"))).alias("chars"))
+    begun = texts.withColumn("line", C.law_start(F.col("raw_text")))
+    return begun.select("id", "line", F.length(C.from_line(F.col("raw_text"), F.col("line"))).alias("chars"))
 
 
 def whole_laws(spark, d):

@@ -1,9 +1,12 @@
 """Chunker, markers, entity resolution, history."""
 
 import datetime
+import random
+import re
 
 from pyspark.sql import functions as F
 
+from normata.functions.text import ACCENTED, PLAIN
 from normata.operators import chunking as C
 from normata.operators import relations as L
 
@@ -86,6 +89,31 @@ def test_law_start(spark):
     assert start(spark, ["p", "Articulo 1.- a", *["x"] * 149, "Articulo 2.- b"]) == 1
 
 
+def begins_at(lines):
+    """:func:`C.law_start` by its definition."""
+    where = lambda pattern: [i for i, x in enumerate(lines) if re.search(pattern, x.translate(str.maketrans(ACCENTED + "º", PLAIN + "o")), re.ASCII)]
+    ones, twos, heads = where(C.ARTICLE_ONE), where(C.ARTICLE_TWO), where(C.ANY_HEADING)
+    first = next((i for i in ones if any(i < t <= i + 150 and not any(i < o < t for o in ones) for t in twos)), None)
+    at = first
+    for h in reversed([h for h in heads if first is not None and first - 15 <= h < first]):
+        if at - h > (7 if at == first else 5):
+            break
+        at = h
+    return at or 0
+
+
+def test_law_start_reads_each_line_once(spark):
+    some = random.Random(5)
+    kinds = ["Articulo 1.- a", "ARTÍCULO  1º. b", "Art. 1o.- c", "Articulo 2.- d", " artículo 2 -", "Articulo 12.- e", "TÍTULO I", "çapitulo II", "Sección", "LIBRO", "libros", "CAPITULOS", "x", "segun el", "articulo 9. de", "", "12"]
+    texts = [[some.choice(kinds) if some.random() < share else "x" for _ in range(some.choice((1, 5, 30, 400)))] for share in (0.05, 0.3, 1) for _ in range(60)]
+    df = spark.createDataFrame([("\n".join(t),) for t in texts] + [(None,)], "t string")
+    begun = df.select("t", C.law_start(F.col("t")).alias("at"))
+    got = {r.t: r["at"] for r in begun.collect()}
+    assert got.pop(None) == 0 and got == {"\n".join(t): begins_at(t) for t in texts} and len(set(got.values())) > 9
+    # The text is split once in the plan; each further time multiplies the work by the number of lines.
+    assert begun._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_pieces(spark):
     texts = ["short", "a" * 60 + "\n" + "b" * 60, ("x" * 30 + ". ") * 5, "y" * 250, "l1\n" * 60, "", "z" * 90 + "\n" + ("w" * 40 + "; ") * 4 + "\ntail"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
