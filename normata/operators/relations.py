@@ -11,13 +11,15 @@ from normata.sources.scratch import stored
 
 # The three families of markers, and the words of each that give a marker's type. The second
 # takes an accented o, and no line that goes on with the last reform of a whole law.
-PARTICIPLE = r"(?i)\([^)]*(?:DEROGADO|DEROGADA|REFORMADO|REFORMADA|ADICIONADO|ADICIONADA)[^)]*\)"
-PUBLISHED = r"(?im)(?:\(\s*|(?<!ULTIMA\s{0,14})^[ \t]*)(?:REF[OÓó]RMA|ADICI[OÓó]N|DER[OÓó]GACI[OÓó]N)\s+PUBLICAD[^)]{0,250}\)"
+PARTICIPLE = r"(?i)\([^)]*?(?:DEROGAD|REFORMAD|ADICIONAD)[OA][^)]*\)"
+PUBLISHED = r"(?im)(?:\(\s*|^(?<!ULTIMA\s{0,14})[ \t]*)(?:REF[OÓó]RMA|ADICI[OÓó]N|DER[OÓó]GACI[OÓó]N)\s+PUBLICAD[^)]{0,250}\)"
 REFLEXIVE = r"(?i)\(\s*SE\s+(?:DEROGA|REFORMA|ADICIONA|ADICONA)\b[^)]*\)"
 FAMILIES = {"regex": PARTICIPLE, "regex_publicada": PUBLISHED, "regex_se_verbo": REFLEXIVE}
+#: What a text with a marker of the family holds, in capitals: its pattern need not be tried on others.
+HELD = {"regex": "AD", "regex_publicada": "PUBLICAD", "regex_se_verbo": "SE"}
 KEYWORDS = {
     "regex": r"(?i)(DEROGADO|DEROGADA|REFORMADO|REFORMADA|ADICIONADO|ADICIONADA)",
-    "regex_publicada": r"(?i)(REFORMA|ADICION|DEROGACION)",
+    "regex_publicada": r"(?i)(REF[OÓó]RMA|ADICI[OÓó]N|DER[OÓó]GACI[OÓó]N)",
     "regex_se_verbo": r"(?i)(DEROGA|REFORMA|ADICIONA|ADICONA)",
 }
 # The months.
@@ -45,9 +47,9 @@ def relation_type(marker: Column, method: Column) -> Column:
 def marker_date(text: Column) -> Column:
     """Spanish date in a marker; null if there is none or it is no day of the calendar."""
     month = F.lower(F.regexp_extract(text, DATE, 2))
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.when(month == "setiembre", "septiembre").otherwise(month))
+    number = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.replace(month, F.lit("setiembre"), F.lit("septiembre"))), F.lit(0))
     day, year = F.regexp_extract(text, DATE, 1), F.regexp_extract(text, DATE, 3)
-    return F.when(number > 0, F.try_to_date(F.concat_ws("-", year, number.cast("string"), day), "yyyy-M-d"))
+    return F.concat(year, F.lit("-"), number.cast("string"), F.lit("-"), day).try_cast("date")
 
 
 def last_reform(text: Column) -> Column:
@@ -68,12 +70,8 @@ def extract_markers(chunks: DataFrame) -> DataFrame:
 
     A text may be a marker of more than one family and is then told once for each.
     """
-    found = F.array(
-        *[
-            F.struct(F.lit(method).alias("method"), F.regexp_extract_all("content", F.lit(pattern), 0).alias("texts"))
-            for method, pattern in FAMILIES.items()
-        ]
-    )
+    texts = lambda method: F.when(F.upper("content").contains(HELD[method]), F.regexp_extract_all("content", F.lit(FAMILIES[method]), 0))
+    found = F.array(*[F.struct(F.lit(method).alias("method"), texts(method).alias("texts")) for method in FAMILIES])
     each = chunks.select("document_id", "chunk_id", "articulo_numero", F.explode(found).alias("f"))
     return each.select("document_id", "chunk_id", "articulo_numero", F.col("f.method").alias("extraction_method"), F.explode("f.texts").alias("source_text"))
 
@@ -96,12 +94,16 @@ def resolve_names(names: DataFrame, documents: DataFrame, accept: float = ACCEPT
 
 
 def build_relations(chunks: DataFrame, documents: DataFrame, strict: bool = False) -> DataFrame:
-    """Edges of all markers; a marker that names no other law is a change within its own."""
-    text = collapse(F.col("source_text"))
-    rows = extract_markers(chunks).withColumns(
-        {"relation_type": relation_type(F.col("source_text"), F.col("extraction_method")), "fecha": marker_date(text), "to_law_name_raw": other_law(text, strict)}
-    )
-    resolved = resolve_names(rows.where("to_law_name_raw IS NOT NULL").select(F.col("to_law_name_raw").alias("name")), documents)
+    """Edges of all markers; a marker that names no other law is a change within its own.
+
+    The markers are found once and stored: their names are resolved first, then all are joined with what the names mean. That is a
+    small table, stored too, so that its size is known and rows need not move to it.
+    """
+    told = extract_markers(chunks).withColumn("text", collapse(F.col("source_text"))).withColumns(
+        {"relation_type": relation_type(F.col("source_text"), F.col("extraction_method")), "fecha": marker_date(F.col("text")), "to_law_name_raw": other_law(F.col("text"), strict)}
+    )
+    rows = stored(told.drop("text"), "markers")
+    resolved = stored(resolve_names(rows.where("to_law_name_raw IS NOT NULL").select(F.col("to_law_name_raw").alias("name")), documents), "resolved")
     own = documents.select(F.col("id").alias("document_id"), F.col("nombre").alias("own_name"))
     joined = rows.join(own, "document_id").join(resolved.select(F.col("name").alias("to_law_name_raw"), F.col("document_id").alias("found")), "to_law_name_raw", "left")
     itself = F.col("to_law_name_raw").isNull()
@@ -205,11 +207,11 @@ def laws_matching(documents: DataFrame, names: DataFrame) -> DataFrame:
 
 def bulk_history(relations: DataFrame, documents: DataFrame, pairs: DataFrame, limit: int = 10) -> DataFrame:
     """(nombre, articulo, history): up to ``limit`` sentences, latest first, for each asked pair with an article."""
-    asked = pairs.select("nombre", "articulo").where("articulo <> ''").distinct()
+    asked = stored(pairs.select("nombre", "articulo").where("articulo <> ''").distinct(), "asked")
     key = lambda c: F.upper(F.trim(c))
     ids = laws_matching(documents, asked).select("nombre", F.col("document_id").alias("from_document_id"))
-    rows = named(relations, documents).withColumn("key", key("from_articulo"))
-    met = asked.join(ids, "nombre").withColumn("key", key("articulo")).join(rows, ["from_document_id", "key"])
+    wanted = stored(asked.join(ids, "nombre").withColumn("key", key("articulo")), "wanted")  # its size is known: edges need not move to it
+    met = named(relations, documents).withColumn("key", key("from_articulo")).join(wanted, ["from_document_id", "key"])
     order = Window.partitionBy("nombre", "articulo").orderBy(F.desc_nulls_last("fecha"), "from_chunk_id", "source_text")
     latest = met.withColumn("at", F.row_number().over(order)).where(F.col("at") <= limit).withColumn("said", sentence())
     told = latest.groupBy("nombre", "articulo").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x.said).alias("history"))
@@ -219,7 +221,7 @@ def bulk_history(relations: DataFrame, documents: DataFrame, pairs: DataFrame, l
 def with_history(citations: DataFrame, relations: DataFrame, documents: DataFrame) -> DataFrame:
     """Citations (document_nombre, articulo_numero, more) with ``historial``: the sentences of their article, or none."""
     pairs = citations.select(F.col("document_nombre").alias("nombre"), F.col("articulo_numero").alias("articulo"))
-    found = bulk_history(relations, documents, pairs).select(F.col("nombre").alias("document_nombre"), F.col("articulo").alias("articulo_numero"), F.col("history").alias("historial"))
+    found = stored(bulk_history(relations, documents, pairs), "histories").select(F.col("nombre").alias("document_nombre"), F.col("articulo").alias("articulo_numero"), F.col("history").alias("historial"))
     return citations.join(found, ["document_nombre", "articulo_numero"], "left").withColumn("historial", F.coalesce("historial", F.array().cast("array<string>")))
 
 

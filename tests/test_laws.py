@@ -147,6 +147,19 @@ def test_marker_families(spark):
     assert markers(spark, "(ULTIMA" + " " * 14 + "\nREFORMA PUBLICADA P.O. 1)") != [] and markers(spark, "(ULTIMA" + " " * 10 + "\nREFORMA PUBLICADA P.O. 1)") == []
 
 
+def test_markers_are_found_once_and_joined_where_they_lie(spark):
+    known = spark.createDataFrame([(1, "Ley Forestal", True), (2, "Ley de Aguas", True)], "id int, nombre string, is_active boolean")
+    texts = ["x (REFORMADO, P.O. 31 DE FEBRERO DE 2012)", "(DEROGADA POR EL ARTICULO 2 DE LA LEY DE AGUAS, P.O. 3 DE SETIEMBRE DE 2010)", "adición publicada", "nada", None]
+    chunks = spark.createDataFrame([(1, i, "1", t) for i, t in enumerate(texts)], "document_id int, chunk_id long, articulo_numero string, content string")
+    rows = L.build_relations(chunks, known)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan.lower() and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted((r.from_chunk_id, r.relation_type, r.to_document_id, r.to_law_name_raw, r.fecha) for r in rows.collect()) == [(0, "reforma", 1, "Ley Forestal", None), (1, "deroga", 2, "LEY DE AGUAS", datetime.date(2010, 9, 3))]
+    asked = spark.createDataFrame([("Ley Forestal", "1")], "nombre string, articulo string")
+    assert [len(r.history) for r in L.bulk_history(rows, known, asked).collect()] == [2]
+    assert "(SE\nDEROGA x)" == markers(spark, "(SE\nDEROGA x)")[0][1] and len(markers(spark, "(a (b Derogada) c) (reformado")) == 1
+
+
 def test_types_dates_and_names(spark):
     rows = [
         ("(SE DEROGA P.O. 9 DE JUNIO 1999)", "deroga", datetime.date(1999, 6, 9), None), ("(ADICIÓN PUBLICADA 30 DE SETIEMBRE DEL 2001)", "adiciona", datetime.date(2001, 9, 30), None),
