@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from normata.functions.text import ACCENTED, PLAIN
+from normata.functions.text import ACCENTED, PLAIN, split_pieces
 from normata.operators import chunking as C
 from normata.operators import relations as L
 
@@ -123,6 +123,16 @@ def test_pieces(spark):
         assert len(row.t) > 100 or row.p == [row.t]
 
 
+def test_pieces_of_a_batch_are_cut_in_slices(spark):
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else f"{i} uno. " * (i % 90) for i in range(700)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    cut = df.select("i", C.pieces(F.col("t"), 100).alias("p"))
+    assert {r.i: r.p for r in cut.collect()} == {i: None if t is None else split_pieces(t, 100) for i, t in enumerate(texts)}
+    from normata.functions import text as X
+
+    assert len(texts) > 2 * X.AT_ONCE
+
+
 def test_text_fixes(spark):
     laws = spark.createDataFrame([(1, "A", "uno dos dos"), (2, "B", "tres")], "id int, nombre string, raw_text string")
     fixes = spark.createDataFrame([("A", 1, "dos", "2", False), ("A", 2, "uno", "1", True), ("C", 1, "x", "y", True)], "law string, position int, old string, new string, once boolean")
