@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from normata.llm.common import shared_folder, small
 from normata.llm.encoding import encoder_for
-from normata.llm.mixing import coded, decoded
+from normata.llm.mixing import BLOCK, LANES, coded, decoded
 from normata.llm.packing import END_ID, vocabulary_path
 
 MAGIC = b"NTOK\x01\x00\x00\x00"
-#: Ids that a segment has before it is closed.
-SEGMENT = 6 << 20
+#: Ids that a segment has before it is closed: as many as fill the coder's lanes.
+SEGMENT = LANES * BLOCK
+#: Bytes of text that become ids at a time.
+PART = 12 << 20
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tokens", "<u8")])
 FILES = "part int, segment int, documents long, tokens long, data binary"
 
@@ -72,7 +74,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
 
         for batch in batches:
             at = 0
-            for ids, bounds in encoder.arrays(batch.column(1)):
+            for ids, bounds in encoder.arrays(batch.column(1), PART):
                 own = batch.column(0).slice(at, len(bounds) - 1)
                 at += len(own)
                 doc_ids, null = own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False)

@@ -1,11 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from normata.llm import mixing as M
 from normata.llm import tokens as T
+from normata.llm.encoding import WordEncoder
 from normata.llm.packing import vocabulary_path
 
 
@@ -49,6 +51,43 @@ def test_blocks_are_independent_and_checked():
         T.parsed(b"x" + made)
 
 
+@pytest.mark.parametrize("n", [1, 4095, 4096])
+def test_tables_hold_alphabets_only(n):
+    ids = np.random.default_rng(n).integers(0, 9, n)
+    model = M.Model(np.array([9, 1]), np.append(np.bincount(ids, minlength=9), n), np.array([n, n]))
+    assert len(model.first) == len(model.spread) == 10
+    slots = (model.spread & 0xFFFF).reshape(-1)
+    assert slots[:9].sum() <= M.BLOCK and slots[9] <= M.BLOCK and (model.spread[[0, 9]] >> 16 == 0).all()
+
+
+def test_damage_anywhere_is_an_error():
+    ids = np.random.default_rng(4).integers(0, 60, M.BLOCK + 700).astype("<u4")
+    data = M.coded(ids)
+    for at in range(4, len(data), 97):
+        broken = bytearray(data)
+        broken[at] ^= 0x55
+        try:
+            assert (M.decoded(bytes(broken)) == ids).all()  # bits after a lane's last word tell nothing
+        except ValueError:
+            pass
+
+
+def test_a_part_asks_for_its_words_once(monkeypatch):
+    encoder, whole = WordEncoder(vocabulary_path()), Tokenizer.from_file(vocabulary_path())
+    words = ["one", "Two,", "two;;", "x1.", "...", ".a", "don't!", "straße", "İstanbul", "ǆ", "ﬁn", "n\u0303o", "日本語", "a" * 70 + ".", "b" * 64, "<|endoftext|>", "Ünit?", "é.", "٣", "٣.", "x\x1cy", "ⅷ", "ªb"]
+    texts = pa.array([" ".join(words), None, "", " two  one. ", *words])
+    asked = []
+    slots_of = encoder.slots_of
+    monkeypatch.setattr(encoder, "slots_of", lambda own: asked.append(len(own)) or slots_of(own))
+    for _ in range(2):
+        (ids, bounds), = encoder.arrays(texts)
+        got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert len(asked) == 2
+    known = encoder.known.to_pylist()
+    assert len(set(known)) == len(known) and {"two", "one"} <= set(known) and not {"two,", "two;;", "one."} & set(known)
+
+
 def brute(rows):
     encoder, start, out = Tokenizer.from_file(vocabulary_path()), 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
