@@ -21,7 +21,8 @@ import numpy as np
 
 #: Ids of a block, blocks coded together.
 BLOCK, LANES = 4096, 2048
-SLOTS = 4096
+#: Entries of a lane's table of order two.
+SLOTS = 1024
 #: Bits of a mixed probability, and of a coder's word; two words are its state.
 TOTAL, WORD = 18, 24
 WHOLE, LEAST = float(1 << TOTAL), float(1 << WORD)

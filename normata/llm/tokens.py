@@ -32,8 +32,8 @@ from normata.llm.packing import END_ID, vocabulary_path
 MAGIC = b"NTOK\x01\x00\x00\x00"
 #: Ids that a segment has before it is closed: as many as fill the coder's lanes.
 SEGMENT = LANES * BLOCK
-#: Bytes of text that become ids at a time.
-PART = 12 << 20
+#: Bytes of text that become ids at a time, and words that a worker knows.
+PART, KNOWN = 12 << 20, 1_500_000
 DOCUMENT = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("tokens", "<u8")])
 FILES = "part int, segment int, documents long, tokens long, data binary"
 
@@ -61,7 +61,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
     """Write the ids of (doc_id, text), each document's ended by ``end_id``, in ascending doc_id order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoder_for(vocabulary), TaskContext.get().partitionId()
+        encoder, part = encoder_for(vocabulary, KNOWN), TaskContext.get().partitionId()
         rows: list[tuple] = []
         count = number = 0
 
