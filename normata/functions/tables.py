@@ -2,7 +2,7 @@
 
 ``register(spark)`` makes them known to a session, as Arrow table functions with table arguments:
 
-* ``chunk_law(TABLE(lines) PARTITION BY id ORDER BY at)`` over the lines of laws (:func:`lines_view`): a row
+* ``chunk_law(TABLE(lines) PARTITION BY id ORDER BY at)`` over the lines of laws (:func:`lines_view`), a row for each text: a row
   for each article, as :func:`normata.operators.chunking.chunk_laws` gives;
 * ``split_pieces(TABLE(SELECT id, content ...))``: a row for each piece of at most 900 characters;
 * ``extract_markers(TABLE(SELECT document_id, chunk_id, articulo_numero, content ...))``: a row for each marker.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normata.functions.text import split_pieces
-from normata.operators.chunking import TOLD, Law, law_lines
+from normata.operators.chunking import Law, Read, law_texts
 from normata.operators.relations import FAMILIES
 
 LIMIT = 900
@@ -32,17 +32,21 @@ MARKERS = "document_id int, chunk_id long, articulo_numero string, extraction_me
 class ChunkLaw:
     """Articles of one law, from its lines in order."""
 
+    kept: dict[bool, dict[str, Read]] = {True: {}, False: {}}  # lines that other laws of the worker held, strict or not
+
     def __init__(self):
-        self.id, self.law = None, Law(strict=False)
+        self.id, self.law = None, None
         self.found: list[tuple] = []
 
     def eval(self, lines: pa.RecordBatch) -> Iterator[pa.Table]:
-        for self.id, *told in zip(*(lines.column(c).to_pylist() for c in ("id", *TOLD)), strict=True):
-            self.found += self.law.read(tuple(told))
+        for self.id, own, strict, text in zip(*(lines.column(c).to_pylist() for c in ("id", "own", "strict", "raw_text")), strict=True):
+            if self.law is None:
+                self.law = Law(strict, own, self.kept[strict])
+            self.found += self.law.read(text)
         yield from ()
 
     def terminate(self) -> Iterator[pa.Table]:
-        rows = [(self.id, *article) for article in (*self.found, *self.law.finish())]
+        rows = [(self.id, *article) for article in (*self.found, *(self.law.finish() if self.law else ()))]
         if rows:
             kinds = (pa.int64(), pa.int32(), *[pa.string()] * 5)
             names = [part.split()[0] for part in CHUNKS.split(", ")]
@@ -87,5 +91,5 @@ def register(spark: SparkSession) -> None:
 
 
 def lines_view(laws: DataFrame, name: str, strict: bool = False) -> None:
-    """A view of the lines of laws (id, nombre, raw_text), for ``chunk_law``."""
-    law_lines(laws, strict).select("id", "at", *TOLD).createOrReplaceTempView(name)
+    """A view of the lines of laws (id, nombre, raw_text, perhaps in rows by part), for ``chunk_law``; a row holds the lines of a text."""
+    law_texts(laws).select("id", "at", "own", F.lit(strict).alias("strict"), "raw_text").createOrReplaceTempView(name)

@@ -250,3 +250,21 @@ def test_laws_are_read_where_they_lie_and_in_parts(spark):
     told = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert told(C.chunk_laws(cut)) == told(C.chunk_laws(whole)) and C.chunk_laws(whole).count() == 4
     assert "Exchange" not in C.chunk_laws(whole)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_lines_that_may_begin_something_are_read_closer(spark):
+    some = random.Random(7)
+    words = ["ARTÍCULO", "articulos", "Art.", "ÀRT", "TÍTULO", "çapitulo", "SECCIÓN", "T R A N S I T O R I O S", "1", "2-A", "3 BIS", "4º", "I", "ÚNICO", "DE LO", "12", "3/4/2020 10:15 á.m.", "x", "\t", "", ".-", "9" * 25]
+    lines = {some.choice(["", " ", "\t"]) + some.choice(["", " ", "."]).join(some.choices(words, k=some.randint(1, 4))) for _ in range(6000)}
+    assert all(C.MARK.match(x) for x in lines if C.read_line(x, False) != C.CONTENT or C.read_line(x, True) != C.CONTENT)
+    assert all(x.strip(" ")[0] in C.FIRST for x in lines if C.MARK.match(x)) and len({C.read_line(x, False) for x in lines}) > 50
+    law = spark.createDataFrame([(1, "Ley Uno", "Articulo 1.- Uno.\nsegun")], "id long, nombre string, raw_text string")
+    plan = C.chunk_laws(law)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "RLIKE" not in plan  # no line is a row, or held against patterns, before it is known to begin something
+
+
+def test_edges_of_lines(spark):
+    assert labels(spark, "Articulo 1.- Uno.\r\nArticulo 2.- Dos.\x0bArticulo 3.- Tres. \x1eArticulo 4.- x.\x85Articulo 5.- y.\r") == ["1", "2", "3", "4", "5"]
+    assert labels(spark, "articulosx 1.- a\narticuló 2.- b\narticulo 3.- c\nArticulo 4.- d") == ["4"] and labels(spark, "articulox1.- a\nArticulo 5.- b") == ["5"]
+    assert labels(spark, f"Articulo {9**30}.- a.\nArticulo 00{'0' * 40}2.- b.\nArticulo 3.- segun el\nArticulo 4.- c") == [str(9**30), f"00{'0' * 40}2", "3", "4"]
+    assert [c[4] for c in read(spark, "Articulo 1.- a.\nstraße\nSTRASSE\nley\n\n 7 \n\nfin", name="Straße")] == ["Articulo 1.- a.\nley\n\n\nfin"]

@@ -33,3 +33,14 @@ def test_pieces_and_markers(spark):
     told = lambda df: sorted(map(tuple, df.select("document_id", "chunk_id", "articulo_numero", "extraction_method", "source_text").collect()))
     assert told(spark.sql("SELECT * FROM extract_markers(TABLE(some_chunks))")) == told(L.extract_markers(chunks))
     assert spark.sql("SELECT * FROM extract_markers(TABLE(SELECT * FROM some_chunks WHERE false))").count() == 0
+
+
+def test_a_row_of_the_view_holds_a_whole_text(spark):
+    T.register(spark)
+    rows = [(1, "Ley Uno", 1, "ARTICULO 2.- Dos."), (1, "Ley Uno", 0, "Articulo 1.- Uno.\nCAPITULO II DE LO CIVIL\n12"), (2, "Ley Dos", 0, "Articulo 5.- x.\nT R A N S I T O R I O S\nArticulo 1.- Fuera.")]
+    laws = spark.createDataFrame(rows, "id long, nombre string, part int, raw_text string")
+    for strict in (False, True):
+        T.lines_view(laws, "whole_laws", strict)
+        assert spark.table("whole_laws").count() == len(rows)
+        got = spark.sql("SELECT * FROM chunk_law(TABLE(whole_laws) PARTITION BY id ORDER BY at)")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, C.chunk_laws(laws, strict).collect()), key=repr)
