@@ -67,3 +67,15 @@ def test_dense_search_with_odd_vectors(spark):
     got = R.dense_search(chunks, asked, 2, 0.1).orderBy("position").collect()
     assert [(r.query_id, r.chunk_id, round(r.similarity, 6)) for r in got] == [(1, 1, 1.0), (1, 7, 1.0)]
     assert R.dense_search(chunks, asked.limit(0), 2).count() == 0 and R.dense_search(chunks.limit(0), asked, 2).count() == 0
+
+
+def test_a_load_reads_laws_in_parts_without_a_row_for_each_line(spark, tmp_path):
+    parts = [(i % 3, "Ley Uno", i, f"Articulo {i // 3 + 1}.- Uno segun el\narticulo 90. de esta ley.\n(REFORMADO)\n12") for i in range(60)]
+    laws = spark.createDataFrame(parts, "id int, nombre string, part long, raw_text string")
+    whole = spark.createDataFrame([(k, "Ley Uno", "\n".join(t for i, _, _, t in parts if i == k)) for k in range(3)], "id int, nombre string, raw_text string")
+    told = lambda df: sorted(map(tuple, df.select("document_id", "position", "articulo_numero", "content").collect()))
+    assert told(S.chunk_rows(laws, "m1")) == told(S.chunk_rows(whole, "m1")) and S.chunk_rows(whole, "m1").count() == 60
+    plan = S.chunk_rows(laws, "m1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") <= 2 and "RLIKE" not in plan  # pieces are rows, lines are not
+    log = S.ingest(spark, laws, f"{tmp_path}/chunks", f"{tmp_path}/log", "m1")
+    assert {r.document_id: r.chunks_created for r in log.collect()} == {0: 20, 1: 20, 2: 20}
