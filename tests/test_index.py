@@ -107,3 +107,30 @@ def test_weights_that_are_not_above_zero(spark):
     got = weights.scores(np.array([0, 0, 1, 2]), np.array([code["a"], code["b"], code["b"], code["c"]]), np.array([1.0, 1.0, 3.0, 1.0]), 4)
     nan = np.nan
     assert np.array_equal(got[[weights.ids.to_pylist().index(i) for i in (1, 2)]], [[0.0, 3.0, nan, nan], [0.0, 0.0, 2.0, nan]], equal_nan=True)
+
+
+def test_chunks_to_keep_are_told_once(spark, monkeypatch):
+    chunks = corpus(spark, 200)
+    asked = chunks.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("query_text"))
+    keep = chunks.where("chunk_id % 3 = 0").select("chunk_id")
+    whole = found(R.sparse_search(chunks, asked, 5, keep))
+    passes, best = [], R.best_scores
+
+    def watched(shared, impacts, k):
+        passes.append((len(shared.value), "Join" in impacts._jdf.queryExecution().executedPlan().toString()))
+        return best(shared, impacts, k)
+
+    monkeypatch.setattr(R, "best_scores", watched)
+    monkeypatch.setattr(R, "BLOCK", 3)
+    assert found(R.sparse_search(chunks, asked, 5, keep)) == whole and len(whole) > 60
+    assert sum(n for n, _ in passes) > 4 and len(passes) <= 2 and not any(joined for _, joined in passes)
+
+
+def test_words_are_those_of_the_column(spark):
+    from normata.functions.text import words
+
+    texts = ["", " ", "a", " A  b\ta\r\nB\x0bÀ\x0cİ ", "x\x1cy\xa0z w", None, "ß ẞ SS", "\n\nfin "]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    want = {r.chunk_id: sorted(r.w or []) for r in chunks.select("chunk_id", words(F.col("content")).alias("w")).collect()}
+    got = R.term_lists(chunks).collect()
+    assert {r.chunk_id: sorted(t.term for t in r.terms for _ in range(t.tf)) for r in got} == want and all(r.length == len(want[r.chunk_id]) for r in got)
