@@ -3,7 +3,8 @@
 Three tables lie in a folder named by the corpus signature: ``forward`` (each chunk with its length and terms),
 ``terms`` (document frequency, idf and largest impact) and ``postings``. An impact is a term's BM25 part in
 a chunk without the idf. A posting list is parted into blocks by level of impact and by shard of chunks, so none
-grows with the corpus, and each block knows its largest impact. A folder without its last table is not used.
+grows with the corpus, and each block knows its largest impact. A shard is made where its chunks lie: no posting is shuffled.
+A folder without its last table is not used.
 
 A search reads what can matter. Some chunks that hold a query's weightiest terms are scored in whole; the
 k-th best of these is a floor. A chunk that has only terms whose largest parts sum to less than the floor cannot
@@ -15,17 +16,22 @@ for each block of queries, and chunks are scored where they lie.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from normata.functions.text import words
-from normata.operators.retrieval import EPSILON, K1, B, best_first, best_in_blocks, corpus_signature, only_kept, scaled, term_lists, top_per_query
-from normata.sources.scratch import stored
+from normata.operators.retrieval import EPSILON, K1, B, best_first, best_in_blocks, corpus_signature, kept_once, only_kept, scaled, term_counts, term_lists, top_per_query
+from normata.sources.scratch import remove, stored
 
-#: Levels of impact that part a list, and chunks of a shard.
-LEVELS, SHARD = 16, 50_000
+#: Levels of impact that part a list; postings of a shard, about, and chunks that go to it at a time.
+LEVELS, SHARD, SLICE = 16, 2_000_000, 1024
 #: A query's terms that lead to its first candidates, and how many of these are scored for each result asked for.
 LEADING, FIRST = 16, 4
 SLACK = 1e-6
@@ -49,6 +55,47 @@ def part(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (mean or 1.0)))
 
 
+def posting_blocks(impacts: DataFrame) -> DataFrame:
+    """Blocks of the posting lists (:data:`POSTINGS`) of chunks (chunk_id, terms, impacts), by term in each shard; a shard is some chunks of one task."""
+
+    def blocks(shard: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, impacts = (pa.concat_arrays([batch.column(i) for batch in held]) for i in range(3))
+        coded, number = terms.flatten().dictionary_encode(), ids.take(pc.list_parent_indices(terms))
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        impact = impacts.flatten().to_numpy()
+        key = place[coded.indices.to_numpy()] * (LEVELS + 1) + LEVELS - (impact / (K1 + 1) * LEVELS).astype(np.int64)  # impacts are below K1 + 1
+        by = np.argsort(key, kind="stable")
+        key, impact = key[by], impact[by]
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        each = pa.StructArray.from_arrays([number.take(pa.array(by)), pa.array(impact)], ["chunk_id", "impact"])
+        columns = [
+            coded.dictionary.take(pa.array(order[key[begins] // (LEVELS + 1)])), pa.array(np.full(len(begins), shard), pa.int32()), pa.array(LEVELS - key[begins] % (LEVELS + 1), pa.int32()),
+            pa.array(np.maximum.reduceat(impact, begins) if len(key) else impact), pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)), pa.int32()), each),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, ["term", "shard", "level", "block_max", "chunks"])
+        yield from (whole.slice(at, 50_000) for at in range(0, len(whole), 50_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, many = TaskContext.get().partitionId() << 12, [], 0
+        for batch in batches:
+            for some in (batch.slice(at, SLICE) for at in range(0, len(batch), SLICE)):
+                held.append(some)
+                many += len(some.column(1).flatten())
+                if many >= SHARD:
+                    yield from blocks(shard, held)
+                    shard, held, many = shard + 1, [], 0
+        if held:
+            yield from blocks(shard, held)
+
+    return impacts.mapInArrow(run, POSTINGS)
+
+
+def chunk_impacts(forward: DataFrame) -> DataFrame:
+    return forward.select("chunk_id", F.col("terms.term").alias("terms"), F.col("terms.impact").alias("impacts"))
+
+
 def build_index(chunks: DataFrame, path: str) -> None:
     """Write the three tables for ``chunks`` (chunk_id, content); texts are tokenised once."""
     spark = chunks.sparkSession
@@ -58,14 +105,10 @@ def build_index(chunks: DataFrame, path: str) -> None:
     impact = lambda t: part(t["tf"], F.col("length"), mean)
     with_impact = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), impact(t).alias("impact")))
     held.select("chunk_id", "length", with_impact.alias("terms")).write.mode("overwrite").parquet(f"{path}/forward")
-    forward = spark.read.schema(FORWARD).parquet(f"{path}/forward")
-    listed = forward.select("chunk_id", F.inline("terms"))
-    shards = max(1, -(-n // SHARD))
-    level = F.floor(F.col("impact") / (K1 + 1) * LEVELS).cast("int")  # impacts are below K1 + 1
-    keyed = listed.select("term", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard"), level.alias("level"), "chunk_id", "impact")
-    blocks = keyed.groupBy("term", "shard", "level").agg(F.max("impact").alias("block_max"), F.collect_list(F.struct("chunk_id", "impact")).alias("chunks"))
-    blocks.repartitionByRange("term", "shard").sortWithinPartitions("term", F.desc("block_max")).write.mode("overwrite").parquet(f"{path}/postings")
-    sizes = spark.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("chunks")).alias("df"), F.max("block_max").alias("largest"))
+    remove(spark, f"{path}/counted")
+    impacts = chunk_impacts(spark.read.schema(FORWARD).parquet(f"{path}/forward"))
+    posting_blocks(impacts).write.mode("overwrite").parquet(f"{path}/postings")
+    sizes = stored(term_counts(impacts), "sizes")
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     average = sizes.agg(F.avg(raw)).first()[0]
     idf = F.when(raw < 0, EPSILON * (average or 0.0)).otherwise(raw)
@@ -146,5 +189,5 @@ def search_index(index: Index, queries: DataFrame, k: int, keep: DataFrame | Non
 
 def whole_search(index: Index, asked: DataFrame, k: int, keep: DataFrame | None) -> DataFrame:
     """The search by ``forward``: every chunk is scored where it lies, by all questions of a block at once."""
-    impacts = index.forward.select("chunk_id", F.col("terms.term").alias("terms"), F.col("terms.impact").alias("impacts"))
-    return scaled(top_per_query(best_in_blocks(asked.select("query_id", "term", "weight"), only_kept(impacts, keep), k), k, *best_first()))
+    impacts = kept_once(chunk_impacts(index.forward), keep)
+    return scaled(top_per_query(best_in_blocks(asked.select("query_id", "term", "weight"), impacts, k), k, *best_first()))

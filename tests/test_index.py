@@ -109,6 +109,23 @@ def test_weights_that_are_not_above_zero(spark):
     assert np.array_equal(got[[weights.ids.to_pylist().index(i) for i in (1, 2)]], [[0.0, 3.0, nan, nan], [0.0, 0.0, 2.0, nan]], equal_nan=True)
 
 
+def test_postings_are_made_where_chunks_lie(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SHARD", 100)
+    monkeypatch.setattr(X, "SLICE", 16)
+    chunks = corpus(spark, 300)
+    index = X.open_index(chunks, str(tmp_path))
+    assert "Exchange" not in X.posting_blocks(X.chunk_impacts(index.forward))._jdf.queryExecution().executedPlan().toString()
+    listed = index.postings.select("term", "shard", "level", F.inline("chunks"))
+    assert listed.select("shard").distinct().count() > 4 and not (tmp_path / f"{index.signature[0]}-{index.signature[1]}" / "counted").exists()
+    want = index.forward.select("chunk_id", F.inline("terms"))
+    assert sorted(map(tuple, listed.select("chunk_id", "term", "impact").collect())) == sorted(map(tuple, want.select("chunk_id", "term", "impact").collect()))
+    assert listed.where(F.col("level") != F.floor(F.col("impact") / (R.K1 + 1) * X.LEVELS)).count() == 0
+    told = {r.term: (r.df, r.largest) for r in index.terms.collect()}
+    assert told == {r.term: (r.n, r.m) for r in want.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("m")).collect()}
+    asked = spark.createDataFrame([(1, "w3 w150"), (2, "w250")], "query_id long, query_text string")
+    assert found(X.search_index(index, asked, 5)) == found(R.sparse_search(chunks, asked, 5))
+
+
 def test_chunks_to_keep_are_told_once(spark, monkeypatch):
     chunks = corpus(spark, 200)
     asked = chunks.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("query_text"))
