@@ -151,3 +151,13 @@ def test_words_are_those_of_the_column(spark):
     want = {r.chunk_id: sorted(r.w or []) for r in chunks.select("chunk_id", words(F.col("content")).alias("w")).collect()}
     got = R.term_lists(chunks).collect()
     assert {r.chunk_id: sorted(t.term for t in r.terms for _ in range(t.tf)) for r in got} == want and all(r.length == len(want[r.chunk_id]) for r in got)
+
+
+def test_chunks_are_read_once_for_several_blocks(spark, monkeypatch):
+    chunks = corpus(spark, 120)
+    asked = chunks.where("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content").alias("query_text"))
+    whole, passes, best = found(R.sparse_search(chunks, asked, 7)), [], R.best_scores
+    monkeypatch.setattr(R, "best_scores", lambda shared, *more: passes.append(len(shared.value)) or best(shared, *more))
+    monkeypatch.setattr(R, "BLOCK", 4)
+    assert found(R.sparse_search(chunks, asked, 7)) == whole
+    assert sum(passes) > R.BLOCKS and len(passes) == -(-sum(passes) // R.BLOCKS)
