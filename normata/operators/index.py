@@ -31,7 +31,7 @@ from normata.operators.retrieval import EPSILON, K1, B, best_first, best_in_bloc
 from normata.sources.scratch import remove, stored
 
 #: Levels of impact that part a list; postings of a shard, about, and chunks that go to it at a time.
-LEVELS, SHARD, SLICE = 16, 2_000_000, 1024
+LEVELS, SHARD, SLICE = 16, 1_000_000, 1024
 #: A query's terms that lead to its first candidates, and how many of these are scored for each result asked for.
 LEADING, FIRST = 16, 4
 SLACK = 1e-6
@@ -86,6 +86,7 @@ def posting_blocks(impacts: DataFrame) -> DataFrame:
                 if many >= SHARD:
                     yield from blocks(shard, held)
                     shard, held, many = shard + 1, [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from blocks(shard, held)
 
