@@ -161,3 +161,12 @@ def test_chunks_are_read_once_for_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK", 4)
     assert found(R.sparse_search(chunks, asked, 7)) == whole
     assert sum(passes) > R.BLOCKS and len(passes) == -(-sum(passes) // R.BLOCKS)
+
+
+def test_few_chunks_are_moved_to_the_join(spark, monkeypatch):
+    chunks, moved, join = corpus(spark, 200), [], R.only_kept
+    monkeypatch.setattr(R, "only_kept", lambda rows, keep: moved.append(rows.count()) or join(rows, keep))
+    keep = chunks.where("chunk_id % 10 = 0").select("chunk_id")
+    assert R.kept_once(chunks, keep).count() == keep.count() == moved[0]
+    monkeypatch.setattr(R, "MARKS", 2)  # marks that tell nothing apart
+    assert R.kept_once(chunks, keep).count() == keep.count() and moved[1] > moved[0]
